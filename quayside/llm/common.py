@@ -47,6 +47,16 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def step(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """df.select(*keep, made...), with the new columns computed once for each row.
+
+    Filters above a plain select() are moved below it and columns used once are
+    written out where they are used, so that a costly array would be made anew
+    for each of its elements. inline() of an array of one struct keeps its place.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(name) for name, c in made.items())))))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(text, UPPER, LOWER)

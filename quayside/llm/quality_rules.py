@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import BLANK_CLASS, BLANKS, cut, keep_others
+from quayside.llm.common import BLANK_CLASS, BLANKS, cut, keep_others, step
 
 #: Rules: the share that a text must not reach. Cutoffs run from the mildest to the strictest and are fixed beforehand.
 GRID = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03)
 RULES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "capitals": "n_capitals / greatest(word_chars, 1)",
-    "bars": "n_symbol_words / greatest(n_words, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
     "lines": "n_dup_lines / greatest(n_lines, 1)",
 }
@@ -21,7 +20,7 @@ BANDS = (100, 300, 1000)
 #: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with this confidence.
 ALPHA, DELTA = 0.02, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-OWN = (*COUNTS, "n_capitals", "n_symbol_words", "n_lines")
+OWN = (*COUNTS, "n_capitals", "n_lines")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -33,16 +32,18 @@ def counted(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = docs.select(F.struct(*keep_others(docs, *OWN)).alias("row"), text.alias("t"))
-    row = row.select("row", "t", F.filter(F.split("t", f"[{BLANK_CLASS}]+", -1), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n", -1), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0).alias("lines"))
-    window = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    shingles = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(window(i)))).otherwise(F.array().cast("array<bigint>"))
-    row = row.select("*", shingles.alias("s"))
+    words, filled = F.filter(F.split("t", f"[{BLANK_CLASS}]+", -1), lambda w: w != ""), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0
+    row = step(row, ["row", "t"], w=words, lines=F.filter(F.split("t", "\n", -1), filled))
+    row = step(row, ["row", "t", "w", "lines"], hashed=F.transform("w", lambda x: F.xxhash64(x)))
+    shingles = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("hashed", i), F.get("hashed", i + 1), F.get("hashed", i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    row = step(row, ["row", "t", "w", "lines"], s=shingles)
     # seldom taken: exact text beside the hash, so that no collision counts
+    window = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     tagged = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.get("s", i).alias("h"), window(i).alias("x"), i.alias("i")))
-    row = row.select("*", F.when(F.size(F.array_distinct("s")) < F.size("s"), F.sort_array(tagged)).alias("z"))
+    row = step(row, ["row", "t", "w", "lines"], z=F.when(F.size(F.array_distinct("s")) < F.size("s"), F.sort_array(tagged)))
     same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["x"] == b["x"]), F.lit(False))
     twice = F.filter("z", lambda x, i: same(x, F.get("z", i - 1)) | same(x, F.get("z", i + 1)))
-    row = row.select("*", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"))
+    row = step(row, ["row", "t", "w", "lines"], at=F.sort_array(F.transform(twice, lambda x: x["i"])))
     # a window covers three words, fewer if the next one starts among them
     covered = F.aggregate(F.sequence(F.lit(0), F.size("at") - 1), F.lit(0), lambda n, k: n + F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - F.get("at", k), F.lit(3))))
     less = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
@@ -53,10 +54,9 @@ def counted(docs: DataFrame) -> DataFrame:
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": F.when(F.size("at") > 0, covered).otherwise(0),
         "n_capitals": less(r"[A-Z]+"),
-        "n_symbol_words": F.size(F.filter("w", lambda w: F.length(F.translate(w, "#*$%&|<>", "")) < F.length(w))),
         "n_lines": F.size("lines"),
     }
-    return row.select("row", *(c.cast("long").alias(name) for name, c in counts.items())).select("row.*", *OWN)
+    return step(row, ["row"], **{name: c.cast("long") for name, c in counts.items()}).select("row.*", *OWN)
 
 
 def base_failed() -> Column:

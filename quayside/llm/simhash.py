@@ -32,7 +32,7 @@ def fingerprint(text: str | None) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = np.array(hashes[at : at + 8192], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
