@@ -159,11 +159,11 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return where, at, bins
 
 
-PACKED = PIECES + ", bin long, offset long, again boolean, bins long, bound long"
+PACKED = PIECES + ", bin long, offset long, again boolean, bins long, bound long, g long"
 
 
 def _packer(capacity: int, last: bool):
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         """One partition: bins, its certificate, and the pieces of bins with room that are given up for another round."""
         part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = part["length"].to_numpy(np.int64)
@@ -172,7 +172,8 @@ def _packer(capacity: int, last: bool):
         room = capacity - np.bincount(where, weights=lengths, minlength=bins)
         # a certified partition gives up its emptiest bin only, which others may fill; one with a gap all bins with a hundredth of room
         loose = (room > capacity / 100) if bins > bound else (np.arange(bins) == room.argmax()) & (room > 0)
-        return part.assign(bin=where, offset=at, again=loose[where] & (not last), bins=bins, bound=bound)
+        out = part.assign(bin=where, offset=at, again=loose[where] & (not last), bins=bins, bound=bound, g=key[0])
+        return out[[name.split()[0] for name in PACKED.split(", ")]]
 
     return pack
 
@@ -197,7 +198,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         groups = max(1, -(-n // group))
         last = groups == 1 or k == rounds - 1
         dealt = todo.withColumn("g", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
-        out = dealt.groupBy("g").applyInPandas(lambda key, part, pack=_packer(capacity, last): pack(part.drop(columns="g")).assign(g=key[0]), PACKED + ", g long")
+        out = dealt.groupBy("g").applyInPandas(_packer(capacity, last), PACKED)
         packed = cut(out, "packed")
         # g < 2^24 groups, and a bin number below 2^32
         number = F.lit(k << 58) + F.col("g") * (1 << 32) + F.col("bin")

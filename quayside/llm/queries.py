@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import line_dedup, packing, pii, quality_rules, simhash
+from quayside.llm import language_id, license_scan, line_dedup, mtree, packing, pii, quality_classifier, quality_rules, sentencepiece, simhash
 from quayside.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.sentencepiece_n_best(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,5 +48,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup)}
-SQL = {"op9_line_dedup": line_dedup.SQL}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup, op10_quality_classifier)}
+SQL = {"op2_exact_top_k": mtree.SQL, "op3_license_scan": license_scan.sql(), "op9_line_dedup": line_dedup.SQL}
