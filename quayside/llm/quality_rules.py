@@ -135,13 +135,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     certified, so the base rules alone decide. Rows that repeat a doc_id are
     judged each by its own text.
     """
-    counts = cut(counted(docs.select("doc_id", "text")), "counts")
+    counts = cut(counted(docs.select("doc_id", "text")).drop("text"), "counts")
     return judged(counts, cut(cutoffs(counts, labels), "cutoffs"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules() keeps. Texts aren't shuffled: they are counted again beside the few cutoffs."""
-    counts = cut(counted(docs.select("doc_id", "text")), "counts")
+    counts = cut(counted(docs.select("doc_id", "text")).drop("text"), "counts")
     cuts = cut(cutoffs(counts, labels), "cutoffs")
     whole = docs.select(F.struct(*keep_others(docs)).alias("whole"), "doc_id", "text")
     return judged(counted(whole), cuts).where("kept").select("whole.*")
