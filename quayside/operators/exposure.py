@@ -63,6 +63,6 @@ def composition(holdings: DataFrame, labels: list[str]) -> DataFrame:
 
 def contributions(holdings: DataFrame, unit: float = 1000.0) -> DataFrame:
     """portfolio_id, fund_id (null: all), amount of each unit that goes to each holding."""
-    rows = holdings.select("portfolio_id", "fund_id", (F.col("weight") * unit / 100).cast("decimal(18,2)").alias("amount"))
+    rows = holdings.select("portfolio_id", "fund_id", half_up(F.col("weight") * unit / 100, 2).cast("decimal(18,2)").alias("amount"))
     rolled = rows.rollup("portfolio_id", "fund_id").agg(F.sum("amount").cast("double").alias("amount"), F.grouping_id().alias("level"))
     return rolled.where("level < 3").select("portfolio_id", "fund_id", half_up("amount", 2).alias("amount"))

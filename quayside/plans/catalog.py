@@ -312,7 +312,7 @@ def composition(spark, sf_dir):
     return exposure.composition(rows, ["Low", "Moderate", "High"])
 
 
-@query("SELECT portfolio_id, fund_id, round((weight * 10)::DECIMAL(18,2)::DOUBLE, 2) AS amount FROM holding_v UNION ALL SELECT portfolio_id, 0, round(sum((weight * 10)::DECIMAL(18,2))::DOUBLE, 2) FROM holding_v GROUP BY 1")
+@query("SELECT portfolio_id, fund_id, round(weight * 10, 2) AS amount FROM holding_v UNION ALL SELECT portfolio_id, 0, round(sum(round(weight * 10, 2)::DECIMAL(18,2))::DOUBLE, 2) FROM holding_v GROUP BY 1")
 def contributions(spark, sf_dir):
     rows = exposure.contributions(V.holdings(spark, sf_dir))
     return rows.where("portfolio_id IS NOT NULL").withColumn("fund_id", F.coalesce("fund_id", F.lit(0)))
