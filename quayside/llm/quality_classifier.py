@@ -69,7 +69,7 @@ def features(text: str, known: Remembered) -> np.ndarray:
         text.count("!") / n,
         1.0 * (n < 5),
     )
-    out[BUCKETS:] = stats
+    out[BUCKETS:] = np.minimum(stats, 3)  # one long word must not outweigh all else
     return out
 
 
@@ -134,7 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Mac
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["x"], np.float32)
     machine = Machine()
-    return machine.fit(x, y) if len(got) else machine
+    if not len(got):
+        machine.factors[:] = 0
+        return machine
+    return machine.fit(x, y)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
