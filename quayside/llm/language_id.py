@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from quayside.llm.lattice import MARK, WIDEST, Remembered, Vocabulary, by_width,
 #: At most so many training documents, those whose hash is least.
 TRAIN_DOCS = 6000
 ROUNDS, SMOOTHING = 2, 0.05
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Probability of a character outside the vocabulary, in every language.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
@@ -201,7 +202,7 @@ def _scored(texts: list[list[str]], known: Remembered, vocab: Vocabulary, prob:
     known.add({chunk: (1, *logs[r[0]]) if len(r) == 1 and langs else (len(r), *map(sum, zip(zero, *(logs[w] for w in r), strict=True))) if langs else (len(r),) for chunk, r in runs.items()})
     get, out = known.young.__getitem__, []
     for words in texts:
-        total = np.array(list(map(get, words))).sum(axis=0) if words else np.zeros(1)
+        total = np.fromiter(chain.from_iterable(map(get, words)), np.float64, (1 + len(langs)) * len(words)).reshape(-1, 1 + len(langs)).sum(axis=0) if words else np.zeros(1)
         if not langs or not total[0]:
             out.append((UNDETERMINED, 0.0))
             continue

@@ -30,9 +30,22 @@ class Vocabulary:
         self.starts = dict.fromkeys((p[:k] for p in self.id for k in range(1, len(p))), -1) | self.id  # -1: only begins a piece
         #: Bytes that a piece stands for; unknown characters are spelled with byte pieces.
         self.spelled = [bytes([int(p[1:-1], 16)]) if i in set(self.byte_id.values()) else p.replace(MARK, " ").encode() if u else b"" for i, (p, u) in enumerate(zip(self.pieces, usual, strict=True))]
+        self._trie()
         # no piece goes over a place between another character and a mark, so texts fall apart there
         assert not any(MARK in p[1:] and p.strip(MARK) for p in self.id), "a piece of this vocabulary goes over a space"
 
+    def _trie(self) -> None:
+        """Nodes are beginnings of pieces; an edge is its node times the alphabet's size plus a letter, and edges are sorted."""
+        letters = sorted(set("".join(self.id)))
+        self.alphabet = len(letters) + 1
+        self.letter = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, self.alphabet)
+        number = {p: i for i, p in enumerate(["", *self.starts])}
+        keys = np.array([number[p[:-1]] * self.alphabet + self.letter[ord(p[-1])] for p in self.starts])
+        order = keys.argsort()
+        self.edges, self.child = keys[order], np.arange(1, len(number))[order]
+        self.piece_at = np.array([-1, *self.starts.values()], np.int32)
+
     def arcs(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of all pieces in a word; a place without a piece of one character has the unknown one."""
         out, starts, n, k = [], self.starts, len(word), self.longest
@@ -50,29 +63,33 @@ class Vocabulary:
         return out
 
     def batch(self, words: list[str]) -> np.ndarray:
-        """ids[word, start, length - 1], -1 where there is no piece; words of at most the length of the longest here."""
+        """ids[word, start, length - 1], -1 where there is no piece; words of at most the length of the longest here.
+
+        All places of all words walk down the trie of pieces together, one character
+        at a time, until none is left in it.
+        """
         width, k = max(map(len, words)), self.longest
-        ids = np.full(len(words) * width * k, -1, np.int32)
-        at: list[int] = []
-        found: list[int] = []
-        starts, unknown = self.starts, self.unknown
-        for r, word in enumerate(words):
-            n, base = len(word), r * width * k
-            for i in range(n):
-                here, single = base + i * k - 1 - i, False
-                for j in range(i + 1, min(n, i + k) + 1):
-                    p = starts.get(word[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        at.append(here + j)
-                        found.append(p)
-                        single = single or j == i + 1
-                if not single:
-                    at.append(here + i + 1)
-                    found.append(unknown)
-        ids[at] = found
-        return ids.reshape(len(words), width, k)
+        n = len(words)
+        codes = np.array(words, f"U{width}").view(np.uint32).reshape(-1)
+        letters = self.letter[codes]
+        ids = np.full(n * width * k, -1, np.int32)
+        at, node, start = np.arange(n * width), np.zeros(n * width, np.int64), np.tile(np.arange(width), n)
+        for m in range(k):
+            inside = start + m < width
+            at, node, start = at[inside], node[inside], start[inside]
+            key = node * self.alphabet + letters[at + m]
+            found = np.searchsorted(self.edges, key)
+            there = self.edges[np.minimum(found, len(self.edges) - 1)] == key
+            at, start, node = at[there], start[there], self.child[found[there]]
+            if not len(at):
+                break
+            piece = self.piece_at[node]
+            ids[at * k + m] = piece
+        ids = ids.reshape(n, width, k)
+        size = np.fromiter(map(len, words), np.int64, n)
+        lone = (ids[:, :, 0] < 0) & (np.arange(width) < size[:, None])
+        ids[lone, 0] = self.unknown
+        return ids
 
 
 _loaded: dict[str, Vocabulary] = {}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quayside.llm.lattice import MARK, WIDEST, Remembered, Vocabulary, by_width, vocabulary
 
 N_BEST = 4
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Words end before a mark that follows something else; a line feed is in no piece and stands alone.
 WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 FAR = 1 << 60
@@ -105,9 +105,11 @@ def _batch(vocab: Vocabulary, words: list[str]) -> dict[str, tuple[bytes, int, i
         top = f[rows, size]
         chosen = np.where(on, ids, 0).sum(axis=2)
         starts = on.any(axis=2)
-        flat, ends = chosen[starts].astype("<u4"), np.cumsum(starts.sum(axis=1))
-        for i, w in enumerate(group):
-            out[w] = (_spelled(vocab, w, flat[ends[i - 1] if i else 0 : ends[i]]), int(top[i]), int(min(top[i] - second[i], FAR)))
+        flat, ends = chosen[starts].astype("<u4"), [0, *np.cumsum(starts.sum(axis=1)).tolist()]
+        plain, odd = flat.tobytes(), ((chosen == vocab.unknown) & starts).any(axis=1).tolist()
+        for i, (w, score, gap) in enumerate(zip(group, top.tolist(), np.minimum(top - second, FAR).tolist(), strict=True)):
+            a, z = ends[i], ends[i + 1]
+            out[w] = (_spelled(vocab, w, flat[a:z]) if odd[i] else plain[4 * a : 4 * z], score, gap)
     for w in words:
         if len(w) > WIDEST:
             paths = n_best(vocab, w, 2)
@@ -152,18 +154,21 @@ class Coder:
             self.others[word, n] = [(paths[0][0] - s, _spelled(self.vocab, word, np.array(p, "<u4"))) for s, p in paths]
         return self.others[word, n]
 
-    def best(self, words: list[str], n: int) -> tuple[bytes, list[tuple[int, list[tuple[int, bytes]]]]]:
-        """Ids of the best segmentation, and the n best as (score, [(number of the word, its ids where they aren't its best)]).
+    def best(self, words: list[str], n: int) -> tuple[list[bytes], list[tuple[int, list[tuple[int, bytes]]]]]:
+        """Ids of the best segmentation, word by word, and the n best as (score, [(number of the word, its ids where they aren't its best)]).
 
         Call prepare() first. Only the n - 1 words whose second best costs
         least can differ in the n best, earlier ones first where costs are equal.
         """
         young = self.known.young
         got = [young[w] for w in words]
-        ids, total = b"".join(g[0] for g in got), sum(g[1] for g in got)
-        if n == 1 or not words:
-            return ids, [(total, [])]
-        gaps = np.array([g[2] for g in got])
+        if not words:
+            return [], [(0, [])]
+        ids, scores, costs = zip(*got, strict=True)
+        total = sum(scores)
+        if n == 1:
+            return list(ids), [(total, [])]
+        gaps = np.array(costs, np.int64)
         limit = np.partition(gaps, min(n - 2, len(gaps) - 1))[min(n - 2, len(gaps) - 1)]
         near = np.flatnonzero(gaps < limit).tolist()
         near = sorted((near + np.flatnonzero(gaps == limit)[: n - 1 - len(near)].tolist()), key=lambda i: (gaps[i], i))
@@ -178,13 +183,18 @@ class Coder:
                 if r + 1 < len(choices[k]) and after not in seen:
                     seen.add(after)
                     heapq.heappush(heap, (loss - choices[k][r][0] + choices[k][r + 1][0], after))
-        return ids, out
+        return list(ids), out
 
-    def ids_of(self, words: list[str], changed: list[tuple[int, bytes]]) -> bytes:
-        parts = [self.known.young[w][0] for w in words]
+    @staticmethod
+    def ids_of(parts: list[bytes], changed: list[tuple[int, bytes]]) -> bytes:
+        """The ids of the best segmentation with some words' put in its place."""
+        kept = [(i, parts[i]) for i, _ in changed]
         for i, ids in changed:
             parts[i] = ids
-        return b"".join(parts)
+        out = b"".join(parts)
+        for i, ids in kept:
+            parts[i] = ids
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text again; bytes that aren't UTF-8 together become U+FFFD."""
@@ -239,9 +249,10 @@ def sentencepiece_n_best(docs: DataFrame, n: int = N_BEST, pieces: str | None =
                 own.prepare(cut)
                 for text, words in zip(part, cut, strict=True):
                     first, found = own.best(words, n)
-                    every = [own.ids_of(words, changed) if changed else first for _, changed in found]
+                    every = [own.ids_of(first, changed) for _, changed in found]
+                    best = every[0]
                     crcs = [zlib.crc32(e) for e in every]
-                    rows.append((len(first) // 4, crcs[0], [s for s, _ in found], crcs, own.decode(first) == text, every))
+                    rows.append((len(best) // 4, crcs[0], [s for s, _ in found], crcs, own.decode(best) == text, every))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.binary())]
             names = ["n_pieces", "ids_crc32", "scores", "best_crc32s", "round_trip", "ids"]

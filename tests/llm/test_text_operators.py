@@ -313,8 +313,8 @@ def test_sentencepiece_n_best(spark, docs, empty):
         coder.prepare([words])
         first, found = coder.best(words, 6)
         assert [s for s, _ in found] == totals[:6]
-        every = [coder.ids_of(words, changed) for _, changed in found]
-        assert every[0] == first and len(set(every)) == len(every) and all(coder.decode(e) == text.replace("▁", " ") for e in every)
+        every = [coder.ids_of(first, changed) for _, changed in found]
+        assert every[0] == b"".join(first) and len(set(every)) == len(every) and all(coder.decode(e) == text.replace("▁", " ") for e in every)
     direct = sentencepiece.n_best(vocab, "▁internationalisation" * 30, 5)
     assert [s for s, _ in direct] == sorted((s for s, _ in direct), reverse=True) and len({tuple(p) for _, p in direct}) == 5
     out = sentencepiece.sentencepiece_n_best(docs, ids=True)
