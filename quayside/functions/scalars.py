@@ -118,7 +118,7 @@ def file_part(name: Column, default: str = "generic") -> Column:
 
 def shown(x: Column, digits: int = 2) -> Column:
     """A number as text with fixed digits; null as an empty text. For text sinks only."""
-    return F.coalesce(F.format_string(f"%.{digits}f", x), F.lit(""))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise("")
 
 
 def event_date(text: Column) -> Column:

@@ -20,7 +20,7 @@ def qualified(score: Column, periods: Column, least: int = 2) -> Column:
 def rationale(status: Column, score: Column, alphas: Mapping[str, Column]) -> Column:
     """'Qualified: +1.20 (1y up, 3y down)': the signed score or N/A and each known period's direction; without any, N/A."""
     marks = F.filter(F.array(*(F.when(a > 0, f"{p} up").when(a.isNotNull(), f"{p} down") for p, a in alphas.items())), lambda m: m.isNotNull())
-    shown = F.coalesce(F.format_string("%+.2f", half_up(score, 2)), F.lit("N/A"))
+    shown = F.when(score.isNotNull(), F.format_string("%+.2f", half_up(score, 2))).otherwise("N/A")
     return F.concat(status, F.lit(": "), shown, F.lit(" ("), F.when(F.size(marks) > 0, F.array_join(marks, ", ")).otherwise("N/A"), F.lit(")"))
 
 
