@@ -147,4 +147,29 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(counted(whole), cuts).where("kept").select("whole.*")
 
 
-__all__ = ["counted", "cutoffs", "kept_documents", "quality_rules"]
+def sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """The same in DuckDB SQL."""
+    grid = ", ".join(f"({i}, {g}::DOUBLE)" for i, g in enumerate(GRID, 1))
+    shares = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {f.replace(' / ', ' / (1.0::DOUBLE * ')}) AS share FROM counts" for r, f in RULES.items())
+    band = " ".join(f"WHEN n_words < {b} THEN {i}" for i, b in enumerate(BANDS))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pos AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT doc_id, list_filter(string_split_regex(t, '[{BLANK_CLASS}]+'), lambda x: x <> '') AS w FROM d)),
+win AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p AS s FROM pos WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM win WHERE s IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, range(0, 3) r(k) GROUP BY 1),
+wrd AS (SELECT doc_id, count(*) AS n_words, sum(length(x))::BIGINT AS word_chars FROM pos GROUP BY 1),
+lin AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^{BLANK_CLASS}]') GROUP BY 1),
+counts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS n_capitals, coalesce(n_lines, 0) AS n_lines, CASE {band.replace('n_words', 'coalesce(n_words, 0)')} ELSE {len(BANDS)} END AS stratum
+           FROM d LEFT JOIN wrd USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN lin USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+shares AS ({shares}),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1 AND max(quality) = 1),
+grid(step, g) AS (VALUES {grid}),
+tested AS (SELECT stratum, rule, step, count(*) AS n, count(*) FILTER (WHERE share >= g) AS k FROM shares, grid WHERE doc_id IN (SELECT doc_id FROM good) AND doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed) GROUP BY 1, 2, 3),
+told AS (SELECT *, k <= n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) <= {delta} / {(len(BANDS) + 1) * len(RULES)} AS ok FROM tested),
+bad AS (SELECT stratum, rule, coalesce(min(step) FILTER (WHERE NOT ok), {len(GRID) + 1}) AS bad FROM told GROUP BY 1, 2),
+cuts AS (SELECT stratum, rule, g FROM bad JOIN grid ON step = bad - 1),
+out AS (SELECT DISTINCT doc_id FROM shares JOIN cuts USING (stratum, rule) WHERE share >= g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM base"""

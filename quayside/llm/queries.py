@@ -54,4 +54,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup, op10_quality_classifier)}
-SQL = {"op2_exact_top_k": mtree.SQL, "op3_license_scan": license_scan.sql(), "op9_line_dedup": line_dedup.SQL}
+SQL = {"op2_exact_top_k": mtree.SQL, "op3_license_scan": license_scan.sql(), "op6_quality_rules": quality_rules.sql(), "op9_line_dedup": line_dedup.SQL}
