@@ -18,7 +18,7 @@ RULES = {
 #: Strata: texts of fewer words than each of these, and the rest. A ratio of a short text is rougher than one of a long text.
 BANDS = (100, 300, 1000)
 #: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with this confidence.
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA = 0.005, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OWN = (*COUNTS, "n_capitals", "n_lines")
 
@@ -128,7 +128,7 @@ def judged(counts: DataFrame, cuts: DataFrame) -> DataFrame:
     return own.select("row.*", base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, OWN, base_failed and kept for each row of docs (doc_id, text); labels: doc_id, quality.
 
     Null and empty texts have no words and fail. With no labels no cutoff is
@@ -136,13 +136,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged each by its own text.
     """
     counts = cut(counted(docs.select("doc_id", "text")).drop("text"), "counts")
-    return judged(counts, cut(cutoffs(counts, labels), "cutoffs"))
+    return judged(counts, cut(cutoffs(counts, labels, alpha, delta), "cutoffs"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that quality_rules() keeps. Texts aren't shuffled: they are counted again beside the few cutoffs."""
     counts = cut(counted(docs.select("doc_id", "text")).drop("text"), "counts")
-    cuts = cut(cutoffs(counts, labels), "cutoffs")
+    cuts = cut(cutoffs(counts, labels, alpha, delta), "cutoffs")
     whole = docs.select(F.struct(*keep_others(docs)).alias("whole"), "doc_id", "text")
     return judged(counted(whole), cuts).where("kept").select("whole.*")
 

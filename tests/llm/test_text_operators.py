@@ -186,7 +186,7 @@ def test_quality_cutoffs_are_certified(spark):
     texts = good + bad
     docs = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(texts))], "doc_id long, quality int")
-    kept = {r["doc_id"] for r in quality_rules.quality_rules(docs, labels).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(docs, labels, alpha=0.02).where("kept").collect()}
     assert not kept & set(range(len(good), len(texts))) and len(kept) >= 0.98 * len(good)
     for n, k in ((100, 0), (400, 3), (5000, 60), (20, 5)):
         exact = sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) if k <= n * 0.02 else 1.0
