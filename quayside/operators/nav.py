@@ -52,10 +52,9 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
 def drawdown_summary(state: DataFrame, recent: int = 30) -> DataFrame:
     """One row: funds by depth of drawdown, the upper median, and how many are at or near their high."""
     d = F.col("drawdown_pct")
-    nth = F.floor(F.count(d) / 2) + 1
     return state.agg(
         F.count_if(d >= -1).alias("at_high"), F.count_if((d >= -10) & (d < -1)).alias("shallow"), F.count_if((d >= -20) & (d < -10)).alias("middling"), F.count_if(d < -20).alias("deep"),
-        F.count_if(F.col("days_from_ath") == 0).alias("today"), F.count_if(F.col("days_from_ath") <= recent).alias("recent"), nth.alias("nth"),
+        F.count_if(F.col("days_from_ath") == 0).alias("today"), F.count_if(F.col("days_from_ath") <= recent).alias("recent"), _upper_middle("drawdown_pct"),
     )
 
 
@@ -65,4 +64,8 @@ def upper_median(values: DataFrame, column: str, by: list[str] | None = None) ->
     percentile_disc takes the lower middle for even n; of the negated
     values it takes the upper one. No list is collected, and the digest is exact.
     """
-    return values.groupBy(*(by or [])).agg((-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")).alias("upper_median"))
+    return values.groupBy(*(by or [])).agg(_upper_middle(column))
+
+
+def _upper_middle(column: str) -> Column:
+    return (-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")).alias("upper_median")

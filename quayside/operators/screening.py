@@ -49,18 +49,18 @@ def master_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id
     return rows.withColumn("position", F.row_number().over(order))
 
 
-def ranked_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id", parts: int | None = None) -> DataFrame:
-    """master_order() for tables of any size: rows are range-partitioned by the sort key and numbered with each partition's start.
+def ranked_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id") -> DataFrame:
+    """master_order() for tables of any size.
 
-    A window without a partition puts all rows into one task; here only one count for
-    each partition is gathered.
+    A window without a partition puts all rows into one task. Here rows are numbered within
+    steps of a tenth of the score, and each step starts after the sum of those before it:
+    only a count for each step, bounded by the range of scores, is ordered in one task.
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, types)), F.col("fund_type")), F.lit(0)), F.lit(9)) if types else F.lit(0)
-    keyed = rows.withColumns({"_q": ~F.col("qualified"), "_t": rank, "_a": -F.coalesce(F.col("weighted_alpha"), F.lit(0.0)), "_b": -F.coalesce(F.col("alpha_3y"), F.lit(0.0))})
-    keys = ["_q", "_t", "_a", "_b", tie]
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = dealt.groupBy("_p").agg((F.max("_i") + 1).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = dealt.join(F.broadcast(sizes.select("_p", "_start")), "_p")  # a row for each partition
-    return out.select(*rows.columns, (F.col("_start") + F.col("_i") + 1).alias("position"))
+    fall = -F.coalesce(F.col("weighted_alpha"), F.lit(0.0))
+    keyed = rows.withColumns({"_q": (~F.col("qualified")).cast("int"), "_t": rank, "_a": fall, "_b": -F.coalesce(F.col("alpha_3y"), F.lit(0.0)), "_s": F.floor(fall * 10)})
+    steps = ["_q", "_t", "_s"]
+    before = F.sum("_n").over(W.orderBy(*steps).rowsBetween(W.unboundedPreceding, -1))
+    starts = keyed.groupBy(*steps).agg(F.count(F.lit(1)).alias("_n")).select(*steps, F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(W.partitionBy(*steps).orderBy("_a", "_b", tie))
+    return keyed.withColumn("_i", nth).join(starts, steps).select(*rows.columns, (F.col("_start") + F.col("_i")).alias("position"))

@@ -109,9 +109,7 @@ def ath_incremental(spark, sf_dir):
 SELECT count(*) FILTER (WHERE drawdown_pct >= -1) AS at_high, count(*) FILTER (WHERE drawdown_pct >= -10 AND drawdown_pct < -1) AS shallow, count(*) FILTER (WHERE drawdown_pct >= -20 AND drawdown_pct < -10) AS middling, count(*) FILTER (WHERE drawdown_pct < -20) AS deep,
 count(*) FILTER (WHERE days_from_ath <= 30) AS recent, list_sort(list(drawdown_pct))[len(list(drawdown_pct)) // 2 + 1] AS upper_median FROM ath""")
 def drawdown_summary(spark, sf_dir):
-    state = ath_full(spark, sf_dir)
-    middle = nav.upper_median(state, "drawdown_pct")
-    return nav.drawdown_summary(state).select("at_high", "shallow", "middling", "deep", "recent").join(F.broadcast(middle), F.lit(True))  # one row each
+    return nav.drawdown_summary(ath_full(spark, sf_dir)).select("at_high", "shallow", "middling", "deep", "recent", "upper_median")
 
 
 @query("SELECT client_id, profile, target_pct, mid, ceiling, w_alpha, w_returnfit, w_efficiency, w_momentum, CASE WHEN target_pct > high THEN printf('target %.1f is over %.1f', target_pct, high) END AS warning FROM weighted_v")
