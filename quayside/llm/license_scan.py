@@ -62,7 +62,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     shortest = 2 * min((lo for lo, _ in limits.values()), default=0) + 1
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     units = docs.select("doc_id", F.posexplode(F.concat(F.array(text), F.split(text, "\n", -1))).alias("line", "unit")).where(F.length("unit") >= shortest)
-    # repeated bigrams may hide in a long unit, so only spaces beyond any template's reach tell nothing; a cheap bound on distinct pairs follows the cut
+    # a long unit may repeat few bigrams, so length alone rules nothing out; but k distinct words need k - 1 distinct bigrams
     words = step(units, ["doc_id", "line"], w=_normal_words(F.col("unit")))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
     few = step(words, ["doc_id", "line"], pairs=F.when(F.size("w") >= 2, F.when(F.size(F.array_distinct("w")) <= most + 1, pairs)))
