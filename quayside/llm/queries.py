@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import language_id, license_scan, line_dedup, mtree, packing, pii, quality_classifier, quality_rules, sentencepiece, simhash
-from quayside.llm.common import table
+from quayside.llm.common import ship, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return sentencepiece.sentencepiece_n_best(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return mtree.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
@@ -22,10 +24,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return language_id.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -39,6 +43,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -49,6 +54,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
