@@ -8,12 +8,14 @@ SCORE_WEIGHTS = {"3y": 40.0, "5y": 30.0, "1y": 20.0, "ytd": 10.0}
 VOLATILITY_BANDS = [(4.245, "Very Low"), (7.795, "Low"), (10.235, "Moderate"), (13.595, "High"), (None, "Very High")]
 DRAWDOWN_POINTS = [(-5.0, 80.0), (-10.0, 70.0), (-15.0, 60.0), (-25.0, 40.0), (-40.0, 20.0), (None, 10.0)]
 FIT_ANCHORS = [(0.0, 0.0), (0.25, 5.0), (0.5, 20.0), (0.75, 50.0), (1.0, 80.0), (1.5, 100.0)]
-# profile: (mildest target, highest target, risk ceiling, cap of one holding, weights of alpha, fit, efficiency, momentum)
+# profile: (middle target, highest realistic target, risk ceiling, cap of one holding, weights of alpha, fit, efficiency, momentum)
 PROFILES = {
-    "Conservative": (3.0, 5.0, 2, 50.0, (20.0, 20.0, 35.0, 25.0)),
-    "Moderate": (5.0, 7.0, 3, 50.0, (30.0, 25.0, 25.0, 20.0)),
-    "Moderately Aggressive": (7.0, 9.0, 4, 60.0, (35.0, 30.0, 20.0, 15.0)),
-    "Aggressive": (9.0, 12.0, 5, 70.0, (40.0, 30.0, 15.0, 15.0)),
+    "Conservative": (3.5, 4.0, 2, 50.0, (28.0, 40.0, 25.0, 7.0)),
+    "Moderate": (5.0, 6.0, 3, 50.0, (28.0, 40.0, 20.0, 12.0)),
+    "Moderately Aggressive": (7.0, 8.0, 4, 60.0, (26.0, 40.0, 17.0, 17.0)),
+    "Aggressive": (9.0, 10.0, 5, 70.0, (30.0, 40.0, 13.0, 17.0)),
 }
+HOLDINGS, SUM_TOLERANCE, RENDER_TOLERANCE, EXPOSURE_TOLERANCE, RECOMPUTE_TOLERANCE, ALPHA_TOLERANCE = 4, 0.5, 0.05, 2.0, 1.0, 0.1
+OVERLAP, OUTLIER_ALPHA, OUTLIER_CANDIDATES, GAP_SHARE, SMALL_PLACE, TIE_BAND = 3, 80.0, 5, 15.0, 2.0, 2.0
 MEASURES = ("alpha", "returnfit", "efficiency", "momentum")
 ROUND_TO = {"alpha": 2, "weighted": 4, "share": 1, "score": 2}

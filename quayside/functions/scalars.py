@@ -51,17 +51,116 @@ def first_rule(text: Column, rules: Iterable[tuple[Sequence[str], object]], defa
     return out
 
 
-# Keywords, in the order in which they are tried.
-FUND_TYPES = ((("FUND OF FUND",), "Fund of Funds"), (("MONEY MARKET",), "Money Market"), (("BOND", "SUKUK", "FIXED INCOME"), "Fixed Income"), (("MIXED", "BALANCED"), "Mixed Assets"), (("EQUITY",), "Equity"), (("WHOLESALE",), "Money Market"))
-DISTRIBUTION = ((("NO DISTRIBUTION", "NIL", "NONE"), "None"), (("SEMI",), "Semi-annual"), (("MONTH",), "Monthly"), (("ANNUAL", "YEAR"), "Annual"), (("INCIDENTAL",), "Incidental"))
+# Labels and keywords, in the order in which they are tried.
+FUND_TYPES = (
+    (("fund-of-funds", "fund of funds"), "Fund of Funds"),
+    (("money market",), "Money Market"),
+    (("bond", "sukuk", "fixed income"), "Fixed Income"),
+    (("mixed asset", "balanced"), "Mixed Asset / Balanced"),
+    (("equity",), "Equity"),
+)
+DISTRIBUTION = ((("no distribution",), "None"), (("semi-annual", "semi annual"), "Semi-Annual"), (("monthly",), "Monthly"), (("annual",), "Annual"), (("incidental",), "Incidental"))
+PLACES = (
+    (("malaysia", "domestic", "klci", "ittikal"), "Malaysia"),
+    (("china",), "Greater China"),
+    (("asean", "southeast asia", "south-east asia"), "ASEAN"),
+    (("asia pacific", "far-east", "far east"), "Asia Pacific"),
+    (("asia",), "Asia"),
+    (("us ", "u.s.", "america", "nasdaq"), "United States"),
+    (("global", "worldwide"), "Global"),
+    (("indonesia",), "Indonesia"),
+    (("india",), "India"),
+    (("japan",), "Japan"),
+    (("australia",), "Australia"),
+    (("vietnam",), "Vietnam"),
+    (("singapore",), "Singapore"),
+)
+HOME = "Malaysia"
+HOME_MARKS = ("malaysia", "myr", "domestic")
+FOREIGN_MARKS = ("asia", "china", "global", "asean", "pacific", "india", "indonesia", "japan", "australia", "vietnam", "singapore", "europe", "emerging", "far east", "united states")
+MARKETING = ("EPF Qualified Fund", "EPFQualifiedFund", "Fund Award Won")
 TRUE_WORDS = ("yes", "y", "true", "shariah", "shariah-compliant")
 
 
+def fund_type(category: Column) -> Column:
+    """Type of a stated category; a wholesale fund counts by whether it holds money. Unknown is empty."""
+    low = F.lower(F.coalesce(category, F.lit("")))
+    return F.coalesce(first_rule(category, FUND_TYPES), F.when(low.contains("wholesale") & low.contains("money"), "Money Market"), F.lit(""))
+
+
+def fund_type_or(stated: Column, asset: Column) -> Column:
+    """The stated type, else that of the asset class, else Equity."""
+    return F.coalesce(F.nullif(stated, F.lit("")), F.nullif(fund_type(asset), F.lit("")), F.lit("Equity"))
+
+
+def distribution(policy: Column) -> Column:
+    return F.coalesce(first_rule(policy, DISTRIBUTION), F.lit("None"))
+
+
+def place_of(name: Column) -> Column:
+    return first_rule(name, PLACES, HOME)
+
+
+def asset_class(name: Column, label: Column) -> Column:
+    """Asset class of a fund's name and its peer group's label: cash first, then bonds of Islamic law, mixed kinds, other bonds, equity by place."""
+    n, c = F.upper(F.coalesce(name, F.lit(""))), F.upper(F.coalesce(label, F.lit("")))
+    some = lambda text, words: text.rlike("|".join(words))
+    bonds, equity = "Bond / Fixed Income", some(n, ["EQUITY"]) | some(c, ["EQUITY"])
+    return (
+        F.when(some(n, ["MONEY MARKET", "CASH DEPOSIT", "CASH MANAGEMENT"]), "Money Market")
+        .when(some(n, ["SUKUK"]) | some(c, ["SUKUK"]), "Bond / Sukuk")
+        .when(some(n, ["BALANCED"]), "Balanced")
+        .when(some(c, ["MIXED ASSET"]) | some(n, ["MIXED", "ALLOCATION", "FLEXI"]), "Mixed Asset")
+        .when(some(n, ["BOND", "FIXED INCOME"]) | (some(n, ["INCOME"]) & (some(c, ["BOND"]) | ~some(c, ["EQUITY"]))), bonds)
+        .when(equity & (some(c, ["MALAYSIA"]) | some(n, ["MALAYSIA", "DOMESTIC"])), "Equity - Malaysia")
+        .when(equity, "Equity - Foreign")
+        .when(some(c, ["BOND", "FIXED"]), bonds)
+        .otherwise("Other")
+    )
+
+
+def series_flag(file: Column, name: Column, code: Column, stated: Column | None = None, prefixes: Sequence[str] = ("PI", "PeI", "PeS")) -> Column:
+    """Whether a fund is of the screened series: as stated, else by its file, name or code's prefix."""
+    found = F.lower(file).contains("shariah") | F.contains(name, F.lit("Islamic"))
+    for p in prefixes:
+        found = found | F.startswith(code, F.lit(p))
+    return F.coalesce(found, F.lit(False)) if stated is None else F.coalesce(stated, found, F.lit(False))
+
+
+def structural_role(code: Column, roles: dict[str, str] | None = None) -> Column:
+    """The role that a code has by itself, else core; roles is the caller's table of codes."""
+    out = F.lit("core")
+    for c, role in (roles or {}).items():
+        out = F.when(code == c, role).otherwise(out)
+    return out
+
+
+def holding_label(role: Column, derived: Column, kind: Column) -> Column:
+    """What a holding counts as: by its sleeve, else by its derived class, else by its type."""
+    by_role = F.when(role == "structural:gold", "gold").when(role == "structural:money_market", "MM")
+    by_class = F.when(derived == "Equity-equivalent", "equity").when(derived == "Defensive", "bond").when(derived == "Balanced", "balanced")
+    by_kind = F.when(F.lower(F.coalesce(kind, F.lit(""))).rlike(r"bond|fixed\s*income|sukuk"), "bond").otherwise("equity")
+    return F.coalesce(by_role, by_class, by_kind)
+
+
+def output_name(client: Column, risk: Column, day: Column, version: Column) -> Column:
+    """FundProposal_<name or generic>_<Risk>_<date>_v<version>; the day is given, so a name can be made again."""
+    return F.concat(F.lit("FundProposal_"), file_part(client), F.lit("_"), F.replace(risk, F.lit(" "), F.lit("")), F.lit("_"), F.date_format(day, "yyyy-MM-dd"), F.lit("_v"), version)
+
+
 def objective_class(text: Column) -> Column:
-    """Growth, Income or both from an objective's words; liquidity speaks for income, commodities for growth."""
+    """Growth, income or both from an objective's words; liquidity speaks for income, commodities for growth; else empty."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    growth, income = low.rlike("growth|appreciation"), low.rlike("income|dividend")
-    return F.when(growth & income, "Growth & Income").when(growth, "Growth").when(income | low.contains("liquidity"), "Income").when(low.rlike("commodit|gold"), "Growth")
+    growth, income = low.rlike("capital growth|growth of capital|capital appreciation"), low.rlike("income|dividend|yield")
+    both = low.rlike("growth and income|income and|combination of|growth & income")
+    return (
+        F.when(both | (growth & income), "Capital Growth + Income")
+        .when(income, "Income")
+        .when(growth, "Capital Growth")
+        .when(low.rlike("liquidity|capital stability|preserve"), "Income")
+        .when(low.rlike("gold|commodity|price of|exposure to"), "Capital Growth")
+        .otherwise("")
+    )
 
 
 def truthy(x: Column, words: Sequence[str] = TRUE_WORDS) -> Column:

@@ -25,7 +25,7 @@ def profile_value(profile: Column, part: int | tuple[int, int], profiles: Mappin
 
 def with_defaults(clients: DataFrame, profiles: Mapping[str, tuple] = PROFILES) -> DataFrame:
     """Adds mid (the profile's middle target), target (the client's, else mid), ceiling, cap, and warning where the target is over the profile's highest."""
-    mid = (profile_value(F.col("profile"), 0, profiles) + profile_value(F.col("profile"), 1, profiles)) / 2
+    mid = profile_value(F.col("profile"), 0, profiles)
     target = F.coalesce(F.col("target_pct").cast("double"), mid)
     high = profile_value(F.col("profile"), 1, profiles)
     warning = F.when(target > high, F.concat(F.lit("target "), F.format_string("%.1f", target), F.lit(" is over "), F.format_string("%.1f", high)))

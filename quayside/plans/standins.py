@@ -126,10 +126,9 @@ measured_v AS (SELECT fund_id, f.class, risk_level, screened, blend_alpha * CASE
 nav_v AS (SELECT user_id AS fund_id, ts::DATE AS nav_date, arg_max(value, (ts, event_id)) AS nav FROM events GROUP BY 1, 2),
 client_v AS (SELECT c_custkey AS client_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Conservative' WHEN 'BUILDING' THEN 'Aggressive' WHEN 'FURNITURE' THEN 'Moderately Aggressive' ELSE 'Moderate' END AS profile,
              (3 + c_custkey % 8)::DOUBLE AS target_pct, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS preference FROM customer),
-profile_v(profile, low, high, ceiling, cap, b_alpha, b_returnfit, b_efficiency, b_momentum) AS (VALUES ('Conservative', 3.0::DOUBLE, 5.0::DOUBLE, 2, 50.0::DOUBLE, 20.0::DOUBLE, 20.0::DOUBLE, 35.0::DOUBLE, 25.0::DOUBLE), ('Moderate', 5, 7, 3, 50, 30, 25, 25, 20),
-          ('Moderately Aggressive', 7, 9, 4, 60, 35, 30, 20, 15), ('Aggressive', 9, 12, 5, 70, 40, 30, 15, 15)),
-move_v AS (SELECT c.*, low, high, ceiling, cap, (low + high) / 2 AS mid, CASE WHEN target_pct > (low + high) / 2 THEN least(10.0, 10 * ((target_pct - (low + high) / 2) / ((low + high) / 2))) ELSE -least(5.0, -5 * ((target_pct - (low + high) / 2) / ((low + high) / 2))) END AS move,
-           b_alpha, b_returnfit, b_efficiency, b_momentum FROM client_v c JOIN profile_v USING (profile)),
+profile_v(profile, mid, high, ceiling, cap, b_alpha, b_returnfit, b_efficiency, b_momentum) AS (VALUES ('Conservative', 3.5::DOUBLE, 4.0::DOUBLE, 2, 50.0::DOUBLE, 28.0::DOUBLE, 40.0::DOUBLE, 25.0::DOUBLE, 7.0::DOUBLE), ('Moderate', 5, 6, 3, 50, 28, 40, 20, 12),
+          ('Moderately Aggressive', 7, 8, 4, 60, 26, 40, 17, 17), ('Aggressive', 9, 10, 5, 70, 30, 40, 13, 17)),
+move_v AS (SELECT c.*, mid, high, ceiling, cap, CASE WHEN target_pct > mid THEN least(10.0, 10 * ((target_pct - mid) / mid)) ELSE -least(5.0, -5 * ((target_pct - mid) / mid)) END AS move, b_alpha, b_returnfit, b_efficiency, b_momentum FROM client_v c JOIN profile_v USING (profile)),
 raw_v AS (SELECT *, least(greatest(b_alpha - move, 5), 50) AS r_a, least(greatest(b_returnfit + move, 5), 50) AS r_r, least(greatest(b_efficiency, 5), 50) AS r_e, least(greatest(b_momentum, 5), 50) AS r_m FROM move_v),
 weighted_v AS (SELECT *, round(r_a / (r_a + r_r + r_e + r_m) * 100, 2) AS w_alpha, round(r_r / (r_a + r_r + r_e + r_m) * 100, 2) AS w_returnfit, round(r_e / (r_a + r_r + r_e + r_m) * 100, 2) AS w_efficiency, round(r_m / (r_a + r_r + r_e + r_m) * 100, 2) AS w_momentum FROM raw_v),
 kind_v AS (SELECT DISTINCT profile, target_pct, preference, ceiling, w_alpha, w_returnfit, w_efficiency, w_momentum FROM weighted_v),

@@ -29,9 +29,14 @@ def test_scalars(spark):
     assert one(spark, *(S.piecewise(lit(x)) for x in (1.5, 1.0, 0.75, 0.0, -1.0, 2.0, 0.5, 1.25))) == (100.0, 80.0, 50.0, 0.0, 0.0, 100.0, 20.0, 90.0)
     assert one(spark, S.momentum(lit(0.0), lit(10)), S.momentum(lit(-3.0), lit(500)), S.momentum(lit(None).cast("double"), lit(None).cast("int"))) == (95.0, 70.0, 10.0)
     assert one(spark, S.derived_class(lit(60.0), lit(40.0), lit(0.0), lit(0.0)), S.derived_class(lit(None).cast("double"), lit(30.0), lit(20.0), lit(10.0)), S.derived_class(lit(50.0), lit(50.0), lit(0.0), lit(0.0))) == ("Equity-equivalent", "Defensive", "Balanced")
-    assert one(spark, *(S.first_rule(lit(x), S.FUND_TYPES, "Other") for x in ("Fund of Funds (Equity)", "Sukuk", "Balanced Equity", "Wholesale", ""))) == ("Fund of Funds", "Fixed Income", "Mixed Assets", "Money Market", "Other")
-    assert one(spark, *(S.first_rule(lit(x), S.DISTRIBUTION) for x in ("No distribution", "Semi-annual", "Annual", "Incidental", "?"))) == ("None", "Semi-annual", "Annual", "Incidental", None)
-    assert one(spark, S.objective_class(lit("capital growth and income")), S.objective_class(lit("liquidity")), S.objective_class(lit("gold")), S.objective_class(lit(None))) == ("Growth & Income", "Income", "Growth", None)
+    assert one(spark, *(S.fund_type(lit(x)) for x in ("Fund of Funds (Equity)", "Sukuk", "Balanced Equity", "Wholesale (money)", "Wholesale", ""))) == ("Fund of Funds", "Fixed Income", "Mixed Asset / Balanced", "Money Market", "", "")
+    assert one(spark, *(S.distribution(lit(x)) for x in ("No distribution", "Semi-annual", "Annual", "Incidental", "?"))) == ("None", "Semi-Annual", "Annual", "Incidental", "None")
+    assert one(spark, *(S.objective_class(lit(x)) for x in ("capital growth with dividends", "liquidity", "gold", "steady income", None))) == ("Capital Growth + Income", "Income", "Capital Growth", "Income", "")
+    assert one(spark, *(S.asset_class(lit(n), lit(c)) for n, c in (("A Cash Deposit", ""), ("A", "Sukuk"), ("A Balanced", None), ("A Flexi", ""), ("A Income", "Equity Malaysia"), ("A Income", "Bond"), ("A Equity", "Global"), ("A", "Fixed"), ("A", "")))) == ("Money Market", "Bond / Sukuk", "Balanced", "Mixed Asset", "Equity - Malaysia", "Bond / Fixed Income", "Equity - Foreign", "Bond / Fixed Income", "Other")
+    assert one(spark, *(S.place_of(lit(x)) for x in ("Asia Pacific X", "Far East", "ASEAN Fund", "US Fund", "plain"))) == ("Asia Pacific", "Asia Pacific", "ASEAN", "United States", "Malaysia")
+    assert one(spark, S.series_flag(lit("x shariah.pdf"), lit("A"), lit("B")), S.series_flag(lit("x"), lit("A"), lit("PIX")), S.series_flag(lit("x"), lit("A"), lit("PIX"), lit(False)), S.fund_type_or(lit(""), lit("Bond / Sukuk")), S.fund_type_or(lit(None), lit(None))) == (True, True, False, "Fixed Income", "Equity")
+    assert one(spark, S.structural_role(lit("G"), {"G": "structural:gold"}), S.holding_label(lit("structural:gold"), lit("Balanced"), lit("")), S.holding_label(lit("core"), lit(None), lit("Fixed  Income")), S.holding_label(lit("core"), lit("Defensive"), lit("Equity"))) == ("structural:gold", "gold", "bond", "bond")
+    assert one(spark, S.output_name(lit("Zoë B."), lit("Moderately Aggressive"), lit(dt.date(2024, 1, 5)), lit("1.2"))) == ("FundProposal_ZoëB_ModeratelyAggressive_2024-01-05_v1.2",)
     assert one(spark, S.truthy(lit(" Yes ")), S.truthy(lit(None)), S.truthy(lit("no"))) == (True, False, False)
     assert one(spark, S.key_form(lit("a b C")), S.clean_name(lit(" X  Fund\x07 (new) "), ["(new)"]), S.person_name(lit("a" * 200)), S.file_part(lit("Éa_b. 9")), S.file_part(lit("__")), S.shown(lit(None).cast("double"))) == ("ABC", "X Fund", "a" * 100, "Éab9", "generic", "")
     assert one(spark, S.event_date(lit("2024-01-05")), S.event_date(lit("Q2 2026")), S.event_date(lit("2024-13-05"))) == ("05 Jan 2024", "Q2 2026", "2024-13-05")
@@ -70,8 +75,8 @@ def clients(spark, *rows):
 
 def test_profiles_and_universes(spark):
     got = {r["client_id"]: r for r in scoring.profile_weights(clients(spark, (1, "Moderate", 6.0, None), (2, "Moderate", None, True), (3, "Moderate", 9.0, False), (4, "Moderate", 5.0, None))).collect()}
-    assert got[1]["target"] == got[2]["target"] == 6.0 and got[3]["warning"] == "target 9.0 is over 7.0" and got[1]["warning"] is None
-    assert (got[1]["w_alpha"], got[1]["w_returnfit"]) == (30.0, 25.0) and got[3]["w_returnfit"] > 25 and got[4]["w_returnfit"] < 25
+    assert got[2]["target"] == got[4]["target"] == 5.0 and got[3]["warning"] == "target 9.0 is over 6.0" and got[1]["warning"] is None
+    assert (got[4]["w_alpha"], got[4]["w_returnfit"]) == (28.0, 40.0) and (got[1]["w_alpha"], got[1]["w_returnfit"]) == (26.0, 42.0) and got[3]["w_returnfit"] > 42
     for r in got.values():
         assert sum(r[f"w_{m}"] for m in scoring.MEASURES) == pytest.approx(100, abs=0.02)
     funds = spark.createDataFrame([("A", True, 2), ("B", False, 4), ("C", True, 3), ("D", True, None)], "fund_id string, screened boolean, risk_level int")
@@ -86,7 +91,7 @@ def test_percentiles_and_scores(spark):
     out = scoring.ranked(scoring.scores(clients(spark, (1, "Moderate", 6.0, None), (2, "Conservative", 4.0, True)), funds))
     got = {(r["client_id"], r["fund_id"]): r for r in out.collect()}
     assert got[1, 1]["returnfit_n"] == 80.0 and got[1, 3]["returnfit_n"] == 0.0 and (1, 1) in got and (2, 3) not in got
-    assert got[1, 1]["position"] == 1 and got[1, 3]["position"] == 2 and got[1, 1]["composite"] == pytest.approx(30 + 20 + 0 + 10, abs=0.01)
+    assert got[1, 1]["position"] == 1 and got[1, 2]["position"] == 2 and got[1, 1]["composite"] == pytest.approx(26 + 0.42 * 80 + 6, abs=0.01)
     near = spark.createDataFrame([(1, 1, 70.0, 10.0, 1.0), (1, 2, 69.0, 20.0, 1.0), (1, 3, 50.0, 99.0, 1.0)], "client_id long, fund_id long, composite double, alpha_n double, efficiency_n double")
     assert {r["fund_id"]: r["position"] for r in scoring.ranked_banded(near).collect()} == {2: 1, 1: 2, 3: 3}
     assert {r["fund_id"]: r["position"] for r in scoring.ranked(near).collect()} == {1: 1, 2: 2, 3: 3}
