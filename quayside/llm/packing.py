@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from quayside.llm.common import cut
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs at a time, and words that a worker remembers (twice, in two generations).
-GROUP, REMEMBERED = 20_000, 150_000
+GROUP, REMEMBERED = 20_000, 300_000
 #: Letters whose lower case and composed form are one letter, then ASCII signs: cut by the tokenizer into just these two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,37 +45,33 @@ class Encoder:
         self.alphabet = {b: b if b in shown else next(rest) for b in range(256)}
 
     def _run(self, run: str) -> bytes:
+        run = run.lower()
         got = self.runs.get(run)
         if got is None:
             if len(self.runs) >= REMEMBERED:
                 self.runs.clear()
-            spelled = run.lower().encode().decode("latin-1").translate(self.alphabet)
-            got = self.runs[run] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+            got = self.runs[run] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return got
 
     def _word(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
+            if word.isascii() and word.isalpha():
+                return self._run(word)
             if m := _PLAIN.fullmatch(word):
                 got = b"".join(self._run(run) for run in m.groups() if run)
             else:
                 got = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[word] = got
         return got
 
     def __call__(self, text: str) -> bytes:
-        young, word = self.young, self._word
-        get = young.get
-        out = []
-        for w in text.replace("\n", " ").split(" "):
-            got = get(w)
-            if got is None:
-                got = word(w)
-                get = self.young.get
-            out.append(got)
-        return b"".join(out)
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, words = self.young, text.replace("\n", " ").split(" ")
+        for word in set(words).difference(young):
+            young[word] = self._word(word)
+        return b"".join(map(young.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}
