@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ RULES = {
 BANDS = (100, 300, 1000)
 #: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with this confidence.
 ALPHA, DELTA = 0.005, 0.05
+#: Number of the stratum that holds all texts, where strata share evidence.
+POOL = -1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OWN = (*COUNTS, "n_capitals", "n_lines")
 
@@ -70,7 +74,16 @@ def stratum() -> Column:
     return out
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def least_labels(alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> int:
+    """Good labelled texts of a stratum below which no cutoff can be certified, even if none of them is rejected."""
+    return math.ceil(math.log(delta / _tests(pooled)) / math.log1p(-alpha))
+
+
+def _tests(pooled: bool) -> int:
+    return (len(BANDS) + 1 + pooled) * len(RULES)
+
+
+def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """A row for each stratum with any certified cutoff: stratum, and for each rule the strictest one that is certified (null: none).
 
     counts: doc_id and OWN; labels: doc_id and quality. The good texts (quality 1) that
@@ -81,13 +94,20 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     fails ends the sequence. Testing in a fixed order needs no further correction, and the
     division by strata and rules (Bonferroni) makes all chosen cutoffs hold together. Documents
     whose label is null or disagrees among repeated rows are not in the holdout.
+
+    pooled: all strata together are tested as one more stratum, within the same
+    correction, and a stratum with fewer than least_labels() good texts has the pooled
+    cutoffs. The bound on these is on all good texts together, not on those of that
+    stratum. Whether a stratum has its own depends on its number of labels, fixed before any test.
     """
-    tests = (len(BANDS) + 1) * len(RULES)
+    tests = _tests(pooled)
     good = labels.groupBy(F.col("doc_id").alias("good_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 AND hi = 1").select("good_id")
     holdout = counts.where(~base_failed()).join(good, counts.doc_id == F.col("good_id"), "left_semi")
     # how many cutoffs reject it: those of at most its share; so a count by this number tells all cutoffs' rejections
     passed = lambda share: F.size(F.filter(F.array(*(F.lit(g) for g in GRID)), lambda g: share >= g))
     long = holdout.select(stratum().alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(F.expr(f)).alias("hit")) for r, f in RULES.items()))).alias("x"))
+    if pooled:
+        long = long.select(F.explode(F.array("stratum", F.lit(POOL))).alias("stratum"), "x")
     tally = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.hit").alias("hit")).count()
     by_rule = tally.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("hit", "count")).alias("hits"))
     step = F.explode(F.sequence(F.lit(1), F.lit(len(GRID)))).alias("step")  # cutoff number step is the step-th mildest and rejects what has hit >= len - step + 1
@@ -96,9 +116,19 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     tested = tested.select("stratum", "rule", "n", "step", rejected.alias("k"))
     tested = tested.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), alpha) <= delta / tests)
     first_bad = F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(len(GRID) + 1))
-    chosen = tested.groupBy("stratum", "rule").agg(first_bad.alias("bad")).where("bad > 1")
-    chosen = chosen.select("stratum", "rule", F.element_at(F.array(*(F.lit(g) for g in GRID)), (F.col("bad") - 1).cast("int")).alias("cutoff"))
-    return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    chosen = tested.groupBy("stratum", "rule").agg(first_bad.alias("bad"), F.max("n").alias("n"))
+    chosen = chosen.select("stratum", "rule", "n", F.get(F.array(*(F.lit(g) for g in GRID)), (F.col("bad") - 2).cast("int")).alias("cutoff"))
+    if not pooled:
+        chosen = chosen.where("cutoff IS NOT NULL")
+    cuts = chosen.groupBy("stratum").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    if not pooled:
+        return cuts.drop("n")
+    # at most a row for each stratum and the pool
+    each = cuts.agg(F.collect_list(F.struct(*cuts.columns)).alias("all")).select("all", F.explode(F.sequence(F.lit(0), F.lit(len(BANDS)))).alias("stratum"))
+    one = lambda k: F.get(F.filter("all", lambda c: c["stratum"] == k), 0)
+    each = each.select("stratum", one(F.col("stratum")).alias("own"), one(F.lit(POOL)).alias("pool"))
+    enough = F.coalesce(F.col("own.n") >= least_labels(alpha, delta, pooled), F.lit(False))
+    return each.select("stratum", *(F.when(enough, F.col(f"own.cut_{r}")).otherwise(F.col(f"pool.cut_{r}")).alias(f"cut_{r}") for r in RULES))
 
 
 def binomial_at_most(k: Column, n: Column, p: float) -> Column:
@@ -140,9 +170,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that quality_rules() keeps. Texts aren't shuffled: they are counted again beside the few cutoffs."""
+    """The rows of docs that the rules keep; unlike in quality_rules(), which SQL holds to cutoffs of each stratum alone, thin strata share evidence. Texts aren't shuffled: they are counted again beside the few cutoffs."""
     counts = cut(counted(docs.select("doc_id", "text")).drop("text"), "counts")
-    cuts = cut(cutoffs(counts, labels, alpha, delta), "cutoffs")
+    cuts = cut(cutoffs(counts, labels, alpha, delta, pooled=True), "cutoffs")
     whole = docs.select(F.struct(*keep_others(docs)).alias("whole"), "doc_id", "text")
     return judged(counted(whole), cuts).where("kept").select("whole.*")
 

@@ -194,6 +194,19 @@ def test_quality_cutoffs_are_certified(spark):
         assert got == pytest.approx(exact, rel=1e-9)
 
 
+def test_quality_strata_share_evidence(spark):
+    """At the production rate: no stratum has labels enough for a verdict of its own, all together have."""
+    good, bad = prose(1400, 1), [" ".join(w + "##$" for w in t.split()) for t in prose(100, 2)]
+    texts = good + bad
+    sizes = Counter(len(t.split()) < 100 for t in good)
+    assert max(sizes.values()) < quality_rules.least_labels() == 1151 and len(good) >= quality_rules.least_labels(pooled=True) == 1196
+    docs = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(texts))], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality_rules.kept_documents(docs, labels).select("doc_id").collect()}
+    assert not kept & set(range(len(good), len(texts))) and len(kept) >= (1 - quality_rules.ALPHA) * len(good)
+    assert {r["doc_id"] for r in quality_rules.kept_documents(docs, labels.limit(0)).select("doc_id").collect()} == set(range(len(texts)))
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
