@@ -18,7 +18,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a format to be looked for.
-NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "number": "[0-9][^0-9]?[0-9]", "secret": "[0-9A-Fa-f]{16}", "mention": "[A-Za-z0-9]\\s?[(\\[]\\s?[Aa][Tt]\\s?[)\\]]"}
+NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "number": "[0-9][^0-9]?[0-9]", "secret": "[0-9A-Za-z_/+-]{16}", "mention": "[A-Za-z0-9]\\s?[(\\[]\\s?[Aa][Tt]\\s?[)\\]]"}
 #: Generators of further candidates: they overlap each other and the formats, and most of what they find is no personal data.
 MORE = {
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[0-9().\x20/-]*[0-9])?",
@@ -148,7 +148,7 @@ def tally(found: DataFrame) -> DataFrame:
 
     def told(c: Column) -> Column:
         covers = F.exists("sure", lambda b: (b["s"] >= c["s"]) & (b["e"] <= c["e"]))
-        secret = (c["kind"] == "secret") & (c["f"]["context"] == 1) & (c["f"]["assigned"] == 1) & (c["f"]["digits"] >= 2)
+        secret = (c["kind"] == "secret") & (c["f"]["context"] == 1) & (c["f"]["assigned"] == 1)
         phone_like = (c["kind"] == "number") & c["f"]["digits"].between(3, 5) & (c["f"]["marks"] >= 2)
         label = F.when(covers | secret, 1).when(~phone_like, 0)
         return F.struct(c["f"].alias("f"), F.coalesce(c["base"], label).alias("label"))

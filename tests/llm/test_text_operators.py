@@ -260,6 +260,18 @@ def test_pii_trees(spark):
     assert trees == [] and threshold == float("inf")
 
 
+def test_pii_secrets_need_no_hex(spark):
+    """Keys of letters or in base64, no hexadecimal run in any text; long words in prose stay."""
+    rng = random.Random(9)
+    key = lambda letters: "".join(rng.choices(letters, k=28))
+    plain, base64 = "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ23456789+/"
+    rows = [(i, f"set api_key = {key(plain if i % 2 else base64)} in the file, an internationalisation {key(plain).lower()} of things") for i in range(400)]
+    df = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    at = {i: (t.index("= ") + 2, t.index("= ") + 30) for i, t in rows}
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_spans(df).collect()}
+    assert all(got[i] == f"secret:{at[i][0]}:{at[i][1]}" for i, _ in rows)
+
+
 def test_license_scan(docs, empty, spark):
     texts = [(1, "Released under the MIT License."), (2, "x\nReleased  UNDER the mit license\ny"), (3, "This work is licensed under the GNU Lesser General Public License, version 3."), (4, None), (5, "the MIT"), (6, "Released under the MIT License.\n" * 50), (7, "Released under the MIT License and much more than that in one line of it")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
