@@ -26,6 +26,8 @@ MORE = {
     "mention": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[(\[]\s?[Aa][Tt]\s?[)\]]\s?[A-Za-z0-9.-]++",
 }
 KINDS = (*BASE, *MORE)
+#: How a mention ends whose host is a dotted domain.
+DOMAIN = r"[)\]]\s?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\.?$"
 #: Words before a span, in lower case, that speak of its kind.
 CONTEXT = r"(card|visa|konto|iban|tel|phone|call|fax|mobil|mail|contact|ip|host|server|token|secret|key|passw|auth|ssn|account)[^a-z]{0,4}[^\s]{0,12}\s?\S{0,3}\s?$"
 BEFORE = 24
@@ -114,10 +116,11 @@ def _features(s: Column, before: Column, kind: str) -> Column:
         low.rlike(CONTEXT).cast("int").alias("context"),
         before.rlike("[=:]\\s?[\"']?$").cast("int").alias("assigned"),
         s.contains("@").cast("int").alias("at_sign"),
+        (s.rlike(DOMAIN) if kind == "mention" else F.lit(False)).cast("int").alias("domain"),
     )
 
 
-FEATURES = ("generator", "digits", "letters", "marks", "hex", "luhn", "plus", "context", "assigned", "at_sign")
+FEATURES = ("generator", "digits", "letters", "marks", "hex", "luhn", "plus", "context", "assigned", "at_sign", "domain")
 
 
 def candidates() -> Column:
@@ -138,7 +141,9 @@ def tally(found: DataFrame) -> DataFrame:
     """The feature vectors that occur, with how often they were personal data and how often not: FEATURES, fold, pos, neg.
 
     The labels are the formats' own checks: a generator's candidate that covers a valid
-    match is a positive, as are secrets that are assigned to a name that says so; matches that fail
+    match is a positive, as are secrets that are assigned to a name that says so and mentions
+    of a dotted domain; each valid e-mail counts twice more as a mention, as which it could have been
+    written, with and without the words before it, so texts with few mentions teach them too; matches that fail
     their check, and numbers or long words that cover no valid match, are negatives. Numbers shaped as a phone that
     lacks its plus speak neither way and are left out. fold 1, a fifth of the
     documents by hash, sets the thresholds; fold 0 grows the trees.
@@ -150,11 +155,18 @@ def tally(found: DataFrame) -> DataFrame:
         covers = F.exists("sure", lambda b: (b["s"] >= c["s"]) & (b["e"] <= c["e"]))
         secret = (c["kind"] == "secret") & (c["f"]["context"] == 1) & (c["f"]["assigned"] == 1)
         phone_like = (c["kind"] == "number") & c["f"]["digits"].between(3, 5) & (c["f"]["marks"] >= 2)
-        label = F.when(covers | secret, 1).when(~phone_like, 0)
+        mention = (c["kind"] == "mention") & (c["f"]["domain"] == 1)
+        label = F.when(covers | secret | mention, 1).when(~phone_like, 0)
         return F.struct(c["f"].alias("f"), F.coalesce(c["base"], label).alias("label"))
 
+    def rewritten(c: Column) -> Column:
+        f = {name: c["f"][name] for name in FEATURES} | {"generator": F.lit(KINDS.index("mention")), "at_sign": F.lit(0), "domain": F.lit(1)}
+        as_mention = lambda f: F.struct(F.struct(*(v.alias(name) for name, v in f.items())).alias("f"), F.lit(1).alias("label"))
+        return F.array(as_mention(f), as_mention(f | {"context": F.lit(0), "assigned": F.lit(0)}))
+
     # labels are given within the row, so that an exploded row is small whatever the text
-    rows = step(rows, ["fold"], told=F.transform("all", told)).select("fold", F.explode("told").alias("c")).select("fold", "c.f.*", "c.label").where("label IS NOT NULL")
+    emails = F.filter("sure", lambda c: c["kind"] == "email")
+    rows = step(rows, ["fold"], told=F.concat(F.transform("all", told), F.flatten(F.transform(emails, rewritten)))).select("fold", F.explode("told").alias("c")).select("fold", "c.f.*", "c.label").where("label IS NOT NULL")
     return rows.groupBy(*FEATURES, "fold").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
 
 

@@ -272,6 +272,18 @@ def test_pii_secrets_need_no_hex(spark):
     assert all(got[i] == f"secret:{at[i][0]}:{at[i][1]}" for i, _ in rows)
 
 
+def test_pii_mentions(spark):
+    """E-mails teach what a mention is; words beside an (at) without a domain stay."""
+    rng = random.Random(10)
+    name = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    rows = [(i, f"mail {name()}.{name()}@{name()}.example.org or meet (at) noon, {name()} [at] home. Order {rng.randint(10000, 99999)} of {rng.randint(1990, 2030)}") for i in range(400)]
+    rows += [(1000, "write to jane.roe [at] mail.example.com today"), (1001, "ask joe(at)example.org."), (1002, "dinner (at) eight, then (at) home"), (1003, "mail ann (AT) uni.example.edu now")]
+    df = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert (got[1000], got[1002], got[1003]) == ("write to <mention> today", rows[-2][1], "mail <mention> now")
+    assert got[1001].startswith("ask <mention>") and all(got[i].count("<") == 1 and "meet (at) noon" in got[i] for i in range(400))
+
+
 def test_license_scan(docs, empty, spark):
     texts = [(1, "Released under the MIT License."), (2, "x\nReleased  UNDER the mit license\ny"), (3, "This work is licensed under the GNU Lesser General Public License, version 3."), (4, None), (5, "the MIT"), (6, "Released under the MIT License.\n" * 50), (7, "Released under the MIT License and much more than that in one line of it")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
