@@ -36,6 +36,14 @@ def new_points(points: DataFrame, state: DataFrame, through: str = "current_date
     return points.join(seen, points[KEY] == F.col("own_key"), "left").where(F.col("seen").isNull() | (F.col(WHEN) > F.col("seen"))).select(*points.columns)
 
 
+def halves(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state up to the middle between the first and the last day of all points, and the points after it. Each point is in one of them; those without a day are in the state."""
+    day = F.broadcast(points.agg(F.min(WHEN).alias("first"), F.max(WHEN).alias("last")).select(F.date_add("first", F.floor(F.datediff("last", "first") / 2).cast("int")).alias("middle")))
+    old = all_time_high(points.crossJoin(day).where(F.coalesce(F.col(WHEN) <= F.col("middle"), F.lit(True))).select(*points.columns))
+    # a fund's last price may be before its last point, so the middle says what has been seen
+    return old, new_points(points, old.crossJoin(day), "middle")
+
+
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two states as one: the new high only if it is greater, counts added. Funds on one side stay. The merge is associative, so states of any split of a history give that of the whole."""
     a, b = old.alias("a"), new.alias("b")

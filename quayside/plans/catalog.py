@@ -97,10 +97,10 @@ def ath_full(spark, sf_dir):
 
 @query(SQL["ath_full"])
 def ath_incremental(spark, sf_dir):
-    """The older half of the history as state, the rest merged from points after each fund's last day: the same as ath_full."""
+    """Days up to the middle of the history as state, the rest merged from points after it: the same as ath_full."""
     points = V.prices(spark, sf_dir)
-    old = nav.all_time_high(points.where(F.dayofyear("nav_date") <= 90))
-    new = nav.all_time_high(nav.new_points(points, old))
+    old, rest = nav.halves(points)
+    new = nav.all_time_high(rest)
     state = nav.drawdown(nav.merged(old, new), F.lit(AS_OF).cast("date"))
     return state.select("fund_id", "ath_nav", F.col("ath_date").cast("string").alias("ath_date"), "current_nav", "points", "drawdown_pct", "days_from_ath")
 

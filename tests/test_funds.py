@@ -223,6 +223,31 @@ def test_incremental_is_full(spark):
         assert rows(nav.merged(old, nav.all_time_high(rest))) == full
 
 
+def test_halves_are_the_whole_history(spark):
+    """A history of a month within the first 90 days of a year, and one of over a year; both halves hold points."""
+    rng = random.Random(2)
+    for days, every in ((30, 1), (500, 9)):
+        data = [(f, str(dt.date(2023, 1, 1) + dt.timedelta(d)), rng.choice([None, round(rng.uniform(1, 5), 1)])) for f in range(4) for d in range(f, days, every)]
+        data += [(9, "2023-01-02", None), (9, data[-1][1], 3.0)]
+        old, rest = nav.halves(points(spark, data))
+        n_old, n_new = old.agg(F.sum("points")).first()[0], rest.count()
+        assert min(n_old, n_new) > len(data) / 3 and n_old + n_new == len(data)
+        assert rows(nav.merged(old, nav.all_time_high(rest))) == rows(nav.all_time_high(points(spark, data)))
+
+
+def test_incremental_query_merges_new_points(spark):
+    from quayside.plans import catalog
+
+    seen = []
+    kept = nav.new_points
+    try:
+        nav.new_points = lambda *a, **b: seen.append(kept(*a, **b)) or seen[-1]
+        catalog.ath_incremental(spark, "/root/testdata/sf0.001")
+    finally:
+        nav.new_points = kept
+    assert seen and seen[0].count() > 0
+
+
 def test_stream_keeps_the_same_state(spark, tmp_path):
     for k, part in enumerate((POINTS[:2], POINTS[2:4] + POINTS[1:2], POINTS[4:])):
         points(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
