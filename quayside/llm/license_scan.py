@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +30,29 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 LEAST = 0.8
+#: Whole notices, met only as passages: what TEMPLATES has of them in short is too small a share of them.
+FULL = {
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
+}
+#: Words of a passage, between the least and the most that can reach the coefficient, in so many steps besides the template's own number.
+STEPS = 4
+
+
+def _words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
 
 
 def _bigrams(text: str) -> list[str]:
-    words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -45,8 +66,8 @@ def bounds(size: int, least: float = LEAST) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, line, license, dice: each line (from 1) and each whole text (line 0) that reaches the coefficient with a template.
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, inside: bool = False) -> DataFrame:
+    """doc_id, line, license, dice: each line (from 1) and each whole text (line 0) that reaches the coefficient with a template; with inside also passages().
 
     Texts are lowered (A-Z) and all but a-z and 0-9 separates words. What has too
     few or too many words for every template is passed over before its
@@ -54,27 +75,115 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     they are compared. Ties give a row for each template. A text of one line is
     a whole text and a line, so both rows come. Null and empty texts give none;
     repeated rows give their rows again. There is no shuffle: templates are part of the plan.
+    SQL has the lines and whole texts only; passages are further rows, with the notices of FULL as templates too unless others are given.
     """
-    grams = {k: _bigrams(t) for k, t in (templates or TEMPLATES).items()}
+    short = TEMPLATES if templates is None else templates
+    grams = {k: _bigrams(t) for k, t in short.items()}
     limits = {k: bounds(len(g), least) for k, g in grams.items() if g}
     most = max((hi for _, hi in limits.values()), default=0)
     # n distinct bigrams need n + 1 words, each at least a letter and a separator
     shortest = 2 * min((lo for lo, _ in limits.values()), default=0) + 1
+    if not limits:
+        return docs.select("doc_id", F.lit(0).alias("line"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).limit(0)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    units = docs.select("doc_id", F.posexplode(F.concat(F.array(text), F.split(text, "\n", -1))).alias("line", "unit")).where(F.length("unit") >= shortest)
+    # lines with their own words; the text's words are all of theirs, for no word goes over a line's end
+    rows = step(docs.select("doc_id", text.alias("t")).where(F.length("t") >= shortest), ["doc_id"], lines=F.transform(F.split("t", "\n", -1), lambda x: _normal_words(x)))
+    rows = step(rows, ["doc_id", "lines"], w=F.flatten("lines"))
+    rows = step(rows, ["doc_id", "lines", "w"], own=F.array_distinct("w"))
+    one = lambda w: F.when(F.size(w) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
     # a long unit may repeat few bigrams, so length alone rules nothing out; but k distinct words need k - 1 distinct bigrams
-    words = step(units, ["doc_id", "line"], w=_normal_words(F.col("unit")))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
-    few = step(words, ["doc_id", "line"], pairs=F.when(F.size("w") >= 2, F.when(F.size(F.array_distinct("w")) <= most + 1, pairs)))
-    found = few.where(F.size("pairs").between(1, most))
-    scores = [
-        F.when(F.size("pairs").between(lo, hi), F.struct(F.lit(k).alias("license"), (F.lit(2.0) * F.size(F.array_intersect("pairs", F.array(*map(F.lit, grams[k])))) / (F.size("pairs") + len(grams[k]))).alias("dice")))
-        for k, (lo, hi) in limits.items()
-    ]
-    if not scores:
-        return docs.select("doc_id", F.lit(0).alias("line"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).limit(0)
-    matched = step(found, ["doc_id", "line"], hits=F.filter(F.array(*scores), lambda s: s["dice"] >= least))
-    return matched.select("doc_id", "line", F.inline("hits"))
+    fits = lambda w, n: (F.size(w) >= 2) & (n <= most + 1)
+    units = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.when(fits(F.col("w"), F.size("own")), one(F.col("w"))).alias("pairs"))), F.transform("lines", lambda w, i: F.struct((i + 1).alias("line"), F.when(fits(w, F.when(F.size(w) <= most + 1, 0).otherwise(F.size(F.array_distinct(w)))), one(w)).alias("pairs"))))
+    rows = step(rows, ["doc_id", "lines", "w", "own"], units=F.filter(units, lambda u: F.size(u["pairs"]).between(1, most)))
+    scored = lambda pairs: F.filter(
+        F.array(*(F.when(F.size(pairs).between(lo, hi), F.struct(F.lit(k).alias("license"), (F.lit(2.0) * F.size(F.array_intersect(pairs, F.array(*map(F.lit, grams[k])))) / (F.size(pairs) + len(grams[k]))).alias("dice"))) for k, (lo, hi) in limits.items())),
+        lambda s: s["dice"] >= least,
+    )
+    found = F.flatten(F.transform("units", lambda u: F.transform(scored(u["pairs"]), lambda s: F.struct(u["line"].alias("line"), s["license"].alias("license"), s["dice"].alias("dice")))))
+    rows = step(rows, ["doc_id", "lines", "w", "own"], hits=found)
+    if not inside:
+        return rows.select("doc_id", F.inline("hits"))
+    return passages(rows, short | (FULL if templates is None else {}), least)
+
+
+def passages(rows: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """hits of rows (doc_id, lines, w, own, hits), and notices that go over lines or are part of one: runs of words that reach the coefficient with a template.
+
+    A run starts with two words of the template and has as many words as the template or one of
+    STEPS numbers that are possible. line is that of its first word. Of runs that overlap for one template the best
+    stays (the first of equals). Runs within a line that has a row of its own, or that begin in one which is as near to
+    the same template, or are in a text that has a row as a whole, are no passages.
+    """
+    grams = {k: _bigrams(t) for k, t in templates.items()}
+    words = {k: sorted({w for g in gs for w in g.split()}) for k, gs in grams.items()}
+    every = F.array(*(F.lit(w) for w in sorted({w for ws in words.values() for w in ws})))
+    rows = step(rows, ["doc_id", "lines", "w", "hits"], shared=F.array_intersect("own", every))
+    # a run has least / (2 - least) of the template's bigrams, so its words are some at least
+    maybe = {}
+    for k, gs in grams.items():
+        if not gs:
+            continue
+        need = math.ceil(least * len(gs) / (2 - least) - 1e-9)
+        maybe[k] = F.size(F.array_intersect("shared", F.array(*map(F.lit, words[k])))) >= max(2, _fewest_words(gs, need))
+    whole = F.exists("hits", lambda h: h["line"] == 0)
+    rows = step(rows, ["doc_id", "lines", "w", "hits"], names=F.when(whole, F.array().cast("array<string>")).otherwise(F.filter(F.array(*(F.when(m, F.lit(k)) for k, m in maybe.items())), lambda x: x.isNotNull())))
+    rows = step(rows, ["doc_id", "w", "hits", "names"], at=F.when(F.size("names") > 0, F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))))
+    rows = step(rows, ["doc_id", "w", "hits", "names", "at"], g=F.when(F.size("names") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))))
+    kind = "array<struct<s:int,n:int,dice:double>>"
+
+    def runs(k: str) -> Column:
+        gs = grams[k]
+        lo, hi = bounds(len(gs), least)
+        long = len(_words(templates[k])) - 1  # bigrams, repeated ones included
+        sizes = sorted({long, *(max(1, round(lo + (hi * long / len(gs) - lo) * i / (STEPS - 1))) for i in range(STEPS))})
+        mine = F.array(*map(F.lit, gs))
+
+        def run(s: Column, n: int) -> Column:
+            part = F.array_distinct(F.slice("g", s + 1, n))
+            return F.when(s + n <= F.size("g"), F.struct(s.cast("int").alias("s"), F.lit(n).alias("n"), (F.lit(2.0) * F.size(F.array_intersect(part, mine)) / (F.size(part) + len(gs))).alias("dice")))
+
+        starts = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(mine, x), i)), lambda i: i.isNotNull())
+        good = F.flatten(F.transform(starts, lambda s: F.filter(F.array(*(run(s, n) for n in sizes)), lambda r: r["dice"] >= least)))
+        return F.when(F.array_contains("names", k), good)
+
+    made = {k: runs(k) for k, gs in grams.items() if gs}
+    names = [f"r{i}" for i in range(len(made))]
+    rows = step(rows, ["doc_id", "hits", "at"], **{n: m for n, m in zip(names, made.values(), strict=True)})
+
+    def best(acc: Column, r: Column) -> Column:
+        last = acc["last"]
+        apart = last.isNull() | (r["s"] > last["s"] + last["n"])
+        return F.struct(
+            F.when(apart & last.isNotNull(), F.concat(acc["out"], F.array(last))).otherwise(acc["out"]).alias("out"),
+            F.when(apart | (r["dice"] > last["dice"]), r).otherwise(last).alias("last"),
+        )
+
+    none = F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("struct<s:int,n:int,dice:double>").alias("last"))
+
+    def told(r: Column, k: str) -> Column:
+        first, last = F.get("at", r["s"]), F.get("at", r["s"] + r["n"])
+        return F.exists("hits", lambda h: (h["line"] == first) & ((h["line"] == last) | ((h["license"] == k) & (h["dice"] >= r["dice"]))))
+
+    def kept(n: str, k: str) -> Column:
+        chosen = F.aggregate(n, none, best, lambda acc: F.concat(acc["out"], F.array(acc["last"])))
+        chosen = F.filter(chosen, lambda r: ~told(r, k))
+        return F.when(F.size(n) > 0, F.transform(chosen, lambda r: F.struct(F.get("at", r["s"]).alias("line"), F.lit(k).alias("license"), r["dice"].alias("dice"))))
+
+    more = [kept(n, k) for n, k in zip(names, made, strict=True)]
+    out = step(rows, ["doc_id"], hits=F.concat("hits", *(F.coalesce(m, F.array().cast("array<struct<line:int,license:string,dice:double>>")) for m in more)))
+    return out.select("doc_id", F.inline("hits"))
+
+
+def _fewest_words(grams: list[str], need: int) -> int:
+    """Distinct words that need bigrams of the template have at least: the most frequent ones, each counted with all its bigrams, leave no fewer."""
+    degrees = Counter(w for g in grams for w in set(g.split()))
+    # the words of a set of bigrams have degrees that add up to twice the set's size at least
+    total = n = 0
+    for d in sorted(degrees.values(), reverse=True):
+        if total >= 2 * need - sum(a == b for a, b in map(str.split, grams)):
+            break
+        total, n = total + d, n + 1
+    return n
 
 
 def sql(templates: dict[str, str] | None = None, least: float = LEAST) -> str:

@@ -20,7 +20,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), inside=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

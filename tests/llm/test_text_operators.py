@@ -300,6 +300,31 @@ def test_license_scan(docs, empty, spark):
     assert license_scan.license_scan(empty).count() == 0 and license_scan.license_scan(docs).count() == 0
 
 
+def test_license_passages(spark):
+    """Notices over several lines, in lines of prose and in full; a line or text that has a row of its own gives no passage."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choices("aeioubcdlmnrst", k=rng.randint(2, 8))) for _ in range(n))
+    wrapped = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    apache, mit = license_scan.FULL["apache-2.0-notice"], license_scan.FULL["mit-notice"]
+    texts = [
+        (1, f"{say(40)}\n{wrapped(apache, 9, ' * ')}\n{say(300)}"),
+        (2, f"{say(30)} {mit} {say(30)}\n{say(200)}"),
+        (3, f"{say(200)}\n{say(9)} Released under the MIT License. {say(12)}"),
+        (4, f"x\nReleased under the\nMIT License.\n{say(100)}\n{wrapped(license_scan.FULL['gpl-notice'], 8, '# ')}\n{say(5)}"),
+        (5, f"{say(50)}\nReleased under the MIT License.\n{say(50)}"), (6, say(400)), (7, "the license of the MIT and the GNU general public license under this version of the software"),
+        (8, wrapped(license_scan.FULL["bsd-conditions"], 7, "// ") + "\n" + say(2000)),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {}
+    for r in license_scan.license_scan(df, inside=True).collect():
+        got.setdefault(r["doc_id"], set()).add((r["license"], r["line"], round(r["dice"], 2)))
+    assert ("apache-2.0-notice", 2, 1.0) in got[1] and ("mit-notice", 1, 1.0) in got[2] and got[3] == {("mit", 2, 1.0)}
+    assert {("mit", 2, 1.0), ("gpl-notice", 5, 1.0)} <= got[4] and got[5] == {("mit", 2, 1.0)} and ("bsd-conditions", 1, 1.0) in got[8]
+    assert not {6, 7} & set(got)
+    units = {(r["doc_id"], r["line"], r["license"]) for r in license_scan.license_scan(df).collect()}
+    assert units < {(i, line, name) for i, rows in got.items() for name, line, _ in rows}
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(2)
     parts = {"aa": ["the", "ing", "wh", "tion", "and"], "bb": ["sch", "ung", "ein", "der", "keit"]}
