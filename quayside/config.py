@@ -19,3 +19,32 @@ HOLDINGS, SUM_TOLERANCE, RENDER_TOLERANCE, EXPOSURE_TOLERANCE, RECOMPUTE_TOLERAN
 OVERLAP, OUTLIER_ALPHA, OUTLIER_CANDIDATES, GAP_SHARE, SMALL_PLACE, TIE_BAND = 3, 80.0, 5, 15.0, 2.0, 2.0
 MEASURES = ("alpha", "returnfit", "efficiency", "momentum")
 ROUND_TO = {"alpha": 2, "weighted": 4, "share": 1, "score": 2}
+PERIODS = ("ytd", "1y", "3y", "5y", "10y")
+# Sectors and the columns that they are summed into, and the places that have a column.
+SECTOR_BUCKETS = {
+    "Industrial": "Industrial",
+    "Technology": "Technology",
+    "Financial": "Financial",
+    "Communications": "Communications",
+    "Telecommunications": "Communications",
+    "Internet": "Communications",
+    "Consumer, Cyclical": "Consumer Discretionary",
+    "Consumer, Non-cyclical": "Consumer Staples",
+    "Utilities": "Utilities",
+    "Energy": "Energy",
+    "Electric": "Energy",
+    "Basic Materials": "Materials",
+    "Real Estate": "Real Estate",
+    "REITS": "Real Estate",
+    "Home Builders": "Real Estate",
+    "ETF": "Other Sector",
+    "Diversified": "Other Sector",
+}
+NAMED_PLACES = ("USA", "Taiwan", "Korea", "Japan", "France", "Germany", "China", "Singapore", "Netherlands", "Indonesia", "Australia")
+# The labels that a fund may have.
+LABELS = {
+    "asset_class": ("Equity - Malaysia", "Equity - Foreign", "Bond / Fixed Income", "Bond / Sukuk", "Mixed Asset", "Balanced", "Money Market"),
+    "geography": ("Malaysia", "Greater China", "ASEAN", "Asia Pacific", "Asia", "Global", "United States", "India", "Indonesia", "Japan", "Australia", "Vietnam", "Singapore"),
+    "objective_class": ("Capital Growth", "Income", "Capital Growth + Income"),
+    "fund_type": ("Equity", "Fixed Income", "Mixed Asset / Balanced", "Money Market", "Fund of Funds"),
+}

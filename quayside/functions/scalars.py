@@ -61,7 +61,7 @@ FUND_TYPES = (
 )
 DISTRIBUTION = ((("no distribution",), "None"), (("semi-annual", "semi annual"), "Semi-Annual"), (("monthly",), "Monthly"), (("annual",), "Annual"), (("incidental",), "Incidental"))
 PLACES = (
-    (("malaysia", "domestic", "klci", "ittikal"), "Malaysia"),
+    (("malaysia", "domestic", "klci"), "Malaysia"),
     (("china",), "Greater China"),
     (("asean", "southeast asia", "south-east asia"), "ASEAN"),
     (("asia pacific", "far-east", "far east"), "Asia Pacific"),
@@ -78,7 +78,6 @@ PLACES = (
 HOME = "Malaysia"
 HOME_MARKS = ("malaysia", "myr", "domestic")
 FOREIGN_MARKS = ("asia", "china", "global", "asean", "pacific", "india", "indonesia", "japan", "australia", "vietnam", "singapore", "europe", "emerging", "far east", "united states")
-MARKETING = ("EPF Qualified Fund", "EPFQualifiedFund", "Fund Award Won")
 TRUE_WORDS = ("yes", "y", "true", "shariah", "shariah-compliant")
 
 
@@ -97,8 +96,8 @@ def distribution(policy: Column) -> Column:
     return F.coalesce(first_rule(policy, DISTRIBUTION), F.lit("None"))
 
 
-def place_of(name: Column) -> Column:
-    return first_rule(name, PLACES, HOME)
+def place_of(name: Column, places: Iterable[tuple[Sequence[str], object]] = PLACES, home: str = HOME) -> Column:
+    return first_rule(name, places, home)
 
 
 def asset_class(name: Column, label: Column) -> Column:
@@ -119,8 +118,8 @@ def asset_class(name: Column, label: Column) -> Column:
     )
 
 
-def series_flag(file: Column, name: Column, code: Column, stated: Column | None = None, prefixes: Sequence[str] = ("PI", "PeI", "PeS")) -> Column:
-    """Whether a fund is of the screened series: as stated, else by its file, name or code's prefix."""
+def series_flag(file: Column, name: Column, code: Column, stated: Column | None = None, prefixes: Sequence[str] = ()) -> Column:
+    """Whether a fund is of the screened series: as stated, else by its file, name or code's prefix (a caller's table)."""
     found = F.lower(file).contains("shariah") | F.contains(name, F.lit("Islamic"))
     for p in prefixes:
         found = found | F.startswith(code, F.lit(p))
@@ -236,9 +235,10 @@ def foreign_region(label: Column, home: Sequence[str], foreign: Sequence[str]) -
 def pair_list(text: Column) -> Column:
     """'a=1|b=2' as a map; of a key's values the last counts, and what has no '=' is passed over."""
     pairs = F.filter(F.split(text, r"\|"), lambda p: p.contains("="))
-    entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+    entries = F.transform(pairs, lambda p, i: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.trim(F.regexp_replace(p, "(?s)^[^=]*=", "")).alias("v")))
+    # sorted by key and place, a key's last entry is the one before another key; the list is bound to a name, so it is sorted once
+    last = F.transform(F.array(F.array_sort(entries)), lambda all: F.filter(all, lambda e, i: F.coalesce(F.get(all, i + 1)["k"] != e["k"], F.lit(True))))
+    return F.map_from_entries(F.transform(F.get(last, 0), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))))
 
 
 def split_list(text: Column, mark: str = r"\|") -> Column:

@@ -44,6 +44,11 @@ def portfolio_violations(holdings: DataFrame, facts: DataFrame | None = None, co
     return all_of(*out)
 
 
+def malformed_edits(bad: DataFrame, subject: str = "client_id") -> DataFrame:
+    """One violation for each edit without a fund or a share (the second table of portfolio.edited()); these edits stop before any other check."""
+    return violation(bad, subject, "malformed_edit", F.concat_ws(" ", "fund", F.col("pct").cast("string")))
+
+
 def section_violations(docs: DataFrame, heading: str, titles: Sequence[str], key: str = "doc_id", html: str = "html") -> DataFrame:
     """Documents whose headings (first group of a pattern) aren't just the titles, in their order."""
     rows = docs.select(key, F.regexp_extract_all(html, F.lit(heading), F.lit(1)).alias("found")).select("*", F.array(*map(F.lit, titles)).alias("wanted"))
@@ -68,7 +73,7 @@ def required_text(docs: DataFrame, phrases: Sequence[str], placeholder: str, ver
 
 def cards(docs: DataFrame, mark: str, key: str = "doc_id", html: str = "html") -> DataFrame:
     """One row per card: pos, code (after the last middle dot, before a long dash) and chunk (what follows its title)."""
-    parts = docs.select(key, F.posexplode(F.slice(F.split(html, mark, -1), 2, 1 << 20)).alias("pos", "chunk"))
+    parts = docs.select(key, F.posexplode(F.filter(F.split(html, mark, -1), lambda c, i: i > 0)).alias("pos", "chunk"))
     title = F.substring_index("chunk", "\n", 1)
     code = F.trim(F.substring_index(F.substring_index(title, "—", 1), "·", -1))
     return parts.select(key, "pos", code.alias("code"), "chunk")

@@ -6,10 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from quayside.functions.rows import computed
 from quayside.functions.scalars import half_up
-from quayside.operators.portfolio import normalised
+from quayside.operators.portfolio import normalised, rounded_to_100, shares_of
 
 
 def asset_exposure(holdings: DataFrame, funds: DataFrame, slices: Mapping[str, list[str]], sleeves: Mapping[str, str] | None = None) -> DataFrame:
@@ -34,17 +34,24 @@ def asset_exposure(holdings: DataFrame, funds: DataFrame, slices: Mapping[str, l
 def place_exposure(holdings: DataFrame, shares: DataFrame, home: str, least: float = 2.0, other: str = "Other") -> DataFrame:
     """portfolio_id, place, pct, pos: holdings (portfolio_id, fund_id, weight) times shares (fund_id, place, share in percent); places under least go to other, home never does.
 
-    Two aggregations on (portfolio, place). pos: home first, others falling, the rest last; a row for other is always there.
+    A fund's places travel as one list, so holdings meet funds once and move to their portfolio once; there they are summed by
+    place in whole hundred-millionths of a percent, and what is left, a portfolio's few places, is an array. pos: home first, others falling, the rest last; a row for other is always there.
     """
-    met = holdings.join(shares, "fund_id").withColumn("amount", (F.col("weight") * F.col("share") / 100).cast("decimal(28,8)"))
-    summed = met.groupBy("portfolio_id", "place").agg(F.sum("amount").cast("double").alias("amount"))
-    small = (half_up("amount", 6) < least) & (F.col("place") != home)
-    merged = summed.groupBy("portfolio_id", F.when(small, other).otherwise(F.col("place")).alias("place")).agg(F.sum(F.col("amount").cast("decimal(28,8)")).cast("double").alias("amount"))
-    rest = merged.select("portfolio_id").distinct().join(merged.where(F.col("place") == other).select("portfolio_id", "place"), "portfolio_id", "left").where(F.col("place").isNull())
-    every = merged.unionByName(rest.select("portfolio_id", F.lit(other).alias("place"), F.lit(0.0).alias("amount")))
-    pct = normalised(every, ["portfolio_id"], "amount", "place")
-    order = F.when(F.col("place") == home, 0).when(F.col("place") == other, 2).otherwise(1)
-    return pct.select("portfolio_id", "place", "pct", F.row_number().over(W.partitionBy("portfolio_id").orderBy(order, F.desc("pct"), "place")).alias("pos"))
+    spread = shares.groupBy("fund_id").agg(F.collect_list(F.struct("place", "share")).alias("spread"))
+    met = holdings.select("portfolio_id", "fund_id", "weight").join(spread, "fund_id").select("portfolio_id", "weight", "spread").repartition("portfolio_id")
+    units = F.rint(F.col("weight") * F.col("share") / 100 * 1e8).cast("long")
+    summed = met.select("portfolio_id", "weight", F.inline("spread")).groupBy("portfolio_id", "place").agg(F.sum(units).alias("units"))
+    every = summed.groupBy("portfolio_id").agg(F.sort_array(F.collect_list(F.struct("place", (F.col("units") / 1e8).alias("amount")))).alias("all"))
+    goes = lambda x: (x["place"] == other) | ((x["place"] != home) & (half_up(x["amount"], 6) < least))
+    rest = F.aggregate(F.filter("all", goes), F.lit(0.0), lambda t, x: t + x["amount"])
+    whole = F.concat(F.filter("all", lambda x: ~goes(x)), F.array(F.struct(F.lit(other).alias("place"), half_up(rest, 8).alias("amount"))))
+    every = computed(every, all=F.array_sort(whole))
+    every = computed(every, total=F.aggregate("all", F.lit(0.0), lambda t, x: t + x["amount"]))
+    every = computed(every, shares=shares_of(F.transform("all", lambda x: x["amount"]), F.col("total")))
+    every = computed(every, pct=rounded_to_100(F.col("shares"), F.col("total")))
+    order = lambda x: F.when(x["place"] == home, 0).when(x["place"] == other, 2).otherwise(1)
+    told = F.array_sort(F.transform("all", lambda x, i: F.struct(order(x).alias("o"), (-F.get("pct", i)).alias("n"), x["place"].alias("place"))))
+    return every.select("portfolio_id", F.posexplode(told).alias("at", "x")).select("portfolio_id", "x.place", (-F.col("x.n") + 0.0).alias("pct"), (F.col("at") + 1).cast("int").alias("pos"))
 
 
 def portfolio_averages(holdings: DataFrame, facts: DataFrame, key: str = "fund_id") -> DataFrame:

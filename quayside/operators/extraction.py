@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +87,55 @@ def without_noise(value: Column, phrases: Sequence[str]) -> Column:
     return out
 
 
-def allocation(lines: DataFrame, key: str, pos: str = "pos", text: str = "line", tails: Sequence[str] = ("securities", "Islamic", "- Domestic", "- Foreign")) -> DataFrame:
-    """label and pct of a table whose labels may run over several lines: parts add up until a percent comes, and a following line that is one of tails belongs to the row above.
+def allocation(lines: DataFrame, key: str, pos: str = "pos", text: str = "line", tails: Sequence[str] = ("securities", "Islamic", "- Domestic", "- Foreign"), header: str = "Asset Type") -> DataFrame:
+    """label and pct of a table whose labels may run over several lines: parts add up until a percent comes, and following lines that begin with one of tails belong to the row above.
 
-    Each percent closes a group of lines, so groups are counted backward; no row sees more than its neighbours.
+    Blank lines and the header are passed over; of a label that comes twice the last counts. Each percent closes a group of lines, so groups are
+    counted backward; a line is a tail where the nearest line above that doesn't look like one has a percent.
     """
     w = W.partitionBy(key).orderBy(pos)
-    pct = F.regexp_extract(text, r"(\d+\.\d+)\s*%", 1)
-    rows = lines.withColumn("_pct", F.nullif(pct, F.lit("")).cast("double"))
-    tail = F.trim(text).isin(*tails) & F.lag("_pct").over(w).isNotNull() & F.col("_pct").isNull()
-    rows = rows.withColumn("_tail", tail)
+    line = F.trim(text)
+    pct = F.nullif(F.regexp_extract(text, r"(\d+\.\d+)%", 1), F.lit("")).cast("double")
+    rows = lines.where((line != "") & ~F.contains(line, F.lit(header))).withColumn("_pct", pct)
+    tail_like = F.col("_pct").isNull() & reduce(lambda a, b: a | b, (line.startswith(t) for t in tails), F.lit(False))
+    above = F.last(F.when(~tail_like, F.col("_pct").isNotNull()), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_tail", tail_like & F.coalesce(above, F.lit(False)))
     before = F.coalesce(F.sum(F.when(F.col("_pct").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_row", before - F.when(F.col("_tail"), 1).otherwise(0))
-    part = F.trim(F.regexp_replace(text, r"\d+\.\d+\s*%", ""))
-    grouped = rows.groupBy(key, "_row").agg(F.max("_pct").alias("pct"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), part.alias("t")))), lambda x: x["t"]), " ").alias("label"))
-    return grouped.where(F.col("pct").isNotNull()).select(key, F.trim("label").alias("label"), "pct")
+    part = F.trim(F.when(F.col("_pct").isNotNull(), F.regexp_extract(text, r"^(.*?)\d+\.\d+%", 1)).otherwise(F.col(text)))
+    parts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), part.alias("t")))), lambda x: x["t"]), lambda t: t != "")
+    grouped = rows.groupBy(key, "_row").agg(F.max("_pct").alias("pct"), F.array_join(parts, " ").alias("label"))
+    named = grouped.where(F.col("pct").isNotNull() & (F.col("label") != ""))
+    return named.groupBy(key, "label").agg(F.max_by("pct", "_row").alias("pct"))
+
+
+def allocation_from_boxes(boxes: DataFrame, right: float = 310.0, reach: float = 120.0, grid: float = 4.0) -> DataFrame:
+    """doc, page, label and pct of the table between its heading and its total on each page of word boxes (doc, page, x0, top, text).
+
+    The heading is the first 'Asset' that has 'Allocation' beside it, the end the first 'Total' below with '100.0%' beside it, else reach below
+    the heading; words left of right stand on lines of a grid (half to even), which allocation() reads. Words beside each other differ by less than 5 in top. Pages
+    meet their anchors by windows over the page; a page without a heading gives nothing.
+    """
+    page = W.partitionBy("doc", "page")
+    beside = page.orderBy("top").rangeBetween(-5, 5)
+    near = lambda test: F.max(F.when(test, F.col("top")).otherwise(None)).over(beside).isNotNull()
+    has = boxes.withColumns({"_a": near(F.col("text") == "Allocation"), "_t": near(F.contains("text", F.lit("100.0%")))})
+    has = has.withColumn("_y", F.min(F.when((F.col("text") == "Asset") & F.col("_a"), F.col("top"))).over(page))
+    end = F.min(F.when((F.col("text") == "Total") & F.col("_t") & (F.col("top") > F.col("_y")), F.col("top"))).over(page)
+    has = has.withColumn("_end", F.coalesce(end, F.col("_y") + reach))
+    kept = has.where((F.col("top") > F.col("_y") + 5) & (F.col("top") < F.col("_end")) & (F.col("x0") < right))
+    lines = boxes_to_lines(kept.drop("_a", "_t", "_y", "_end"), 0.0, grid=grid)
+    rows = allocation(lines.withColumn("_key", F.struct("doc", "page")), "_key", "y", "text")
+    return rows.select("_key.doc", "_key.page", "label", "pct")
+
+
+def holdings_lines(lines: DataFrame, key: str, heading: str = "Security Name", stops: Sequence[str] = ("Distribution", "Notes:"), k: int = 5, least: int = 4, pos: str = "pos", text: str = "line") -> DataFrame:
+    """The first k names below a heading, with rank: what stands after the heading on its own line counts; lines of fewer than least characters or of numbers only don't; a line with a stop ends the list."""
+    w = W.partitionBy(key)
+    opened = lines.withColumn("_s", F.min(F.when(F.contains(text, F.lit(heading)), F.col(pos))).over(w)).where(F.col(pos) >= F.col("_s"))
+    stop = reduce(lambda a, b: a | b, (F.contains(text, F.lit(s)) for s in stops), F.lit(False))
+    closed = opened.withColumn("_e", F.min(F.when((F.col(pos) > F.col("_s")) & stop, F.col(pos))).over(w)).where(F.col("_e").isNull() | (F.col(pos) < F.col("_e")))
+    name = F.trim(F.when(F.col(pos) == F.col("_s"), F.substring_index(text, heading, -1)).otherwise(F.col(text)))
+    good = closed.withColumn("_n", name).where((F.length("_n") >= least) & ~F.col("_n").rlike(r"^[\d.%\-\s]+$"))
+    ranked = good.withColumn("rank", F.row_number().over(w.orderBy(pos))).where(F.col("rank") <= k)
+    return ranked.select(key, "rank", F.col("_n").alias("name"))

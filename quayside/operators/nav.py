@@ -66,6 +66,11 @@ def drawdown_summary(state: DataFrame, recent: int = 30) -> DataFrame:
     )
 
 
+def recent_highs(state: DataFrame, days: int = 30) -> DataFrame:
+    """fund_id, ath_date and days_from_ath of the funds whose high is of today or not older than days."""
+    return state.where(F.col("days_from_ath") <= days).select(KEY, "ath_date", "days_from_ath")
+
+
 def upper_median(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """The element at n // 2, counted from 0, of each group's sorted values.
 

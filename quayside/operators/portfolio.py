@@ -6,21 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quayside.functions.rows import computed
 from quayside.functions.scalars import half_up
 
 
+def subsets(items: Column, k: int) -> Column:
+    """All subsets of k items of an array, as arrays in its order."""
+    at = F.when(F.size(items) >= k, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    chosen = F.transform(at, lambda i: F.array(i))
+    for _ in range(k - 1):
+        chosen = F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(at, lambda j: j > F.element_at(c, -1)), lambda j: F.concat(c, F.array(j)))))
+    return F.transform(chosen, lambda c: F.transform(c, lambda i: F.get(items, i)))
+
+
 def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", within: list[str] | None = None, least: int = 3) -> DataFrame:
-    """Pairs (a < b) of one group that share least distinct items or more, and how many: an equi-join on items, never all pairs.
+    """Pairs (a < b) of one group that share least distinct items or more, and how many: an equi-join on subsets of least items, never all pairs.
 
-    Items are counted first; what only one member holds can't be shared and isn't joined.
+    Baskets are small (a fund's top holdings), so a basket of n items has n over least subsets; two that meet in one
+    share enough, so each joined row is a result but for pairs that meet in several subsets, which are kept in the first only. An item
+    that very many hold costs nothing by itself. Null items are no items.
     """
     by = within or []
-    items = baskets.select(*by, key, item).distinct()
-    shared = items.groupBy(*by, item).agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
-    items = items.join(shared, [*by, item], "left_semi")
-    a, b = items.select(*by, item, F.col(key).alias("a")), items.select(*by, item, F.col(key).alias("b"))
-    pairs = a.join(b, [*by, item]).where("a < b")
-    return pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    packed = baskets.where(F.col(item).isNotNull()).groupBy(*by, key).agg(F.sort_array(F.collect_set(item)).alias("items")).where(F.size("items") >= least)
+    keyed = packed.select(*by, key, "items", F.explode(subsets(F.col("items"), least)).alias("some"))
+    a, b = keyed.select(*by, "some", F.col(key).alias("a"), F.col("items").alias("items_a")), keyed.select(*by, "some", F.col(key).alias("b"), F.col("items").alias("items_b"))
+    met = a.join(b, [*by, "some"]).where("a < b")
+    met = computed(met, both=F.array_sort(F.array_intersect("items_a", "items_b")))
+    return met.where(F.slice("both", 1, least) == F.col("some")).select(*by, "a", "b", F.size("both").cast("long").alias("shared"))
 
 
 def without_overlaps(picks: DataFrame, pairs: DataFrame, key: str = "fund_id", within: list[str] | None = None) -> DataFrame:
@@ -45,6 +57,19 @@ def normalised(rows: DataFrame, by: list[str], amount: str, pos: str, out: str =
     return rows.withColumn(out, pct).drop("_total", "_share")
 
 
+def shares_of(amounts: Column, total: Column) -> Column:
+    """Shares of 100 with 1 digit of an array of amounts that is one portfolio; all zero if the total is."""
+    return F.transform(amounts, lambda x: F.when(total > 0, half_up(x / total * 100, 1)).otherwise(0.0))
+
+
+def rounded_to_100(shares: Column, total: Column) -> Column:
+    """shares_of() with the rest that rounding leaves given to the first of the largest."""
+    gap = half_up(100 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), 1)
+    first = F.array_position(shares, F.array_max(shares)) - 1
+    bound = F.array(F.struct(gap.alias("gap"), first.alias("first")))  # computed once, not for each share
+    return F.get(F.transform(bound, lambda g: F.transform(shares, lambda x, i: F.when((i == g["first"]) & (total > 0), half_up(x + g["gap"], 1)).otherwise(x))), 0)
+
+
 def slice_bounds(rows: DataFrame, by: list[str], pct: str = "pct", pos: str = "pos") -> DataFrame:
     """Adds start and end of each slice that isn't zero; the last one ends at 100."""
     live = rows.where(F.col(pct) > 0)
@@ -76,7 +101,7 @@ def cap_and_spill(portfolios: DataFrame, shares: str = "shares", cap: str = "cap
 
     start = F.struct(F.col(shares).cast("array<double>").alias("p"), F.lit(0.0).alias("spill"))
     folded = F.aggregate(F.when(F.size(shares) > 0, F.sequence(F.lit(0), F.size(shares) - 1)).otherwise(F.array().cast("array<int>")), start, give)
-    out = portfolios.withColumn("_f", folded)
+    out = computed(portfolios, _f=folded)
     return out.select(*portfolios.columns, F.transform("_f.p", lambda x: half_up(x, 1)).alias("capped"), half_up("_f.spill", 1).alias("spill"))
 
 
@@ -90,29 +115,37 @@ def split_budget(rows: DataFrame, by: list[str], score: str, budget: float, out:
 def base_portfolio(scored: DataFrame, sleeves: list[tuple[str, float]], cores: int = 2) -> DataFrame:
     """client_id, pos, fund (text), role, pct, alpha_n: the best cores by position, sharing what the sleeves (code, share) leave, then the sleeves.
 
-    scored: client_id, fund_id, composite, alpha_n, position. A client without any score has none.
+    scored: client_id, fund_id, composite, alpha_n, position. A client without any score has none. One grouping by
+    client, whose few cores are an array; shares have 1 digit, equal ones where the scores sum to 0, and what rounding leaves is the first core's.
+    With a column cap, cores are cut to it and spill into each other and then the first sleeve; see cap_and_spill().
     """
     budget = 100.0 - sum(s for _, s in sleeves)
     best = scored.where(F.col("position") <= cores)
-    parts = split_budget(best, ["client_id"], "composite", budget)
-    w = W.partitionBy("client_id")
-    gap = half_up(budget - F.sum("pct").over(w), 1)
-    parts = parts.withColumn("pct", F.when(F.col("position") == 1, half_up(F.col("pct") + gap, 1)).otherwise(F.col("pct")))
-    core = parts.select("client_id", F.col("position").alias("pos"), F.col("fund_id").cast("string").alias("fund"), F.lit("core").alias("role"), "pct", "alpha_n")
-    fixed = F.array(*(F.struct(F.lit(cores + 1 + i).alias("pos"), F.lit(code).alias("fund"), F.lit("sleeve").alias("role"), F.lit(float(s)).alias("pct"), F.lit(None).cast("double").alias("alpha_n")) for i, (code, s) in enumerate(sleeves)))
-    added = best.select("client_id").distinct().select("client_id", F.inline(fixed)) if sleeves else None
-    return core.unionByName(added) if added is not None else core
+    own = best.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("position", F.col("fund_id").cast("string").alias("fund"), F.col("composite").cast("double").alias("c"), "alpha_n"))).alias("own"), *([F.max(F.col("cap").cast("double")).alias("cap")] if "cap" in scored.columns else []))
+    own = computed(own, total=F.aggregate("own", F.lit(0.0), lambda a, o: a + F.coalesce(o["c"], F.lit(0.0))))
+    share = lambda o: half_up(F.when(F.col("total") > 0, budget * o["c"] / F.col("total")).otherwise(budget / F.size("own")), 1)
+    own = computed(own, shares=F.transform("own", share))
+    gap = half_up(budget - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x), 1)
+    own = computed(computed(own, gap=gap), shares=F.transform("shares", lambda x, i: F.when(i == 0, half_up(x + F.col("gap"), 1)).otherwise(x)))
+    spill = F.lit(0.0)
+    if "cap" in scored.columns and sleeves:
+        own, spill = cap_and_spill(own).drop("shares").withColumnRenamed("capped", "shares"), F.col("spill")
+    row = lambda pos, fund, role, pct, alpha: F.struct(pos.cast("int").alias("pos"), fund.alias("fund"), F.lit(role).alias("role"), pct.alias("pct"), alpha.cast("double").alias("alpha_n"))
+    held = F.transform("own", lambda o, i: row(o["position"], o["fund"], "core", F.get("shares", i), o["alpha_n"]))
+    fixed = [row(F.lit(cores + 1 + i), F.lit(code), "sleeve", F.lit(float(x)) if i else half_up(F.lit(float(x)) + spill, 1), F.lit(None)) for i, (code, x) in enumerate(sleeves)]
+    return own.select("client_id", F.inline(F.concat(held, F.array(*fixed)) if fixed else held))
 
 
 def outlier_swap(portfolio: DataFrame, candidates: DataFrame, blocked: DataFrame | None = None, least: float = 80.0, top: int = 5, exempt: tuple[str, ...] = ("Aggressive",)) -> DataFrame:
     """The weakest core of each portfolio gives its share to the first of the top candidates that passes every gate.
 
     portfolio: client_id, profile, pos, fund, role, pct, alpha_n. candidates: client_id, fund, position, alpha_n, alpha_3y, alpha_5y,
-    matches. The candidates are cut to top before the gates. Gates: 3-year alpha positive (null fails), 5-year alpha positive
-    where known, alpha_n of least or more, matches, and no overlap (blocked: client_id, fund). Exempt profiles keep what they have.
+    matches (the client's wish is met), and qualified where the table has it: those that aren't are no candidates at all.
+    The candidates that aren't held are cut to top before the gates. Gates: 3-year alpha positive (null fails), 5-year alpha positive
+    where known, alpha_n of least or more, matches, and no overlap (blocked: client_id, fund; see blocked_by()). Exempt profiles keep what they have.
     """
     held = portfolio.select("client_id", "fund")
-    free = candidates.join(held, ["client_id", "fund"], "left_anti")
+    free = (candidates.where(F.coalesce("qualified", F.lit(False))) if "qualified" in candidates.columns else candidates).join(held, ["client_id", "fund"], "left_anti")
     free = free.withColumn("nth", F.row_number().over(W.partitionBy("client_id").orderBy("position"))).where(F.col("nth") <= top)
     good = free.where((F.col("alpha_3y") > 0) & F.coalesce(F.col("alpha_5y") > 0, F.lit(True)) & (F.col("alpha_n") >= least) & F.col("matches"))
     good = good if blocked is None else good.join(blocked, ["client_id", "fund"], "left_anti")
@@ -120,26 +153,57 @@ def outlier_swap(portfolio: DataFrame, candidates: DataFrame, blocked: DataFrame
     return _swapped(portfolio, pick.select("client_id", F.col("pick.fund").alias("new_fund"), F.col("pick.alpha_n").alias("new_alpha")), "outlier", ~F.col("profile").isin(*exempt))
 
 
-def gap_swap(portfolio: DataFrame, candidates: DataFrame, gaps: DataFrame, most: float = 15.0) -> DataFrame:
-    """Where gaps (client_id) are declared and no outlier is held, the best candidate by 3-year alpha (positive, not held) takes the weakest core's place with most at the most;
-    what is freed goes to the other cores in proportion."""
+def blocked_by(portfolio: DataFrame, pairs: DataFrame) -> DataFrame:
+    """client_id and fund of each fund that overlaps a held core: pairs (a, b) as overlaps() gives them."""
+    both = pairs.select(F.col("a").cast("string").alias("core"), F.col("b").cast("string").alias("fund")).unionByName(pairs.select(F.col("b").cast("string").alias("core"), F.col("a").cast("string").alias("fund")))
+    cores = portfolio.where("role = 'core'").select("client_id", F.col("fund").alias("core"))
+    return cores.join(both, "core").select("client_id", "fund").distinct()
+
+
+def gap_pick(candidates: DataFrame, portfolio: DataFrame | None = None, gaps: DataFrame | None = None, tie: str = "fund", by: str = "client_id") -> DataFrame:
+    """by, new_fund and new_alpha: the candidate (by, fund, alpha_n, alpha_3y) with the greatest positive 3-year alpha, of equal ones the least by tie; with a portfolio none that is held, with gaps only their clients."""
+    good = candidates.where(F.col("alpha_3y") > 0)
+    good = good if portfolio is None else good.join(portfolio.select(by, "fund"), [by, "fund"], "left_anti")
+    good = good if gaps is None else good.join(gaps.select(by).distinct(), by, "left_semi")
+    best = good.groupBy(by).agg(F.min_by(F.struct("fund", "alpha_n"), F.struct(-F.col("alpha_3y"), F.col(tie))).alias("pick"))
+    return best.select(by, F.col("pick.fund").alias("new_fund"), F.col("pick.alpha_n").alias("new_alpha"))
+
+
+def gap_swap(portfolio: DataFrame, pick: DataFrame, gaps: DataFrame, most: float = 15.0, default_cap: float = 50.0) -> DataFrame:
+    """Where gaps (client_id) are declared and no outlier is held, pick (client_id, new_fund, new_alpha; see gap_pick()) takes the weakest core's place with most at the most.
+
+    What is freed goes to the other cores in proportion to their shares, in equal parts where these sum to 0; what rounding leaves goes to the
+    largest holding (the first of equals). A core over its cap (column cap of portfolio, else default_cap) is then cut to it, and what it
+    loses fills the other cores up to theirs and then the first sleeve; see cap_and_spill(). The new fund can be cut but is never filled. One shuffle by client: a portfolio is an array.
+    """
+    wanted = gaps.select("client_id").distinct().join(pick, "client_id")
     no_outlier = F.max(F.when(F.col("role") == "outlier", 1).otherwise(0)).over(W.partitionBy("client_id")) == 0
-    held = portfolio.select("client_id", "fund")
-    good = candidates.where(F.col("alpha_3y") > 0).join(held, ["client_id", "fund"], "left_anti").join(gaps.select("client_id").distinct(), "client_id", "left_semi")
-    pick = good.groupBy("client_id").agg(F.max_by(F.struct("fund", "alpha_n"), F.struct("alpha_3y", F.col("fund"))).alias("pick")).select("client_id", F.col("pick.fund").alias("new_fund"), F.col("pick.alpha_n").alias("new_alpha"))
-    out = _swapped(portfolio, pick, "gap", no_outlier).withColumn("old", F.col("pct"))
-    w = W.partitionBy("client_id")
-    freed = F.sum(F.when(F.col("role") == "gap", F.greatest(F.col("old") - most, F.lit(0.0))).otherwise(0.0)).over(w)
-    core_sum = F.sum(F.when(F.col("role") == "core", F.col("old")).otherwise(0.0)).over(w)
-    cores = F.sum(F.when(F.col("role") == "core", 1).otherwise(0)).over(w)
-    out = out.withColumns({"freed": freed, "core_sum": core_sum, "cores": cores})
-    part = F.when(F.col("core_sum") > 0, F.col("freed") * F.col("old") / F.col("core_sum")).otherwise(F.col("freed") / F.col("cores"))
-    # without a core that could take it, nothing is freed
-    pct = F.when((F.col("role") == "gap") & (F.col("cores") > 0), F.least(F.col("old"), F.lit(most))).when((F.col("role") == "core") & (F.col("freed") > 0), half_up(F.col("old") + part, 1)).otherwise(F.col("old"))
-    out = out.withColumn("pct", pct)
-    first = F.row_number().over(w.orderBy(F.when(F.col("role") == "core", 0).otherwise(1), F.desc("pct"), "pos")) == 1
-    rest = half_up(F.sum("old").over(w) - F.sum("pct").over(w), 1)
-    return out.withColumn("pct", F.when(first, half_up(F.col("pct") + rest, 1)).otherwise(F.col("pct"))).drop("old", "freed", "core_sum", "cores")
+    out = _swapped(portfolio, wanted, "gap", no_outlier)
+    columns = [c for c in out.columns if c != "client_id"]
+    cap = F.col("cap").cast("double") if "cap" in columns else F.lit(default_cap)
+    # core: 1, gap: 2, others: 0; arrays in the order of pos
+    kind = F.when(F.col("role") == "core", 1).when(F.col("role") == "gap", 2).otherwise(0)
+    book = out.withColumns({"_cap": cap, "_kind": kind, "_pct": F.col("pct").cast("double")}).groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(*columns).alias("row"), F.col("_pct").alias("p"), F.col("_kind").alias("k")))).alias("h"), F.max("_cap").alias("cap"))
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
+    freed = total("h", lambda x: F.when(x["k"] == 2, F.greatest(x["p"] - most, F.lit(0.0))).otherwise(0.0))
+    core_sum, cores = total("h", lambda x: F.when(x["k"] == 1, x["p"]).otherwise(0.0)), F.size(F.filter("h", lambda x: x["k"] == 1))
+    book = computed(book, freed=freed, core_sum=core_sum, cores=cores, swapped=F.exists("h", lambda x: x["k"] == 2))
+    part = lambda x: half_up(x["p"] + F.when(F.col("core_sum") > 0, F.col("freed") * x["p"] / F.col("core_sum")).otherwise(F.col("freed") / F.col("cores")), 1)
+    moved = F.transform("h", lambda x: F.when(x["k"] == 2, F.least(x["p"], F.lit(most))).when((x["k"] == 1) & (F.col("freed") > 0), part(x)).otherwise(x["p"]))
+    book = computed(book, p=F.when(F.col("swapped"), moved).otherwise(F.transform("h", lambda x: x["p"])))
+    rest = F.when(F.col("swapped"), half_up(100 - total("p", lambda x: x), 1)).otherwise(0.0)
+    book = computed(book, rest=rest, largest=F.array_position("p", F.array_max("p")) - 1)
+    book = computed(book, p=F.transform("p", lambda x, i: F.when((i == F.col("largest")) & (F.col("rest") != 0), half_up(x + F.col("rest"), 1)).otherwise(x)))
+    sleeve = F.get(F.filter(F.transform("h", lambda x, i: F.when(x["k"] == 0, i)), lambda i: i.isNotNull()), 0)
+    # without a sleeve that could take what is over, nothing is cut
+    book = computed(book, sleeve=F.when(F.col("swapped"), sleeve))
+    book = cap_and_spill(computed(book, shares=F.filter("p", lambda x, i: F.col("sleeve").isNotNull() & (F.get("h", i)["k"] == 1))))
+    nth = lambda i: F.size(F.filter(F.slice("h", 1, i + 1), lambda x: x["k"] == 1)) - 1
+    over = F.aggregate(F.filter("p", lambda x, i: F.get("h", i)["k"] == 2), F.lit(0.0), lambda t, x: t + F.greatest(x - F.col("cap"), F.lit(0.0)))
+    final = F.transform("p", lambda x, i: F.when(F.col("sleeve").isNull(), x).when(F.get("h", i)["k"] == 1, F.get("capped", nth(i))).when(F.get("h", i)["k"] == 2, F.least(x, F.col("cap"))).when(i == F.col("sleeve"), half_up(x + F.col("spill") + over, 1)).otherwise(x))
+    book = computed(book, p=final)
+    rows = book.select("client_id", F.inline(F.transform("h", lambda x, i: F.struct(x["row"].alias("row"), F.get("p", i).alias("p")))))
+    return rows.select(*(F.col("p").alias("pct") if c == "pct" else F.col("client_id") if c == "client_id" else F.col(f"row.{c}").alias(c) for c in portfolio.columns))
 
 
 def _swapped(portfolio: DataFrame, pick: DataFrame, role: str, allowed: Column) -> DataFrame:

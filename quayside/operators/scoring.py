@@ -47,12 +47,13 @@ def profile_weights(clients: DataFrame, profiles: Mapping[str, tuple] = PROFILES
 def universes(clients: DataFrame, funds: DataFrame) -> DataFrame:
     """(ceiling, preference) of the clients that there are, joined to the funds each admits: not too risky, and of the wanted kind where there is a wish.
 
-    A few ceilings times three preferences, whatever the number of clients; so the distinct pairs are few rows and
-    the join stays funds times universes.
+    A fund answers to two wishes, none and its own kind, so wishes are an equi-join and only the ceiling is compared. The
+    distinct pairs are as few as ceilings times three, but nothing depends on that: the join's kind is chosen by their size.
     """
-    kinds = clients.select("ceiling", "preference").distinct().limit(3 * 64)  # a ceiling is one of the profiles', a preference true, false or none
-    fits = (F.col("risk_level") <= F.col("ceiling")) & (F.col("preference").isNull() | F.col("preference").eqNullSafe(F.col("screened")))
-    return funds.join(F.broadcast(kinds), fits)
+    wish = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1))
+    kinds = clients.select("ceiling", "preference", wish("preference").alias("_wish")).distinct()
+    answers = funds.select("*", F.explode(F.array_distinct(F.array(F.lit(-1), wish("screened")))).alias("_answer"))
+    return answers.join(kinds, (F.col("_answer") == F.col("_wish")) & (F.col("risk_level") <= F.col("ceiling"))).drop("_answer", "_wish")
 
 
 def percentile(x: Column, window) -> Column:
@@ -71,7 +72,8 @@ def scores(clients: DataFrame, funds: DataFrame) -> DataFrame:
     (fund_id, class, risk_level, screened, alpha, blended, efficiency, momentum).
 
     Alpha and efficiency are percentiles of the class within the client's universe; where all blended
-    returns of a class are negative, so is everyone's fit: 0. The clients, grouped by universe, meet its members by an equi-join.
+    returns of a class are negative, so is everyone's fit: 0 (a maximum over the partition that percentiles need anyway, so no
+    shuffle of its own). The clients, grouped by universe, meet its members by an equi-join.
     """
     weighted = profile_weights(clients)
     members = class_percentiles(universes(weighted, funds), ["ceiling", "preference", "class"], {"alpha_n": "alpha", "efficiency_n": "efficiency"})

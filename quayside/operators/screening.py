@@ -49,17 +49,21 @@ def master_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id
     return rows.withColumn("position", F.row_number().over(order))
 
 
-def ranked_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id") -> DataFrame:
+def ranked_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id", span: int = 1 << 16) -> DataFrame:
     """master_order() for tables of any size.
 
     A window without a partition puts all rows into one task. Here rows are numbered within
     steps of a tenth of the score, and each step starts after the sum of those before it:
-    only a count for each step, bounded by the range of scores, is ordered in one task.
+    only a count for each step, bounded by the range of scores, is ordered in one task. Rows whose two scores are both missing
+    or 0 may be very many; they differ in tie only, so, if that is a whole number, each span of it is a step of its own.
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, types)), F.col("fund_type")), F.lit(0)), F.lit(9)) if types else F.lit(0)
-    fall = -F.coalesce(F.col("weighted_alpha"), F.lit(0.0))
-    keyed = rows.withColumns({"_q": (~F.col("qualified")).cast("int"), "_t": rank, "_a": fall, "_b": -F.coalesce(F.col("alpha_3y"), F.lit(0.0)), "_s": F.floor(fall * 10)})
-    steps = ["_q", "_t", "_s"]
+    fall, second = (-F.coalesce(F.col(c), F.lit(0.0)) + 0.0 for c in ("weighted_alpha", "alpha_3y"))
+    side = F.when(fall == 0, F.signum(second).cast("int") + 1).otherwise(F.when(fall < 0, 0).otherwise(2))
+    whole = rows.schema[tie].dataType.typeName() in ("byte", "short", "integer", "long")
+    apart = F.when((fall == 0) & (second == 0), F.floor(F.col(tie) / span)).otherwise(0) if whole else F.lit(0)
+    keyed = rows.withColumns({"_q": (~F.col("qualified")).cast("int"), "_t": rank, "_a": fall, "_b": second, "_s": F.floor(fall * 10), "_e": side, "_z": apart})
+    steps = ["_q", "_t", "_s", "_e", "_z"]
     before = F.sum("_n").over(W.orderBy(*steps).rowsBetween(W.unboundedPreceding, -1))
     starts = keyed.groupBy(*steps).agg(F.count(F.lit(1)).alias("_n")).select(*steps, F.coalesce(before, F.lit(0)).alias("_start"))
     nth = F.row_number().over(W.partitionBy(*steps).orderBy("_a", "_b", tie))

@@ -142,13 +142,13 @@ def _kinds(spark, sf_dir):
 
 def _scored_kinds(spark, sf_dir, k: int):
     kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
-    return scoring.best_of(scoring.scores(kinds, V.measured(spark, sf_dir)), k).withColumnRenamed("client_id", "kind").drop("profile")
+    return scoring.best_of(scoring.scores(kinds, V.measured(spark, sf_dir)), k).withColumnRenamed("client_id", "kind")
 
 
 @query("SELECT client_id, fund_id, composite, alpha_n, returnfit_n, efficiency_n, momentum_n, position FROM client_v c JOIN ranked_v r ON c.profile = r.profile AND c.target_pct = r.target_pct AND c.preference IS NOT DISTINCT FROM r.preference WHERE position <= 5")
 def score_rank(spark, sf_dir):
     """The five best funds of every client, scored once for each kind of client."""
-    best = _scored_kinds(spark, sf_dir, 5)
+    best = _scored_kinds(spark, sf_dir, 5).drop("profile")
     return _kinds(spark, sf_dir).join(best, "kind").select("client_id", "fund_id", "composite", "alpha_n", "returnfit_n", "efficiency_n", "momentum_n", "position")
 
 
@@ -212,65 +212,128 @@ def cap_and_spill(spark, sf_dir):
     return out.select("portfolio_id", F.get("capped", 0).alias("core_1"), F.get("capped", 1).alias("core_2"), "spill")
 
 
-BASE = """, best AS (SELECT c.client_id, r.position, r.fund_id, r.composite, r.alpha_n FROM client_v c JOIN ranked_v r ON c.profile = r.profile AND c.target_pct = r.target_pct AND c.preference IS NOT DISTINCT FROM r.preference WHERE position <= 2),
-split AS (SELECT *, round(CASE WHEN sum(composite) OVER (PARTITION BY client_id) > 0 THEN 80 * composite / sum(composite) OVER (PARTITION BY client_id) ELSE 80.0 / count(*) OVER (PARTITION BY client_id) END, 1) AS p FROM best),
-base AS (SELECT client_id, position AS pos, fund_id::VARCHAR AS fund, 'core' AS role, CASE WHEN position = 1 THEN round(p + round(80 - sum(p) OVER (PARTITION BY client_id), 1), 1) ELSE p END AS pct, alpha_n FROM split
-UNION ALL SELECT DISTINCT client_id, 3, 'GOLD', 'sleeve', 10.0, NULL FROM best UNION ALL SELECT DISTINCT client_id, 4, 'CASH', 'sleeve', 10.0, NULL FROM best)"""
+BASE = """, best AS (SELECT profile, target_pct, preference, position, fund_id, composite, alpha_n, count(*) OVER k AS n, sum(composite) OVER k AS total FROM ranked_v WHERE position <= 2 WINDOW k AS (PARTITION BY profile, target_pct, preference)),
+split AS (SELECT *, round(CASE WHEN total > 0 THEN 80 * composite / total ELSE 80.0::DOUBLE / n END, 1) AS p FROM best),
+two AS (SELECT profile, target_pct, preference, cap, any_value(n) AS n, round(max(p) FILTER (WHERE position = 1) + round(80 - sum(p), 1), 1) AS a, max(p) FILTER (WHERE position = 2) AS b FROM split JOIN profile_v USING (profile) GROUP BY 1, 2, 3, 4),
+one AS (SELECT *, least(a, cap) AS a1, b + least(greatest(a - cap, 0), greatest(cap - b, 0)) AS b1, greatest(a - cap, 0) - coalesce(least(greatest(a - cap, 0), greatest(cap - b, 0)), 0) AS left1 FROM two),
+capped AS (SELECT *, round(a1 + coalesce(least(greatest(b1 - cap, 0), greatest(cap - a1, 0)), 0), 1) AS core1, round(least(b1, cap), 1) AS core2, round(left1 + coalesce(greatest(b1 - cap, 0) - least(greatest(b1 - cap, 0), greatest(cap - a1, 0)), 0), 1) AS spill FROM one),
+kind_base AS (SELECT s.profile, s.target_pct, s.preference, s.position AS pos, s.fund_id::VARCHAR AS fund, 'core' AS role, CASE WHEN s.position = 1 THEN core1 ELSE core2 END AS pct, s.alpha_n FROM split s JOIN capped c ON s.profile = c.profile AND s.target_pct = c.target_pct AND s.preference IS NOT DISTINCT FROM c.preference
+UNION ALL SELECT profile, target_pct, preference, 3, 'GOLD', 'sleeve', round(10 + spill, 1), NULL FROM capped UNION ALL SELECT profile, target_pct, preference, 4, 'CASH', 'sleeve', 10.0, NULL FROM capped)"""
 SLEEVES = [("GOLD", 10.0), ("CASH", 10.0)]
+#: The rows of all clients from those of their kind, in a relation {0}.
+OF_CLIENTS = " SELECT client_id, pos, fund, role, pct, alpha_n FROM client_v c JOIN {0} b ON c.profile = b.profile AND c.target_pct = b.target_pct AND c.preference IS NOT DISTINCT FROM b.preference"
 
 
-def _bases(spark, sf_dir):
+def _book(spark, sf_dir):
+    """Base portfolios of the kinds of client (client_id: the kind), with their profile, cap and wish. What clients of one kind hold is the same, so substitutions are made for kinds as well."""
     best = _scored_kinds(spark, sf_dir, 2).withColumnRenamed("kind", "client_id")
-    base = portfolio.base_portfolio(best, SLEEVES).withColumnRenamed("client_id", "kind")
-    return _kinds(spark, sf_dir).select("client_id", "kind", "profile").join(base, "kind").drop("kind")
+    base = portfolio.base_portfolio(best.withColumn("cap", scoring.profile_value(F.col("profile"), 3)), SLEEVES)
+    kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "preference").distinct()
+    return base.join(kinds.withColumn("cap", scoring.profile_value(F.col("profile"), 3)), "client_id")
 
 
-@query(BASE + " SELECT client_id, pos, fund, role, pct, alpha_n FROM base")
-def base_portfolio(spark, sf_dir):
-    return _bases(spark, sf_dir).select("client_id", "pos", "fund", "role", "pct", "alpha_n")
-
+def _of_clients(spark, sf_dir, book):
+    rows = book.select(F.col("client_id").alias("kind"), "pos", "fund", "role", "pct", "alpha_n")
+    return _kinds(spark, sf_dir).select("client_id", "kind").join(rows, "kind").drop("kind")
 
-def _candidates(spark, sf_dir):
-    best = _scored_kinds(spark, sf_dir, 10)
-    alpha = V.wide_alphas(spark, sf_dir).select("fund_id", "alpha_3y", "alpha_5y")
-    rows = _kinds(spark, sf_dir).select("client_id", "kind").join(best, "kind").join(alpha, "fund_id", "left")
-    return rows.select("client_id", F.col("fund_id").cast("string").alias("fund"), "position", "alpha_n", "alpha_3y", "alpha_5y", F.lit(True).alias("matches"))
 
-
-SWAP = BASE + """, cand AS (SELECT client_id, r.fund_id::VARCHAR AS fund, position, alpha_n, w.alpha_3y, w.alpha_5y FROM client_v c JOIN ranked_v r ON c.profile = r.profile AND c.target_pct = r.target_pct AND c.preference IS NOT DISTINCT FROM r.preference LEFT JOIN wide_v w ON w.fund_id = r.fund_id WHERE position <= 10),
-free AS (SELECT * FROM cand WHERE (client_id, fund) NOT IN (SELECT client_id, fund FROM base)),
-top AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY position) AS nth FROM free),
-pick AS (SELECT client_id, arg_min(fund, nth) AS new_fund, arg_min(alpha_n, nth) AS new_alpha FROM top WHERE nth <= 5 AND alpha_3y > 0 AND coalesce(alpha_5y > 0, true) AND alpha_n >= 80 GROUP BY 1),
-weak AS (SELECT b.*, c.profile, b.role = 'core' AND row_number() OVER (PARTITION BY b.client_id ORDER BY (b.role = 'core') DESC, coalesce(b.alpha_n, 0), b.pos) = 1 AS weakest FROM base b JOIN client_v c USING (client_id)),
-swapped AS (SELECT client_id, profile, pos, CASE WHEN s THEN new_fund ELSE fund END AS fund, CASE WHEN s THEN 'outlier' ELSE role END AS role, pct, CASE WHEN s THEN new_alpha ELSE alpha_n END AS alpha_n FROM (SELECT *, weakest AND profile <> 'Aggressive' AND new_fund IS NOT NULL AS s FROM weak LEFT JOIN pick USING (client_id)))"""
+@query(BASE + OF_CLIENTS.format("kind_base"))
+def base_portfolio(spark, sf_dir):
+    return _of_clients(spark, sf_dir, _book(spark, sf_dir))
 
 
-@query(SWAP + " SELECT client_id, pos, fund, role, pct, alpha_n FROM swapped")
+def _scored_with_facts(spark, sf_dir):
+    """The scores of all funds for all kinds, with what the substitutions ask of a fund."""
+    kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
+    facts = V.screened(spark, sf_dir).select("fund_id", "qualified").join(V.wide_alphas(spark, sf_dir).select("fund_id", "alpha_3y", "alpha_5y"), "fund_id")
+    return scoring.scores(kinds, V.measured(spark, sf_dir)).join(facts, "fund_id", "left")
+
+
+#: Candidates for the outlier may be of any kind: every seventh fund is said not to be of the wanted one. Funds overlap where their first letters of name and sizes are alike.
+SWAP = BASE + """, wanted AS (SELECT *, row_number() OVER (PARTITION BY r.profile, r.target_pct, r.preference ORDER BY composite DESC, alpha_n DESC, efficiency_n DESC, fund_id) AS qposition FROM ranked_v r JOIN screened_v USING (fund_id) WHERE qualified),
+cand AS (SELECT r.profile, r.target_pct, r.preference, r.fund_id::VARCHAR AS fund, qposition, r.alpha_n, w.alpha_3y, w.alpha_5y, r.fund_id % 7 <> 0 AS matches FROM wanted r LEFT JOIN wide_v w ON w.fund_id = r.fund_id WHERE qposition <= 7),
+free AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM kind_base b WHERE b.profile = c.profile AND b.target_pct = c.target_pct AND b.preference IS NOT DISTINCT FROM c.preference AND b.fund = c.fund)),
+top AS (SELECT *, row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY qposition) AS nth FROM free),
+token_v AS (SELECT fund_id::VARCHAR AS fund, place AS item FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY share DESC, place) AS n FROM geo_v) WHERE n <= 5),
+hit AS (SELECT t.profile, t.target_pct, t.preference, t.fund FROM top t JOIN kind_base b ON b.profile = t.profile AND b.target_pct = t.target_pct AND b.preference IS NOT DISTINCT FROM t.preference AND b.role = 'core' JOIN token_v x ON x.fund = t.fund JOIN token_v y ON y.fund = b.fund AND x.item = y.item WHERE nth <= 5 GROUP BY 1, 2, 3, 4, b.fund HAVING count(*) >= 3),
+pick AS (SELECT profile, target_pct, preference, arg_min(fund, nth) AS new_fund, arg_min(alpha_n, nth) AS new_alpha FROM top t WHERE nth <= 5 AND alpha_3y > 0 AND coalesce(alpha_5y > 0, true) AND alpha_n >= 80 AND matches
+         AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.profile = t.profile AND h.target_pct = t.target_pct AND h.preference IS NOT DISTINCT FROM t.preference AND h.fund = t.fund) GROUP BY 1, 2, 3),
+weak AS (SELECT *, role = 'core' AND row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY (role = 'core') DESC, coalesce(alpha_n, 0), pos) = 1 AS weakest FROM kind_base),
+swapped AS (SELECT w.profile, w.target_pct, w.preference, pos, CASE WHEN weakest AND w.profile <> 'Aggressive' AND new_fund IS NOT NULL THEN new_fund ELSE fund END AS fund, CASE WHEN weakest AND w.profile <> 'Aggressive' AND new_fund IS NOT NULL THEN 'outlier' ELSE role END AS role, pct,
+            CASE WHEN weakest AND w.profile <> 'Aggressive' AND new_fund IS NOT NULL THEN new_alpha ELSE alpha_n END AS alpha_n FROM weak w LEFT JOIN pick p ON p.profile = w.profile AND p.target_pct = w.target_pct AND p.preference IS NOT DISTINCT FROM w.preference)"""
+
+
+def _tokens(spark, sf_dir):
+    """The five places where most of a fund is, as its top holdings."""
+    nth = F.row_number().over(W.partitionBy("fund_id").orderBy(F.desc("share"), "place"))
+    return V.places(spark, sf_dir).withColumn("n", nth).where("n <= 5").select("fund_id", F.col("place").alias("item"))
+
+
+def _swapped(spark, sf_dir, book):
+    """The book after the outlier's substitution: qualified funds only, every seventh fund isn't of the wanted kind, and none that shares three of its top places with a held core."""
+    wanted = _scored_with_facts(spark, sf_dir).where("qualified")
+    cand = scoring.best_of(wanted, 5 + 2)  # those that aren't held are cut to five by the operator, and no more than two are
+    cand = cand.select("client_id", F.col("fund_id").cast("string").alias("fund"), "position", "alpha_n", "alpha_3y", "alpha_5y", (F.col("fund_id") % 7 != 0).alias("matches"), "qualified")
+    # only baskets of funds that are held or asked for meet; those are a few for each kind
+    asked = cand.select("fund").unionByName(book.where("role = 'core'").select("fund")).distinct()
+    tokens = _tokens(spark, sf_dir).withColumn("fund", F.col("fund_id").cast("string")).join(asked, "fund", "left_semi")
+    blocked = portfolio.blocked_by(book, portfolio.overlaps(tokens, "fund"))
+    return portfolio.outlier_swap(book, cand, blocked)
+
+
+@query(SWAP + OF_CLIENTS.format("swapped"))
 def outlier_swap(spark, sf_dir):
-    out = portfolio.outlier_swap(_bases(spark, sf_dir), _candidates(spark, sf_dir))
-    return out.select("client_id", "pos", "fund", "role", "pct", "alpha_n")
+    return _of_clients(spark, sf_dir, _swapped(spark, sf_dir, _book(spark, sf_dir)))
 
 
-@query()
-def gap_swap(spark, sf_dir):
-    """Clients without a preference have declared a gap."""
-    swapped = portfolio.outlier_swap(_bases(spark, sf_dir), _candidates(spark, sf_dir))
-    gaps = V.clients(spark, sf_dir).where("preference IS NULL").select("client_id")
-    return portfolio.gap_swap(swapped, _candidates(spark, sf_dir), gaps).select("client_id", "pos", "fund", "role", "pct", "alpha_n")
+#: The outlier's share is its core's; a gap is declared by clients without a preference, and the aggressive ones have no outlier.
+GAP = SWAP + """, gap_cand AS (SELECT r.profile, r.target_pct, r.preference, r.fund_id::VARCHAR AS fund, r.alpha_n, w.alpha_3y FROM ranked_v r JOIN wide_v w USING (fund_id) WHERE r.preference IS NULL AND w.alpha_3y > 0),
+gap_pick AS (SELECT profile, target_pct, arg_min(fund, (-alpha_3y, fund)) AS new_fund, arg_min(alpha_n, (-alpha_3y, fund)) AS new_alpha FROM gap_cand g WHERE NOT EXISTS (SELECT 1 FROM swapped s WHERE s.profile = g.profile AND s.target_pct = g.target_pct AND s.preference IS NULL AND s.fund = g.fund) GROUP BY 1, 2),
+state AS (SELECT *, bool_or(role = 'outlier') OVER k AS has_outlier, role = 'core' AND row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY (role = 'core') DESC, coalesce(alpha_n, 0), pos) = 1 AS weakest FROM swapped WINDOW k AS (PARTITION BY profile, target_pct, preference)),
+picked AS (SELECT s.*, coalesce(p.new_fund IS NOT NULL AND s.preference IS NULL AND NOT has_outlier, false) AS swaps, new_fund, new_alpha FROM state s LEFT JOIN gap_pick p ON p.profile = s.profile AND p.target_pct = s.target_pct AND s.preference IS NULL),
+moved AS (SELECT profile, target_pct, preference, pos, swaps, CASE WHEN swaps AND weakest THEN new_fund ELSE fund END AS fund, CASE WHEN swaps AND weakest THEN 'gap' ELSE role END AS role, pct AS old, CASE WHEN swaps AND weakest THEN new_alpha ELSE alpha_n END AS alpha_n FROM picked),
+sums AS (SELECT *, coalesce(sum(greatest(old - 15, 0)) FILTER (WHERE role = 'gap') OVER k, 0) AS freed, coalesce(sum(old) FILTER (WHERE role = 'core') OVER k, 0) AS core_sum, count(*) FILTER (WHERE role = 'core') OVER k AS cores FROM moved WINDOW k AS (PARTITION BY profile, target_pct, preference)),
+shared AS (SELECT *, CASE WHEN role = 'gap' THEN least(old, 15) WHEN swaps AND role = 'core' AND freed > 0 THEN round(old + CASE WHEN core_sum > 0 THEN freed * old / core_sum ELSE freed / cores END, 1) ELSE old END AS p1 FROM sums),
+rest AS (SELECT *, CASE WHEN swaps AND row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY p1 DESC, pos) = 1 THEN round(p1 + round(100 - sum(p1) OVER (PARTITION BY profile, target_pct, preference), 1), 1) ELSE p1 END AS p2 FROM shared),
+over_v AS (SELECT r.*, CASE WHEN swaps AND role IN ('core', 'gap') THEN greatest(p2 - cap, 0) ELSE 0 END AS over_cap FROM rest r JOIN profile_v USING (profile)),
+kind_gap AS (SELECT profile, target_pct, preference, pos, fund, role, CASE WHEN over_cap > 0 THEN round(p2 - over_cap, 1) WHEN swaps AND pos = 3 THEN round(p2 + sum(over_cap) OVER (PARTITION BY profile, target_pct, preference), 1) ELSE p2 END AS pct, alpha_n FROM over_v)"""
 
 
-@query(SWAP + """, facts AS (SELECT fund_id::VARCHAR AS fund, risk_level FROM fund_v), h AS (SELECT s.*, least(cap, 50) - 9 AS own_cap, ceiling FROM swapped s JOIN profile_v USING (profile)),
-by_c AS (SELECT client_id, round(sum(pct::DECIMAL(18,4))::DOUBLE, 2) AS total, count(*) AS n, count(DISTINCT fund) AS funds FROM h GROUP BY 1)
-SELECT client_id::VARCHAR AS subject, 'sum' AS code FROM by_c WHERE abs(total - 100) > 0.5 UNION ALL SELECT client_id::VARCHAR, 'count' FROM by_c WHERE n <> 4 UNION ALL SELECT client_id::VARCHAR, 'duplicate_holding' FROM by_c WHERE funds < n
-UNION ALL SELECT client_id::VARCHAR, 'concentration_cap' FROM h WHERE pct > own_cap + 0.05 UNION ALL SELECT client_id::VARCHAR, 'rl_ceiling' FROM h JOIN facts USING (fund) WHERE role NOT IN ('outlier', 'sleeve') AND risk_level > ceiling
+@query(GAP + OF_CLIENTS.format("kind_gap"))
+def gap_swap(spark, sf_dir):
+    """Clients without a preference have declared a gap; all their funds are candidates."""
+    swapped = _swapped(spark, sf_dir, _book(spark, sf_dir))
+    gaps = swapped.where("preference IS NULL").select("client_id")
+    cand = _scored_with_facts(spark, sf_dir).select("client_id", F.col("fund_id").cast("string").alias("fund"), "alpha_n", "alpha_3y")
+    return _of_clients(spark, sf_dir, portfolio.gap_swap(swapped, portfolio.gap_pick(cand, swapped, gaps), gaps))
+
+
+@query(BASE + """, edited AS (SELECT profile, target_pct, preference, pos, CASE WHEN target_pct = 3 AND pos = 2 THEN (SELECT max(b.fund) FROM kind_base b WHERE b.profile = k.profile AND b.target_pct = k.target_pct AND b.preference IS NOT DISTINCT FROM k.preference AND b.pos = 1) WHEN target_pct = 4 AND pos = 1 THEN 'NONE' ELSE fund END AS fund,
+  CASE WHEN target_pct = 5 AND pos = 1 THEN pct + 40 WHEN target_pct = 6 AND pos = 3 THEN NULL ELSE pct END AS pct FROM kind_base k WHERE NOT (target_pct = 7 AND pos = 4)),
+bad AS (SELECT DISTINCT profile, target_pct, preference FROM edited WHERE pct IS NULL),
+good AS (SELECT e.*, coalesce(b.role, 'core') AS role FROM edited e LEFT JOIN (SELECT DISTINCT profile, target_pct, preference, fund, role FROM kind_base) b ON b.profile = e.profile AND b.target_pct = e.target_pct AND b.preference IS NOT DISTINCT FROM e.preference AND b.fund = e.fund
+         WHERE NOT EXISTS (SELECT 1 FROM bad x WHERE x.profile = e.profile AND x.target_pct = e.target_pct AND x.preference IS NOT DISTINCT FROM e.preference)
+         UNION ALL SELECT k.profile, k.target_pct, k.preference, pos, fund, pct, role FROM kind_base k JOIN bad x ON x.profile = k.profile AND x.target_pct = k.target_pct AND x.preference IS NOT DISTINCT FROM k.preference),
+h AS (SELECT client_id, g.*, cap, ceiling FROM client_v c JOIN good g ON c.profile = g.profile AND c.target_pct = g.target_pct AND c.preference IS NOT DISTINCT FROM g.preference JOIN profile_v v ON v.profile = c.profile),
+facts AS (SELECT fund_id::VARCHAR AS fund, risk_level FROM fund_v),
+by_c AS (SELECT client_id, round(sum(pct::DECIMAL(18,4))::DOUBLE, 2) AS total, count(*) AS n, count(DISTINCT fund) AS funds, count(*) FILTER (WHERE role = 'sleeve' AND fund = 'GOLD') > 0 AND count(*) FILTER (WHERE role = 'sleeve' AND fund = 'CASH') > 0 AS sleeves FROM h GROUP BY 1)
+SELECT client_id::VARCHAR AS subject, 'malformed_edit' AS code FROM client_v c JOIN edited e ON c.profile = e.profile AND c.target_pct = e.target_pct AND c.preference IS NOT DISTINCT FROM e.preference WHERE e.pct IS NULL
+UNION ALL SELECT client_id::VARCHAR, 'sum' FROM by_c WHERE abs(total - 100) > 0.5 UNION ALL SELECT client_id::VARCHAR, 'count' FROM by_c WHERE n <> 4 UNION ALL SELECT client_id::VARCHAR, 'duplicate_holding' FROM by_c WHERE funds < n UNION ALL SELECT client_id::VARCHAR, 'structural' FROM by_c WHERE NOT sleeves
+UNION ALL SELECT client_id::VARCHAR, 'concentration_cap' FROM h WHERE pct > cap + 0.05 UNION ALL SELECT client_id::VARCHAR, 'rl_ceiling' FROM h JOIN facts USING (fund) WHERE role NOT IN ('outlier', 'sleeve') AND risk_level > ceiling
 UNION ALL SELECT client_id::VARCHAR, 'universe' FROM h LEFT JOIN facts USING (fund) WHERE role <> 'sleeve' AND risk_level IS NULL""")
 def invariant_violations(spark, sf_dir):
-    """Held to a cap nine points below the profile's, so that there is something to find."""
-    held = portfolio.outlier_swap(_bases(spark, sf_dir), _candidates(spark, sf_dir))
-    cap = F.least(scoring.profile_value(F.col("profile"), 3), F.lit(50.0)) - 9
-    held = held.select(F.col("client_id").alias("portfolio_id"), "fund", "role", "pct", cap.alias("cap"), scoring.profile_value(F.col("profile"), 2).cast("int").alias("ceiling"))
+    """Base portfolios after edits by people: by target, one holds a fund twice, one a fund that nobody knows, one too much, one lacks a share (so the edit doesn't count), one lacks a sleeve."""
+    clients = _kinds(spark, sf_dir).select("client_id", "kind", "profile", "target_pct")
+    book = _book(spark, sf_dir).select(F.col("client_id").alias("kind"), "pos", "fund", "role", "pct", "alpha_n")
+    held = clients.join(book, "kind").drop("kind")
+    case = lambda target, pos: (F.col("target_pct") == target) & (F.col("pos") == pos)
+    first = F.max(F.when(F.col("pos") == 1, F.col("fund"))).over(W.partitionBy("client_id"))
+    edits = held.withColumn("first", first).where(~case(7, 4)).select("client_id", "pos", F.when(case(3, 2), F.col("first")).when(case(4, 1), "NONE").otherwise(F.col("fund")).alias("fund"), F.when(case(5, 1), F.col("pct") + 40).when(case(6, 3), F.lit(None)).otherwise(F.col("pct")).alias("pct"))
+    new, bad = portfolio.edited(held, edits)
+    new = new.join(clients.select("client_id", "profile"), "client_id")
+    rows = new.select(F.col("client_id").alias("portfolio_id"), "fund", "role", "pct", scoring.profile_value(F.col("profile"), 3).alias("cap"), scoring.profile_value(F.col("profile"), 2).cast("int").alias("ceiling"))
     facts = V.funds(spark, sf_dir).select(F.col("fund_id").cast("string").alias("fund"), "risk_level")
-    return checks.portfolio_violations(held, facts, structural=("GOLD", "CASH")).select("subject", "code")
+    return checks.all_of(checks.portfolio_violations(rows, facts, structural=("GOLD", "CASH")), checks.malformed_edits(bad)).select("subject", "code")
 
 
 SLICES = {"low": ["s1", "s2"], "middle": ["s3"], "high": ["s4"], "top": ["s5"]}

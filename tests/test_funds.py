@@ -34,7 +34,7 @@ def test_scalars(spark):
     assert one(spark, *(S.objective_class(lit(x)) for x in ("capital growth with dividends", "liquidity", "gold", "steady income", None))) == ("Capital Growth + Income", "Income", "Capital Growth", "Income", "")
     assert one(spark, *(S.asset_class(lit(n), lit(c)) for n, c in (("A Cash Deposit", ""), ("A", "Sukuk"), ("A Balanced", None), ("A Flexi", ""), ("A Income", "Equity Malaysia"), ("A Income", "Bond"), ("A Equity", "Global"), ("A", "Fixed"), ("A", "")))) == ("Money Market", "Bond / Sukuk", "Balanced", "Mixed Asset", "Equity - Malaysia", "Bond / Fixed Income", "Equity - Foreign", "Bond / Fixed Income", "Other")
     assert one(spark, *(S.place_of(lit(x)) for x in ("Asia Pacific X", "Far East", "ASEAN Fund", "US Fund", "plain"))) == ("Asia Pacific", "Asia Pacific", "ASEAN", "United States", "Malaysia")
-    assert one(spark, S.series_flag(lit("x shariah.pdf"), lit("A"), lit("B")), S.series_flag(lit("x"), lit("A"), lit("PIX")), S.series_flag(lit("x"), lit("A"), lit("PIX"), lit(False)), S.fund_type_or(lit(""), lit("Bond / Sukuk")), S.fund_type_or(lit(None), lit(None))) == (True, True, False, "Fixed Income", "Equity")
+    assert one(spark, S.series_flag(lit("x shariah.pdf"), lit("A"), lit("B")), S.series_flag(lit("x"), lit("A"), lit("QIX"), prefixes=["QI"]), S.series_flag(lit("x"), lit("A"), lit("QIX"), lit(False), ["QI"]), S.fund_type_or(lit(""), lit("Bond / Sukuk")), S.fund_type_or(lit(None), lit(None))) == (True, True, False, "Fixed Income", "Equity")
     assert one(spark, S.structural_role(lit("G"), {"G": "structural:gold"}), S.holding_label(lit("structural:gold"), lit("Balanced"), lit("")), S.holding_label(lit("core"), lit(None), lit("Fixed  Income")), S.holding_label(lit("core"), lit("Defensive"), lit("Equity"))) == ("structural:gold", "gold", "bond", "bond")
     assert one(spark, S.output_name(lit("Zoë B."), lit("Moderately Aggressive"), lit(dt.date(2024, 1, 5)), lit("1.2"))) == ("FundProposal_ZoëB_ModeratelyAggressive_2024-01-05_v1.2",)
     assert one(spark, S.truthy(lit(" Yes ")), S.truthy(lit(None)), S.truthy(lit("no"))) == (True, False, False)
@@ -82,6 +82,8 @@ def test_profiles_and_universes(spark):
     funds = spark.createDataFrame([("A", True, 2), ("B", False, 4), ("C", True, 3), ("D", True, None)], "fund_id string, screened boolean, risk_level int")
     seen = scoring.universes(scoring.with_defaults(clients(spark, (1, "Moderate", 6.0, None), (2, "Aggressive", 6.0, False))), funds)
     assert rows(seen, "ceiling", "fund_id") == [(3, "A"), (3, "C"), (5, "B")]
+    many = spark.range(500).select((F.col("id") % 250).cast("int").alias("ceiling"), (F.col("id") >= 250).alias("preference"))
+    assert scoring.universes(many, funds).select("ceiling", "preference").distinct().count() == 248 + 246  # no universe is lost: with the wish from ceiling 2 on, without it from 4 on
 
 
 def test_percentiles_and_scores(spark):
@@ -146,18 +148,29 @@ def test_substitutions(spark):
     out = portfolio.outlier_swap(book, pool)
     assert rows(out.where("role = 'outlier'"), "client_id", "fund", "pct") == [(1, "Q", 35.0)]
     assert portfolio.outlier_swap(book, pool, blocked=spark.createDataFrame([(1, "Q")], "client_id long, fund string")).where("fund = 'R'").count() == 1
+    unqualified = pool.withColumn("qualified", F.col("fund") != "Q")
+    assert rows(portfolio.outlier_swap(book, unqualified).where("role = 'outlier'"), "client_id", "fund") == [(1, "R")]
+    pairs = spark.createDataFrame([("A", "Q", 3), ("R", "Z", 3)], "a string, b string, shared long")
+    assert rows(portfolio.outlier_swap(book, pool, portfolio.blocked_by(book, pairs)).where("role = 'outlier'"), "client_id", "fund") == [(1, "R")]
     gaps = spark.createDataFrame([(1,), (2,)], "client_id long")
     one_pick = spark.createDataFrame([(c, f, 1, 50.0, a, None, True) for c in (1, 2) for f, a in (("G", 1.5), ("H", None), ("A", 9.0))], cand)
-    swapped = portfolio.gap_swap(out, one_pick, gaps)  # client 1 holds an outlier
-    assert rows(swapped.where("role = 'gap'"), "client_id", "fund", "pct") == [(2, "G", 15.0)]
-    assert rows(swapped.where("client_id = 2 AND role = 'core'"), "fund", "pct") == [("A", 65.0)]
+    swapped = portfolio.gap_swap(out, portfolio.gap_pick(one_pick, out), gaps)  # client 1 holds an outlier
+    assert swapped.columns == out.columns and rows(swapped.where("role = 'gap'"), "client_id", "fund", "pct") == [(2, "G", 15.0)]
+    # 45 and the 20 that are freed are over the cap of 50: 15 go on to the first sleeve
+    assert rows(swapped.where("client_id = 2 AND role <> 'gap'"), "fund", "pct") == [("A", 50.0), ("CASH", 10.0), ("GOLD", 25.0)]
+    assert rows(portfolio.gap_swap(book.withColumn("cap", F.lit(70.0)), portfolio.gap_pick(one_pick, book), gaps).where("client_id = 2"), "fund", "pct") == [("A", 65.0), ("CASH", 10.0), ("G", 15.0), ("GOLD", 10.0)]
     assert rows(swapped.groupBy("client_id").agg(F.round(F.sum("pct"), 1))) == [(1, 100.0), (2, 100.0)]
-    assert portfolio.gap_swap(book, one_pick, gaps.limit(0)).where("role = 'gap'").count() == 0
+    alone = book.where("fund <> 'A' AND client_id = 1").withColumn("pct", F.when(F.col("fund") == "B", 80.0).otherwise(F.col("pct")))
+    assert rows(portfolio.gap_swap(alone, portfolio.gap_pick(one_pick, alone), gaps), "fund", "pct") == [("A", 50.0), ("CASH", 10.0), ("GOLD", 40.0)]
+    assert rows(portfolio.gap_swap(book, portfolio.gap_pick(one_pick.withColumn("alpha_3y", F.lit(-0.5)), book), gaps)) == rows(book)
+    assert portfolio.gap_swap(book, portfolio.gap_pick(one_pick, book), gaps.limit(0)).where("role = 'gap'").count() == 0
     edits = spark.createDataFrame([(1, 1, "Q", 50.0), (1, 2, "X", 50.0), (2, 1, None, 5.0)], "client_id long, pos int, fund string, pct double")
     new, bad = portfolio.edited(out, edits)
     assert rows(new.where("client_id = 1"), "fund", "role") == [("Q", "outlier"), ("X", "core")] and bad.count() == 1 and new.where("client_id = 2").count() == 4
     base = portfolio.base_portfolio(spark.createDataFrame([(1, 7, 95.0, 9.0, 1), (1, 8, 5.0, 1.0, 2), (1, 9, 4.0, 1.0, 3)], "client_id long, fund_id long, composite double, alpha_n double, position int"), [("GOLD", 10.0), ("CASH", 10.0)])
     assert rows(base, "pos", "fund", "pct") == [(1, "7", 76.0), (2, "8", 4.0), (3, "GOLD", 10.0), (4, "CASH", 10.0)]
+    capped = portfolio.base_portfolio(spark.createDataFrame([(1, 7, 95.0, 9.0, 1, 50.0), (1, 8, 5.0, 1.0, 2, 50.0)], "client_id long, fund_id long, composite double, alpha_n double, position int, cap double"), [("GOLD", 10.0), ("CASH", 10.0)])
+    assert rows(capped, "pos", "fund", "pct") == [(1, "7", 50.0), (2, "8", 30.0), (3, "GOLD", 10.0), (4, "CASH", 10.0)]
 
 
 def test_portfolio_violations(spark):
