@@ -28,11 +28,16 @@ MORE = {
 KINDS = (*BASE, *MORE)
 #: How a mention ends whose host is a dotted domain.
 DOMAIN = r"[)\]]\s?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\.?$"
-#: Words before a span, in lower case, that speak of its kind.
+#: Words before a span, in lower case, that speak of its kind, and those that speak of a phone.
 CONTEXT = r"(card|visa|konto|iban|tel|phone|call|fax|mobil|mail|contact|ip|host|server|token|secret|key|passw|auth|ssn|account)[^a-z]{0,4}[^\s]{0,12}\s?\S{0,3}\s?$"
+PHONE_WORD = r"(tel|phone|call|fax|mobil)[^a-z]{0,4}[^\s]{0,12}\s?\S{0,3}\s?$"
 BEFORE = 24
 #: Trees, their depth is two; the learning rate; least expected precision of what is added; candidates in a threshold's score bin at least.
 TREES, RATE, PRECISION, LEAST = 24, 0.4, 0.95, 20
+#: What a disguised copy of a valid match counts for where thresholds are set: for two that are written plainly one in disguise is expected.
+DISGUISED = 0.5
+#: Entries that are summed at a time, and code points of a text's parts; so many matches in a long text stay cheap.
+CHUNK, PART = 64, 1000
 
 
 def _int(text: Column) -> Column:
@@ -61,43 +66,93 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x computed once: a name for it within an expression."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _running(values: Column, op) -> Column:
+    """For each entry of an array of whole numbers op (a sum or a greatest) over all up to it, from 0; entries are taken in chunks, so a long array isn't gone through for each.
+
+    A fold that carries an array would copy it at each step.
+    """
+    over = lambda a, first, n: F.aggregate(F.slice(a, first, n), F.lit(0), op)
+    chunk = lambda i: F.floor(i / CHUNK).cast("int")
+
+    def run(v: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), chunk(F.size(v) - 1)), lambda c: over(v, c * CHUNK + 1, F.lit(CHUNK)))
+        before = _bound(totals, lambda t: F.transform(t, lambda x, c: over(t, F.lit(1), c)))
+        return _bound(before, lambda b: F.transform(v, lambda x, i: op(F.get(b, chunk(i)), over(v, chunk(i) * CHUNK + 1, i % CHUNK + 1))))
+
+    return _bound(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, x>>: start, end (code points, exclusive) and text of each match.
+    """array<struct<s, e, x, b>>: start, end (code points, exclusive), text of each match, and up to BEFORE code points before it, back to the match before it.
 
     What split() leaves out is what regexp_extract_all() gives; lengths in turn give places.
-    Places add up in chunks of 200 matches, so many matches in a text stay cheap.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda p: F.struct(F.length(p["g"]).alias("g"), F.length(p["h"]).alias("n"), p["h"].alias("x")))
+    pairs = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda p: F.struct((F.length(p["g"]) + F.length(p["h"])).alias("n"), p["h"].alias("x"), F.right(p["g"], F.lit(BEFORE)).alias("b")))
     pairs = F.filter(pairs, lambda p: p["x"].isNotNull())
+    ends = lambda ps: _running(F.transform(ps, lambda p: p["n"]), lambda a, n: a + n)
+    told = lambda ps, es: F.transform(ps, lambda p, i: F.struct((F.get(es, i) - F.length(p["x"])).alias("s"), F.get(es, i).alias("e"), p["x"].alias("x"), p["b"].alias("b")))
+    return _bound(pairs, lambda ps: _bound(ends(ps), lambda es: told(ps, es))).cast(NO_SPANS)
+
+
+NO_SPANS = "array<struct<s:int,e:int,x:string,b:string>>"
+LEAN = "struct<s:int,k:int,kind:string,e:int>"
+
 
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["g"]
-        return F.struct((start + p["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), (start + p["n"]).alias("e"), p["x"].alias("x")))).alias("out"))
+def _merged(spans: Column) -> Column:
+    """Spans (LEAN, sorted by start) with those that touch made one, of the first one's kind. A span starts anew where it begins at the running greatest end or past it."""
 
-    none = F.array().cast("array<struct<s:int,e:int,x:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.array().cast("array<array<struct<s:int,e:int,x:string>>>").alias("full"))
+    def merge(x: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["s"] >= F.get(reach, i - 1)))
+        one = lambda h, i, j: F.struct(F.get(x, i)["s"].alias("s"), F.get(x, i)["k"].alias("k"), F.get(x, i)["kind"].alias("kind"), F.get(reach, F.coalesce(F.get(h, j + 1), F.size(x)) - 1).alias("e"))
+        return _bound(heads, lambda h: F.transform(h, lambda i, j: one(h, i, j)))
 
-    def chunked(acc: Column, p: Column) -> Column:
-        small = add(acc, p)
-        full = F.size(small["out"]) >= 200
-        return F.struct(small["at"].alias("at"), F.when(full, none).otherwise(small["out"]).alias("out"), F.when(full, F.concat(acc["full"], F.array(small["out"]))).otherwise(acc["full"]).alias("full"))
+    made = lambda x: _bound(_running(F.transform(x, lambda y: y["e"]), lambda a, e: F.greatest(a, e)), lambda reach: merge(x, reach))
+    return _bound(spans, lambda x: F.when(F.size(x) > 0, made(x)).otherwise(F.array())).cast(f"array<{LEAN}>")
 
-    return F.aggregate(pairs, start, chunked, lambda acc: F.concat(F.flatten(acc["full"]), acc["out"]))
 
+def _parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
 
-NO_SPANS = "array<struct<s:int,e:int,x:string>>"
 
+def _piece(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text in parts; the cost doesn't grow with a."""
+    i, j = F.floor(a / PART).cast("int"), F.floor((b - 1) / PART).cast("int")
+    one = F.substring(F.get(parts, i), a % PART + 1, b - a)
+    more = F.concat(F.substring(F.get(parts, i), a % PART + 1, F.lit(PART)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(F.get(parts, j), F.lit(1), (b - 1) % PART + 1))
+    return F.when(b <= a, F.lit("")).when(i == j, one).otherwise(more)
 
-def _found(kind: str) -> Column:
-    pattern = BASE.get(kind) or MORE[kind]
-    return F.when(F.col("t").rlike(NEEDS[kind]), _spans(F.col("t"), pattern)).otherwise(F.array().cast(NO_SPANS))
+
+def _replaced(spans: Column, parts: Column, length: Column, by) -> Column:
+    """The text with spans, sorted and apart, replaced by by(span)."""
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["e"], F.lit(0))
+    put = F.transform(spans, lambda x, i: F.concat(_piece(parts, before(i), x["s"]), by(x)))
+    return F.concat(F.array_join(put, ""), _piece(parts, F.element_at(spans, -1)["e"], length))
+
+
+def _sure(kind: str) -> Column:
+    return F.filter(f"raw_{kind}", lambda x: _valid(kind, x["x"]))
 
 
 def spotted(docs: DataFrame) -> DataFrame:
-    """row (struct of docs), t (its text, null: empty) and an array of raw matches for each kind; matches are made once, in a step of their own."""
+    """row (struct of docs), t (its text, null: empty), base (valid matches of the formats, LEAN, by start and kind), sure (the same matches with text and
+    context) and an array of raw matches for each further generator, which look at the text without base: so none of theirs touches one of base."""
     row = docs.select(F.struct(*keep_others(docs)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    return step(row, ["row", "t"], **{f"raw_{k}": _found(k) for k in KINDS})
+    found = lambda text, k, pattern: F.when(text.rlike(NEEDS[k]), _spans(text, pattern)).otherwise(F.array().cast(NO_SPANS))
+    row = step(row, ["row", "t"], **{f"raw_{k}": found(F.col("t"), k, p) for k, p in BASE.items()})
+    row = step(row, ["row", "t"], **{f"sure_{k}": _sure(k) for k in BASE})
+    lean = lambda k: F.transform(f"sure_{k}", lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(k) + 1).alias("k"), F.lit(k).alias("kind"), x["e"].alias("e")))
+    keep = ["row", "t", *(f"sure_{k}" for k in BASE)]
+    row = step(row, keep, base=F.sort_array(F.concat(*(lean(k) for k in BASE))))
+    row = step(row, [*keep, "base"], hidden=F.when(F.size("base") > 0, _merged(F.col("base"))), parts=F.when(F.size("base") > 0, _parts(F.col("t"))))
+    blank = lambda x: F.repeat(F.lit("\0"), x["e"] - x["s"])
+    row = step(row, [*keep, "base"], rest=F.when(F.size("base") > 0, _replaced(F.col("hidden"), F.col("parts"), F.length("t"), blank)).otherwise(F.col("t")))
+    return step(row, [*keep, "base"], **{f"raw_{k}": found(F.col("rest"), k, p) for k, p in MORE.items()})
 
 
 def _features(s: Column, before: Column, kind: str) -> Column:
@@ -105,6 +160,7 @@ def _features(s: Column, before: Column, kind: str) -> Column:
     digits, low = F.length(_digits(s)), F.lower(before)
     bucket = lambda x, *at: sum((x >= a).cast("int") for a in at)
     letters = F.length(F.regexp_replace(s, "[^A-Za-z]+", ""))
+    runs = F.length(F.regexp_replace(F.regexp_replace(s, "[0-9]+", "9"), "[^9]+", ""))
     return F.struct(
         F.lit(KINDS.index(kind)).alias("generator"),
         bucket(digits, 4, 7, 9, 10, 12, 16, 20).alias("digits"),
@@ -112,72 +168,81 @@ def _features(s: Column, before: Column, kind: str) -> Column:
         bucket(F.length(F.regexp_replace(s, r"[^.\x20()/-]+", "")), 1, 3, 5).alias("marks"),
         (F.length(s) == F.length(F.regexp_replace(s, r"[^0-9A-Fa-f]+", ""))).cast("int").alias("hex"),
         F.when(digits.between(12, 19), luhn(_digits(s)).cast("int")).otherwise(0).alias("luhn"),
-        s.startswith("+").cast("int").alias("plus"),
+        s.rlike("[()]").cast("int").alias("brackets"),
         low.rlike(CONTEXT).cast("int").alias("context"),
+        low.rlike(PHONE_WORD).cast("int").alias("phone_word"),
         before.rlike("[=:]\\s?[\"']?$").cast("int").alias("assigned"),
-        s.contains("@").cast("int").alias("at_sign"),
+        bucket(runs, 1, 2, 4, 8).alias("runs"),
+        (s.rlike("[a-z]") & s.rlike("[A-Z]")).cast("int").alias("cases"),
         (s.rlike(DOMAIN) if kind == "mention" else F.lit(False)).cast("int").alias("domain"),
     )
 
 
-FEATURES = ("generator", "digits", "letters", "marks", "hex", "luhn", "plus", "context", "assigned", "at_sign", "domain")
+FEATURES = ("generator", "digits", "letters", "marks", "hex", "luhn", "brackets", "context", "phone_word", "assigned", "runs", "cases", "domain")
 
 
 def candidates() -> Column:
-    """All candidates of a row of spotted(): struct<kind, s, e, base, f>. base: 1 if the match is of a format and valid, 0 if of a format but not valid, null for generators' own."""
-    return F.flatten(F.filter(F.array(*(_made(k) for k in KINDS)), lambda a: a.isNotNull()))
+    """The candidates of the further generators of a row of spotted(): struct<kind, k, s, e, f>."""
+
+    def made(kind: str) -> Column:
+        make = lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind) + 1).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _features(x["x"], x["b"], kind).alias("f"))
+        return F.when(F.size(f"raw_{kind}") > 0, F.transform(f"raw_{kind}", make))
+
+    return F.flatten(F.filter(F.array(*(made(k) for k in MORE)), lambda a: a.isNotNull()))
 
 
-def _made(kind: str) -> Column:
-    def make(x: Column) -> Column:
-        before = F.substring(F.col("t"), F.greatest(x["s"] - BEFORE + 1, F.lit(1)), F.least(x["s"], F.lit(BEFORE)))
-        base = _valid(kind, x["x"]).cast("int") if kind in BASE else F.lit(None).cast("int")
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), _features(x["x"], before, kind).alias("f"))
+#: How valid matches of the formats could have been written so that no format finds them: kind, generator that does, and the text in disguise.
+DISGUISES = {
+    "email": ("mention", lambda x: F.replace(x, F.lit("@"), F.lit(" [at] "))),
+    "ip": ("number", lambda x: F.replace(x, F.lit("."), F.lit(" . "))),
+    "card": ("number", lambda x: F.regexp_replace(_digits(x), "(.{4})(?=.)", "$1.")),
+    "phone": ("number", lambda x: F.substring(x, F.lit(2), F.length(x))),
+}
+
 
-    return F.when(F.size(f"raw_{kind}") > 0, F.transform(f"raw_{kind}", make))
+def likely(f: Column) -> Column:
+    """Whether a candidate is personal data as far as can be told without a label: a secret that is assigned to a name that says so, a mention
+    of a dotted domain, and a number that passes a card's check or has a phone's length after a word that speaks of one."""
+    number = ((f["digits"] >= 5) & (f["luhn"] == 1)) | (f["digits"].between(3, 5) & (f["phone_word"] == 1))
+    kind = lambda k: f["generator"] == KINDS.index(k)
+    return (kind("secret") & (f["context"] == 1) & (f["assigned"] == 1)) | (kind("mention") & (f["domain"] == 1)) | (kind("number") & number)
 
 
 def tally(found: DataFrame) -> DataFrame:
-    """The feature vectors that occur, with how often they were personal data and how often not: FEATURES, fold, pos, neg.
-
-    The labels are the formats' own checks: a generator's candidate that covers a valid
-    match is a positive, as are secrets that are assigned to a name that says so and mentions
-    of a dotted domain; each valid e-mail counts twice more as a mention, as which it could have been
-    written, with and without the words before it, so texts with few mentions teach them too; matches that fail
-    their check, and numbers or long words that cover no valid match, are negatives. Numbers shaped as a phone that
-    lacks its plus speak neither way and are left out. fold 1, a fifth of the
-    documents by hash, sets the thresholds; fold 0 grows the trees.
+    """The feature vectors that occur among what can be added, with how often each was told to be personal data (pos), how often not (neg), and how often it was a disguised copy (copy): FEATURES, fold.
+
+    No text has labelled spans, so labels come from the formats. Each valid match of a format counts once as it would look in disguise, where
+    no format finds it: a phone without its plus, a card in groups with dots, an address with spaced dots, an e-mail
+    as a mention; these copies are positives, with the words before them and once more without. So are candidates that likely() tells, secrets among them
+    once more without the words before, so that their shape is learned too. All other candidates are negatives, even where some are data that nobody
+    labelled, so that precision is rather told too low. fold 1, a fifth of the documents by hash, sets the thresholds; fold 0 grows the trees.
     """
     fold = (F.pmod(F.xxhash64("t"), F.lit(5)) == 0).cast("int")
-    rows = step(found.where(F.size("all") > 0), ["all"], fold=fold, sure=F.filter("all", lambda c: c["base"] == 1))
-
-    def told(c: Column) -> Column:
-        covers = F.exists("sure", lambda b: (b["s"] >= c["s"]) & (b["e"] <= c["e"]))
-        secret = (c["kind"] == "secret") & (c["f"]["context"] == 1) & (c["f"]["assigned"] == 1)
-        phone_like = (c["kind"] == "number") & c["f"]["digits"].between(3, 5) & (c["f"]["marks"] >= 2)
-        mention = (c["kind"] == "mention") & (c["f"]["domain"] == 1)
-        label = F.when(covers | secret | mention, 1).when(~phone_like, 0)
-        return F.struct(c["f"].alias("f"), F.coalesce(c["base"], label).alias("label"))
-
-    def rewritten(c: Column) -> Column:
-        f = {name: c["f"][name] for name in FEATURES} | {"generator": F.lit(KINDS.index("mention")), "at_sign": F.lit(0), "domain": F.lit(1)}
-        as_mention = lambda f: F.struct(F.struct(*(v.alias(name) for name, v in f.items())).alias("f"), F.lit(1).alias("label"))
-        return F.array(as_mention(f), as_mention(f | {"context": F.lit(0), "assigned": F.lit(0)}))
 
+    def copies(kind: str) -> Column:
+        generator, disguise = DISGUISES[kind]
+        return F.when(F.size(f"sure_{kind}") > 0, F.transform(f"sure_{kind}", lambda x: F.struct(_features(disguise(x["x"]), x["b"], generator).alias("f"))))
+
+    rows = step(found, [], fold=fold, all=F.transform(candidates(), lambda c: F.struct(c["f"].alias("f"))), copies=F.flatten(F.filter(F.array(*map(copies, BASE)), lambda a: a.isNotNull())))
+    rows = rows.where((F.size("all") > 0) | (F.size("copies") > 0))
+    plain = lambda f: F.struct(*((F.lit(0) if name in ("context", "phone_word", "assigned") else f[name]).alias(name) for name in FEATURES))
+    told = lambda f, kind: F.struct(f.alias("f"), *(F.lit(int(kind == k)).alias(k) for k in ("pos", "neg", "copy")))
+    real = F.transform("all", lambda c: F.when(likely(c["f"]), told(c["f"], "pos")).otherwise(told(c["f"], "neg")))
+    bare = F.transform(F.filter("all", lambda c: likely(c["f"]) & (c["f"]["generator"] == KINDS.index("secret"))), lambda c: told(plain(c["f"]), "copy"))
+    copied = F.flatten(F.transform("copies", lambda c: F.array(told(c["f"], "copy"), told(plain(c["f"]), "copy"))))
     # labels are given within the row, so that an exploded row is small whatever the text
-    emails = F.filter("sure", lambda c: c["kind"] == "email")
-    rows = step(rows, ["fold"], told=F.concat(F.transform("all", told), F.flatten(F.transform(emails, rewritten)))).select("fold", F.explode("told").alias("c")).select("fold", "c.f.*", "c.label").where("label IS NOT NULL")
-    return rows.groupBy(*FEATURES, "fold").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    rows = step(rows, ["fold"], told=F.concat(real, bare, copied)).select("fold", F.explode("told").alias("c")).select("fold", "c.f.*", "c.pos", "c.neg", "c.copy")
+    return rows.groupBy(*FEATURES, "fold").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "copy")))
 
 
-def boost(rows: list[dict], trees: int = TREES, rate: float = RATE) -> tuple[list[tuple], float]:
-    """Boosted trees of depth two for logistic loss over counted feature vectors: [(feature, at, (feature, at, value, value), (...))] and the threshold.
+def boost(rows: list[dict], trees: int = TREES, rate: float = RATE) -> tuple[list[tuple], dict[str, float]]:
+    """Boosted trees of depth two for logistic loss over counted feature vectors: [(feature, at, (feature, at, value, value), (...))] and a threshold for each generator that has one.
 
-    A leaf's value is a Newton step with an L2 penalty of one. The threshold is the least
-    score from which candidates of fold 1 are personal data in PRECISION of cases or more,
-    counting only score bins with LEAST candidates or more; infinite if there is none.
+    A leaf's value is a Newton step with an L2 penalty of one. A generator's threshold is the least
+    score from which its candidates of fold 1 are personal data in PRECISION of cases or more,
+    counting copies as DISGUISED and only score bins with LEAST candidates or more.
     """
-    fit = [r for r in rows if not r["fold"]]
+    fit = [r | {"pos": r["pos"] + r["copy"]} for r in rows if not r["fold"]]
     scores = [0.0] * len(fit)
     out: list[tuple] = []
 
@@ -209,21 +274,22 @@ def boost(rows: list[dict], trees: int = TREES, rate: float = RATE) -> tuple[lis
             for i in side:
                 scores[i] += a if fit[i][g] <= cut_at else b
         out.append(tuple(tree))
-    bins: dict[int, list[int]] = {}
-    for r in rows:
-        if r["fold"] and out:
-            b = bins.setdefault(math.floor(score_of(out, r) * 4), [0, 0])
-            b[0] += r["pos"]
-            b[1] += r["neg"]
-    pos = neg = 0
-    threshold = math.inf
-    for b in sorted(bins, reverse=True):
-        pos, neg = pos + bins[b][0], neg + bins[b][1]
-        if pos < PRECISION * (pos + neg):
-            break
-        if pos + neg >= LEAST:
-            threshold = b / 4
-    return out, threshold
+    thresholds: dict[str, float] = {}
+    for kind in MORE if out else ():
+        bins: dict[int, list[float]] = {}
+        for r in rows:
+            if r["fold"] and r["generator"] == KINDS.index(kind):
+                b = bins.setdefault(math.floor(score_of(out, r) * 4), [0.0, 0.0])
+                b[0] += r["pos"] + DISGUISED * r["copy"]
+                b[1] += r["neg"]
+        pos = neg = 0.0
+        for b in sorted(bins, reverse=True):
+            pos, neg = pos + bins[b][0], neg + bins[b][1]
+            if pos < PRECISION * (pos + neg):
+                break
+            if pos + neg >= LEAST:
+                thresholds[kind] = b / 4
+    return out, thresholds
 
 
 def score_of(trees: list[tuple], row: dict) -> float:
@@ -243,26 +309,25 @@ def score_column(trees: list[tuple], f: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """row (struct of docs), t, base_spans and spans, arrays of struct<s, kind, e> by start and then kind as in KINDS.
+    """row (struct of docs), t, base_spans and spans, arrays of LEAN by start and then kind as in KINDS.
 
     base_spans are all valid matches of the formats. spans has them and what the
-    trees accept of the other candidates, unless it touches a base span or an
-    accepted one before it. The trees are grown and calibrated over all docs: only
+    trees accept of the other candidates, none of which touches a base span; accepted ones that touch each other are
+    one span, of the first one's kind. The trees are grown and calibrated over all docs: only
     counts of feature vectors, whose number is bounded by the features' few values, reach the
-    driver. No text, null or without any candidate, has empty arrays.
+    driver. No text, null or without any candidate, has empty arrays. Rows that repeat are judged and counted each. Matches of a text
+    aren't compared with each other, so a text with many is about linear in them; the words before a match reach back to the one before it.
     """
-    found = step(spotted(docs), ["row", "t"], all=candidates())
-    plain = step(spotted(docs.select("text")), ["t"], all=candidates())
-    trees, threshold = boost(sorted((r.asDict() for r in tally(plain).collect()), key=lambda r: [r[f] for f in (*FEATURES, "fold")]))
-    order = F.array(*(F.lit(k) for k in KINDS))
-    lean = lambda c: F.struct(c["s"].alias("s"), F.array_position(order, c["kind"]).alias("k"), c["kind"].alias("kind"), c["e"].alias("e"))
-    row = step(found, ["row", "t", "all"], base=F.sort_array(F.transform(F.filter("all", lambda c: c["base"] == 1), lean)))
-    if trees and math.isfinite(threshold):
-        touches = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-        good = F.filter("all", lambda c: c["base"].isNull() & (score_column(trees, c["f"]) >= threshold) & ~F.exists("base", lambda b: touches(b, c)))
+    trees, thresholds = boost(sorted((r.asDict() for r in tally(spotted(docs.select("text"))).collect()), key=lambda r: [r[f] for f in (*FEATURES, "fold")]))
+    row = spotted(docs)
+    if thresholds:
+        least = lambda kind: F.get(F.array(*(F.lit(thresholds.get(k, math.inf)) for k in KINDS)), F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1)
+        row = step(row, ["row", "t", "base"], all=F.when(F.greatest(*(F.size(f"raw_{k}") for k in MORE)) > 0, candidates()))
+        good = F.filter("all", lambda c: score_column(trees, c["f"]) >= least(c["kind"]))
+        lean = lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["kind"].alias("kind"), c["e"].alias("e"))
         row = step(row, ["row", "t", "base"], good=F.sort_array(F.transform(good, lean)))
-        added = F.filter("good", lambda g, i: ~F.exists(F.slice("good", 1, i), lambda b: touches(b, g)))
-        row = step(row, ["row", "t", "base"], spans=F.sort_array(F.concat("base", added)))
+        added = F.when(F.size("good") > 0, _merged(F.col("good")))
+        row = step(row, ["row", "t", "base"], spans=F.when(F.size("good") > 0, F.sort_array(F.concat("base", added))).otherwise(F.col("base")))
     else:
         row = row.select("row", "t", "base", F.col("base").alias("spans"))
     return row.select("row", "t", F.col("base").alias("base_spans"), "spans")
@@ -293,11 +358,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     Spans that overlap are replaced together under the first one's kind.
     """
     rows = with_spans(docs)
-    piece = lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("t"), acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">")))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = F.aggregate("spans", start, piece, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("t"), acc["at"] + 1, F.length("t"))))
-    text = F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") > 0, joined).otherwise(F.col("t")))
-    rows = rows.select("row", text.alias("clean"))
+    rows = step(rows, ["row", "t"], apart=F.when(F.size("spans") > 0, _merged(F.col("spans"))), parts=F.when(F.size("spans") > 0, _parts(F.col("t"))))
+    joined = _replaced(F.col("apart"), F.col("parts"), F.length("t"), lambda x: F.concat(F.lit("<"), x["kind"], F.lit(">")))
+    rows = step(rows, ["row"], clean=F.when(F.col("row.text").isNotNull(), F.when(F.col("apart").isNotNull(), joined).otherwise(F.col("t"))))
     columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast("long")} if "n_chars" in docs.columns else {})
     return rows.select(*(columns[c].alias(c) for c in docs.columns))
 
