@@ -17,18 +17,22 @@ def brute(rows, every=50, top=5):
     out = []
     for q in sorted({i for i, _ in usable if i % every == 0}):
         mine = next(v for i, v in usable if i == q)
-        ranked = sorted((-sum(a * b for a, b in zip(mine, v, strict=False)), i) for i, v in usable if i != q)[:top]
+        score = lambda v: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(mine, v, strict=False))))  # noqa: B023, E731
+        ranked = sorted((-score(v), i) for i, v in usable if i != q)[:top]
         out += [(q, n, i, -s) for n, (s, i) in enumerate(ranked, 1)]
     return out
 
 
-@pytest.mark.parametrize("case", ["usual", "odd", "few"])
+@pytest.mark.parametrize("case", ["usual", "odd", "few", "huge"])
 def test_top_products(spark, case):
     rng = np.random.default_rng(4)
     if case == "usual":
         rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
     elif case == "few":
         rows = [(50, [1.0, 2.0]), (7, [0.5, 0.25])]
+    elif case == "huge":  # one component past what sums of long hold, some past long itself
+        rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(200)]
+        rows += [(250, [2e7, 0.0, 1.0]), (251, [2e7, 1.0, 0.0]), (300, [3e38, 0.0, 0.0]), (301, [-3e38, 1.0, 0.0]), (302, [3e38, 3e38, -1.0]), (350, [-0.0, 0.0, 0.0])]
     else:  # ties, copies, a common vector, nulls, lengths that differ
         rows = [(i, [float(x) for x in rng.integers(-2, 3, size=4)]) for i in range(300)]
         rows += [(i, [1.0, 0.5, 0.0, -1.0]) for i in range(300, 600)] + [rows[50], rows[50], (None, [1.0] * 4), (601, None), (650, [1.0, None, 2.0, 0.0]), (602, [float("nan"), 1.0, 1.0, 1.0]), (603, [float("inf"), 1.0, 1.0, 1.0]), (604, []), (605, [3.0])]
@@ -44,12 +48,23 @@ def test_top_products_of_nothing(spark):
 
 def test_pages_hold_every_vector(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, [i], [int(x) for x in rng.integers(-200, 200, size=6)]) for i in range(1500)]
-    df = cut(spark.createDataFrame(rows, "cls long, ids array<long>, v array<long>").repartition(3))
+    rows = [(i, [i], [float(x) for x in rng.integers(-200, 200, size=6)]) for i in range(1500)]
+    df = cut(spark.createDataFrame(rows, "cls long, ids array<long>, v array<double>").repartition(3))
     x = np.array([r[2] for r in rows], float)
     tree = mtree.pages(df, x[:9], float((x**2).sum(axis=1).max()), 6).collect()
     assert sorted(c for p in tree for c in p["cls"]) == list(range(1500))
-    assert all(max(p["parent"]) <= p["radius"] + 1e-9 and len(p["cls"]) <= mtree.PAGE for p in tree)
+    assert all(max(p["parent"]) <= p["plain"] + 1e-9 and len(p["cls"]) <= mtree.PAGE for p in tree)
+
+
+def test_rounds_pass_over_most_of_clustered_vectors(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=16) / 20]) for i in range(4000)]
+    df = cut(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4))
+    made = mtree.search_rounds(df)
+    slabs, queries = made["nodes"].count(), made["asked"].count()
+    assert made["first"].count() + made["second"].count() < slabs * queries / 5
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_products(df).collect()) == brute(rows)
 
 
 def test_pipeline_against_plain_code(spark, tmp_path):
