@@ -19,23 +19,23 @@ RULES = {
 }
 #: Strata: texts of fewer words than each of these, and the rest. A ratio of a short text is rougher than one of a long text.
 BANDS = (100, 300, 1000)
-#: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with this confidence.
-ALPHA, DELTA = 0.005, 0.05
+#: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with the confidence 1 - DELTA: half of DELTA is for all texts together, half for the strata.
+ALPHA, DELTA = 0.02, 0.05
 #: Number of the stratum that holds all texts, where strata share evidence.
 POOL = -1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OWN = (*COUNTS, "n_capitals", "n_lines")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs with the counts of OWN (long) of its text; null text counts as one without words.
+def counted(docs: DataFrame, nested: bool = False) -> DataFrame:
+    """docs (nested: as a struct row, so that no name is taken) with the counts of OWN (long) of its text; null text counts as one without words.
 
     n_repeat_words needs each 3-word window's other occurrences: windows are hashed
     to two 64-bit numbers and sorted within the row, and only in rows where some
     window repeats at all.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = docs.select(F.struct(*keep_others(docs, *OWN)).alias("row"), text.alias("t"))
+    row = docs.select(F.struct(*keep_others(docs, *(() if nested else OWN))).alias("row"), text.alias("t"))
     words, filled = F.filter(F.split("t", f"[{BLANK_CLASS}]+", -1), lambda w: w != ""), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0
     row = step(row, ["row", "t"], w=words, lines=F.filter(F.split("t", "\n", -1), filled))
     row = step(row, ["row", "t", "w", "lines"], hashed=F.transform("w", lambda x: F.xxhash64(x)))
@@ -60,7 +60,8 @@ def counted(docs: DataFrame) -> DataFrame:
         "n_capitals": less(r"[A-Z]+"),
         "n_lines": F.size("lines"),
     }
-    return step(row, ["row"], **{name: c.cast("long") for name, c in counts.items()}).select("row.*", *OWN)
+    out = step(row, ["row"], **{name: c.cast("long") for name, c in counts.items()})
+    return out if nested else out.select("row.*", *OWN)
 
 
 def base_failed() -> Column:
@@ -74,60 +75,56 @@ def stratum() -> Column:
     return out
 
 
-def least_labels(alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> int:
-    """Good labelled texts of a stratum below which no cutoff can be certified, even if none of them is rejected."""
-    return math.ceil(math.log(delta / _tests(pooled)) / math.log1p(-alpha))
+def level(pooled: bool, delta: float = DELTA) -> float:
+    """The error probability of one rule's sequence of tests: of all texts together, or of a stratum."""
+    return delta / 2 / len(RULES) / (1 if pooled else len(BANDS) + 1)
 
 
-def _tests(pooled: bool) -> int:
-    return (len(BANDS) + 1 + pooled) * len(RULES)
+def least_labels(alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> int:
+    """Good labelled texts below which no cutoff can be certified, even if none of them is rejected."""
+    return math.ceil(math.log(level(pooled, delta)) / math.log1p(-alpha))
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
-    """A row for each stratum with any certified cutoff: stratum, and for each rule the strictest one that is certified (null: none).
+def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """A row for each stratum, if any rule has a cutoff anywhere: stratum, and for each rule its cutoff (null: none).
 
     counts: doc_id and OWN; labels: doc_id and quality. The good texts (quality 1) that
     pass the base rules are the holdout. For each stratum and rule the cutoffs of GRID,
     which no data has shaped, are tested from the mildest on: k of n good texts rejected is
     enough if a binomial variable of n draws with chance alpha is at most k with
-    probability delta / (strata * rules) or less, an exact bound; the first cutoff that
+    probability level() or less, an exact bound; the first cutoff that
     fails ends the sequence. Testing in a fixed order needs no further correction, and the
-    division by strata and rules (Bonferroni) makes all chosen cutoffs hold together. Documents
-    whose label is null or disagrees among repeated rows are not in the holdout.
+    division by strata and rules (Bonferroni) makes all certified cutoffs hold together; so any of them may be chosen,
+    and it is the one by which bad labelled texts (quality 0) outnumber good ones most among the rejected, the mildest of equals, and none
+    if they never do. Documents whose label is null or disagrees among repeated rows are not in the holdout.
 
-    pooled: all strata together are tested as one more stratum, within the same
-    correction, and a stratum with fewer than least_labels() good texts has the pooled
-    cutoffs. The bound on these is on all good texts together, not on those of that
+    All texts together are tested as one more stratum, and a stratum with fewer than least_labels() good texts has their cutoffs: the bound on these
+    is on all good texts, not on those of that
     stratum. Whether a stratum has its own depends on its number of labels, fixed before any test.
     """
-    tests = _tests(pooled)
-    good = labels.groupBy(F.col("doc_id").alias("good_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 AND hi = 1").select("good_id")
-    holdout = counts.where(~base_failed()).join(good, counts.doc_id == F.col("good_id"), "left_semi")
+    sure = labels.groupBy(F.col("doc_id").alias("sure_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi AND lo IN (0, 1)").select("sure_id", (F.col("lo") == 1).alias("good"))
+    holdout = counts.where(~base_failed()).join(sure, counts.doc_id == F.col("sure_id"))
     # how many cutoffs reject it: those of at most its share; so a count by this number tells all cutoffs' rejections
     passed = lambda share: F.size(F.filter(F.array(*(F.lit(g) for g in GRID)), lambda g: share >= g))
-    long = holdout.select(stratum().alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(F.expr(f)).alias("hit")) for r, f in RULES.items()))).alias("x"))
-    if pooled:
-        long = long.select(F.explode(F.array("stratum", F.lit(POOL))).alias("stratum"), "x")
-    tally = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.hit").alias("hit")).count()
-    by_rule = tally.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("hit", "count")).alias("hits"))
-    step = F.explode(F.sequence(F.lit(1), F.lit(len(GRID)))).alias("step")  # cutoff number step is the step-th mildest and rejects what has hit >= len - step + 1
-    tested = by_rule.select("stratum", "rule", "n", "hits", step)
-    rejected = F.aggregate(F.filter("hits", lambda h: h["hit"] > len(GRID) - F.col("step")), F.lit(0).cast("long"), lambda n, h: n + h["count"])
-    tested = tested.select("stratum", "rule", "n", "step", rejected.alias("k"))
-    tested = tested.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), alpha) <= delta / tests)
-    first_bad = F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(len(GRID) + 1))
-    chosen = tested.groupBy("stratum", "rule").agg(first_bad.alias("bad"), F.max("n").alias("n"))
-    chosen = chosen.select("stratum", "rule", "n", F.get(F.array(*(F.lit(g) for g in GRID)), (F.col("bad") - 2).cast("int")).alias("cutoff"))
-    if not pooled:
-        chosen = chosen.where("cutoff IS NOT NULL")
+    long = holdout.select(stratum().alias("own"), "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(F.expr(f)).alias("hit")) for r, f in RULES.items()))).alias("x"))
+    long = long.select(F.explode(F.array("own", F.lit(POOL))).alias("stratum"), "good", "x")
+    tally = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.hit").alias("hit")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    by_rule = tally.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("hit", "good", "bad")).alias("hits"))
+    # cutoff number step is the step-th mildest and rejects what has hit >= len - step + 1
+    steps = by_rule.select("stratum", "rule", "n", "hits", F.explode(F.sequence(F.lit(1), F.lit(len(GRID)))).alias("step"))
+    rejected = lambda what: F.aggregate(F.filter("hits", lambda h: h["hit"] > len(GRID) - F.col("step")), F.lit(0).cast("long"), lambda n, h: n + h[what])
+    tested = steps.select("stratum", "rule", "n", "step", rejected("good").alias("k"), rejected("bad").alias("b"))
+    tested = tested.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), alpha) <= F.when(F.col("stratum") == POOL, level(True, delta)).otherwise(level(False, delta)))
+    every = tested.groupBy("stratum", "rule").agg(F.max("n").alias("n"), F.collect_list(F.struct("step", "ok", "k", "b")).alias("all"))
+    certified = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["step"] <= x["step"]) & ~y["ok"]))
+    best = F.array_max(F.transform(F.filter(certified, lambda x: x["b"] > x["k"]), lambda x: F.struct((x["b"] - x["k"]).alias("gain"), (-x["step"]).alias("step"))))
+    chosen = every.select("stratum", "rule", "n", F.get(F.array(*(F.lit(g) for g in GRID)), -best["step"] - 1).alias("cutoff"))
     cuts = chosen.groupBy("stratum").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    if not pooled:
-        return cuts.drop("n")
     # at most a row for each stratum and the pool
     each = cuts.agg(F.collect_list(F.struct(*cuts.columns)).alias("all")).select("all", F.explode(F.sequence(F.lit(0), F.lit(len(BANDS)))).alias("stratum"))
     one = lambda k: F.get(F.filter("all", lambda c: c["stratum"] == k), 0)
     each = each.select("stratum", one(F.col("stratum")).alias("own"), one(F.lit(POOL)).alias("pool"))
-    enough = F.coalesce(F.col("own.n") >= least_labels(alpha, delta, pooled), F.lit(False))
+    enough = F.coalesce(F.col("own.n") >= least_labels(alpha, delta), F.lit(False))
     return each.select("stratum", *(F.when(enough, F.col(f"own.cut_{r}")).otherwise(F.col(f"pool.cut_{r}")).alias(f"cut_{r}") for r in RULES))
 
 
@@ -170,11 +167,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that the rules keep; unlike in quality_rules(), which SQL holds to cutoffs of each stratum alone, thin strata share evidence. Texts aren't shuffled: they are counted again beside the few cutoffs."""
-    counts = cut(counted(docs.select("doc_id", "text")).drop("text"), "counts")
-    cuts = cut(cutoffs(counts, labels, alpha, delta, pooled=True), "cutoffs")
-    whole = docs.select(F.struct(*keep_others(docs)).alias("whole"), "doc_id", "text")
-    return judged(counted(whole), cuts).where("kept").select("whole.*")
+    """The rows of docs that the rules keep, by the verdict of quality_rules(). Each text is counted once and written beside its counts; nothing of it is shuffled."""
+    whole = cut(counted(docs, nested=True), "counted")
+    cuts = cut(cutoffs(whole.select(F.col("row.doc_id").alias("doc_id"), *OWN), labels, alpha, delta), "cutoffs")
+    return judged(whole.withColumnRenamed("row", "whole"), cuts).where("kept").select("whole.*")
 
 
 def sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
@@ -195,11 +191,14 @@ counts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars
            FROM d LEFT JOIN wrd USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN lin USING (doc_id)),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 shares AS ({shares}),
-good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1 AND max(quality) = 1),
+sure AS (SELECT doc_id, min(quality) = 1 AS good FROM labels GROUP BY 1 HAVING min(quality) = max(quality) AND min(quality) IN (0, 1)),
+held AS (SELECT s.*, good FROM (SELECT * FROM shares UNION ALL SELECT doc_id, {POOL}, rule, share FROM shares) s JOIN sure USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed)),
 grid(step, g) AS (VALUES {grid}),
-tested AS (SELECT stratum, rule, step, count(*) AS n, count(*) FILTER (WHERE share >= g) AS k FROM shares, grid WHERE doc_id IN (SELECT doc_id FROM good) AND doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed) GROUP BY 1, 2, 3),
-told AS (SELECT *, k <= n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) <= {delta} / {(len(BANDS) + 1) * len(RULES)} AS ok FROM tested),
+tested AS (SELECT stratum, rule, step, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND share >= g) AS k, count(*) FILTER (WHERE NOT good AND share >= g) AS b FROM held, grid GROUP BY 1, 2, 3),
+told AS (SELECT *, k <= n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) <= CASE WHEN stratum = {POOL} THEN {level(True, delta)!r} ELSE {level(False, delta)!r} END AS ok FROM tested),
 bad AS (SELECT stratum, rule, coalesce(min(step) FILTER (WHERE NOT ok), {len(GRID) + 1}) AS bad FROM told GROUP BY 1, 2),
-cuts AS (SELECT stratum, rule, g FROM bad JOIN grid ON step = bad - 1),
+picked AS (SELECT stratum, rule, arg_max(step, (b - k, -step)) AS step FROM told JOIN bad USING (stratum, rule) WHERE step < bad AND b > k GROUP BY 1, 2),
+enough AS (SELECT DISTINCT stratum FROM tested WHERE stratum <> {POOL} AND n >= {least_labels(alpha, delta)}),
+cuts AS (SELECT stratum, rule, g FROM picked JOIN grid USING (step) WHERE stratum IN (SELECT stratum FROM enough) UNION ALL SELECT s, rule, g FROM picked JOIN grid USING (step), range(0, {len(BANDS) + 1}) r(s) WHERE stratum = {POOL} AND s NOT IN (SELECT stratum FROM enough)),
 out AS (SELECT DISTINCT doc_id FROM shares JOIN cuts USING (stratum, rule) WHERE share >= g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM base"""
