@@ -40,9 +40,11 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, read from the session; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, read from the session; where that is unset, as in tests, a temporary one if Spark runs in this process alone, else an error, for executors elsewhere couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         name = spark.sparkContext.applicationId
         folder = _own_folders.setdefault(name, "") or f"file://{tempfile.mkdtemp(prefix='quayside-')}"
         _own_folders[name] = folder
@@ -57,15 +59,36 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Deletes the table behind what cut() returned, once nothing reads it any more."""
-    session = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = session._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file)
+
+
+def _delete(session: SparkSession, file: str) -> None:
+    path = session._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_written: list[str] = []
+
+
+def written() -> int:
+    """A mark for sweep(): how many tables cut() has written so far."""
+    return len(_written)
+
+
+def sweep(session: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Deletes what cut() has written since a mark but for the tables behind kept."""
+    stay = {f.rsplit("/", 1)[0].rstrip("/").rsplit("/", 1)[-1] for df in kept for f in df.inputFiles()}
+    for path in _written[mark:]:
+        if path.rsplit("/", 1)[-1] not in stay:
+            _delete(session, path)
+    _written[mark:] = [p for p in _written[mark:] if p.rsplit("/", 1)[-1] in stay]
 
 
 def step(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:

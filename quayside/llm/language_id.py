@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quayside.llm.common import cut, held_out
+from quayside.llm.common import cut, drop, held_out
 from quayside.llm.lattice import MARK, WIDEST, Remembered, Vocabulary, by_width, vocabulary
 
-#: At most so many training documents, those whose hash is least.
-TRAIN_DOCS = 6000
+#: At most so many training documents of each language, those whose hash is least, and so many languages, those with most documents.
+TRAIN_DOCS, LANGS = 1500, 200
 ROUNDS, SMOOTHING = 2, 0.05
 REMEMBERED = 200_000
 #: Probability of a character outside the vocabulary, in every language.
@@ -65,7 +66,7 @@ def _forward_long(vocab: Vocabulary, prob: np.ndarray, word: str) -> np.ndarray:
 
 
 def expected(vocab: Vocabulary, prob: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in words that occur counts times, over all segmentations (forward-backward), for one language. Long words are left out."""
+    """How often each piece is expected in words that occur counts times, over all segmentations (forward-backward), for one language. Words longer than WIDEST go one by one, in logarithms."""
     total = np.zeros(len(prob) + 1)
     padded = np.append(prob, 0.0)
     place = {w: i for i, w in enumerate(words)}
@@ -90,14 +91,36 @@ def expected(vocab: Vocabulary, prob: np.ndarray, words: list[str], counts: np.n
                 use = here >= 0
                 if use.any():
                     total += np.bincount(here[use], (often * alpha[:, i] * p[:, i, s - 1] * beta[:, i + s])[use], len(total))
+    for w in words:
+        if len(w) > WIDEST:
+            _expected_long(vocab, padded, w, counts[place[w]], total)
     return total[:-1]
 
 
+def _expected_long(vocab: Vocabulary, prob: np.ndarray, word: str, count: float, total: np.ndarray) -> None:
+    """Adds to total the expected pieces of one word of any length."""
+    arcs, n = vocab.arcs(word), len(word)
+    logs = np.log(np.maximum(prob, 1e-300))
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for i, j, p in arcs:  # by their start, so what comes before i is complete
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[p])
+    for i, j, p in reversed(arcs):
+        beta[i] = np.logaddexp(beta[i], logs[p] + beta[j])
+    for i, j, p in arcs:
+        total[p] += count * np.exp(alpha[i] + logs[p] + beta[j] - alpha[n])
+
+
+def usable(docs: DataFrame) -> DataFrame:
+    """Documents with a language and a text that aren't held out."""
+    return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+
+
 def training_words(docs: DataFrame, max_docs: int) -> DataFrame:
-    """lang, word, n: words of at most max_docs documents with a language that aren't held out, whole texts."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # max_docs ids: broadcast
-    sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    """lang, word, n: words of at most max_docs documents of each language, whole texts."""
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = docs.select("lang", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= max_docs).select("lang", "doc_id")  # each task keeps max_docs ids of a language; they are max_docs times LANGS at most: broadcast
+    sample = docs.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,16 +137,17 @@ def training_words(docs: DataFrame, max_docs: int) -> DataFrame:
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pieces: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and probabilities [piece or unknown, language].
 
-    Expectation maximisation over the words of a bounded sample: each round is a
-    Spark job whose result, languages times pieces, is bounded by the vocabulary.
+    Priors are the languages' shares of all documents that may be learned from. Expectation maximisation over the words of a bounded sample of each: a round is a
+    Spark job whose result, languages times pieces, is bounded by LANGS and the vocabulary.
     """
-    words = cut(training_words(docs.select("doc_id", "text", "lang"), max_docs), "language-words")
-    sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    seen = usable(docs.select("doc_id", "text", "lang"))
+    sizes = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     langs = sorted(sizes)
+    words = cut(training_words(seen.where(F.col("lang").isin(langs)), max_docs), "language-words")
     vocab = vocabulary(pieces)
-    usable = np.zeros(vocab.unknown + 1)
-    usable[list(vocab.id.values())] = 1
-    prob = np.repeat((usable / usable.sum())[:, None], len(langs), axis=1)
+    shown = np.zeros(vocab.unknown + 1)
+    shown[list(vocab.id.values())] = 1
+    prob = np.repeat((shown / shown.sum())[:, None], len(langs), axis=1)
     prob[vocab.unknown] = UNKNOWN
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +167,10 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pie
         counts = np.zeros((vocab.unknown + 1, len(langs)))
         counts[found["p"], found["k"]] = np.round(found["n"], 6)
         counts[vocab.unknown] = 0
-        smooth = (counts + SMOOTHING) * usable[:, None]
+        smooth = (counts + SMOOTHING) * shown[:, None]
         prob = smooth / smooth.sum(axis=0)
         prob[vocab.unknown] = UNKNOWN
+    drop(words)
     total = sum(sizes.values())
     return langs, np.log(np.array([sizes[name] / total for name in langs])) if langs else np.zeros(0), prob
 
@@ -157,7 +182,7 @@ def language_id(docs: DataFrame, max_docs: int = TRAIN_DOCS, pieces: str | None
     letters, the log of the sum over all segmentations into pieces; score is the
     share of the best language, and of equal ones the first by name is taken. A text that is null
     or has no letter is 'und' with score 0, and so is every text if nothing could be
-    learned. Each row gives one row, whatever its doc_id.
+    learned. Each row gives one row, whatever its doc_id, and rows that repeat give theirs again; long texts and words are scored whole.
     """
     langs, prior, prob = train(docs, max_docs, pieces=pieces)
 

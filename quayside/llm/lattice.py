@@ -107,10 +107,11 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 
 class Remembered:
-    """A dictionary of bounded size: when young is full it becomes old, and what is used again moves to young."""
+    """A dictionary of bounded size, in entries and in characters: when young is full it becomes old, and what is used again moves to young."""
 
-    def __init__(self, limit: int) -> None:
+    def __init__(self, limit: int, most_chars: int | None = None) -> None:
         self.limit, self.young, self.old = limit, {}, {}
+        self.most_chars, self.chars = most_chars or 64 * limit, 0
 
     def missing(self, words: set[str]) -> list[str]:
         """Words that have no value yet; those in old move to young."""
@@ -121,15 +122,19 @@ class Remembered:
                     out.append(w)
                 else:
                     self.young[w] = v
+                    self.chars += len(w)
         return out
 
     def add(self, values: dict) -> None:
         self.young.update(values)
+        self.chars += sum(map(len, values))
 
     def turn(self) -> None:
         """Called between documents' batches, so that a batch finds all its words in young."""
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
+        if len(self.young) >= self.limit or self.chars >= self.most_chars:
+            # what one batch of long words has filled beyond measure is let go at once
+            self.old, self.young = self.young if self.chars < 2 * self.most_chars else {}, {}
+            self.chars = 0
 
 
 #: Words up to so many characters are worked on in batches; longer ones one by one.

@@ -48,7 +48,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     met = split.join(lost, F.col("own_id").eqNullSafe(F.col("lost_id")) & (F.col("own_hash") == F.col("lost_hash")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
     kept = F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    return met.select("row.*", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    made = F.struct(F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return met.select("row", made.alias("made")).select("row.*", "made.*")  # apart, so that no column of the row is taken for one of these
 
 
 def without_shared_lines(docs: DataFrame, **options: int) -> DataFrame:

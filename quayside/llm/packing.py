@@ -18,8 +18,8 @@ from quayside.llm.common import cut
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces that one task packs at a time, and words that a worker remembers (twice, in two generations).
-GROUP, REMEMBERED = 20_000, 300_000
+#: Pieces that one task packs at a time; words, and characters of them, that a worker remembers (twice, in two generations).
+GROUP, REMEMBERED, CHARS = 20_000, 300_000, 16_000_000
 #: Letters whose lower case and composed form are one letter, then ASCII signs: cut by the tokenizer into just these two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,6 +40,7 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.chars = 0
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these bytes stand for themselves, others for 256 and on
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in shown else next(rest) for b in range(256)}
@@ -51,7 +52,9 @@ class Encoder:
             if len(self.runs) >= REMEMBERED:
                 self.runs.clear()
             spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
-            got = self.runs[run] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(run) <= 48:
+                self.runs[run] = got
         return got
 
     def _word(self, word: str) -> bytes:
@@ -66,11 +69,13 @@ class Encoder:
         return got
 
     def __call__(self, text: str) -> bytes:
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
+        if len(self.young) >= REMEMBERED or self.chars >= CHARS:
+            # what one text of long words has filled beyond measure is let go at once
+            self.old, self.young, self.chars = self.young if self.chars < 2 * CHARS else {}, {}, 0
         young, words = self.young, text.replace("\n", " ").split(" ")
         for word in set(words).difference(young):
             young[word] = self._word(word)
+            self.chars += len(word)
         return b"".join(map(young.__getitem__, words))
 
 
@@ -156,13 +161,13 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return where, at, bins
 
 
-PACKED = PIECES + ", bin long, offset long, again boolean, bins long, bound long, g long"
+PACKED = "row long, " + PIECES + ", bin long, offset long, again boolean, bins long, bound long, g long"
 
 
 def _packer(capacity: int, last: bool):
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         """One partition: bins, its certificate, and the pieces of bins with room that are given up for another round."""
-        part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        part = part.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
         lengths = part["length"].to_numpy(np.int64)
         where, at, bins = best_fit(lengths, capacity)
         bound = lower_bound(lengths, capacity)
@@ -176,9 +181,9 @@ def _packer(capacity: int, last: bool):
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 6) -> DataFrame:
-    """Adds sequence_id (unique, else without meaning) and offset to parts (columns of PIECES); no sequence is longer than capacity.
+    """Adds sequence_id (unique, else without meaning) and offset to parts (columns of PIECES, and row if they have it: a number of their own, else one is given); no sequence is longer than capacity.
 
-    Pieces are dealt by hash into partitions of about group, each packed best fit
+    Pieces are dealt in turn by length, so groups hold like lengths and equal rows spread like others, into partitions of about group, each packed best fit
     decreasing and certified by a dual feasible lower bound. Bins with room of
     partitions with a gap, and the emptiest bin of each certified one, are given
     up; their pieces meet those of other partitions in fewer groups in the next
@@ -186,7 +191,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     more than about group pieces, and at most half a bin or so is lost for each of the
     last round's groups. Repeated rows are packed one by one.
     """
-    whole = cut(parts, "pieces")
+    own = "row" in parts.columns
+    whole = cut(parts.select("row" if own else F.monotonically_increasing_id().alias("row"), *(name.split()[0] for name in PIECES.split(", "))), "pieces")
     n = whole.where(F.col("length") < capacity).count()
     # pieces of the full length are sequences already
     done = whole.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -194,40 +200,53 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     for k in range(rounds):
         groups = max(1, -(-n // group))
         last = groups == 1 or k == rounds - 1
-        dealt = todo.withColumn("g", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        # in the order of their length within each part of the table, so that groups are alike; the start moves from part to part
+        place = F.monotonically_increasing_id()
+        turn = place.bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright(place, 33) * 7919
+        dealt = todo.sortWithinPartitions("length", "row").withColumn("g", F.pmod(turn, F.lit(groups)))
         out = dealt.groupBy("g").applyInPandas(_packer(capacity, last), PACKED)
         packed = cut(out, "packed")
         # g < 2^24 groups, and a bin number below 2^32
         number = F.lit(k << 58) + F.col("g") * (1 << 32) + F.col("bin")
-        done = done.unionByName(packed.where(~F.col("again")).select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset"))
+        done = done.unionByName(packed.where(~F.col("again")).select("row", "doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset"))
         if last:
             break
-        todo = packed.where("again").select("doc_id", "piece", "start", "length", "ids_crc32")
+        todo = packed.where("again").select("row", "doc_id", "piece", "start", "length", "ids_crc32")
         n = todo.count()
         if not n:
             break
-    return done
+    return done if own else done.drop("row")
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs (doc_id, text); see pieces() and pack().
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs (doc_id, text), and its token ids (array of int) if asked for; see pieces() and pack().
 
-    A null doc_id is carried as it is. An empty table gives no rows.
+    A null doc_id is carried as it is, rows that repeat are packed each, a very long text is many pieces. An empty table gives no rows.
     """
-    return pack(pieces(docs, capacity, tokenizer), capacity)
+    if not ids:
+        return pack(pieces(docs, capacity, tokenizer), capacity)
+    return _with_ids(docs, capacity, tokenizer).select("*", _numbers("bytes").alias("ids")).drop("bytes")
+
+
+def _with_ids(docs: DataFrame, capacity: int, tokenizer: str | None) -> DataFrame:
+    """Packed pieces with their ids as bytes; only numbers take part in the packing, and the ids meet their place by the pieces' own number."""
+    found = cut(pieces(docs, capacity, tokenizer, ids=True).withColumn("row", F.monotonically_increasing_id()), "piece-ids")
+    packed = pack(found.drop("ids"), capacity)
+    return packed.join(found.select("row", F.col("ids").alias("bytes")), "row").drop("row")
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens and ids, an array in the order of the offsets; at most capacity ids a row."""
-    found = cut(pieces(docs, capacity, tokenizer, ids=True), "piece-ids")
-    packed = pack(found.drop("ids"), capacity)
-    keyed = found.groupBy("doc_id", "piece", "ids_crc32").agg(F.first("ids").alias("ids"))
-    keys = ["doc_id", "piece", "ids_crc32"]
-    whole = packed.join(keyed.withColumnsRenamed({k: f"own_{k}" for k in keys}), F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("piece") == F.col("own_piece")) & (F.col("ids_crc32") == F.col("own_ids_crc32")))
-    joined = whole.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    whole = _with_ids(docs, capacity, tokenizer)
+    joined = whole.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", F.col("bytes").alias("ids")))).alias("parts"))
     return joined.select("sequence_id", "n_tokens", _unpacked("parts").alias("ids"))
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _numbers(ids: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x.as_py(), "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _unpacked(parts: pa.Array) -> pa.Array:
     rows = [np.frombuffer(b"".join(p["ids"] for p in row), "<u4").astype(np.int32) for row in parts.to_pylist()]

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from quayside.llm.common import held_out
 from quayside.llm.lattice import Remembered
 
-#: Word buckets; structure statistics; factors.
-BUCKETS, STATS, FACTORS = 2048, 14, 8
+#: Word buckets; structure statistics, the last but one of them metadata; factors.
+BUCKETS, STATS, FACTORS = 2048, 15, 8
 #: At most so many labelled documents are learned from, those whose hash is least.
 TRAIN_DOCS = 4000
 STEPS, BATCH, RATE, L2 = 250, 256, 0.02, 1e-4
@@ -36,8 +36,8 @@ def _word(word: str) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def features(text: str, known: Remembered) -> np.ndarray:
-    """Word buckets, by the root of their counts and of length one, then structure statistics; labels, language, source and id aren't seen."""
+def features(text: str, known: Remembered, n_chars: int | None = None) -> np.ndarray:
+    """Word buckets, by the root of their counts and of length one, then structure statistics and the length that the table tells (else that of the text); labels, language, source and id aren't seen."""
     out = np.zeros(BUCKETS + STATS, np.float32)
     words = text.split()
     n = len(words)
@@ -67,6 +67,7 @@ def features(text: str, known: Remembered) -> np.ndarray:
         len(lines) / (n + 1),
         1 - len(set(lines)) / len(lines),
         text.count("!") / n,
+        np.log1p(max(len(text) if n_chars is None else n_chars, 0)) / 15,
         1.0 * (n < 5),
     )
     out[BUCKETS:] = np.minimum(stats, 3)  # one long word must not outweigh all else
@@ -118,13 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Mac
     """
     sure = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     chosen = sure.where("quality = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select(F.col("doc_id").alias("own_id"), "quality")
-    sample = docs.join(F.broadcast(chosen), docs.doc_id == F.col("own_id")).select("text", F.col("quality").cast("int").alias("quality"))
+    sample = _plain(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("own_id")).select("text", "n_chars", F.col("quality").cast("int").alias("quality"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(REMEMBERED)
         for batch in batches:
-            for text, quality in zip(batch["text"], batch["quality"].to_pylist(), strict=True):
-                x = features(text.as_py() or "", known)
+            for text, n_chars, quality in zip(batch["text"], batch["n_chars"].to_pylist(), batch["quality"].to_pylist(), strict=True):
+                x = features(text.as_py() or "", known, n_chars)
                 at = np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary()), pa.array([quality], pa.int32())], names=["at", "x", "quality"])
 
@@ -141,28 +142,34 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Mac
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs (doc_id, text); labels: doc_id, quality.
+    """doc_id, held_out, score and predicted for each row of docs (doc_id, text, n_chars if there); labels: doc_id, quality.
 
-    Null and empty texts are scored as texts without words. Without labels each
-    score is one half. A row without a doc_id is scored and never learned from.
+    Null and empty texts are scored as texts without words, whole texts of any length in one pass. Without labels each
+    score is one half. A row without a doc_id is scored and never learned from. Rows that repeat are scored each and learned from each; other columns, whatever
+    their names, aren't looked at.
     """
     machine = train(docs, labels, max_docs)
 
     @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
+    def score(texts: pa.Array, sizes: pa.Array) -> pa.Array:
         known, out = _known(), []
-        for t in texts:
-            x = features(t.as_py() or "", known)
+        for t, size in zip(texts, sizes, strict=True):
+            x = features(t.as_py() or "", known, size.as_py())
             at = np.flatnonzero(x)
             small, values = machine.factors[at], x[at].astype(np.float64)
             margin = machine.bias + values @ machine.weights[at] + 0.5 * ((values @ small) ** 2 - values**2 @ small**2).sum()
             out.append(1 / (1 + float(np.exp(-np.clip(margin, -30, 30)))))
         return pa.array(out, pa.float64())
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("score"))
+    scored = _plain(docs).select("doc_id", score("text", "n_chars").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), n_chars.alias("n_chars"))
+
+
 _kept: list[Remembered] = []
 
 

@@ -56,7 +56,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), labels)
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup, op10_quality_classifier)}

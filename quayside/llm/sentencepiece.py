@@ -147,12 +147,14 @@ class Coder:
 
     def _of(self, word: str, n: int) -> list[tuple[int, bytes]]:
         """The n best of a word as (loss against its best, ids)."""
-        if (word, n) not in self.others:
-            if len(self.others) > 20_000:
-                self.others.clear()
+        if (got := self.others.get((word, n))) is None:
             paths = n_best(self.vocab, word, n)
-            self.others[word, n] = [(paths[0][0] - s, _spelled(self.vocab, word, np.array(p, "<u4"))) for s, p in paths]
-        return self.others[word, n]
+            got = [(paths[0][0] - s, _spelled(self.vocab, word, np.array(p, "<u4"))) for s, p in paths]
+            if len(word) <= 256:  # long words are seldom met again
+                if len(self.others) > 20_000:
+                    self.others.clear()
+                self.others[word, n] = got
+        return got
 
     def best(self, words: list[str], n: int) -> tuple[list[bytes], list[tuple[int, list[tuple[int, bytes]]]]]:
         """Ids of the best segmentation, word by word, and the n best as (score, [(number of the word, its ids where they aren't its best)]).

@@ -93,7 +93,8 @@ def _signed(x: int) -> int:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b). Nodes without an edge aren't listed.
 
-    Large-star and small-star steps in turn until nothing changes; each step's
+    Large-star and small-star steps in turn until nothing changes (their number grows with the logarithm of the longest path; if
+    rounds aren't enough, that is an error); each step's
     table is written to the shared folder. Both sides of its join are plain
     tables there, so adaptive execution can split the rows of a hub.
     """
@@ -114,6 +115,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -143,9 +146,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id. Of rows that repeat it, one stays; rows without an id stay."""
     groups = simhash_groups(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("kept_id")).distinct()
-    whole = docs.join(kept, docs.doc_id == kept.kept_id, "left").where(F.col("kept_id").isNotNull() | F.col("doc_id").isNull())
-    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("nameless")
-    return whole.select(F.struct(*keep_others(docs)).alias("row"), F.col("doc_id").alias("own_id"), nameless).dropDuplicates(["own_id", "nameless"]).select("row.*")
+    whole = docs.select(F.struct(*keep_others(docs)).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    whole = whole.join(kept, F.col("own_id") == F.col("kept_id"), "left").where(F.col("kept_id").isNotNull() | F.col("own_id").isNull())
+    nameless = F.when(F.col("own_id").isNull(), F.monotonically_increasing_id()).alias("nameless")
+    return whole.select("row", "own_id", nameless).dropDuplicates(["own_id", "nameless"]).select("row.*")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -144,6 +144,40 @@ def test_packing(docs, empty):
     assert sum(r["n_tokens"] for r in made) == sum(w[3] for w in want) and all(len(r["ids"]) == r["n_tokens"] for r in made)
 
 
+def test_packing_spreads_equal_rows(spark):
+    """30,000 rows with no id and equal texts are dealt to groups like any others."""
+    df = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1500).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    sizes = []
+    packer = packing._packer
+
+    def watched(capacity, last):
+        pack = packer(capacity, last)
+        return lambda key, part: pack(key, part).assign(offset=len(part))
+
+    packing._packer = watched
+    try:
+        sizes = [r["offset"] for r in packing.pack(df, group=2000, rounds=1).select("offset").distinct().collect()]
+    finally:
+        packing._packer = packer
+    assert max(sizes) <= 2100
+    out = packing.pack(df, group=2000).toPandas()
+    fill = out.groupby("sequence_id")["length"].agg(["sum", "size"])
+    assert len(out) == 30_000 and fill["sum"].max() <= 4096 and len(fill) == 15_000
+
+
+def test_remembered_words_are_bounded_in_bytes():
+    known = Remembered(1000, most_chars=10_000)
+    for k in range(50):
+        known.turn()
+        words = {f"{k}-{i}-" + "x" * 400 for i in range(20)}
+        known.add({w: 1 for w in known.missing(words)})
+        assert words <= set(known.young) and sum(map(len, [*known.young, *known.old])) < 40_000
+    encode = packing.encoder()
+    for k in range(30):
+        encode(" ".join(f"{k}{i}" + "y" * 2000 for i in range(600)))
+        assert sum(map(len, encode.young)) + sum(map(len, encode.old)) < 3 * packing.CHARS
+
+
 def test_packing_rounds_and_bounds(spark):
     rng = random.Random(5)
     lengths = [rng.choice([rng.randint(1, 4096), rng.randint(1500, 2600), rng.randint(1, 300)]) for _ in range(3000)]
@@ -430,6 +464,9 @@ def test_language_id(spark, docs, empty):
     assert held and all(out[i]["held_out"] and out[i]["lang_pred"] == lang for i, lang in held)
     assert [out[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "bb"] and all(0 <= r["score"] <= 1 for r in out.values())
     assert language_id.language_id(empty).count() == 0
+    rare = cut(df.where("doc_id < 240").unionByName(spark.createDataFrame([(2000 + i, "zzyx qqwv " * 20, "cc") for i in range(8)], df.schema)))
+    got = {r["lang_pred"] for r in language_id.language_id(rare, max_docs=20).where("doc_id >= 2000").collect()}
+    assert got == {"cc"}  # a language keeps documents of its own, however few they are
     assert {r["lang_pred"] for r in language_id.language_id(docs).collect()} == {"en", "und"}
 
 
@@ -458,6 +495,32 @@ def test_language_probability_sums_all_segmentations():
     assert np.allclose(got[-1], np.log(alpha[len(words[-1])]))
 
 
+def test_language_counts_of_long_words():
+    """Expected pieces of a long word, in logarithms, against those of the batch method on a word of the same kind."""
+    vocab = vocabulary()
+    prob = np.random.default_rng(3).random(vocab.unknown + 1) / 1e3
+    word = "▁internationalisation"
+    want, got = language_id.expected(vocab, prob, [word], np.array([3.0])), np.zeros(len(prob) + 1)
+    language_id._expected_long(vocab, np.append(prob, 0.0), word, 3.0, got)
+    assert np.allclose(got[:-1], want)
+    long = language_id.expected(vocab, prob, [word * 40], np.array([1.0]))
+    lengths = np.array([len(p) for p in vocab.pieces] + [1])
+    assert (long * lengths).sum() == pytest.approx(len(word) * 40)
+
+
+def test_clashing_columns(spark):
+    """Columns named as those that operators use on the way."""
+    names = ("quality", "own_id", "kept_id", "lost", "g", "row", "w", "t", "hits", "all", "base", "whole", "nameless", "pos", "fp", "raw_email", "rest", "lines", "own", "q", "n")
+    texts = prose(30, 4)
+    df = spark.createDataFrame([(i, t, "en", len(t), *["x"] * len(names)) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    df = cut(df)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert quality_classifier.quality_classifier(df, labels).count() == 31 and language_id.language_id(df).count() == 31 and sentencepiece.sentencepiece_n_best(df).count() == 31
+    assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df).count() == 30
+    assert line_dedup.without_shared_lines(df).columns == df.columns and pii.redacted(df).columns == df.columns and quality_rules.kept_documents(df, labels).columns == df.columns
+    assert packing.best_fit_packing(df, ids=True).count() == 31 and license_scan.license_scan(df, inside=True).count() == 0
+
+
 def test_sentencepiece_n_best(spark, docs, empty):
     vocab = vocabulary()
     for text in ("the thing", "été", "a  b\nc", "▁x 漢y", "in in in", "oining"):
