@@ -360,8 +360,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     rows = with_spans(docs)
     rows = step(rows, ["row", "t"], apart=F.when(F.size("spans") > 0, _merged(F.col("spans"))), parts=F.when(F.size("spans") > 0, _parts(F.col("t"))))
     joined = _replaced(F.col("apart"), F.col("parts"), F.length("t"), lambda x: F.concat(F.lit("<"), x["kind"], F.lit(">")))
-    rows = step(rows, ["row"], clean=F.when(F.col("row.text").isNotNull(), F.when(F.col("apart").isNotNull(), joined).otherwise(F.col("t"))))
-    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast("long")} if "n_chars" in docs.columns else {})
+    rows = rows.select("row", F.when(F.col("apart").isNotNull(), joined).otherwise(F.col("t")).alias("clean"))
+    text = F.when(F.col("row.text").isNotNull(), F.col("clean"))
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return rows.select(*(columns[c].alias(c) for c in docs.columns))
 
 

@@ -103,6 +103,7 @@ def test_pipeline_against_plain_code(spark, tmp_path):
         want += [(i, k, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in out)
     assert len({r["sequence_id"] for r in out}) == -(-sum(w[2] for w in want) // 4096) and packing.CAPACITY == 4096
 
 
