@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import line_dedup, packing, pii, quality_rules, simhash
-from quayside.llm.common import cut, ship, table
+from quayside.llm.common import cut, ship, sweep, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens, each with its sequence and its place there."""
+    """Pieces of at most 4096 tokens, each with its token ids, its sequence and its place there."""
     ship(spark)
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, ids=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash", near_duplicates), ("personal data", personal_data), ("packing", packed)]
@@ -41,7 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn, each written and read again; what a stage has written on its way, and its predecessor's table, go once the stage is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, mark, docs)
     return docs
