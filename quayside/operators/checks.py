@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.scalars import half_up
+from quayside.functions.scalars import half_up, number
+from quayside.operators.master import retail
 
 
 def violation(rows: DataFrame, subject: str, code: str, message: Column) -> DataFrame:
@@ -79,6 +80,46 @@ def cards(docs: DataFrame, mark: str, key: str = "doc_id", html: str = "html") -
     return parts.select(key, "pos", code.alias("code"), "chunk")
 
 
+def composite_violations(cards: DataFrame, score: str, row: str, count: int = 4, tolerance: float = 1.0, key: str = "doc_id") -> DataFrame:
+    """Cards (key, code, chunk) whose score (first group of a pattern) isn't the sum of its rows' points times weights (two groups), or that have another number of rows; a card without a score is passed over."""
+    pairs = F.arrays_zip(F.regexp_extract_all("chunk", F.lit(row), F.lit(1)).alias("p"), F.regexp_extract_all("chunk", F.lit(row), F.lit(2)).alias("w"))
+    total = F.aggregate("pairs", F.lit(0.0), lambda a, x: a + number(x["p"]) * number(x["w"]) / 100)
+    rows = cards.select(key, "code", number(F.regexp_extract("chunk", score, 1)).alias("shown"), pairs.alias("pairs")).where("shown IS NOT NULL")
+    told = rows.withColumn("total", total)
+    bad = told.where((F.size("pairs") == count) & (F.abs(F.col("shown") - F.col("total")) > tolerance + 1e-9))
+    return all_of(violation(told.where(F.size("pairs") != count), key, "malformed_bar", F.concat_ws(" ", "code", F.size("pairs").cast("string"))), violation(bad, key, "composite", F.concat_ws(" ", "code", F.format_string("%.2f", "total"))))
+
+
+def alpha_violations(cards: DataFrame, row: str, tolerance: float = 0.1, key: str = "doc_id") -> DataFrame:
+    """Rows of cards (fund, benchmark, alpha: three groups of a pattern) whose alpha isn't the difference; rows with a blank are passed over."""
+    parts = F.arrays_zip(*(F.regexp_extract_all("chunk", F.lit(row), F.lit(i)).alias(n) for i, n in ((1, "f"), (2, "b"), (3, "a"))))
+    rows = cards.select(key, "code", F.explode(parts).alias("r")).select(key, "code", *(number(F.col(f"r.{n}")).alias(n) for n in "fba"))
+    return violation(rows.where(F.abs(F.col("a") - (F.col("f") - F.col("b"))) > tolerance + 1e-9), key, "alpha", F.col("code"))
+
+
+def pair_violations(cards: DataFrame, one: str, other: str, tolerance: float, code: str, key: str = "doc_id") -> DataFrame:
+    """Cards in which two numbers (first groups of patterns) that say the same differ by more than tolerance; cards that lack one are passed over."""
+    rows = cards.select(key, "code", number(F.regexp_extract("chunk", one, 1)).alias("a"), number(F.regexp_extract("chunk", other, 1)).alias("b"))
+    return violation(rows.where(F.abs(F.col("a") - F.col("b")) > tolerance + 1e-9), key, code, F.col("code"))
+
+
+def warning_violations(cards: DataFrame, facts: DataFrame, mark: str, bad_status: str = "Disqualified", key: str = "doc_id") -> DataFrame:
+    """Cards of known funds (facts: code, status) that carry a warning though the fund is qualified, or none though it isn't."""
+    met = cards.join(facts.select("code", "status"), "code")
+    return both_or_neither(met, key, F.contains("chunk", F.lit(mark)), F.col("status") == bad_status, "warning")
+
+
+def eligibility_violations(cards: DataFrame, facts: DataFrame, wholesale: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
+    """Cards of known funds (facts: code, name) that aren't for retail clients."""
+    met = cards.join(facts.select("code", F.coalesce("name", F.lit("")).alias("name")), "code")
+    return violation(met.where(~retail(F.col("name"), F.col("code"), wholesale)), key, "retail_eligibility", F.col("code"))
+
+
+def snapshot_sanity(funds: DataFrame, highs: DataFrame, key: str = "fund_id") -> DataFrame:
+    """Funds without a high, and highs whose drawdown is positive, which no drawdown can be."""
+    return all_of(violation(funds.join(highs.select(key), key, "left_anti"), key, "no_high", F.col(key)), violation(highs.where("drawdown_pct > 0"), key, "drawdown_positive", F.col("drawdown_pct")))
+
+
 def recomputed(rows: DataFrame, key: str, code: str, shown: str, inputs: Sequence[tuple[str, float]], tolerance: float) -> DataFrame:
     """Rows whose shown number is further than tolerance from the weighted sum of their columns; rows with a blank are passed over."""
     total = reduce(lambda a, b: a + b, (F.col(c) * w for c, w in inputs))

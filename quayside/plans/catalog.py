@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quayside.functions import scalars as S
-from quayside.operators import checks, exposure, extraction, measures, nav, portfolio, scoring, screening
+from quayside.operators import checks, exposure, extraction, master, measures, nav, portfolio, scoring, screening, summaries
 from quayside.plans import standins as V
 from quayside.plans.standins import VIEWS, exact, table
 from quayside.sources import tables
@@ -55,31 +55,40 @@ def blend_penalised(spark, sf_dir):
     return V.measured(spark, sf_dir).select("fund_id", "blended", "alpha", "efficiency")
 
 
-@query("""SELECT qualified_type AS fund_type, coalesce(sum(q), 0)::BIGINT AS qualified, sum(beat_all)::BIGINT AS beat_all, sum(s)::BIGINT AS screened, (count(*) - sum(s))::BIGINT AS conventional FROM
-(SELECT coalesce(t.fund_type, 'Total') AS qualified_type, qualified::INT AS q, (qualified AND rate = 100)::INT AS beat_all, screened::INT AS s FROM screened_v v JOIN (SELECT DISTINCT fund_type, fund_type AS own FROM screened_v UNION ALL SELECT NULL, fund_type FROM (SELECT DISTINCT fund_type FROM screened_v)) t ON v.fund_type = t.own) GROUP BY 1""")
+@query("""SELECT coalesce(fund_type, 'Total') AS fund_type, count(*) FILTER (WHERE qualified) AS qualified, count(*) FILTER (WHERE qualified AND rate = 100) AS beat_all, count(*) FILTER (WHERE qualified AND screened) AS screened,
+count(*) FILTER (WHERE qualified AND NOT screened) AS conventional FROM screened_v GROUP BY ROLLUP (fund_type)""")
 def type_counts(spark, sf_dir):
-    rows = V.screened(spark, sf_dir)
-    counts = rows.rollup("fund_type").agg(F.count_if("qualified").alias("qualified"), F.count_if(F.col("qualified") & (F.col("rate") == 100)).alias("beat_all"), F.count_if("screened").alias("screened"), F.count(F.lit(1)).alias("n"))
-    return counts.select(F.coalesce("fund_type", F.lit("Total")).alias("fund_type"), "qualified", "beat_all", "screened", (F.col("n") - F.col("screened")).alias("conventional"))
+    return summaries.type_counts(V.screened(spark, sf_dir))
 
 
-@query("SELECT fund_type, round(median(weighted_alpha), 4) AS score, round(median(rate), 2) AS rate, round(median(alpha_3y), 4) AS alpha_3y, round(median(alpha_5y), 4) AS alpha_5y FROM screened_v JOIN wide_v USING (fund_id) WHERE qualified GROUP BY 1")
+MEDIANS = {**{f"ret_{p}": 4 for p in V.PERIODS}, "alpha_3y": 4, "rate": 2}
+
+
+@query("SELECT fund_type, " + ", ".join(f"round(median({c}), {d}) AS {c}" for c, d in MEDIANS.items()) + " FROM screened_v JOIN wide_v USING (fund_id) WHERE qualified GROUP BY 1")
 def type_medians(spark, sf_dir):
-    rows = V.screened(spark, sf_dir).where("qualified").join(V.wide_alphas(spark, sf_dir).drop("class"), "fund_id")
-    return rows.groupBy("fund_type").agg(S.half_up(F.median("weighted_alpha"), 4).alias("score"), S.half_up(F.median("rate"), 2).alias("rate"), S.half_up(F.median("alpha_3y"), 4).alias("alpha_3y"), S.half_up(F.median("alpha_5y"), 4).alias("alpha_5y"))
+    return summaries.type_medians(V.screened(spark, sf_dir).join(V.wide_alphas(spark, sf_dir).drop("class"), "fund_id"), MEDIANS)
+
+
+TOPS = ["ret_3y", "alpha_3y", "efficiency_3y", "size"]
 
 
-@query("SELECT fund_type, fund_id, weighted_alpha, rank FROM (SELECT *, row_number() OVER (PARTITION BY fund_type ORDER BY weighted_alpha DESC, fund_id)::INTEGER AS rank FROM screened_v WHERE qualified AND weighted_alpha IS NOT NULL) WHERE rank <= 5")
+@query("""SELECT fund_type, measure, rank, fund_id, value FROM (SELECT *, row_number() OVER (PARTITION BY fund_type, measure ORDER BY value DESC, fund_id)::INTEGER AS rank FROM (SELECT fund_type, fund_id, unnest(['ret_3y', 'alpha_3y', 'efficiency_3y', 'size']) AS measure,
+unnest([ret_3y, alpha_3y, alpha_3y / (risk_level * 2.0::DOUBLE), p_retailprice]) AS value FROM screened_v JOIN wide_v USING (fund_id) JOIN part ON p_partkey = fund_id WHERE qualified) WHERE value IS NOT NULL) WHERE rank <= 5""")
 def top5_per_type(spark, sf_dir):
-    rows = V.screened(spark, sf_dir).where("qualified AND weighted_alpha IS NOT NULL")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("fund_type").orderBy(F.desc("weighted_alpha"), "fund_id"))).where("rank <= 5").select("fund_type", "fund_id", "weighted_alpha", "rank")
+    facts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fund_id"), F.col("p_retailprice").alias("size"))
+    rows = V.screened(spark, sf_dir).join(V.wide_alphas(spark, sf_dir).drop("class"), "fund_id").join(facts, "fund_id")
+    return summaries.top_by_type(rows.withColumn("efficiency_3y", measures.efficiency(F.col("alpha_3y"), F.col("risk_level") * F.lit(2.0))), TOPS)
 
 
-@query("SELECT count(*) AS funds, count(*) FILTER (WHERE qualified) AS qualified, count(*) FILTER (WHERE NOT qualified) AS disqualified, round(count(*) FILTER (WHERE qualified) / count(*) * 100, 1) AS pass_rate, count(alpha_3y) AS with_3y, count(alpha_10y) AS with_10y FROM screened_v JOIN wide_v USING (fund_id)")
+@query("SELECT count(*) AS funds, count(*) FILTER (WHERE qualified) AS qualified, count(*) FILTER (WHERE NOT qualified) AS disqualified, round(count(*) FILTER (WHERE qualified) / count(*) * 100, 1) AS pass_rate, count(alpha_3y) AS with_alpha_3y, count(alpha_10y) AS with_alpha_10y FROM screened_v JOIN wide_v USING (fund_id)")
 def screening_counts(spark, sf_dir):
-    rows = V.screened(spark, sf_dir).join(V.wide_alphas(spark, sf_dir), "fund_id")
-    n, q = F.count(F.lit(1)), F.count_if("qualified")
-    return rows.agg(n.alias("funds"), q.alias("qualified"), (n - q).alias("disqualified"), S.half_up(q / n * 100, 1).alias("pass_rate"), F.count("alpha_3y").alias("with_3y"), F.count("alpha_10y").alias("with_10y"))
+    return summaries.screening_counts(V.screened(spark, sf_dir).join(V.wide_alphas(spark, sf_dir), "fund_id"), ["alpha_3y", "alpha_10y"])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE length(trim(text)) > 0) AS text, count(lang) FILTER (WHERE length(trim(lang)) > 0) AS lang, count(n_chars) AS n_chars, count(*) FILTER (WHERE len(words) > 0) AS words FROM (SELECT *, list_filter(string_split(coalesce(text, ''), ' '), lambda w: contains(w, '9')) AS words FROM documents)")
+def completeness(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("words", F.filter(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda w: w.contains("9")))
+    return summaries.completeness(rows, ["text", "lang", "n_chars", "words"])
 
 
 @query("SELECT fund_id, row_number() OVER (ORDER BY qualified DESC, coalesce(weighted_alpha, 0) DESC, coalesce(alpha_3y, 0) DESC, fund_id)::BIGINT AS position FROM screened_v JOIN wide_v USING (fund_id)")
@@ -249,7 +258,7 @@ def _scored_with_facts(spark, sf_dir):
     return scoring.scores(kinds, V.measured(spark, sf_dir)).join(facts, "fund_id", "left")
 
 
-#: Candidates for the outlier may be of any kind: every seventh fund is said not to be of the wanted one. Funds overlap where their first letters of name and sizes are alike.
+#: Every seventh fund is said not to be of the wanted kind. Funds overlap where three of the five places that most of them is in are the same.
 SWAP = BASE + """, wanted AS (SELECT *, row_number() OVER (PARTITION BY r.profile, r.target_pct, r.preference ORDER BY composite DESC, alpha_n DESC, efficiency_n DESC, fund_id) AS qposition FROM ranked_v r JOIN screened_v USING (fund_id) WHERE qualified),
 cand AS (SELECT r.profile, r.target_pct, r.preference, r.fund_id::VARCHAR AS fund, qposition, r.alpha_n, w.alpha_3y, w.alpha_5y, r.fund_id % 7 <> 0 AS matches FROM wanted r LEFT JOIN wide_v w ON w.fund_id = r.fund_id WHERE qposition <= 7),
 free AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM kind_base b WHERE b.profile = c.profile AND b.target_pct = c.target_pct AND b.preference IS NOT DISTINCT FROM c.preference AND b.fund = c.fund)),
@@ -396,10 +405,13 @@ def band_classify(spark, sf_dir):
     return rows.select(F.col("p_partkey").alias("fund_id"), S.band_up_to(F.col("v")).alias("volatility"), S.momentum(F.col("d"), F.col("days")).alias("momentum"), S.derived_class(F.col("e"), 100 - F.col("e"), zero, zero).alias("derived"), S.key_form(F.col("p_brand")).alias("key"), S.first_rule(F.col("p_type"), ((("STEEL", "BRASS"), "Metal"), (("SMALL",), "Small")), "Other").alias("kind"))
 
 
-@query("SELECT o_custkey AS series, max_by(o_orderkey, (year(o_orderdate) * 100 + month(o_orderdate), -o_orderkey)) AS latest, (max(year(o_orderdate) * 100 + month(o_orderdate)))::INTEGER AS key FROM orders GROUP BY 1")
+@query("""SELECT series, path, key FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY key DESC, path) AS n FROM (SELECT 'S' || o_custkey AS series, '/in/' || o_orderkey || '/[MFR ' || strftime(o_orderdate, '%b') || strftime(o_orderdate, '%y') || '] S' || o_custkey || '.pdf' AS path,
+((year(o_orderdate) % 100) * 100 + month(o_orderdate))::INTEGER AS key FROM orders WHERE o_orderkey % 50 <> 0)) WHERE n = 1""")
 def latest_per_series(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("key"))
-    return rows.groupBy(F.col("o_custkey").alias("series")).agg(F.max_by("o_orderkey", F.struct("key", -F.col("o_orderkey"))).alias("latest"), F.max("key").alias("key"))
+    """Orders as monthly reports of their customers' series; those of some orders are of a kind that is left out."""
+    month = F.date_format("o_orderdate", "MMM")
+    path = F.concat(F.lit("/in/"), F.when(F.col("o_orderkey") % 50 == 0, "PRS").otherwise(""), F.col("o_orderkey").cast("string"), F.lit("/[MFR "), month, F.date_format("o_orderdate", "yy"), F.lit("] S"), F.col("o_custkey").cast("string"), F.lit(".pdf"))
+    return tables.latest_per_series(table(spark, sf_dir, "orders").select(path.alias("path")), without="/PRS")
 
 
 @query("SELECT s_suppkey, n.n_regionkey::BIGINT AS region FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN n_name ELSE lower(n_name) || ' ' END AS code, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) s LEFT JOIN nation n ON upper(replace(s.code, ' ', '')) = upper(replace(n.n_name, ' ', ''))")
@@ -423,10 +435,99 @@ def parse_with_rejects(spark, sf_dir):
     return lines.select("own", "source").join(ids, "own").groupBy("source").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("rejects"))
 
 
-@query("SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, min(page_id) AS first_page FROM pages GROUP BY 1")
+@query("SELECT host, page_id, url FROM (SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, page_id, url, row_number() OVER (PARTITION BY split_part(split_part(url, '://', 2), '/', 1) ORDER BY page_id) AS n FROM pages) WHERE n = 1 AND host <> ''")
 def first_seen(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"))
-    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+    rows = table(spark, sf_dir, "pages").select(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), "page_id", "url")
+    return master.first_seen(rows, "host", "page_id")
+
+
+@query("""SELECT portfolio_id, row_number() OVER (PARTITION BY portfolio_id ORDER BY part, pos)::INTEGER AS pos, kind, text FROM (SELECT o_custkey AS portfolio_id, 0 AS part, o_orderkey AS pos, 'sheet' AS kind, o_orderkey::VARCHAR AS text FROM orders
+UNION ALL SELECT user_id, 1, event_id, 'link', event_type || ' ' || event_type || ' (' || strftime(ts, '%Y-%m-%d') || ')' FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_id % 11 <> 0) WHERE n = 1)""")
+def source_list(spark, sf_dir):
+    """Orders as holdings of their customers, events as what was read for them; some have no address."""
+    held = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("portfolio_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("code"))
+    url = F.when(F.col("event_id") % 11 != 0, F.col("event_type")).otherwise("")
+    read = table(spark, sf_dir, "events").select(F.col("user_id").alias("portfolio_id"), F.col("event_id").alias("pos"), url.alias("source_url"), F.col("event_type").alias("theme"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    return master.source_list(held, read)
+
+
+RETAIL = """named AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'PB ' || p_name WHEN p_partkey % 31 = 0 THEN NULL ELSE p_name END AS name, 'F' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '-B' ELSE '-A' END AS code FROM part),
+retail AS (SELECT * FROM named WHERE name IS NOT NULL AND name NOT LIKE 'PB %' AND code NOT LIKE '%-B' AND code NOT IN (SELECT code FROM named JOIN part USING (p_partkey) WHERE p_size = 1))"""
+
+
+def _named(spark, sf_dir):
+    key = F.col("p_partkey")
+    name = F.when(key % 9 == 0, F.concat(F.lit("PB "), F.col("p_name"))).when(key % 31 == 0, F.lit(None)).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", name.alias("name"), F.concat(F.lit("F"), key.cast("string"), F.when(key % 5 == 0, "-B").otherwise("-A")).alias("code"))
+
+
+def _retail(spark, sf_dir):
+    funds = _named(spark, sf_dir)
+    return master.retail_only(funds, funds.where("p_size = 1").select("code"))
+
+
+@query("WITH " + RETAIL + " SELECT code, name FROM retail")
+def retail_funds(spark, sf_dir):
+    return _retail(spark, sf_dir).select("code", "name")
+
+
+@query("WITH " + RETAIL + " SELECT code FROM retail UNION SELECT 'F' || l_partkey || '-A' FROM lineitem WHERE l_partkey IS NOT NULL")
+def fund_universe(spark, sf_dir):
+    held = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("F"), F.col("l_partkey").cast("string"), F.lit("-A")).alias("code"))
+    return master.fund_universe(_retail(spark, sf_dir), held)
+
+
+@query("""WITH wanted AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN lower(n_name) WHEN s_suppkey % 7 = 0 THEN n_name || '?' ELSE n_name END AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+codes AS (SELECT n_name, n_regionkey FROM nation WHERE n_nationkey <> 4) SELECT w.n_name AS code, coalesce(a.n_regionkey, b.n_regionkey)::INTEGER AS region, CASE WHEN a.n_name IS NOT NULL THEN 'exact' WHEN b.n_name IS NOT NULL THEN 'form' ELSE 'missing' END AS found
+FROM wanted w LEFT JOIN codes a ON a.n_name = w.n_name LEFT JOIN codes b ON upper(replace(b.n_name, ' ', '')) = upper(replace(w.n_name, ' ', ''))""")
+def resolved_codes(spark, sf_dir):
+    """Names of suppliers' nations, some in small letters and some that no map has; the map lacks a nation. Missing ones are those that neither way finds."""
+    nation = table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    wanted = rows.select(F.when(F.col("s_suppkey") % 3 == 0, F.lower("n_name")).when(F.col("s_suppkey") % 7 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")).alias("code"))
+    codes = nation.where("n_nationkey <> 4").select(F.col("n_name").alias("code"), F.col("n_regionkey").alias("region"))
+    found, unmatched = master.resolved_codes(wanted, codes, "code", "region", S.key_form)
+    lost = master.missing_keys(wanted, found, "code").join(unmatched, "code", "left_semi")
+    return found.select("code", "region", F.when(F.col("exact"), "exact").otherwise("form").alias("found")).unionByName(lost.select("code", F.lit(None).cast("int").alias("region"), F.lit("missing").alias("found")))
+
+
+@query("""WITH top AS (SELECT max(p_partkey) AS m FROM part) SELECT p_partkey AS row, 'F' || p_partkey AS code, coalesce(p_name, '') AS name, p_partkey % 3 = 0 AS screened, CASE WHEN p_partkey % 4 <> 0 THEN p_size END::INTEGER AS risk_level, p_retailprice AS weighted_alpha,
+p_size::DOUBLE AS alpha_3y, NULL::DOUBLE AS fund_5y, (p_size % 10)::DOUBLE AS dom, len(list_filter(string_split(p_type, ' '), lambda x: x <> '')) AS holdings, (p_partkey % 400)::INTEGER AS days FROM part, top WHERE p_partkey <= floor(0.9 * m)""")
+def master_reader(spark, sf_dir):
+    """Parts written as cells of text, of which the last tenth follows a row without a code; numbers that are words are null."""
+    part = table(spark, sf_dir, "part")
+    end = F.broadcast(part.agg(F.floor(F.max("p_partkey") * 0.9).alias("m")))
+    text = lambda c: c.cast("string")
+    cells = part.join(end, F.lit(True)).select(
+        F.col("p_partkey").alias("row"), F.when(F.col("p_partkey") == F.col("m") + 1, " ").otherwise(F.concat(F.lit(" F"), text(F.col("p_partkey")))).alias("code"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, " Shariah").otherwise("Conventional").alias("series"),
+        F.when(F.col("p_partkey") % 4 != 0, text(F.col("p_size"))).otherwise("n/a").alias("risk_level"), text(F.col("p_retailprice")).alias("weighted_alpha"), text(F.col("p_size")).alias("3y_alpha"), F.lit("-").alias("5y_fund"), text(F.col("p_size") % 10).alias("dom"), F.regexp_replace("p_type", " ", " | ").alias("top_holdings"), text(F.col("p_partkey") % 400).alias("days_from_ath"),
+    )
+    rows = master.master_rows(cells, assets=["dom"])
+    return rows.select("row", "code", "name", "screened", "risk_level", "weighted_alpha", F.col("returns")["3y"]["alpha"].alias("alpha_3y"), F.col("returns")["5y"]["fund"].alias("fund_5y"), F.col("assets")["dom"].alias("dom"), F.size("top_holdings").cast("bigint").alias("holdings"), F.col("days_from_ath").alias("days"))
+
+
+SECTORS = ["Industrial", "Technology", "Telecommunications", "Internet", "Consumer, Cyclical", "Electric", "REITS", "ETF", "Weird"]
+
+
+@query(""", sect AS (SELECT fund_id, CASE p % 9 WHEN 0 THEN 'Industrial' WHEN 1 THEN 'Technology' WHEN 2 THEN 'Communications' WHEN 3 THEN 'Communications' WHEN 4 THEN 'Consumer Discretionary' WHEN 5 THEN 'Energy' WHEN 6 THEN 'Real Estate' ELSE 'Other Sector' END AS bucket, share FROM (SELECT fund_id, n_nationkey AS p, share FROM geo_v JOIN nation ON n_name = place)),
+sector_v AS (SELECT fund_id, round(sum(share::DECIMAL(18,4)) FILTER (WHERE bucket = 'Energy'), 1) AS energy, round(sum(share::DECIMAL(18,4)) FILTER (WHERE bucket = 'Communications'), 1) AS communications, round(sum(share::DECIMAL(18,4)) FILTER (WHERE bucket = 'Other Sector'), 1) AS other_sector FROM sect GROUP BY 1),
+country_v AS (SELECT fund_id, round(max(share) FILTER (WHERE place = 'CHINA'), 1) AS china, round(max(share) FILTER (WHERE place = 'JAPAN'), 1) AS japan, round(nullif(sum(share::DECIMAL(18,4)) FILTER (WHERE place NOT IN ('CHINA', 'FRANCE', 'GERMANY', 'INDONESIA', 'JAPAN')), 0)::DOUBLE, 1) AS geo_other FROM geo_v GROUP BY 1),
+high_v AS (SELECT fund_id, max(nav) AS top, arg_max(nav, nav_date) AS last FROM nav_v GROUP BY 1)
+SELECT f.fund_id, CASE WHEN s.qualified THEN 'Qualified' ELSE 'Disqualified' END AS status, coalesce(out_periods, 0) || '/' || coalesce(s.total_periods, 0) AS periods, s.weighted_alpha, CASE WHEN f.screened THEN 'Shariah' ELSE 'Conventional' END AS series, alpha_3y, ret_5y, round(alpha_1y / (f.risk_level * 2.0::DOUBLE), 2) AS efficiency_1y,
+coalesce(energy, 0)::DOUBLE AS energy, coalesce(communications, 0)::DOUBLE AS communications, coalesce(other_sector, 0)::DOUBLE AS other_sector, china, japan, geo_other, CASE WHEN top > 0 THEN round((last - top) / top * 100, 2) END AS drawdown_pct
+FROM fund_v f LEFT JOIN screened_v s USING (fund_id) LEFT JOIN wide_v w USING (fund_id) LEFT JOIN sector_v USING (fund_id) LEFT JOIN country_v USING (fund_id) LEFT JOIN high_v USING (fund_id)""")
+def wide_master(spark, sf_dir):
+    """The master table of all funds; sales by nation stand for shares by place and, with the nations' numbers, by sector."""
+    funds = V.funds(spark, sf_dir).select("fund_id", "name", F.col("fund_id").cast("string").alias("code"), "screened", F.lit("").alias("category"), F.col("class").alias("asset_class"), F.lit("Global").alias("geography"), F.lit("Income").alias("objective"), "risk_level", F.lit("Annual").alias("policy"), (F.col("risk_level") * F.lit(2.0)).alias("volatility"))
+    places = V.places(spark, sf_dir)
+    keys = table(spark, sf_dir, "nation").select(F.col("n_name").alias("place"), F.col("n_nationkey").alias("p"))
+    sector = F.get(F.array(*map(F.lit, SECTORS)), F.col("p") % len(SECTORS))
+    sectors = master.sector_buckets(places.join(keys, "place").select("fund_id", sector.alias("sector"), F.concat(F.col("share").cast("decimal(18,4)").cast("string"), F.lit("%")).alias("weight")))
+    countries = master.country_buckets(places.withColumn("place", F.initcap("place")))
+    highs = nav.drawdown(nav.all_time_high(V.prices(spark, sf_dir)), F.lit(AS_OF).cast("date"))
+    rows = master.wide_rows(funds, V.screened(spark, sf_dir), V.alphas(spark, sf_dir), places=countries, sectors=sectors, highs=highs)
+    zero = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0))
+    return rows.select("fund_id", "status", "periods", "weighted_alpha", "series", F.col("3y_alpha").alias("alpha_3y"), F.col("5y_fund").alias("ret_5y"), "efficiency_1y", zero("Sector: Energy").alias("energy"), zero("Sector: Communications").alias("communications"), zero("Sector: Other Sector").alias("other_sector"), F.col("`Geo: China`").alias("china"), F.col("`Geo: Japan`").alias("japan"), F.col("`Geo: Geo Other`").alias("geo_other"), "drawdown_pct")
 
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, coalesce(nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '')) AS heading, \"left\"(nullif(trim(regexp_extract(html, '<p[^>]*>([^<]*)</p>', 1)), ''), 300) AS objective FROM pages")
@@ -489,3 +590,128 @@ def render_reconcile(spark, sf_dir):
 def snapshot_quality(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind"), F.element_at(F.split("p_type", " "), -1).alias("metal"))
     return checks.labels_outside(rows, "p_partkey", {"kind": ["SMALL", "LARGE", "ECONOMY"], "metal": ["STEEL", "BRASS"]}).select("subject", "code")
+
+
+@query("SELECT fund_id, ath_date::VARCHAR AS ath_date, datediff('day', ath_date, DATE '2024-01-31')::INTEGER AS days_from_ath FROM (SELECT v.fund_id, min(nav_date) AS ath_date FROM nav_v v JOIN (SELECT fund_id, max(nav) AS top FROM nav_v GROUP BY 1) m ON v.fund_id = m.fund_id AND v.nav = m.top GROUP BY 1) WHERE datediff('day', ath_date, DATE '2024-01-31') <= 10")
+def recent_highs(spark, sf_dir):
+    state = nav.drawdown(nav.all_time_high(V.prices(spark, sf_dir)), F.lit("2024-01-31").cast("date"))
+    return nav.recent_highs(state, 10).select("fund_id", F.col("ath_date").cast("string").alias("ath_date"), "days_from_ath")
+
+
+@query("SELECT fund_id::VARCHAR AS subject, 'drawdown_positive' AS code FROM (SELECT fund_id, max(nav) AS top, arg_max(nav, nav_date) AS last FROM nav_v GROUP BY 1) WHERE fund_id % 4 = 0 AND top > 0 AND round((last - top) / top * 100, 2) < 0 UNION ALL SELECT fund_id::VARCHAR, 'no_high' FROM fund_v WHERE fund_id NOT IN (SELECT fund_id FROM nav_v)")
+def high_sanity(spark, sf_dir):
+    """Drawdowns of every fourth fund with the wrong sign, and funds without any price."""
+    state = nav.drawdown(nav.all_time_high(V.prices(spark, sf_dir)), F.lit(AS_OF).cast("date"))
+    state = state.withColumn("drawdown_pct", F.when(F.col("fund_id") % 4 == 0, -F.col("drawdown_pct")).otherwise(F.col("drawdown_pct")))
+    return checks.snapshot_sanity(V.funds(spark, sf_dir), state).select("subject", "code")
+
+
+NAMES = ["Alpha Equity China Fund", "Beta Money Market", "Gamma Sukuk", "Delta Balanced Global", "Epsilon Income", "Zeta Flexi Asia Pacific", "Eta Bond", "Theta Equity Malaysia Index"]
+PEERS = ["Equity Global", "Bond MYR", "Mixed Asset MYR", "Equity Malaysia", "", "Sukuk", "Equity Asia Pacific"]
+CATEGORIES = ["Equity", "Fund of Funds (Equity)", "Sukuk", "Balanced Equity", "Wholesale (money)", "", "Wholesale", "Money Market"]
+POLICIES = ["No distribution", "Semi-annual", "Monthly", "Annual", "Incidental", "?"]
+AIMS = ["capital growth with dividends", "steady income", "capital growth", "liquidity", "price of gold", "", "growth and income"]
+DATES = ["2024-01-05", "Q2 2026", "2024-11-30", "soon"]
+HAS = lambda c, *words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query("WITH t AS (SELECT p_partkey AS k, " + ", ".join(f"({xs!r})[p_partkey % {len(xs)} + 1] AS {n}" for n, xs in (("nm", NAMES), ("pg", PEERS), ("cat", CATEGORIES), ("pol", POLICIES), ("aim", AIMS), ("dt", DATES))) + " FROM part), u AS (SELECT *, upper(nm) AS n, upper(pg) AS c, lower(aim) AS a, lower(pg) AS p, lower(cat) AS l FROM t), "
+    f"v AS (SELECT *, CASE WHEN {HAS('l', 'fund of funds', 'fund-of-funds')} THEN 'Fund of Funds' WHEN {HAS('l', 'money market')} THEN 'Money Market' WHEN {HAS('l', 'bond', 'sukuk', 'fixed income')} THEN 'Fixed Income' WHEN {HAS('l', 'mixed asset', 'balanced')} THEN 'Mixed Asset / Balanced' WHEN {HAS('l', 'equity')} THEN 'Equity' WHEN {HAS('l', 'wholesale')} AND {HAS('l', 'money')} THEN 'Money Market' ELSE '' END AS fund_type, "
+    f"CASE WHEN {HAS('n', 'MONEY MARKET', 'CASH DEPOSIT', 'CASH MANAGEMENT')} THEN 'Money Market' WHEN {HAS('n', 'SUKUK')} OR {HAS('c', 'SUKUK')} THEN 'Bond / Sukuk' WHEN {HAS('n', 'BALANCED')} THEN 'Balanced' WHEN {HAS('c', 'MIXED ASSET')} OR {HAS('n', 'MIXED', 'ALLOCATION', 'FLEXI')} THEN 'Mixed Asset' WHEN {HAS('n', 'BOND', 'FIXED INCOME')} OR ({HAS('n', 'INCOME')} AND ({HAS('c', 'BOND')} OR NOT {HAS('c', 'EQUITY')})) THEN 'Bond / Fixed Income' "
+    f"WHEN ({HAS('n', 'EQUITY')} OR {HAS('c', 'EQUITY')}) AND ({HAS('c', 'MALAYSIA')} OR {HAS('n', 'MALAYSIA', 'DOMESTIC')}) THEN 'Equity - Malaysia' WHEN {HAS('n', 'EQUITY')} OR {HAS('c', 'EQUITY')} THEN 'Equity - Foreign' WHEN {HAS('c', 'BOND', 'FIXED')} THEN 'Bond / Fixed Income' ELSE 'Other' END AS asset_class, "
+    f"CASE WHEN {HAS('n', 'MALAYSIA')} THEN 'Malaysia' WHEN {HAS('n', 'CHINA')} THEN 'Greater China' WHEN {HAS('n', 'ASIA PACIFIC')} THEN 'Asia Pacific' WHEN {HAS('n', 'GLOBAL')} THEN 'Global' ELSE 'Malaysia' END AS place, "
+    f"CASE WHEN (({HAS('a', 'capital growth')}) AND ({HAS('a', 'income', 'dividend', 'yield')})) OR {HAS('a', 'growth and income')} THEN 'Capital Growth + Income' WHEN {HAS('a', 'income', 'dividend', 'yield')} THEN 'Income' WHEN {HAS('a', 'capital growth')} THEN 'Capital Growth' WHEN {HAS('a', 'liquidity')} THEN 'Income' WHEN {HAS('a', 'gold', 'price of')} THEN 'Capital Growth' ELSE '' END AS objective, "
+    f"p <> '' AND NOT {HAS('p', 'malaysia', 'myr', 'domestic')} AND {HAS('p', 'asia', 'global')} AS is_foreign, CASE pol WHEN 'Semi-annual' THEN 'Semi-Annual' WHEN 'Monthly' THEN pol WHEN 'Annual' THEN pol WHEN 'Incidental' THEN pol ELSE 'None' END AS policy FROM u) "
+    "SELECT k AS fund_id, fund_type, CASE WHEN fund_type <> '' THEN fund_type WHEN asset_class IN ('Bond / Sukuk', 'Bond / Fixed Income') THEN 'Fixed Income' WHEN asset_class IN ('Mixed Asset', 'Balanced') THEN 'Mixed Asset / Balanced' WHEN asset_class = 'Money Market' THEN 'Money Market' ELSE 'Equity' END AS type_or, asset_class, place, objective, is_foreign, policy, "
+    "k % 6 = 0 OR contains(nm, 'Sukuk') AS series, CASE WHEN k % 10 = 0 THEN 'structural:gold' ELSE 'core' END AS role, CASE WHEN k % 10 = 0 THEN 'gold' WHEN k % 3 = 0 THEN 'bond' WHEN k % 3 = 1 THEN 'equity' WHEN fund_type = 'Fixed Income' THEN 'bond' ELSE 'equity' END AS held_as, "
+    "CASE WHEN regexp_matches(dt, '^[0-9]{4}-') THEN strftime(try_cast(dt AS DATE), '%d %b %Y') ELSE dt END AS event_day, asset_class = 'Other' OR objective = '' OR fund_type = '' OR (place = 'Malaysia' AND is_foreign) AS unsure, CASE WHEN k % 5 = 0 THEN '' ELSE printf('%.2f', k / 4.0::DOUBLE) END AS shown, 'X ' || k AS clean, k % 2 = 0 AS truthy, 'FundProposal_' || k || '_' || 'VeryHigh_2024-01-05_v1' AS file FROM v")
+def classify_funds(spark, sf_dir):
+    """Names, peer groups, categories, policies and objectives dealt to parts by their number, and all that is told from such texts."""
+    k = F.col("k")
+    of = lambda xs: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", of(NAMES).alias("nm"), of(PEERS).alias("pg"), of(CATEGORIES).alias("cat"), of(POLICIES).alias("pol"), of(AIMS).alias("aim"), of(DATES).alias("dt"))
+    kind, asset, place, aim = S.fund_type(F.col("cat")), S.asset_class(F.col("nm"), F.col("pg")), S.place_of(F.col("nm")), S.objective_class(F.col("aim"))
+    foreign, role = S.foreign_region(F.col("pg"), S.HOME_MARKS, S.FOREIGN_MARKS), S.structural_role(F.when(k % 10 == 0, "G").otherwise("x"), {"G": "structural:gold"})
+    derived = F.when(k % 3 == 0, "Defensive").when(k % 3 == 1, "Equity-equivalent")
+    code = F.concat(F.when(k % 6 == 0, "QI").otherwise("P"), k.cast("string"))
+    return t.select(
+        k.alias("fund_id"), kind.alias("fund_type"), S.fund_type_or(kind, asset).alias("type_or"), asset.alias("asset_class"), place.alias("place"), aim.alias("objective"), foreign.alias("is_foreign"), S.distribution(F.col("pol")).alias("policy"),
+        S.series_flag(F.when(F.contains("nm", F.lit("Sukuk")), "x Shariah.pdf").otherwise("x.pdf"), F.col("nm"), code, prefixes=["QI"]).alias("series"), role.alias("role"), S.holding_label(role, derived, kind).alias("held_as"), S.event_date(F.col("dt")).alias("event_day"),
+        checks.low_confidence(asset, aim, kind, foreign, place, S.HOME).alias("unsure"), S.shown(F.when(k % 5 != 0, k / 4.0)).alias("shown"), S.clean_name(F.concat(F.lit("X  "), k.cast("string"), F.lit(" (new)\x07")), ["(new)"]).alias("clean"), S.truthy(F.when(k % 2 == 0, " Yes ").otherwise("no")).alias("truthy"),
+        S.output_name(S.person_name(k.cast("string")), F.lit("Very High"), F.lit("2024-01-05").cast("date"), F.lit("1")).alias("file"),
+    )
+
+
+@query("""WITH w AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line, string_split(unnest(a), ' ') AS ws FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))
+SELECT doc_id::VARCHAR AS doc, line * 12.0::DOUBLE AS y, md5(array_to_string(list_slice(ws, 6, len(ws)), ' ')) AS line_md5 FROM w WHERE len(ws) >= 6""")
+def boxes_to_lines(spark, sf_dir):
+    """Words of documents as boxes, ten apart and a little off their lines; those right of the page's middle become lines again."""
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
+    words = lines.select("doc", "line", F.posexplode(F.split("x", " ", -1)).alias("i", "text"))
+    boxes = words.select("doc", F.lit(1).alias("page"), (F.col("i") * 10 + 60).cast("double").alias("x0"), (F.col("line") * 12 + F.col("i") % 3 * 0.5).cast("double").alias("top"), "text")
+    return extraction.boxes_to_lines(boxes, 200.0).select("doc", "y", F.md5("text").alias("line_md5"))
+
+
+@query("SELECT fund_id::VARCHAR AS doc, label, pct FROM (SELECT fund_id, place || CASE WHEN fund_id % 2 = 0 THEN ' shares - Domestic' ELSE ' shares' END AS label, round(share, 1) AS pct FROM geo_v)")
+def allocation_from_boxes(spark, sf_dir):
+    """Shares by place as a table of word boxes between its heading and its total: label and percent on one line, its second part on the line below; words right of the table are another's."""
+    rows = V.places(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("fund_id").orderBy("place")))
+    word = lambda x, top, text: F.struct(F.lit(float(x)).alias("x0"), top.cast("double").alias("top"), text.alias("text"))
+    at = F.col("n") * 24
+    body = rows.select(F.col("fund_id").cast("string").alias("doc"), F.inline(F.array(word(20, at, F.col("place")), word(150, at, F.lit("shares")), word(220, at, F.format_string("%.1f%%", S.half_up("share", 1))), word(400, at, F.lit("Other text 5.0%")), word(20, at + 12, F.when(F.col("fund_id") % 2 == 0, "- Domestic").otherwise(" ")))))
+    ends = rows.groupBy(F.col("fund_id").cast("string").alias("doc")).agg(F.max("n").alias("n")).select("doc", F.inline(F.array(word(20, F.lit(4), F.lit("Asset")), word(60, F.lit(5), F.lit("Allocation")), word(20, at + 40, F.lit("Total")), word(220, at + 41, F.lit("100.0%")), word(20, at + 60, F.lit("Below 9.0%")))))
+    return extraction.allocation_from_boxes(body.unionByName(ends).withColumn("page", F.lit(1))).select("doc", "label", "pct")
+
+
+@query("""SELECT portfolio_id, rank, name FROM (SELECT o_custkey AS portfolio_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER AS rank, 'Holding ' || o_orderkey AS name FROM orders) WHERE rank <= 5""")
+def holdings_lines(spark, sf_dir):
+    """A customer's orders as names below a heading, the first on the heading's own line, numbers between them."""
+    nth = F.row_number().over(W.partitionBy("portfolio_id").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("portfolio_id"), "o_orderkey").withColumn("nth", nth)
+    name = F.concat(F.lit("Holding "), F.col("o_orderkey").cast("string"))
+    first = F.col("nth") == 1
+    lines = rows.select("portfolio_id", F.inline(F.array(F.struct((F.col("nth") * 2).alias("pos"), F.when(first, F.concat(F.lit("No. Security Name "), name)).otherwise(name).alias("line")), F.struct((F.col("nth") * 2 + 1).alias("pos"), F.lit("12.5 %").alias("line")))))
+    early = rows.where(first).select("portfolio_id", F.lit(0).alias("pos"), F.lit("Some text before").alias("line"))
+    return extraction.holdings_lines(lines.unionByName(early), "portfolio_id")
+
+
+@query("SELECT fund_id, period, round(fund_ret, 2) AS fund_ret, round(bench_ret, 2) AS bench_ret FROM alpha_v WHERE period IN ('ytd', '1y', '3y')")
+def period_fields(spark, sf_dir):
+    """Returns written as reports write them, two numbers for the year to date and four for longer periods, and read again."""
+    num = lambda c: F.format_string("%.2f", S.half_up(c, 2))
+    label = {"ytd": "Year to date", "1y": "1-year", "3y": "3-year"}
+    text = F.concat_ws(" ", *(F.when(F.col(f"ret_{p}").isNotNull(), F.concat_ws(" ", F.lit(x), *([] if p == "ytd" else [F.lit("9.00 8.00")]), num(f"ret_{p}"), num(f"b_{p}"))) for p, x in label.items()), F.lit("end"))
+    wide = V.alphas(spark, sf_dir).groupBy("fund_id").agg(*(F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{n}_{p}") for p in label for c, n in (("fund_ret", "ret"), ("bench_ret", "b"))))
+    return extraction.period_returns(wide.select("fund_id", text.alias("text")), "fund_id", "text", label).select("fund_id", "period", "fund_ret", "bench_ret")
+
+
+CARD_DOCS = """WITH card AS (SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey AS part, 'F' || l_partkey || CASE WHEN l_partkey % 20 = 0 THEN '-B' ELSE '' END AS code, (l_partkey % 60 + 30)::DOUBLE AS score, l_partkey % 17 = 0 AS off, l_partkey % 19 = 0 AS short, l_partkey % 23 = 0 AS alpha_off, l_partkey % 29 = 0 AS strange, l_partkey % 4 = 0 AS out, l_partkey % 12 = 0 AS silent, l_partkey % 37 = 0 AS summary_off FROM lineitem)"""
+
+
+@query(CARD_DOCS + """ SELECT doc::VARCHAR AS subject, 'composite' AS code FROM card WHERE off AND NOT short UNION ALL SELECT doc::VARCHAR, 'malformed_bar' FROM card WHERE short UNION ALL SELECT doc::VARCHAR, 'alpha' FROM card WHERE alpha_off UNION ALL SELECT doc::VARCHAR, 'unknown_fund' FROM card WHERE strange
+UNION ALL SELECT doc::VARCHAR, 'warning' FROM card WHERE NOT strange AND out AND silent UNION ALL SELECT doc::VARCHAR, 'retail_eligibility' FROM card WHERE NOT strange AND part % 20 = 0 UNION ALL SELECT doc::VARCHAR, 'summary' FROM card WHERE summary_off UNION ALL SELECT DISTINCT doc::VARCHAR, 'exposure_sum' FROM card WHERE doc % 41 = 0""")
+def card_checks(spark, sf_dir):
+    """Orders as proposals with a card for each line: scores, bars, a row of returns, a warning, a summary and a legend, some of them wrong, which the checks read from the text."""
+    k = F.col("l_partkey")
+    card = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", k, F.concat(F.when(k % 29 == 0, "Z").otherwise("F"), k.cast("string"), F.when(k % 20 == 0, "-B").otherwise("")).alias("code"), (k % 60 + 30).cast("double").alias("s"))
+    num = lambda c: F.format_string("%.2f", c)
+    shown = F.col("s") + F.when(k % 17 == 0, 5.0).otherwise(0.0)
+    bars = F.array_join(F.array_repeat(F.concat(num(F.col("s")), F.lit(" / 100 at 25.0% weight")), F.when(k % 19 == 0, 3).otherwise(4)), ";")
+    row = F.concat(F.lit(" [3.50 1.25 "), F.when(k % 23 == 0, "3.25").otherwise("2.25"), F.lit("] "))
+    warn = F.when((k % 4 == 0) & (k % 12 != 0), "ALPHA WARNING").otherwise("")
+    text = F.concat(F.lit("<card>Name \u00b7 "), F.col("code"), F.lit(" \u2014 core\nscore "), num(shown), F.lit("|"), bars, row, warn, F.lit(" sum "), num(shown + F.when(k % 37 == 0, 2.0).otherwise(0.0)), F.lit(";"))
+    docs = card.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("x")))), lambda c: c["x"]), "").alias("cards"))
+    html = F.concat(F.lit("top {legend 60.0% "), F.when(F.col("doc") % 41 == 0, "30.0%").otherwise("40.0%"), F.lit("}"), F.col("cards"))
+    docs = docs.select(F.col("doc").alias("doc_id"), html.alias("html"))
+    facts = table(spark, sf_dir, "part").where("p_partkey % 29 <> 0").select(F.concat(F.lit("F"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 20 == 0, "-B").otherwise("")).alias("code"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 == 0, "Disqualified").otherwise("Qualified").alias("status"))
+    cards = checks.cards(docs, "<card>")
+    legend = docs.select("doc_id", F.lit("legend").alias("block"), F.explode(F.regexp_extract_all(F.regexp_extract("html", r"\{legend ([^}]*)\}", 1), F.lit(r"([0-9.]+)%"), F.lit(1))).alias("pct"))
+    return checks.all_of(
+        checks.composite_violations(cards, r"score ([0-9.]+)\|", r"([0-9.]+) / 100 at ([0-9.]+)% weight"),
+        checks.alpha_violations(cards, r"\[([0-9.-]+) ([0-9.-]+) ([0-9.-]+)\]"),
+        checks.unknown_keys(cards, facts, "doc_id", "code"),
+        checks.warning_violations(cards, facts, "ALPHA WARNING"),
+        checks.eligibility_violations(cards, facts),
+        checks.pair_violations(cards, r"score ([0-9.]+)\|", r" sum ([0-9.]+);", 1.0, "summary"),
+        checks.sums_off(legend.withColumn("pct", F.col("pct").cast("double")), "doc_id", "block", "pct"),
+    ).select("subject", "code")
