@@ -233,9 +233,9 @@ SLEEVES = [("GOLD", 10.0), ("CASH", 10.0)]
 OF_CLIENTS = " SELECT client_id, pos, fund, role, pct, alpha_n FROM client_v c JOIN {0} b ON c.profile = b.profile AND c.target_pct = b.target_pct AND c.preference IS NOT DISTINCT FROM b.preference"
 
 
-def _book(spark, sf_dir):
-    """Base portfolios of the kinds of client (client_id: the kind), with their profile, cap and wish. What clients of one kind hold is the same, so substitutions are made for kinds as well."""
-    best = _scored_kinds(spark, sf_dir, 2).withColumnRenamed("kind", "client_id")
+def _book(spark, sf_dir, scored=None):
+    """Base portfolios of the kinds of client (client_id: the kind), with their profile, cap and wish. What clients of one kind hold is the same, so substitutions are made for kinds as well, from the same scores."""
+    best = _scored_kinds(spark, sf_dir, 2).withColumnRenamed("kind", "client_id") if scored is None else scoring.best_of(scored, 2)
     base = portfolio.base_portfolio(best.withColumn("cap", scoring.profile_value(F.col("profile"), 3)), SLEEVES)
     kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "preference").distinct()
     return base.join(kinds.withColumn("cap", scoring.profile_value(F.col("profile"), 3)), "client_id")
@@ -255,7 +255,7 @@ def _scored_with_facts(spark, sf_dir):
     """The scores of all funds for all kinds, with what the substitutions ask of a fund."""
     kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
     facts = V.screened(spark, sf_dir).select("fund_id", "qualified").join(V.wide_alphas(spark, sf_dir).select("fund_id", "alpha_3y", "alpha_5y"), "fund_id")
-    return scoring.scores(kinds, V.measured(spark, sf_dir)).join(facts, "fund_id", "left")
+    return V.settled(scoring.scores(kinds, V.measured(spark, sf_dir)).join(facts, "fund_id", "left"))
 
 
 #: Every seventh fund is said not to be of the wanted kind. Funds overlap where three of the five places that most of them is in are the same.
@@ -278,11 +278,12 @@ def _tokens(spark, sf_dir):
     return V.places(spark, sf_dir).withColumn("n", nth).where("n <= 5").select("fund_id", F.col("place").alias("item"))
 
 
-def _swapped(spark, sf_dir, book):
-    """The book after the outlier's substitution: qualified funds only, every seventh fund isn't of the wanted kind, and none that shares three of its top places with a held core."""
-    wanted = _scored_with_facts(spark, sf_dir).where("qualified")
-    cand = scoring.best_of(wanted, 5 + 2)  # those that aren't held are cut to five by the operator, and no more than two are
+def _swapped(spark, sf_dir, scored):
+    """The book of these scores after the outlier's substitution: qualified funds only, every seventh fund isn't of the wanted kind, and none that shares three of its top places with a held core."""
+    book = V.settled(_book(spark, sf_dir, scored))
+    cand = scoring.best_of(scored.where("qualified"), 5 + 2)  # those that aren't held are cut to five by the operator, and no more than two are
     cand = cand.select("client_id", F.col("fund_id").cast("string").alias("fund"), "position", "alpha_n", "alpha_3y", "alpha_5y", (F.col("fund_id") % 7 != 0).alias("matches"), "qualified")
+    cand = V.settled(cand)
     # only baskets of funds that are held or asked for meet; those are a few for each kind
     asked = cand.select("fund").unionByName(book.where("role = 'core'").select("fund")).distinct()
     tokens = _tokens(spark, sf_dir).withColumn("fund", F.col("fund_id").cast("string")).join(asked, "fund", "left_semi")
@@ -292,7 +293,7 @@ def _swapped(spark, sf_dir, book):
 
 @query(SWAP + OF_CLIENTS.format("swapped"))
 def outlier_swap(spark, sf_dir):
-    return _of_clients(spark, sf_dir, _swapped(spark, sf_dir, _book(spark, sf_dir)))
+    return _of_clients(spark, sf_dir, _swapped(spark, sf_dir, _scored_with_facts(spark, sf_dir)))
 
 
 #: The outlier's share is its core's; a gap is declared by clients without a preference, and the aggressive ones have no outlier.
@@ -311,9 +312,10 @@ kind_gap AS (SELECT profile, target_pct, preference, pos, fund, role, CASE WHEN
 @query(GAP + OF_CLIENTS.format("kind_gap"))
 def gap_swap(spark, sf_dir):
     """Clients without a preference have declared a gap; all their funds are candidates."""
-    swapped = _swapped(spark, sf_dir, _book(spark, sf_dir))
+    scored = _scored_with_facts(spark, sf_dir)
+    swapped = V.settled(_swapped(spark, sf_dir, scored))
     gaps = swapped.where("preference IS NULL").select("client_id")
-    cand = _scored_with_facts(spark, sf_dir).select("client_id", F.col("fund_id").cast("string").alias("fund"), "alpha_n", "alpha_3y")
+    cand = scored.select("client_id", F.col("fund_id").cast("string").alias("fund"), "alpha_n", "alpha_3y")
     return _of_clients(spark, sf_dir, portfolio.gap_swap(swapped, portfolio.gap_pick(cand, swapped, gaps), gaps))
 
 

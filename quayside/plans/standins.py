@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """A result that several parts of a plan read, computed once: a checkpoint in the folder that spark.checkpoint.dir names. Where that is unset rows are read as they are, at the cost of computing them for each part."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
+
+
 def mean(c: Column, digits: int = 6) -> Column:
     """A mean that doesn't depend on the order of rows: summed as decimals."""
     return half_up(F.sum(c.cast("decimal(28,6)")).cast("double") / F.count(c), digits)
