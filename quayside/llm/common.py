@@ -115,3 +115,16 @@ def keep_others(df: DataFrame, *own: str) -> list[str]:
     """The columns of df but for those that an operator adds under the same names."""
     taken = {name.lower() for name in own}
     return [f"`{c}`" for c in df.columns if c.lower() not in taken]
+
+
+def block_pairs(rows: DataFrame, keys: list[str], most: int | Column, by: str) -> DataFrame:
+    """rows with block, i and j, so that any two rows of a key meet under exactly one (key, i, j): in i = j if their block is the same, else in i < j.
+
+    A key with over most rows (a number, or an expression of the keys) is dealt to blocks of about so many by a
+    hash of the column by; a row goes once to each block of its key. Keys are not null.
+    """
+    large = rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    met = rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    return met.select(*rows.columns, "block", F.inline(each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import language_id, license_scan, line_dedup, mtree, packing, pii, quality_classifier, quality_rules, sentencepiece, simhash
+from quayside.llm import language_id, license_scan, line_dedup, max_sketch, mtree, packing, pii, pivot_index, quality_classifier, quality_rules, sentencepiece, simhash, spelling
 from quayside.llm.common import ship, table
 
 
@@ -59,5 +59,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup, op10_quality_classifier)}
-SQL = {"op2_exact_top_k": mtree.SQL, "op3_license_scan": license_scan.sql(), "op6_quality_rules": quality_rules.sql(), "op9_line_dedup": line_dedup.SQL}
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return max_sketch.lexical_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup, op10_quality_classifier, op11_embedding_near_dedup, op12_ranked_search, op13_spelling_variants)}
+SQL = {"op2_exact_top_k": mtree.SQL, "op3_license_scan": license_scan.sql(), "op6_quality_rules": quality_rules.sql(), "op9_line_dedup": line_dedup.SQL, "op11_embedding_near_dedup": pivot_index.SQL, "op12_ranked_search": max_sketch.SQL}
