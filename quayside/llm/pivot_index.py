@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import block_pairs, cut, drop
+from quayside.llm.common import block_pairs, by_group, cut, drop
 from quayside.llm.simhash import components
 
 #: Pivots that describe a vector, and those that two vectors share at least to be compared.
@@ -170,7 +170,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, kept: int = KEPT,
     ranked = near.select("label", "cls", "n", "embedding", F.array_sort(F.transform("near", lambda p: F.get(number, p))).alias("ranks"))
     lists = ranked.withColumn("pivot", F.explode(F.slice("ranks", 1, max(1, kept - shared + 1))))
     blocks = block_pairs(lists, ["label", "pivot"], block, "cls")
-    found = cut(blocks.groupBy("label", "pivot", "i", "j").applyInPandas(_verifier(threshold, width, shared), "cls long, links long, root long"), "vector-links")
+    found = cut(by_group(blocks, ["label", "pivot", "i", "j"], _verifier(threshold, width, shared), {name: pa.int64() for name in ("cls", "links", "root")}), "vector-links")
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.select("cls", "label", *hashes, "n", "least").join(total, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import block_pairs, cut, drop
+from quayside.llm.common import block_pairs, by_group, cut, drop
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 #: Least length of a word, least occurrences, one run in so many loses a letter, and by how much a form outnumbers its variants.
@@ -141,7 +141,7 @@ def near_words(words: DataFrame) -> DataFrame:
     parts = posts.where("side = 0").groupBy("length").agg(F.greatest(F.lit(1), F.ceil(2 * F.count(F.lit(1)) / most)).cast("int").alias("parts"))
     dealt = posts.join(parts, "length").select("word", "n", "size", "length", "side", F.pmod(F.xxhash64(half), F.col("parts")).cast("int").alias("part"))
     blocks = block_pairs(dealt, ["length", "side", "part"], most, "word")
-    found = blocks.groupBy("length", "side", "part", "i", "j").applyInPandas(_grouped, "word string, near long, less long, other string")
+    found = by_group(blocks, ["length", "side", "part", "i", "j"], _grouped, {"word": pa.string(), "near": pa.int64(), "less": pa.int64(), "other": pa.string()})
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct("less", "other")).alias("best"))
 
 
