@@ -15,10 +15,15 @@ PROFILES = {
     "Moderately Aggressive": (7.0, 8.0, 4, 60.0, (26.0, 40.0, 17.0, 17.0)),
     "Aggressive": (9.0, 10.0, 5, 70.0, (30.0, 40.0, 13.0, 17.0)),
 }
-HOLDINGS, SUM_TOLERANCE, RENDER_TOLERANCE, EXPOSURE_TOLERANCE, RECOMPUTE_TOLERANCE, ALPHA_TOLERANCE = 4, 0.5, 0.05, 2.0, 1.0, 0.1
-OVERLAP, OUTLIER_ALPHA, OUTLIER_CANDIDATES, GAP_SHARE, SMALL_PLACE, TIE_BAND = 3, 80.0, 5, 15.0, 2.0, 2.0
+# profile: weights of the cores together, of the gold sleeve and of the money market sleeve, before they are brought to 100
+TEMPLATES = {
+    "Conservative": (63.5, 6.5, 17.5),
+    "Moderate": (63.5, 9.0, 13.5),
+    "Moderately Aggressive": (67.5, 9.0, 11.0),
+    "Aggressive": (73.0, 10.0, 10.0),
+}
+STRUCTURAL_ROLES = ("structural:gold", "structural:money_market")
 MEASURES = ("alpha", "returnfit", "efficiency", "momentum")
-ROUND_TO = {"alpha": 2, "weighted": 4, "share": 1, "score": 2}
 PERIODS = ("ytd", "1y", "3y", "5y", "10y")
 # Sectors and the columns that they are summed into, and the places that have a column.
 SECTOR_BUCKETS = {

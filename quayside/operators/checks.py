@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.config import STRUCTURAL_ROLES
 from quayside.functions.scalars import half_up, number
 from quayside.operators.master import retail
 
@@ -20,28 +21,27 @@ def all_of(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def portfolio_violations(holdings: DataFrame, facts: DataFrame | None = None, count: int = 4, tolerance: float = 0.5, sleeves: Sequence[str] = ("sleeve",), structural: Sequence[str] = ()) -> DataFrame:
-    """Invariants of portfolios (portfolio_id, fund, role, pct, cap, ceiling): sum, count, cap, risk ceiling, sleeves present, no fund twice, funds known.
+def portfolio_violations(holdings: DataFrame, facts: DataFrame | None = None, count: int = 4, tolerance: float = 0.5, structural: Sequence[str] = STRUCTURAL_ROLES) -> DataFrame:
+    """Invariants of portfolios (portfolio_id, fund, role, pct, cap, ceiling): sum, count, cap, risk ceiling, a holding of each structural role, no fund twice, funds known.
 
-    facts (fund, risk_level) is the universe. Outliers and sleeves may be riskier than the ceiling; an unknown level isn't tested.
+    facts (fund, risk_level) is the universe, which every holding must be in, also the structural ones. Outliers and structural holdings may be riskier than the ceiling; an unknown level isn't tested. The cap is strict.
     """
-    by = holdings.groupBy("portfolio_id").agg(half_up(F.sum(F.col("pct").cast("decimal(18,4)")).cast("double"), 2).alias("total"), F.count(F.lit(1)).alias("n"), F.count_distinct("fund").alias("funds"), F.collect_set(F.when(F.col("role").isin(*sleeves), F.col("fund"))).alias("sleeve_funds"))
+    by = holdings.groupBy("portfolio_id").agg(half_up(F.sum(F.col("pct").cast("decimal(18,4)")).cast("double"), 2).alias("total"), F.count(F.lit(1)).alias("n"), F.count_distinct("fund").alias("funds"), F.collect_set("role").alias("roles"))
     num = lambda c: F.format_string("%.2f", F.col(c))
     out = [
         violation(by.where(F.abs(F.col("total") - 100) > tolerance), "portfolio_id", "sum", num("total")),
         violation(by.where(F.col("n") != count), "portfolio_id", "count", F.col("n")),
         violation(by.where("funds < n"), "portfolio_id", "duplicate_holding", F.col("n") - F.col("funds")),
-        violation(holdings.where(F.col("pct") > F.col("cap") + 0.05), "portfolio_id", "concentration_cap", F.concat_ws(" ", "fund", num("pct"))),
+        violation(holdings.where(F.col("pct") > F.col("cap")), "portfolio_id", "concentration_cap", F.concat_ws(" ", "fund", num("pct"))),
     ]
     if structural:
-        need = F.array(*map(F.lit, structural))
-        out.append(violation(by.where(F.size(F.array_except(need, "sleeve_funds")) > 0), "portfolio_id", "structural", F.array_join(F.array_except(need, "sleeve_funds"), ",")))
+        lacks = F.array_except(F.array(*map(F.lit, structural)), "roles")
+        out.append(violation(by.where(F.size(lacks) > 0), "portfolio_id", "structural", F.array_join(lacks, ",")))
     if facts is not None:
         known = facts.select("fund", "risk_level", F.lit(True).alias("known"))
         met = holdings.join(known, "fund", "left")
-        free = F.col("role").isin("outlier", *sleeves)
-        out.append(violation(met.where(~free & (F.col("risk_level") > F.col("ceiling"))), "portfolio_id", "rl_ceiling", F.concat_ws(" ", "fund", F.col("risk_level").cast("string"))))
-        out.append(violation(met.where(~F.col("role").isin(*sleeves) & F.col("known").isNull()), "portfolio_id", "universe", F.col("fund")))
+        out.append(violation(met.where(~F.col("role").isin("outlier", *structural) & (F.col("risk_level") > F.col("ceiling"))), "portfolio_id", "rl_ceiling", F.concat_ws(" ", "fund", F.col("risk_level").cast("string"))))
+        out.append(violation(met.where(F.col("known").isNull()), "portfolio_id", "universe", F.col("fund")))
     return all_of(*out)
 
 

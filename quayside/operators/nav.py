@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.ranks import medians
 from quayside.functions.scalars import half_up
 
 KEY, WHEN, NAV = "fund_id", "nav_date", "nav"
 STATE = "fund_id long, ath_nav double, ath_date date, current_nav double, current_date date, data_from date, points long"
+#: Days of a fund that have a point: bit i of days in chunk c is the day 64 c + i since 1970.
+DAYS = "fund_id long, chunk int, days long"
 
 
 def all_time_high(points: DataFrame) -> DataFrame:
@@ -45,11 +48,12 @@ def halves(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two states as one: the new high only if it is greater, counts added. Funds on one side stay. The merge is associative, so states of any split of a history give that of the whole."""
+    """Two states as one: the greater high (of equal ones the earlier day), the later price (of a day the greater), counts added. Funds on one side stay. The merge is associative and the
+    order of the two doesn't matter, so states of any split of a history give that of the whole. Where parts may overlap, counted() gives the points."""
     a, b = old.alias("a"), new.alias("b")
     both = a.join(b, F.col(f"a.{KEY}") == F.col(f"b.{KEY}"), "full_outer")
-    rises = F.col("a.ath_nav").isNull() | (F.col("b.ath_nav") > F.col("a.ath_nav"))
-    newer = F.col("a.current_date").isNull() | (F.col("b.current_date") > F.col("a.current_date"))
+    rises = F.col("a.ath_nav").isNull() | (F.struct("b.ath_nav", -F.unix_date("b.ath_date")) > F.struct("a.ath_nav", -F.unix_date("a.ath_date")))
+    newer = F.col("a.current_date").isNull() | (F.struct("b.current_date", "b.current_nav") > F.struct("a.current_date", "a.current_nav"))
     pick = lambda test, c: F.when(test & F.col("b.ath_nav").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
     return both.select(
         F.coalesce(f"a.{KEY}", f"b.{KEY}").alias(KEY), pick(rises, "ath_nav"), pick(rises, "ath_date"), pick(newer, "current_nav"), pick(newer, "current_date"),
@@ -57,13 +61,35 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def day_sets(points: DataFrame) -> DataFrame:
+    """The days of each fund that have a point, as sets of 64 days in a long; points without a day have none. Partial sets are made where the points lie."""
+    day = F.unix_date(WHEN)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(64)))
+    rows = points.where(F.col(WHEN).isNotNull()).select(KEY, F.floor(day / 64).cast("int").alias("chunk"), bit.alias("days"))
+    return rows.groupBy(KEY, "chunk").agg(F.bit_or("days").alias("days"))
+
+
+def merged_days(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The union of two tables of day sets: the same whatever comes again, and in any order."""
+    return old.unionByName(new).groupBy(KEY, "chunk").agg(F.bit_or("days").alias("days"))
+
+
+def counted(state: DataFrame, days: DataFrame) -> DataFrame:
+    """state with points as the number of distinct days in days."""
+    n = days.groupBy(KEY).agg(F.sum(F.bit_count("days")).cast("long").alias("_n"))
+    return state.join(n, KEY, "left").withColumn("points", F.coalesce("_n", F.lit(0)).cast("long")).select(*state.columns)
+
+
 def drawdown_summary(state: DataFrame, recent: int = 30) -> DataFrame:
-    """One row: funds by depth of drawdown, the upper median, and how many are at or near their high."""
+    """One row: funds by depth of drawdown, how many are at or near their high, and the upper median."""
     d = F.col("drawdown_pct")
-    return state.agg(
+    counts = state.groupBy(F.lit(0).alias("_all")).agg(
         F.count_if(d >= -1).alias("at_high"), F.count_if((d >= -10) & (d < -1)).alias("shallow"), F.count_if((d >= -20) & (d < -10)).alias("middling"), F.count_if(d < -20).alias("deep"),
-        F.count_if(F.col("days_from_ath") == 0).alias("today"), F.count_if(F.col("days_from_ath") <= recent).alias("recent"), _upper_middle("drawdown_pct"),
+        F.count_if(F.col("days_from_ath") == 0).alias("today"), F.count_if(F.col("days_from_ath") <= recent).alias("recent"),
     )
+    nothing = state.sparkSession.createDataFrame([(0,)], "_all int")  # an empty state still gives its row
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns[1:]]
+    return nothing.join(counts, "_all", "left").join(upper_median(state.withColumn("_all", F.lit(0)), "drawdown_pct", ["_all"]), "_all", "left").select(*zero, "upper_median")
 
 
 def recent_highs(state: DataFrame, days: int = 30) -> DataFrame:
@@ -71,14 +97,6 @@ def recent_highs(state: DataFrame, days: int = 30) -> DataFrame:
     return state.where(F.col("days_from_ath") <= days).select(KEY, "ath_date", "days_from_ath")
 
 
-def upper_median(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """The element at n // 2, counted from 0, of each group's sorted values.
-
-    percentile_disc takes the lower middle for even n; of the negated
-    values it takes the upper one. No list is collected, and the digest is exact.
-    """
-    return values.groupBy(*(by or [])).agg(_upper_middle(column))
-
-
-def _upper_middle(column: str) -> Column:
-    return (-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")).alias("upper_median")
+def upper_median(values: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """The element at n // 2, counted from 0, of each group's sorted values without nulls; exact, and no group's values are gathered."""
+    return medians(values, by, column, upper=True, name="upper_median")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quayside.config import STRUCTURAL_ROLES, TEMPLATES
 from quayside.functions.rows import computed
 from quayside.functions.scalars import half_up
+from quayside.operators.scoring import best_of
 
 
 def subsets(items: Column, k: int) -> Column:
@@ -19,20 +24,35 @@ def subsets(items: Column, k: int) -> Column:
     return F.transform(chosen, lambda c: F.transform(c, lambda i: F.get(items, i)))
 
 
-def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", within: list[str] | None = None, least: int = 3) -> DataFrame:
-    """Pairs (a < b) of one group that share least distinct items or more, and how many: an equi-join on subsets of least items, never all pairs.
+def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", within: list[str] | None = None, least: int = 3, largest: int | None = None) -> DataFrame:
+    """Pairs (a < b) of one group that share least distinct items or more, and how many; never all pairs. Null items are no items.
+
+    Where baskets are known to be small (largest: a fund's top holdings), they meet on subsets of least items: a joined row is a result but for pairs that meet in several subsets,
+    which are kept in the first only, and an item that very many hold costs nothing by itself. A basket of n items has n over least subsets, and one with over largest is an error.
 
-    Baskets are small (a fund's top holdings), so a basket of n items has n over least subsets; two that meet in one
-    share enough, so each joined row is a result but for pairs that meet in several subsets, which are kept in the first only. An item
-    that very many hold costs nothing by itself. Null items are no items.
+    Baskets of any size (largest is None) meet on single items of a prefix. Items of a group are numbered from the rarest on; two baskets that share least items
+    share their first common one within all but the last least - 1 of each, and are kept there alone. The places of that item in both say how many more they can share at most, which is asked before anything is compared.
     """
     by = within or []
     packed = baskets.where(F.col(item).isNotNull()).groupBy(*by, key).agg(F.sort_array(F.collect_set(item)).alias("items")).where(F.size("items") >= least)
-    keyed = packed.select(*by, key, "items", F.explode(subsets(F.col("items"), least)).alias("some"))
-    a, b = keyed.select(*by, "some", F.col(key).alias("a"), F.col("items").alias("items_a")), keyed.select(*by, "some", F.col(key).alias("b"), F.col("items").alias("items_b"))
+    if largest is not None:
+        fits = F.when(F.size("items") <= largest, F.col("items")).otherwise(F.raise_error(F.lit(f"a basket has over {largest} items")))
+        keyed = packed.select(*by, key, fits.alias("items")).select(*by, key, "items", F.explode(subsets(F.col("items"), least)).alias("some"))
+    else:
+        held = packed.select(*by, key, F.explode("items").alias("item"))
+        rare = held.groupBy(*by, "item").agg(F.count(F.lit(1)).alias("n"))
+        numbered = F.sort_array(F.collect_list(F.struct("n", "item")))
+        ordered = held.join(rare, [*by, "item"]).groupBy(*by, key).agg(F.transform(numbered, lambda x: x["item"]).alias("items"))
+        prefix = F.slice("items", 1, F.size("items") - (least - 1))
+        keyed = ordered.select(*by, key, "items", F.posexplode(prefix).alias("at", "some"))
+    a, b = (keyed.select(*by, "some", F.col(key).alias(k), *(F.col(c).alias(f"{c}_{k}") for c in keyed.columns if c in ("items", "at"))) for k in "ab")
     met = a.join(b, [*by, "some"]).where("a < b")
-    met = computed(met, both=F.array_sort(F.array_intersect("items_a", "items_b")))
-    return met.where(F.slice("both", 1, least) == F.col("some")).select(*by, "a", "b", F.size("both").cast("long").alias("shared"))
+    if largest is not None:
+        met = computed(met, both=F.array_sort(F.array_intersect("items_a", "items_b")))
+        return met.where(F.slice("both", 1, least) == F.col("some")).select(*by, "a", "b", F.size("both").cast("long").alias("shared"))
+    met = met.where(F.least(F.size("items_a") - F.col("at_a"), F.size("items_b") - F.col("at_b")) >= least)
+    met = computed(met, both=F.array_intersect("items_a", "items_b"))  # in the order of a's items
+    return met.where((F.size("both") >= least) & (F.get("both", 0) == F.col("some"))).select(*by, "a", "b", F.size("both").cast("long").alias("shared"))
 
 
 def without_overlaps(picks: DataFrame, pairs: DataFrame, key: str = "fund_id", within: list[str] | None = None) -> DataFrame:
@@ -105,35 +125,36 @@ def cap_and_spill(portfolios: DataFrame, shares: str = "shares", cap: str = "cap
     return out.select(*portfolios.columns, F.transform("_f.p", lambda x: half_up(x, 1)).alias("capped"), half_up("_f.spill", 1).alias("spill"))
 
 
-def split_budget(rows: DataFrame, by: list[str], score: str, budget: float, out: str = "pct") -> DataFrame:
-    """Adds out: budget in proportion to score, in equal parts where the scores sum to 0; 1 digit."""
-    w = W.partitionBy(*by)
-    total = F.sum(score).over(w)
-    return rows.withColumn(out, half_up(F.when(total > 0, budget * F.col(score) / total).otherwise(budget / F.count(F.lit(1)).over(w)), 1))
-
-
-def base_portfolio(scored: DataFrame, sleeves: list[tuple[str, float]], cores: int = 2) -> DataFrame:
-    """client_id, pos, fund (text), role, pct, alpha_n: the best cores by position, sharing what the sleeves (code, share) leave, then the sleeves.
+def base_portfolio(scored: DataFrame, clients: DataFrame, sleeves: Mapping[str, str], templates: Mapping[str, tuple[float, float, float]] = TEMPLATES, cores: int = 2) -> DataFrame:
+    """client_id, pos, fund (text), role, pct, alpha_n: the best cores, a gold sleeve and a money market sleeve for each client with any score.
 
-    scored: client_id, fund_id, composite, alpha_n, position. A client without any score has none. One grouping by
-    client, whose few cores are an array; shares have 1 digit, equal ones where the scores sum to 0, and what rounding leaves is the first core's.
-    With a column cap, cores are cut to it and spill into each other and then the first sleeve; see cap_and_spill().
+    scored: client_id, fund_id, composite, alpha_n, efficiency_n, and structural where the table has it: funds that are structural are never cores. clients: client_id, profile, preference, and cap if cores are cut to one.
+    templates has a profile's weights of the cores together, of gold and of the money market; sleeves the codes: gold, money_market, and money_market_screened for clients whose preference is true. Cores share their weight in
+    proportion to their scores, in parts of 1 / cores where these sum to 0; weights are brought to 100 with 1 digit, and what rounding leaves is the largest holding's (the first of equals). A core
+    over the cap then fills the other and then gold; see cap_and_spill(). One grouping by client, whose few holdings are an array. A profile without a template is an error of the query's data and gives no row.
     """
-    budget = 100.0 - sum(s for _, s in sleeves)
-    best = scored.where(F.col("position") <= cores)
-    own = best.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("position", F.col("fund_id").cast("string").alias("fund"), F.col("composite").cast("double").alias("c"), "alpha_n"))).alias("own"), *([F.max(F.col("cap").cast("double")).alias("cap")] if "cap" in scored.columns else []))
+    free = scored.where(~F.coalesce("structural", F.lit(False))) if "structural" in scored.columns else scored
+    best = best_of(free, cores)
+    own = best.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("position", F.col("fund_id").cast("string").alias("fund"), F.col("composite").cast("double").alias("c"), "alpha_n"))).alias("own"))
+    facts = clients.select("client_id", "profile", "preference", *(["cap"] if "cap" in clients.columns else []))
+    part = lambda i: reduce(lambda out, kv: F.when(F.col("profile") == kv[0], F.lit(float(kv[1][i]))).otherwise(out), templates.items(), F.lit(None).cast("double"))
+    own = own.join(facts, "client_id").withColumns({"core": part(0), "gold": part(1), "money": part(2)}).where("core IS NOT NULL")
     own = computed(own, total=F.aggregate("own", F.lit(0.0), lambda a, o: a + F.coalesce(o["c"], F.lit(0.0))))
-    share = lambda o: half_up(F.when(F.col("total") > 0, budget * o["c"] / F.col("total")).otherwise(budget / F.size("own")), 1)
-    own = computed(own, shares=F.transform("own", share))
-    gap = half_up(budget - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x), 1)
-    own = computed(computed(own, gap=gap), shares=F.transform("shares", lambda x, i: F.when(i == 0, half_up(x + F.col("gap"), 1)).otherwise(x)))
-    spill = F.lit(0.0)
-    if "cap" in scored.columns and sleeves:
+    weight = lambda o: F.when(F.col("total") > 0, F.col("core") * F.coalesce(o["c"], F.lit(0.0)) / F.col("total")).otherwise(F.col("core") / cores)
+    own = computed(own, raw=F.concat(F.transform("own", weight), F.array("gold", "money")))
+    own = computed(own, whole=F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
+    own = computed(own, parts=shares_of(F.col("raw"), F.col("whole")))
+    own = computed(own, pct=rounded_to_100(F.col("parts"), F.col("whole")))
+    own, spill = own.withColumn("shares", F.slice("pct", 1, F.size("own"))), F.lit(0.0)
+    if "cap" in clients.columns:
+        own = own.withColumn("cap", F.col("cap").cast("double"))
         own, spill = cap_and_spill(own).drop("shares").withColumnRenamed("capped", "shares"), F.col("spill")
     row = lambda pos, fund, role, pct, alpha: F.struct(pos.cast("int").alias("pos"), fund.alias("fund"), F.lit(role).alias("role"), pct.alias("pct"), alpha.cast("double").alias("alpha_n"))
     held = F.transform("own", lambda o, i: row(o["position"], o["fund"], "core", F.get("shares", i), o["alpha_n"]))
-    fixed = [row(F.lit(cores + 1 + i), F.lit(code), "sleeve", F.lit(float(x)) if i else half_up(F.lit(float(x)) + spill, 1), F.lit(None)) for i, (code, x) in enumerate(sleeves)]
-    return own.select("client_id", F.inline(F.concat(held, F.array(*fixed)) if fixed else held))
+    cash = F.when(F.coalesce("preference", F.lit(False)), sleeves["money_market_screened"]).otherwise(sleeves["money_market"])
+    gold = row(F.lit(cores + 1), F.lit(sleeves["gold"]), STRUCTURAL_ROLES[0], half_up(F.get("pct", F.size("own")) + spill, 1), F.lit(None))
+    money = row(F.lit(cores + 2), cash, STRUCTURAL_ROLES[1], F.get("pct", F.size("own") + 1), F.lit(None))
+    return own.select("client_id", F.inline(F.concat(held, F.array(gold, money))))
 
 
 def outlier_swap(portfolio: DataFrame, candidates: DataFrame, blocked: DataFrame | None = None, least: float = 80.0, top: int = 5, exempt: tuple[str, ...] = ("Aggressive",)) -> DataFrame:

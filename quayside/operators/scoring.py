@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quayside.config import MEASURES, PROFILES
+from quayside.functions.ranks import matched, value_ranks
 from quayside.functions.scalars import half_up, piecewise
 from quayside.operators.measures import return_ratio
 
@@ -56,15 +57,22 @@ def universes(clients: DataFrame, funds: DataFrame) -> DataFrame:
     return answers.join(kinds, (F.col("_answer") == F.col("_wish")) & (F.col("risk_level") <= F.col("ceiling"))).drop("_answer", "_wish")
 
 
-def percentile(x: Column, window) -> Column:
-    """Share of the others below, in percent with 1 digit; equal ones share it, and one alone has 100."""
-    return F.when(F.count(F.lit(1)).over(window) == 1, 100.0).otherwise(half_up(100 * F.percent_rank().over(window.orderBy(x)), 1))
+def class_percentiles(members: DataFrame, by: list[str], columns: Mapping[str, str]) -> DataFrame:
+    """Adds a percentile for each of columns (new name: column) within by: the share of the others below, in percent with 1 digit; equal ones share it, and one alone has 100.
 
+    No class is gathered: values are ranked by value_ranks() and joined back by an equi-join, in which adaptive execution can split the rows of a class or a value.
+    """
+    out = members
+    for name, column in columns.items():
+        ranks = value_ranks(members, by, column)  # of the plain rows, so that no column waits for another
+        share = F.when(F.col("total") == 1, 100.0).otherwise(half_up(100 * (F.col("below") / (F.col("total") - 1)), 1))
+        out = matched(out, ranks.select(*by, column, share.alias(name)), [*by, column])
+    return out
 
-def class_percentiles(members: DataFrame, by: list[str], columns: Mapping[str, str]) -> DataFrame:
-    """Adds a percentile for each of columns (new name: column) within by; one partitioning serves all."""
-    w = W.partitionBy(*by)
-    return members.withColumns({name: percentile(F.col(c), w) for name, c in columns.items()})
+
+def all_negative(members: DataFrame, by: list[str], value: str = "blended") -> DataFrame:
+    """by and all_negative: whether a group has values and all of them are below 0; a row for each group."""
+    return members.groupBy(*by).agg((F.max(value) < 0).alias("all_negative"))
 
 
 def scores(clients: DataFrame, funds: DataFrame) -> DataFrame:
@@ -72,13 +80,14 @@ def scores(clients: DataFrame, funds: DataFrame) -> DataFrame:
     (fund_id, class, risk_level, screened, alpha, blended, efficiency, momentum).
 
     Alpha and efficiency are percentiles of the class within the client's universe; where all blended
-    returns of a class are negative, so is everyone's fit: 0 (a maximum over the partition that percentiles need anyway, so no
-    shuffle of its own). The clients, grouped by universe, meet its members by an equi-join.
+    returns of a class are negative, so is everyone's fit: 0. The clients, grouped by universe, meet its members by an equi-join.
     """
     weighted = profile_weights(clients)
-    members = class_percentiles(universes(weighted, funds), ["ceiling", "preference", "class"], {"alpha_n": "alpha", "efficiency_n": "efficiency"})
-    bad = F.max("blended").over(W.partitionBy("ceiling", "preference", "class")) < 0
-    members = members.select("fund_id", "class", "ceiling", F.col("preference").alias("wish"), "alpha_n", "efficiency_n", F.col("momentum").alias("momentum_n"), "blended", bad.alias("all_negative"))
+    by = ["ceiling", "preference", "class"]
+    everyone = universes(weighted, funds)
+    members = class_percentiles(everyone, by, {"alpha_n": "alpha", "efficiency_n": "efficiency"})
+    members = matched(members, all_negative(everyone, by), by)
+    members = members.select("fund_id", "class", "ceiling", F.col("preference").alias("wish"), "alpha_n", "efficiency_n", F.col("momentum").alias("momentum_n"), "blended", "all_negative")
     met = weighted.join(members.withColumnRenamed("ceiling", "own_ceiling"), (F.col("ceiling") == F.col("own_ceiling")) & F.col("preference").eqNullSafe(F.col("wish")))
     fit = F.when(F.col("all_negative"), 0.0).otherwise(piecewise(return_ratio(F.col("blended"), F.col("target"))))
     met = met.withColumn("returnfit_n", fit)
@@ -96,8 +105,20 @@ def best_of(scored: DataFrame, k: int, tie: str = "fund_id") -> DataFrame:
     return ranked(scored, tie).where(F.col("position") <= k)
 
 
+def ranked_bands(scored: DataFrame, width: float = 2.0, tie: str = "fund_id", by: str = "client_id") -> DataFrame:
+    """Adds band and position: composites, falling, are in one band while each is within width of the one before; within a band alpha_n and efficiency_n decide, both falling, then tie.
+
+    Bands are an order for any set of rows, whatever their order, unlike a comparison of pairs; see ranked_banded(). Two windows over the same partitioning: one shuffle.
+    """
+    w = W.partitionBy(by)
+    sweep = w.orderBy(F.desc("composite"), tie)
+    opens = F.coalesce((F.lag("composite").over(sweep) - F.col("composite") > width).cast("int"), F.lit(0))
+    banded = scored.withColumn("_opens", opens).withColumn("band", (F.sum("_opens").over(sweep.rowsBetween(W.unboundedPreceding, 0)) + 1).cast("int")).drop("_opens")
+    return banded.withColumn("position", F.row_number().over(w.orderBy("band", F.desc("alpha_n"), F.desc("efficiency_n"), tie)))
+
+
 def ranked_banded(scored: DataFrame, width: float = 2.0, schema: str = "client_id long, fund_id long, composite double, alpha_n double, efficiency_n double, position int") -> DataFrame:
-    """Position where composites within width count as equal, and alpha_n and efficiency_n decide. Not transitive, so it depends on the order of comparison: rows are taken by fund_id and
+    """The option for parity with pairwise comparison: position where composites within width count as equal, and alpha_n and efficiency_n decide. Not transitive, so it depends on the order of comparison: rows are taken by fund_id and
     inserted one by one. One client's funds are a group: bounded by the universe."""
 
     def order(part: pd.DataFrame) -> pd.DataFrame:

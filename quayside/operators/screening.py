@@ -41,16 +41,8 @@ def bucket_pivot(entries: DataFrame, key: str, label: str, amount: str, buckets:
     return wide.select(key, *(half_up(F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)), 1).alias(n) for n in [*names, rest]))
 
 
-def master_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id") -> DataFrame:
-    """Adds position: qualified first, types in the order given (others last), then the scores falling, a missing one as 0, then tie."""
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, types)), F.col("fund_type")), F.lit(0)), F.lit(9)) if types else F.lit(0)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    order = W.orderBy(F.desc("qualified"), rank, F.desc(zero("weighted_alpha")), F.desc(zero("alpha_3y")), tie)
-    return rows.withColumn("position", F.row_number().over(order))
-
-
 def ranked_order(rows: DataFrame, types: Sequence[str] = (), tie: str = "fund_id", span: int = 1 << 16) -> DataFrame:
-    """master_order() for tables of any size.
+    """Adds position: qualified first, types in the order given (others last), then weighted_alpha and alpha_3y falling, a missing one as 0, then tie; for tables of any size.
 
     A window without a partition puts all rows into one task. Here rows are numbered within
     steps of a tenth of the score, and each step starts after the sum of those before it:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quayside.functions.ranks import matched, medians
 from quayside.functions.scalars import half_up
 
 
@@ -19,8 +20,14 @@ def type_counts(rows: DataFrame, kind: str = "fund_type", total: str = "Total")
 
 
 def type_medians(rows: DataFrame, measures: Mapping[str, int], kind: str = "fund_type") -> DataFrame:
-    """Exact medians of measures (column: digits) of the qualified funds of each type; blanks don't count."""
-    return rows.where("qualified").groupBy(kind).agg(*(half_up(F.median(c), digits).alias(c) for c, digits in measures.items()))
+    """Exact medians of measures (column: digits) of the qualified funds of each type; blanks don't count, and a type that has only blanks has none.
+
+    Measures are rows, so one selection serves all; see medians().
+    """
+    good = rows.where("qualified")
+    long = good.select(kind, F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))))
+    found = medians(long, [kind, "measure"], "value").groupBy(kind).pivot("measure", list(measures)).agg(F.first("median"))
+    return matched(good.select(kind).distinct(), found, [kind], "left").select(kind, *(half_up(F.col(m), digits).alias(m) for m, digits in measures.items()))
 
 
 def top_by_type(rows: DataFrame, measures: list[str], k: int = 5, kind: str = "fund_type", key: str = "fund_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quayside.functions import scalars as S
+from quayside.functions.ranks import matched
 from quayside.operators import checks, exposure, extraction, master, measures, nav, portfolio, scoring, screening, summaries
 from quayside.plans import standins as V
 from quayside.plans.standins import VIEWS, exact, table
@@ -91,10 +92,14 @@ def completeness(spark, sf_dir):
     return summaries.completeness(rows, ["text", "lang", "n_chars", "words"])
 
 
-@query("SELECT fund_id, row_number() OVER (ORDER BY qualified DESC, coalesce(weighted_alpha, 0) DESC, coalesce(alpha_3y, 0) DESC, fund_id)::BIGINT AS position FROM screened_v JOIN wide_v USING (fund_id)")
+#: Types come in this order, all others after them.
+TYPE_ORDER = ("STANDARD", "ECONOMY", "SMALL", "PROMO")
+
+
+@query(f"SELECT fund_id, row_number() OVER (ORDER BY qualified DESC, coalesce(list_position({list(TYPE_ORDER)}, fund_type), 9), coalesce(weighted_alpha, 0) DESC, coalesce(alpha_3y, 0) DESC, fund_id)::BIGINT AS position FROM screened_v JOIN wide_v USING (fund_id)")
 def master_order(spark, sf_dir):
     rows = V.screened(spark, sf_dir).join(V.wide_alphas(spark, sf_dir).select("fund_id", "alpha_3y"), "fund_id")
-    return screening.ranked_order(rows.select("fund_id", "fund_type", "qualified", "weighted_alpha", "alpha_3y")).select("fund_id", "position")
+    return screening.ranked_order(rows.select("fund_id", "fund_type", "qualified", "weighted_alpha", "alpha_3y"), TYPE_ORDER).select("fund_id", "position")
 
 
 @query(f"""SELECT fund_id, round(a.nav, 4) AS ath_nav, ath_date::VARCHAR AS ath_date, round(current_nav, 4) AS current_nav, points, CASE WHEN a.nav > 0 THEN round((current_nav - a.nav) / a.nav * 100, 2) END AS drawdown_pct, datediff('day', ath_date, DATE '{AS_OF}')::INTEGER AS days_from_ath
@@ -137,12 +142,17 @@ def client_universe_counts(spark, sf_dir):
 @query("SELECT ceiling, coalesce(preference::VARCHAR, 'any') AS preference, class, fund_id, alpha_n, efficiency_n FROM member_v")
 def class_percentile(spark, sf_dir):
     clients = scoring.with_defaults(V.clients(spark, sf_dir))
-    members = scoring.universes(clients, V.measured(spark, sf_dir))
+    members = scoring.universes(clients, _measured(spark, sf_dir))
     rows = scoring.class_percentiles(members, ["ceiling", "preference", "class"], {"alpha_n": "alpha", "efficiency_n": "efficiency"})
     wish = F.coalesce(F.col("preference").cast("string"), F.lit("any")).alias("preference")
     return rows.select("ceiling", wish, "class", "fund_id", "alpha_n", "efficiency_n")
 
 
+def _measured(spark, sf_dir):
+    """What scoring needs of each fund, computed once: ranks and scores read it several times, and it is small next to the sales that it comes from."""
+    return V.settled(V.measured(spark, sf_dir))
+
+
 def _kinds(spark, sf_dir):
     """Clients that differ in nothing that scores depend on are one kind; kind is its number."""
     key = F.xxhash64("profile", "target_pct", F.coalesce(F.col("preference").cast("int"), F.lit(-1)))
@@ -151,7 +161,7 @@ def _kinds(spark, sf_dir):
 
 def _scored_kinds(spark, sf_dir, k: int):
     kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
-    return scoring.best_of(scoring.scores(kinds, V.measured(spark, sf_dir)), k).withColumnRenamed("client_id", "kind")
+    return scoring.best_of(scoring.scores(kinds, _measured(spark, sf_dir)), k).withColumnRenamed("client_id", "kind")
 
 
 @query("SELECT client_id, fund_id, composite, alpha_n, returnfit_n, efficiency_n, momentum_n, position FROM client_v c JOIN ranked_v r ON c.profile = r.profile AND c.target_pct = r.target_pct AND c.preference IS NOT DISTINCT FROM r.preference WHERE position <= 5")
@@ -161,22 +171,33 @@ def score_rank(spark, sf_dir):
     return _kinds(spark, sf_dir).join(best, "kind").select("client_id", "fund_id", "composite", "alpha_n", "returnfit_n", "efficiency_n", "momentum_n", "position")
 
 
-@query()
+@query(""", swept AS (SELECT profile, target_pct, preference, fund_id, composite, alpha_n, efficiency_n, CASE WHEN lag(composite) OVER k - composite > 2 THEN 1 ELSE 0 END AS opens FROM score_v WINDOW k AS (PARTITION BY profile, target_pct, preference ORDER BY composite DESC, fund_id)),
+banded AS (SELECT *, (1 + sum(opens) OVER (PARTITION BY profile, target_pct, preference ORDER BY composite DESC, fund_id ROWS UNBOUNDED PRECEDING))::INTEGER AS band FROM swept)
+SELECT profile, target_pct, coalesce(preference::VARCHAR, 'any') AS preference, fund_id, composite, band, row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY band, alpha_n DESC, efficiency_n DESC, fund_id)::INTEGER AS position FROM banded""")
 def score_rank_banded(spark, sf_dir):
-    """The same where composites within two points count as equal; the order isn't transitive, so no SQL gives it."""
+    """All funds of each kind of client in bands: composites that follow each other within two points count as equal."""
     kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
-    return scoring.ranked_banded(scoring.scores(kinds, V.measured(spark, sf_dir))).withColumnRenamed("client_id", "kind")
+    out = scoring.ranked_bands(scoring.scores(kinds, _measured(spark, sf_dir)))
+    wish = F.coalesce(F.col("preference").cast("string"), F.lit("any")).alias("preference")
+    return out.drop("profile").join(kinds, "client_id").select("profile", "target_pct", wish, "fund_id", "composite", "band", "position")
+
+
+@query()
+def score_rank_compared(spark, sf_dir):
+    """The same by comparison of pairs, in which composites within two points count as equal; the order isn't transitive, so no SQL gives it."""
+    kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
+    return scoring.ranked_banded(scoring.scores(kinds, _measured(spark, sf_dir))).withColumnRenamed("client_id", "kind")
 
 
 @query("SELECT profile, target_pct, coalesce(preference::VARCHAR, 'any') AS preference, fund_id, x AS ratio, returnfit_n FROM fit_v WHERE NOT all_negative".replace("x AS ratio", "round(x, 6) AS ratio"))
 def piecewise_fit(spark, sf_dir):
     clients = scoring.with_defaults(V.clients(spark, sf_dir)).select("profile", "target", "target_pct", "preference", "ceiling").distinct()
-    members = scoring.universes(clients, V.measured(spark, sf_dir)).withColumnsRenamed({"ceiling": "c", "preference": "p"})
+    members, by = scoring.universes(clients, _measured(spark, sf_dir)), ["ceiling", "preference", "class"]
+    members = matched(members, scoring.all_negative(members, by), by).where(~F.col("all_negative")).withColumnsRenamed({"ceiling": "c", "preference": "p"})
     met = clients.join(members, (F.col("ceiling") == F.col("c")) & F.col("preference").eqNullSafe(F.col("p")))
-    alive = F.max("blended").over(W.partitionBy("profile", "target_pct", "preference", "class")) >= 0
     ratio = measures.return_ratio(F.col("blended"), F.col("target"))
     wish = F.coalesce(F.col("preference").cast("string"), F.lit("any")).alias("preference")
-    return met.withColumn("alive", alive).where("alive").select("profile", "target_pct", wish, "fund_id", S.half_up(ratio, 6).alias("ratio"), S.piecewise(ratio).alias("returnfit_n"))
+    return met.select("profile", "target_pct", wish, "fund_id", S.half_up(ratio, 6).alias("ratio"), S.piecewise(ratio).alias("returnfit_n"))
 
 
 PAIRS = "pairs AS (SELECT x.fund_id AS a, y.fund_id AS b, count(*) AS shared FROM basket_v x JOIN basket_v y ON x.item = y.item AND x.fund_id < y.fund_id GROUP BY 1, 2 HAVING count(*) >= 3)"
@@ -184,14 +205,22 @@ PAIRS = "pairs AS (SELECT x.fund_id AS a, y.fund_id AS b, count(*) AS shared FRO
 
 @query(", " + PAIRS + " SELECT a, b, shared FROM pairs")
 def overlap_pairs(spark, sf_dir):
-    return portfolio.overlaps(V.baskets(spark, sf_dir))
+    return portfolio.overlaps(V.baskets(spark, sf_dir), largest=5)
+
+
+@query(""", bought AS (SELECT DISTINCT o_custkey AS client, l_partkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT x.client AS a, y.client AS b, count(*) AS shared FROM bought x JOIN bought y ON x.item = y.item AND x.client < y.client GROUP BY 1, 2 HAVING count(*) >= 4""")
+def customer_overlaps(spark, sf_dir):
+    """Customers who have bought four or more of the same parts; a customer's parts are a basket of any size."""
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("client"), F.col("l_partkey").alias("item"))
+    return portfolio.overlaps(bought, "client", "item", least=4)
 
 
 @query(", " + PAIRS + """, picks AS (SELECT s_suppkey AS fund_id, round(s_acctbal, 0) AS alpha_n, s_suppkey AS pos FROM supplier), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)
 SELECT fund_id, alpha_n FROM picks WHERE fund_id NOT IN (SELECT me.fund_id FROM both_ways JOIN picks me ON a = me.fund_id JOIN picks o ON b = o.fund_id WHERE o.alpha_n > me.alpha_n OR (o.alpha_n = me.alpha_n AND o.pos < me.pos))""")
 def overlap_dedup(spark, sf_dir):
     picks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fund_id"), S.half_up("s_acctbal", 0).alias("alpha_n"), F.col("s_suppkey").alias("pos"))
-    return portfolio.without_overlaps(picks, portfolio.overlaps(V.baskets(spark, sf_dir))).select("fund_id", "alpha_n")
+    return portfolio.without_overlaps(picks, portfolio.overlaps(V.baskets(spark, sf_dir), largest=5)).select("fund_id", "alpha_n")
 
 
 NORMAL = """, shares AS (SELECT portfolio_id, fund_id, amount, round(amount::DOUBLE / (sum(amount) OVER (PARTITION BY portfolio_id))::DOUBLE * 100, 1) AS s FROM holding_v),
@@ -221,24 +250,31 @@ def cap_and_spill(spark, sf_dir):
     return out.select("portfolio_id", F.get("capped", 0).alias("core_1"), F.get("capped", 1).alias("core_2"), "spill")
 
 
-BASE = """, best AS (SELECT profile, target_pct, preference, position, fund_id, composite, alpha_n, count(*) OVER k AS n, sum(composite) OVER k AS total FROM ranked_v WHERE position <= 2 WINDOW k AS (PARTITION BY profile, target_pct, preference)),
-split AS (SELECT *, round(CASE WHEN total > 0 THEN 80 * composite / total ELSE 80.0::DOUBLE / n END, 1) AS p FROM best),
-two AS (SELECT profile, target_pct, preference, cap, any_value(n) AS n, round(max(p) FILTER (WHERE position = 1) + round(80 - sum(p), 1), 1) AS a, max(p) FILTER (WHERE position = 2) AS b FROM split JOIN profile_v USING (profile) GROUP BY 1, 2, 3, 4),
+#: Every 25th fund is said to be structural. The sleeves are funds that no part stands for.
+BASE = """, tmpl_v(profile, core, gold, mm) AS (VALUES ('Conservative', 63.5::DOUBLE, 6.5::DOUBLE, 17.5::DOUBLE), ('Moderate', 63.5, 9.0, 13.5), ('Moderately Aggressive', 67.5, 9.0, 11.0), ('Aggressive', 73.0, 10.0, 10.0)),
+best AS (SELECT * FROM (SELECT profile, target_pct, preference, fund_id, composite, alpha_n, row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY position)::INTEGER AS position FROM ranked_v WHERE fund_id % 25 <> 0) WHERE position <= 2),
+core_raw AS (SELECT b.*, CASE WHEN sum(composite) OVER k > 0 THEN core * composite / sum(composite) OVER k ELSE core / 2 END AS raw FROM best b JOIN tmpl_v USING (profile) WINDOW k AS (PARTITION BY profile, target_pct, preference)),
+parts AS (SELECT profile, target_pct, preference, position AS pos, fund_id::VARCHAR AS fund, 'core' AS role, raw, alpha_n FROM core_raw
+UNION ALL SELECT DISTINCT profile, target_pct, preference, 3, 'GOLD', 'structural:gold', gold, NULL::DOUBLE FROM best JOIN tmpl_v USING (profile)
+UNION ALL SELECT DISTINCT profile, target_pct, preference, 4, CASE WHEN preference THEN 'CASH-S' ELSE 'CASH-C' END, 'structural:money_market', mm, NULL::DOUBLE FROM best JOIN tmpl_v USING (profile)),
+sh AS (SELECT *, round(raw / sum(raw) OVER (PARTITION BY profile, target_pct, preference) * 100, 1) AS s FROM parts),
+fixed AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY profile, target_pct, preference ORDER BY s DESC, pos) = 1 THEN round(s + round(100 - sum(s) OVER (PARTITION BY profile, target_pct, preference), 1), 1) ELSE s END AS p FROM sh),
+two AS (SELECT profile, target_pct, preference, cap, max(p) FILTER (WHERE pos = 1) AS a, max(p) FILTER (WHERE pos = 2) AS b FROM fixed JOIN profile_v USING (profile) GROUP BY 1, 2, 3, 4),
 one AS (SELECT *, least(a, cap) AS a1, b + least(greatest(a - cap, 0), greatest(cap - b, 0)) AS b1, greatest(a - cap, 0) - coalesce(least(greatest(a - cap, 0), greatest(cap - b, 0)), 0) AS left1 FROM two),
 capped AS (SELECT *, round(a1 + coalesce(least(greatest(b1 - cap, 0), greatest(cap - a1, 0)), 0), 1) AS core1, round(least(b1, cap), 1) AS core2, round(left1 + coalesce(greatest(b1 - cap, 0) - least(greatest(b1 - cap, 0), greatest(cap - a1, 0)), 0), 1) AS spill FROM one),
-kind_base AS (SELECT s.profile, s.target_pct, s.preference, s.position AS pos, s.fund_id::VARCHAR AS fund, 'core' AS role, CASE WHEN s.position = 1 THEN core1 ELSE core2 END AS pct, s.alpha_n FROM split s JOIN capped c ON s.profile = c.profile AND s.target_pct = c.target_pct AND s.preference IS NOT DISTINCT FROM c.preference
-UNION ALL SELECT profile, target_pct, preference, 3, 'GOLD', 'sleeve', round(10 + spill, 1), NULL FROM capped UNION ALL SELECT profile, target_pct, preference, 4, 'CASH', 'sleeve', 10.0, NULL FROM capped)"""
-SLEEVES = [("GOLD", 10.0), ("CASH", 10.0)]
+kind_base AS (SELECT f.profile, f.target_pct, f.preference, pos, fund, role, CASE pos WHEN 1 THEN core1 WHEN 2 THEN core2 WHEN 3 THEN round(p + spill, 1) ELSE p END AS pct, alpha_n FROM fixed f JOIN capped c ON f.profile = c.profile AND f.target_pct = c.target_pct AND f.preference IS NOT DISTINCT FROM c.preference)"""
+SLEEVES = {"gold": "GOLD", "money_market": "CASH-C", "money_market_screened": "CASH-S"}
 #: The rows of all clients from those of their kind, in a relation {0}.
 OF_CLIENTS = " SELECT client_id, pos, fund, role, pct, alpha_n FROM client_v c JOIN {0} b ON c.profile = b.profile AND c.target_pct = b.target_pct AND c.preference IS NOT DISTINCT FROM b.preference"
 
 
 def _book(spark, sf_dir, scored=None):
     """Base portfolios of the kinds of client (client_id: the kind), with their profile, cap and wish. What clients of one kind hold is the same, so substitutions are made for kinds as well, from the same scores."""
-    best = _scored_kinds(spark, sf_dir, 2).withColumnRenamed("kind", "client_id") if scored is None else scoring.best_of(scored, 2)
-    base = portfolio.base_portfolio(best.withColumn("cap", scoring.profile_value(F.col("profile"), 3)), SLEEVES)
-    kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "preference").distinct()
-    return base.join(kinds.withColumn("cap", scoring.profile_value(F.col("profile"), 3)), "client_id")
+    kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
+    scored = scoring.scores(kinds, _measured(spark, sf_dir)) if scored is None else scored
+    facts = kinds.select("client_id", "profile", "preference", scoring.profile_value(F.col("profile"), 3).alias("cap"))
+    base = portfolio.base_portfolio(scored.withColumn("structural", F.col("fund_id") % 25 == 0), facts, SLEEVES)
+    return base.join(facts, "client_id")
 
 
 def _of_clients(spark, sf_dir, book):
@@ -255,7 +291,7 @@ def _scored_with_facts(spark, sf_dir):
     """The scores of all funds for all kinds, with what the substitutions ask of a fund."""
     kinds = _kinds(spark, sf_dir).select(F.col("kind").alias("client_id"), "profile", "target_pct", "preference").distinct()
     facts = V.screened(spark, sf_dir).select("fund_id", "qualified").join(V.wide_alphas(spark, sf_dir).select("fund_id", "alpha_3y", "alpha_5y"), "fund_id")
-    return V.settled(scoring.scores(kinds, V.measured(spark, sf_dir)).join(facts, "fund_id", "left"))
+    return V.settled(scoring.scores(kinds, _measured(spark, sf_dir)).join(facts, "fund_id", "left"))
 
 
 #: Every seventh fund is said not to be of the wanted kind. Funds overlap where three of the five places that most of them is in are the same.
@@ -287,7 +323,7 @@ def _swapped(spark, sf_dir, scored):
     # only baskets of funds that are held or asked for meet; those are a few for each kind
     asked = cand.select("fund").unionByName(book.where("role = 'core'").select("fund")).distinct()
     tokens = _tokens(spark, sf_dir).withColumn("fund", F.col("fund_id").cast("string")).join(asked, "fund", "left_semi")
-    blocked = portfolio.blocked_by(book, portfolio.overlaps(tokens, "fund"))
+    blocked = portfolio.blocked_by(book, portfolio.overlaps(tokens, "fund", largest=5))
     return portfolio.outlier_swap(book, cand, blocked)
 
 
@@ -320,31 +356,33 @@ def gap_swap(spark, sf_dir):
 
 
 @query(BASE + """, edited AS (SELECT profile, target_pct, preference, pos, CASE WHEN target_pct = 3 AND pos = 2 THEN (SELECT max(b.fund) FROM kind_base b WHERE b.profile = k.profile AND b.target_pct = k.target_pct AND b.preference IS NOT DISTINCT FROM k.preference AND b.pos = 1) WHEN target_pct = 4 AND pos = 1 THEN 'NONE' ELSE fund END AS fund,
-  CASE WHEN target_pct = 5 AND pos = 1 THEN pct + 40 WHEN target_pct = 6 AND pos = 3 THEN NULL ELSE pct END AS pct FROM kind_base k WHERE NOT (target_pct = 7 AND pos = 4)),
+  CASE WHEN target_pct = 5 AND pos = 1 THEN pct + 40 WHEN target_pct = 6 AND pos = 3 THEN NULL WHEN target_pct = 9 AND pos = 1 THEN 50.04 ELSE pct END AS pct FROM kind_base k WHERE NOT (target_pct = 7 AND pos = 4)),
 bad AS (SELECT DISTINCT profile, target_pct, preference FROM edited WHERE pct IS NULL),
 good AS (SELECT e.*, coalesce(b.role, 'core') AS role FROM edited e LEFT JOIN (SELECT DISTINCT profile, target_pct, preference, fund, role FROM kind_base) b ON b.profile = e.profile AND b.target_pct = e.target_pct AND b.preference IS NOT DISTINCT FROM e.preference AND b.fund = e.fund
          WHERE NOT EXISTS (SELECT 1 FROM bad x WHERE x.profile = e.profile AND x.target_pct = e.target_pct AND x.preference IS NOT DISTINCT FROM e.preference)
          UNION ALL SELECT k.profile, k.target_pct, k.preference, pos, fund, pct, role FROM kind_base k JOIN bad x ON x.profile = k.profile AND x.target_pct = k.target_pct AND x.preference IS NOT DISTINCT FROM k.preference),
 h AS (SELECT client_id, g.*, cap, ceiling FROM client_v c JOIN good g ON c.profile = g.profile AND c.target_pct = g.target_pct AND c.preference IS NOT DISTINCT FROM g.preference JOIN profile_v v ON v.profile = c.profile),
-facts AS (SELECT fund_id::VARCHAR AS fund, risk_level FROM fund_v),
-by_c AS (SELECT client_id, round(sum(pct::DECIMAL(18,4))::DOUBLE, 2) AS total, count(*) AS n, count(DISTINCT fund) AS funds, count(*) FILTER (WHERE role = 'sleeve' AND fund = 'GOLD') > 0 AND count(*) FILTER (WHERE role = 'sleeve' AND fund = 'CASH') > 0 AS sleeves FROM h GROUP BY 1)
+facts AS (SELECT fund_id::VARCHAR AS fund, risk_level FROM fund_v UNION ALL VALUES ('GOLD', 5), ('CASH-C', 1)),
+by_c AS (SELECT client_id, round(sum(pct::DECIMAL(18,4))::DOUBLE, 2) AS total, count(*) AS n, count(DISTINCT fund) AS funds, count(*) FILTER (WHERE role = 'structural:gold') > 0 AND count(*) FILTER (WHERE role = 'structural:money_market') > 0 AS sleeves FROM h GROUP BY 1)
 SELECT client_id::VARCHAR AS subject, 'malformed_edit' AS code FROM client_v c JOIN edited e ON c.profile = e.profile AND c.target_pct = e.target_pct AND c.preference IS NOT DISTINCT FROM e.preference WHERE e.pct IS NULL
 UNION ALL SELECT client_id::VARCHAR, 'sum' FROM by_c WHERE abs(total - 100) > 0.5 UNION ALL SELECT client_id::VARCHAR, 'count' FROM by_c WHERE n <> 4 UNION ALL SELECT client_id::VARCHAR, 'duplicate_holding' FROM by_c WHERE funds < n UNION ALL SELECT client_id::VARCHAR, 'structural' FROM by_c WHERE NOT sleeves
-UNION ALL SELECT client_id::VARCHAR, 'concentration_cap' FROM h WHERE pct > cap + 0.05 UNION ALL SELECT client_id::VARCHAR, 'rl_ceiling' FROM h JOIN facts USING (fund) WHERE role NOT IN ('outlier', 'sleeve') AND risk_level > ceiling
-UNION ALL SELECT client_id::VARCHAR, 'universe' FROM h LEFT JOIN facts USING (fund) WHERE role <> 'sleeve' AND risk_level IS NULL""")
+UNION ALL SELECT client_id::VARCHAR, 'concentration_cap' FROM h WHERE pct > cap UNION ALL SELECT client_id::VARCHAR, 'rl_ceiling' FROM h JOIN facts USING (fund) WHERE role NOT IN ('outlier', 'structural:gold', 'structural:money_market') AND risk_level > ceiling
+UNION ALL SELECT client_id::VARCHAR, 'universe' FROM h LEFT JOIN facts USING (fund) WHERE risk_level IS NULL""")
 def invariant_violations(spark, sf_dir):
-    """Base portfolios after edits by people: by target, one holds a fund twice, one a fund that nobody knows, one too much, one lacks a share (so the edit doesn't count), one lacks a sleeve."""
+    """Base portfolios after edits by people: by target, one holds a fund twice, one a fund that nobody knows, one too much, one a little over a cap, one lacks a share (so the edit doesn't count), one lacks a sleeve. The screened money market isn't in the universe."""
     clients = _kinds(spark, sf_dir).select("client_id", "kind", "profile", "target_pct")
-    book = _book(spark, sf_dir).select(F.col("client_id").alias("kind"), "pos", "fund", "role", "pct", "alpha_n")
+    book = V.settled(_book(spark, sf_dir).select(F.col("client_id").alias("kind"), "pos", "fund", "role", "pct", "alpha_n"))
     held = clients.join(book, "kind").drop("kind")
     case = lambda target, pos: (F.col("target_pct") == target) & (F.col("pos") == pos)
     first = F.max(F.when(F.col("pos") == 1, F.col("fund"))).over(W.partitionBy("client_id"))
-    edits = held.withColumn("first", first).where(~case(7, 4)).select("client_id", "pos", F.when(case(3, 2), F.col("first")).when(case(4, 1), "NONE").otherwise(F.col("fund")).alias("fund"), F.when(case(5, 1), F.col("pct") + 40).when(case(6, 3), F.lit(None)).otherwise(F.col("pct")).alias("pct"))
+    edits = held.withColumn("first", first).where(~case(7, 4)).select("client_id", "pos", F.when(case(3, 2), F.col("first")).when(case(4, 1), "NONE").otherwise(F.col("fund")).alias("fund"), F.when(case(5, 1), F.col("pct") + 40).when(case(6, 3), F.lit(None)).when(case(9, 1), 50.04).otherwise(F.col("pct")).alias("pct"))
     new, bad = portfolio.edited(held, edits)
     new = new.join(clients.select("client_id", "profile"), "client_id")
     rows = new.select(F.col("client_id").alias("portfolio_id"), "fund", "role", "pct", scoring.profile_value(F.col("profile"), 3).alias("cap"), scoring.profile_value(F.col("profile"), 2).cast("int").alias("ceiling"))
-    facts = V.funds(spark, sf_dir).select(F.col("fund_id").cast("string").alias("fund"), "risk_level")
-    return checks.all_of(checks.portfolio_violations(rows, facts, structural=("GOLD", "CASH")), checks.malformed_edits(bad)).select("subject", "code")
+    facts = V.funds(spark, sf_dir).select(F.col("fund_id").cast("string").alias("fund"), F.col("risk_level").cast("int").alias("risk_level"))
+    rows = V.settled(rows)  # each rule reads them
+    facts = facts.unionByName(spark.createDataFrame([("GOLD", 5), ("CASH-C", 1)], "fund string, risk_level int"))
+    return checks.all_of(checks.portfolio_violations(rows, facts), checks.malformed_edits(bad)).select("subject", "code")
 
 
 SLICES = {"low": ["s1", "s2"], "middle": ["s3"], "high": ["s4"], "top": ["s5"]}
@@ -365,9 +403,9 @@ def asset_exposure(spark, sf_dir):
 merged AS (SELECT portfolio_id, CASE WHEN round(amount, 6) < 2 AND place <> 'CHINA' THEN 'Other' ELSE place END AS place, sum(amount::DECIMAL(28,8))::DOUBLE AS amount FROM sums GROUP BY 1, 2),
 every AS (SELECT * FROM merged UNION ALL SELECT DISTINCT portfolio_id, 'Other', 0.0 FROM merged WHERE portfolio_id NOT IN (SELECT portfolio_id FROM merged WHERE place = 'Other')),
 s AS (SELECT *, CASE WHEN sum(amount) OVER (PARTITION BY portfolio_id) > 0 THEN round(amount / sum(amount) OVER (PARTITION BY portfolio_id) * 100, 1) ELSE 0 END AS s FROM every), g AS (SELECT *, round(100 - sum(s) OVER (PARTITION BY portfolio_id), 1) AS gap, row_number() OVER (PARTITION BY portfolio_id ORDER BY s DESC, place) AS n FROM s)
-SELECT portfolio_id, place, CASE WHEN n = 1 THEN round(s + gap, 1) ELSE s END AS pct FROM g""")
+SELECT portfolio_id, place, CASE WHEN n = 1 THEN round(s + gap, 1) ELSE s END AS pct, row_number() OVER (PARTITION BY portfolio_id ORDER BY CASE place WHEN 'CHINA' THEN 0 WHEN 'Other' THEN 2 ELSE 1 END, CASE WHEN n = 1 THEN round(s + gap, 1) ELSE s END DESC, place)::INTEGER AS pos FROM g""")
 def place_exposure(spark, sf_dir):
-    return exposure.place_exposure(V.holdings(spark, sf_dir), V.places(spark, sf_dir), home="CHINA").select("portfolio_id", "place", "pct")
+    return exposure.place_exposure(V.holdings(spark, sf_dir), V.places(spark, sf_dir), home="CHINA").select("portfolio_id", "place", "pct", "pos")
 
 
 @query("""SELECT portfolio_id, round(sum((coalesce(weighted_alpha, 0) * weight)::DECIMAL(28,8))::DOUBLE / sum(weight::DECIMAL(28,8))::DOUBLE, 2) AS composite, round(sum((coalesce(alpha_3y, 0) * weight)::DECIMAL(28,8))::DOUBLE / sum(weight::DECIMAL(28,8))::DOUBLE, 2) AS alpha_3y,

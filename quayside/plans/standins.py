@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quayside.config import PERIODS
 from quayside.functions.scalars import half_up
-from quayside.operators.measures import blend, efficiency, penalised, period_alpha
+from quayside.operators.measures import blend, efficiency, efficiency_pick, penalised, period_alpha
 from quayside.operators.screening import screen
 
 YEARS = {2001: "ytd", 2000: "1y", 1999: "3y", 1998: "5y", 1997: "10y"}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; where that is unset a temporary one if Spark runs in this process alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='quayside-')}"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """A result that several parts of a plan read, computed once: a checkpoint in the folder that spark.checkpoint.dir names. Where that is unset rows are read as they are, at the cost of computing them for each part."""
-    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
+    """A result that several parts of a plan read, computed once: a table in a folder that driver and executors share."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def mean(c: Column, digits: int = 6) -> Column:
@@ -71,7 +86,7 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wide.select("fund_id", penalised(blend(by("alpha")), F.col("alpha_3y"), F.col("alpha_5y")).alias("alpha"), (blend(by("ret"))).alias("blended"), "alpha_3y", "alpha_5y", "alpha_1y")
     rows = rows.join(funds(spark, sf_dir), "fund_id")
     vol = F.col("risk_level").cast("double") * 2
-    return rows.select("*", F.coalesce(efficiency(F.col("alpha_3y"), vol), efficiency(F.col("alpha_1y"), vol), F.lit(0.0)).alias("efficiency"), (F.col("fund_id") % 101).cast("double").alias("momentum"))
+    return rows.select("*", efficiency_pick(efficiency(F.col("alpha_3y"), vol), efficiency(F.col("alpha_1y"), vol)).alias("efficiency"), (F.col("fund_id") % 101).cast("double").alias("momentum"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

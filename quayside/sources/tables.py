@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quayside.functions.scalars import pair_list, split_list
+from quayside.sources.versions import Versions, kept_on_failure
 
 RETURNS = "map<string, struct<fund: double, bench: double, alpha: double>>"
 SNAPSHOT = f"all_funds array<struct<name: string, abbr: string, source_file: string, asset_class: string, geography: string, is_shariah: boolean, period_detail: {RETURNS}, outperform_count: int, total_periods: int, outperform_rate: double>>, base_dir string"
@@ -106,16 +107,18 @@ def with_fallback(rows: DataFrame, lookup: DataFrame, key: str, value: str, form
 
 
 def write_master(rows: DataFrame, path: str, month: str = "report_month", csv: bool = False) -> None:
-    """The master table by report month, or as text with a header for people."""
+    """The master table by report month: a month that rows hold is replaced, all others stay. Or as text with a header for people, which is replaced as a whole."""
     if csv:
         rows.write.mode("overwrite").csv(path, header=True)
     else:
-        rows.write.mode("overwrite").partitionBy(month).parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
-def write_state(rows: DataFrame, errors: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/state")
-    errors.write.mode("overwrite").parquet(f"{path}/errors")
+def write_state(rows: DataFrame, errors: DataFrame, path: str, version: int, key: str = "fund_id") -> bool:
+    """A version of a state table with what failed in the run; rows that the run couldn't fetch stay as they were in the version before. See Versions: a run that dies leaves that version as it is."""
+    versions = Versions(rows.sparkSession, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return versions.write(version, {"state": kept_on_failure(versions.read(schema, ["state"], before=version), rows, key), "errors": errors})
 
 
 __all__ = ["code_map", "delimited", "dimension", "events", "files", "latest_per_series", "nested_snapshot", "newest_version", "pair_list", "profiles", "split_list", "state_or_empty", "vintage", "with_fallback", "write_master", "write_state"]

@@ -6,28 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quayside.operators.nav import KEY, NAV, STATE, WHEN, all_time_high, merged
+from quayside.operators.nav import DAYS, KEY, NAV, STATE, WHEN, all_time_high, counted, day_sets, merged, merged_days
+from quayside.sources.versions import Versions, bucket_of
 
 SCHEMA = "fund_id long, nav_date date, nav double"
+#: Buckets of a state table; a batch rewrites those of its funds.
+BUCKETS = 64
 
 
-def points_stream(spark: SparkSession, folder: str, late: str = "30 days") -> DataFrame:
-    """Price files that arrive in a folder; a day that comes again within the watermark is dropped, so replays don't count twice."""
-    stream = spark.readStream.schema(SCHEMA).parquet(folder)
-    return stream.withColumn("at", F.col(WHEN).cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark([KEY, WHEN])
+def points_stream(spark: SparkSession, folder: str, late: str | None = None) -> DataFrame:
+    """Price files that arrive in a folder. With late a day that comes again within that time is dropped, for running_high(); keep_state() needs none of it, for its days are sets."""
+    stream = spark.readStream.schema(SCHEMA).parquet(folder).withColumn("at", F.col(WHEN).cast("timestamp"))
+    return stream.withWatermark("at", late).dropDuplicatesWithinWatermark([KEY, WHEN]) if late else stream
 
 
-def keep_state(points: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Merges each batch's highs into a state table, written anew beside the old one and named in a small pointer file by batch.
+def keep_state(points: DataFrame, table: str, checkpoint: str, available_now: bool = True, buckets: int = BUCKETS, keep: int = 2) -> StreamingQuery:
+    """Merges each batch into the highs and the days seen, two tables in versions below a folder: highs and days.
 
-    The state of batch n is table/n; a batch that is repeated after a failure reads
-    table/n-1 again, so nothing is added twice.
+    A batch rewrites the buckets of its own funds; the version of a batch is one manifest for each table, and a batch that comes again after a failure finds its version
+    there, or writes it from the same version before. Highs don't change when a point comes again, and days are sets, so points counts distinct days whatever
+    is replayed and however late. The last `keep` versions stay.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(STATE).parquet(f"{table}/{n - 1}") if n else spark.createDataFrame([], STATE)
-        merged(old, all_time_high(batch.select(KEY, WHEN, NAV))).write.mode("overwrite").parquet(f"{table}/{n}")
+        highs, days = Versions(spark, f"{table}/highs"), Versions(spark, f"{table}/days")
+        batch = batch.select(KEY, WHEN, NAV, bucket_of(KEY, buckets).alias("bucket")).persist()
+        try:
+            touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # at most buckets
+            names = [str(b) for b in touched]
+            seen = merged_days(days.read(DAYS, names, before=n), day_sets(batch))
+            days.write_buckets(n, seen.withColumn("bucket", bucket_of(KEY, buckets)), "bucket", touched)
+            new = counted(merged(highs.read(STATE, names, before=n), all_time_high(batch)), days.read(DAYS, names, before=n + 1))
+            highs.write_buckets(n, new.withColumn("bucket", bucket_of(KEY, buckets)), "bucket", touched)
+        finally:
+            batch.unpersist()
+        highs.vacuum(keep)
+        days.vacuum(keep)
 
     writer = points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

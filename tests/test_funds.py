@@ -1,15 +1,21 @@
 """Fund operators on small literal tables: one case for each rule that has a boundary, and a corrupted value for each check."""
 
+import bisect
 import datetime as dt
 import random
+import statistics
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside import config
+from quayside.functions import ranks
 from quayside.functions import scalars as S
 from quayside.operators import checks, exposure, extraction, measures, nav, portfolio, scoring, screening
-from quayside.sources import tables
+from quayside.sources import tables, variants
+from quayside.sources.versions import Versions, kept_on_failure
 from quayside.streaming import nav as stream
 
 
@@ -54,8 +60,7 @@ def test_screen(spark):
     got = {r["fund_id"]: (r["weighted_alpha"], r["total_periods"], r["qualified"], r["rate"]) for r in screening.screen(df).collect()}
     assert got == {"full": (3.3, 5, True, 80.0), "partial": (0.0909, 2, True, 50.0), "bad": (-2.0625, 3, False, 33.3), "single": (None, 1, False, 100.0)}
     facts = spark.createDataFrame([(1, "B", True, 1.0, None), (2, "A", True, None, 1.0), (3, "A", False, 9.0, 9.0), (4, "A", True, 2.0, 0.0), (5, "Z", True, 9.0, 0.0)], "fund_id long, fund_type string, qualified boolean, weighted_alpha double, alpha_3y double")
-    for order in (screening.master_order, screening.ranked_order):
-        assert [r["fund_id"] for r in order(facts, ["A", "B"]).orderBy("position").collect()] == [4, 2, 1, 5, 3]
+    assert [r["fund_id"] for r in screening.ranked_order(facts, ["A", "B"]).orderBy("position").collect()] == [4, 2, 1, 5, 3]
     said = spark.range(1).select(screening.rationale(F.lit("Qualified"), F.lit(1.204), {"1y": F.lit(1.0), "3y": F.lit(-1.0), "5y": F.lit(None).cast("double")}), screening.rationale(F.lit("Out"), F.lit(None).cast("double"), {"1y": F.lit(None).cast("double")})).first()
     assert tuple(said) == ("Qualified: +1.20 (1y up, 3y down)", "Out: N/A (N/A)")
     entries = spark.createDataFrame([("f", "Stocks", 40.04), ("f", "Shares", 10.0), ("f", "Weird", 5.0), ("g", "Cash", 1.0)], "fund string, label string, w double")
@@ -102,17 +107,69 @@ def test_percentiles_and_scores(spark):
 def test_overlaps(spark):
     baskets = spark.createDataFrame([("A", x) for x in "12345"] + [("B", x) for x in "34567"] + [("B", "3")] + [("C", x) for x in "89"], "fund_id string, item string")
     pairs = portfolio.overlaps(baskets)
-    assert rows(pairs) == [("A", "B", 3)]
+    assert rows(pairs) == rows(portfolio.overlaps(baskets, largest=5)) == [("A", "B", 3)]
+    with pytest.raises(Exception, match="over 4 items"):
+        portfolio.overlaps(baskets, largest=4).collect()
     picks = spark.createDataFrame([("A", 5.0, 1), ("B", 5.0, 2), ("C", 1.0, 3)], "fund_id string, alpha_n double, pos int")
     assert rows(portfolio.without_overlaps(picks, pairs), "fund_id") == [("A",), ("C",)]
 
 
+def test_overlaps_of_large_baskets(spark):
+    """Baskets of up to 500 items, some items in nearly all of them, two groups; against all pairs."""
+    rng = random.Random(5)
+    held = {(g, k): {rng.choice((rng.randrange(6), rng.randrange(4000))) for _ in range(rng.choice((2, 5, 40, 500)))} for g in "xy" for k in range(60)}
+    df = spark.createDataFrame([(g, k, i) for (g, k), items in held.items() for i in items] + [("x", 0, None)], "g string, fund_id int, item int").repartition(3)
+    for least in (1, 3, 9):
+        want = sorted(((g, a, b, len(held[g, a] & held[g, b])) for g in "xy" for a in range(60) for b in range(a + 1, 60) if len(held[g, a] & held[g, b]) >= least), key=str)
+        assert rows(portfolio.overlaps(df, within=["g"], least=least)) == want
+
+
+def plain_ranks(values):
+    key = lambda v: (v is not None, v)
+    return {v: (values.count(v), sum(key(x) < key(v) for x in values), len(values)) for v in set(values)}
+
+
+def test_value_ranks_and_medians(spark):
+    """Groups of all sizes, one of nine tenths of the rows, with ties, nulls and one value only; against sorting."""
+    rng = random.Random(6)
+    data = {("big", None): [rng.choice((None, round(rng.gauss(0, 1), rng.choice((0, 3))))) for _ in range(3000)], ("one", 1): [5.0], ("none", 2): [None, None], ("same", 3): [2.0] * 9, (None, 4): [1.0, 2.0, 3.0, 4.0]}
+    df = spark.createDataFrame([(a, b, v) for (a, b), values in data.items() for v in values], "a string, b int, v double").repartition(3)
+    want = sorted(((a, b, v, *rank) for (a, b), values in data.items() for v, rank in plain_ranks(values).items()), key=str)
+    for parts in (2, 64):
+        assert sorted((tuple(r) for r in ranks.value_ranks(df, ["a", "b"], "v", parts=parts).collect()), key=str) == want
+    for upper in (False, True):
+        middle = {k: sorted(v for v in values if v is not None) for k, values in data.items()}
+        exact = {k: v[len(v) // 2] if upper else statistics.median(v) for k, v in middle.items() if v}
+        assert {(r["a"], r["b"]): r["median"] for r in ranks.medians(df, ["a", "b"], "v", upper=upper).collect()} == exact
+
+
+def test_class_percentiles_spread_a_large_class(spark):
+    """A class with nine tenths of all rows is dealt over tasks: no window is over a class, and its values are ranked in parts."""
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, "big" if i % 10 else "small", rng.choice((0.0, rng.random()))) for i in range(5000)], "fund_id int, class string, x double")
+    out = scoring.class_percentiles(df, ["class"], {"p": "x"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "Window [" in line), plan
+    for name, got in {n: {r["fund_id"]: r for r in out.where(F.col("class") == n).collect()} for n in ("big", "small")}.items():
+        values = sorted(r["x"] for r in got.values())
+        assert len(values) == (4500 if name == "big" else 500)
+        for r in random.Random(8).sample(list(got.values()), 200):
+            assert abs(r["p"] - 100 * bisect.bisect_left(values, r["x"]) / (len(values) - 1)) <= 0.0501
+
+
+def test_bands(spark):
+    """A band goes on while neighbours are within two points; within it alpha and efficiency decide, then the fund."""
+    data = [(1, 1, 90.0, 1.0, 0.0), (1, 2, 88.5, 9.0, 0.0), (1, 3, 86.6, 9.0, 5.0), (1, 4, 84.5, 99.0, 0.0), (1, 5, 84.5, 99.0, 0.0), (2, 6, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "client_id int, fund_id int, composite double, alpha_n double, efficiency_n double")
+    assert rows(scoring.ranked_bands(df), "client_id", "fund_id", "band", "position") == [(1, 1, 1, 3), (1, 2, 1, 2), (1, 3, 1, 1), (1, 4, 2, 4), (1, 5, 2, 5), (2, 6, 1, 1)]
+    assert rows(scoring.ranked_bands(df, width=0.0), "fund_id", "position") == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1)]
+
+
 def test_shares(spark):
     df = spark.createDataFrame([("p", 1, 1.0), ("p", 2, 1.0), ("p", 3, 1.0), ("q", 1, 0.0), ("q", 2, 0.0)], "k string, pos int, amount double")
     out = portfolio.normalised(df, ["k"], "amount", "pos")
     assert rows(out, "k", "pos", "pct") == [("p", 1, 33.4), ("p", 2, 33.3), ("p", 3, 33.3), ("q", 1, 0.0), ("q", 2, 0.0)]
     assert rows(portfolio.slice_bounds(out, ["k"]), "pos", "start", "end") == [(1, 0.0, 33.4), (2, 33.4, 66.7), (3, 66.7, 100.0)]
-    assert rows(portfolio.split_budget(df, ["k"], "amount", 80.0), "k", "pos", "pct")[3:] == [("q", 1, 40.0), ("q", 2, 40.0)]
 
 
 def plain_spill(p, cap):
@@ -167,19 +224,52 @@ def test_substitutions(spark):
     edits = spark.createDataFrame([(1, 1, "Q", 50.0), (1, 2, "X", 50.0), (2, 1, None, 5.0)], "client_id long, pos int, fund string, pct double")
     new, bad = portfolio.edited(out, edits)
     assert rows(new.where("client_id = 1"), "fund", "role") == [("Q", "outlier"), ("X", "core")] and bad.count() == 1 and new.where("client_id = 2").count() == 4
-    base = portfolio.base_portfolio(spark.createDataFrame([(1, 7, 95.0, 9.0, 1), (1, 8, 5.0, 1.0, 2), (1, 9, 4.0, 1.0, 3)], "client_id long, fund_id long, composite double, alpha_n double, position int"), [("GOLD", 10.0), ("CASH", 10.0)])
-    assert rows(base, "pos", "fund", "pct") == [(1, "7", 76.0), (2, "8", 4.0), (3, "GOLD", 10.0), (4, "CASH", 10.0)]
-    capped = portfolio.base_portfolio(spark.createDataFrame([(1, 7, 95.0, 9.0, 1, 50.0), (1, 8, 5.0, 1.0, 2, 50.0)], "client_id long, fund_id long, composite double, alpha_n double, position int, cap double"), [("GOLD", 10.0), ("CASH", 10.0)])
-    assert rows(capped, "pos", "fund", "pct") == [(1, "7", 50.0), (2, "8", 30.0), (3, "GOLD", 10.0), (4, "CASH", 10.0)]
+
+
+SLEEVES = {"gold": "GOLD", "money_market": "CASH", "money_market_screened": "PURE"}
+
+
+def test_base_portfolio(spark):
+    """Against a plain version: budgets of the profile, the sleeve of the wish, structural funds are never cores, 100 in all."""
+    rng = random.Random(9)
+    clients = [(c, profile, wish, cap) for c, (profile, wish, cap) in enumerate((p, w, k) for p in config.TEMPLATES for w in (True, False, None) for k in (30.0, 50.0, 70.0))]
+    scored = [(c, f, rng.choice((0.0, float(rng.randrange(100)))), rng.random(), rng.random(), rng.random() < 0.3) for c, *_ in clients for f in range(rng.choice((1, 2, 7)))]
+    scored += [(99, 1, 5.0, 1.0, 1.0, True)]  # nothing but a structural fund: no portfolio
+    out = portfolio.base_portfolio(
+        spark.createDataFrame(scored, "client_id long, fund_id long, composite double, alpha_n double, efficiency_n double, structural boolean"),
+        spark.createDataFrame([*clients, (99, "Moderate", None, 50.0)], "client_id long, profile string, preference boolean, cap double"), SLEEVES,
+    )
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["client_id"], {})[r["pos"]] = (r["fund"], r["role"], r["pct"])
+    for c, profile, wish, cap in clients:
+        best = sorted((-s, -a, -e, f) for k, f, s, a, e, structural in scored if k == c and not structural)[:2]
+        if not best:
+            assert c not in got
+            continue
+        budget, gold, money = config.TEMPLATES[profile]
+        total = -sum(b[0] for b in best)
+        raw = [budget * -b[0] / total if total else budget / 2 for b in best] + [gold, money]
+        pct = [float(Decimal(x / sum(raw) * 100).quantize(Decimal("0.1"), ROUND_HALF_UP)) for x in raw]
+        pct[pct.index(max(pct))] += 100 - sum(pct)
+        capped, spill = plain_spill(pct[: len(best)], cap)
+        want = [round(x, 1) for x in (*capped, pct[-2] + spill, pct[-1])]
+        mine = [got[c][p] for p in sorted(got[c])]
+        assert [m[2] for m in mine] == pytest.approx(want, abs=0.051) and sum(m[2] for m in mine) == pytest.approx(100.0)
+        assert [m[0] for m in mine] == [*(str(b[3]) for b in best), "GOLD", "PURE" if wish else "CASH"]
+        assert [m[1] for m in mine] == ["core"] * len(best) + list(config.STRUCTURAL_ROLES)
 
 
 def test_portfolio_violations(spark):
     def codes(*held, ceiling=3):
         df = spark.createDataFrame([(1, f, r, p, 50.0, ceiling) for f, r, p in held], "portfolio_id long, fund string, role string, pct double, cap double, ceiling int")
-        facts = spark.createDataFrame([("A", 3), ("B", 4), ("C", None)], "fund string, risk_level int")
-        return {r["code"] for r in checks.portfolio_violations(df, facts, structural=("G", "M")).collect()}
+        facts = spark.createDataFrame([("A", 3), ("B", 4), ("C", None), ("G", 5), ("M", 1)], "fund string, risk_level int")
+        return {r["code"] for r in checks.portfolio_violations(df, facts).collect()}
 
-    good = (("A", "core", 40.0), ("C", "core", 40.0), ("G", "sleeve", 10.0), ("M", "sleeve", 10.0))
+    gold, money = config.STRUCTURAL_ROLES
+    good = (("A", "core", 40.0), ("C", "core", 40.0), ("G", gold, 10.0), ("M", money, 10.0))
+    assert codes(("A", "core", 50.04), *good[1:2], ("G", gold, 9.96), ("M", money, 0.0)) == {"concentration_cap"} and codes(("A", "core", 50.0), *good[1:2], ("G", gold, 5.0), ("M", money, 5.0)) == set()
+    assert codes(*good[:3], ("N", money, 10.0)) == {"universe"} and codes(*good[:3], ("M", "core", 10.0)) == {"structural"}
     assert codes(*good) == set()
     assert codes(("A", "core", 60.0), *good[1:]) == {"sum", "concentration_cap"}
     assert codes(*good[:3]) == {"sum", "count", "structural"}
@@ -222,7 +312,8 @@ def test_all_time_high(spark):
     got = {r["fund_id"]: r for r in nav.drawdown(nav.all_time_high(points(spark)), F.lit("2024-01-12").cast("date")).collect()}
     assert (got[1]["ath_nav"], str(got[1]["ath_date"]), got[1]["points"], got[1]["drawdown_pct"], got[1]["days_from_ath"]) == (9.0, "2024-01-02", 4, 0.0, 10)
     assert got[2]["ath_nav"] is None and got[2]["points"] == 1 and got[3]["drawdown_pct"] is None
-    assert rows(nav.upper_median(spark.createDataFrame([(x,) for x in (4.0, 1.0, 3.0, 2.0)], "v double"), "v")) == [(3.0,)]
+    assert rows(nav.upper_median(spark.createDataFrame([(x,) for x in (4.0, 1.0, 3.0, 2.0)], "v double").withColumn("k", F.lit(1)), "v", ["k"])) == [(1, 3.0)]
+    assert rows(nav.drawdown_summary(nav.drawdown(nav.all_time_high(points(spark)).limit(0), F.lit("2024-01-12").cast("date")))) == [(0, 0, 0, 0, 0, 0, None)]
 
 
 def test_incremental_is_full(spark):
@@ -261,21 +352,99 @@ def test_incremental_query_merges_new_points(spark):
     assert seen and seen[0].count() > 0
 
 
+def test_day_sets_count_each_day_once(spark):
+    """Histories cut anyhow, with deliveries that come again and in any order: the merge is that of the whole."""
+    rng = random.Random(3)
+    data = [(f, str(dt.date(1965, 1, 1) + dt.timedelta(rng.randrange(4000))), float(f)) for f in (1, 2) for _ in range(300)]
+    data = sorted(set(data))
+    deliveries = [rng.sample(data, 200) for _ in range(4)] + [data[:250], data[250:]]
+    days = nav.day_sets(points(spark, deliveries[0]))
+    state = nav.all_time_high(points(spark, deliveries[0]))
+    for d in deliveries[1:] + deliveries[:1]:
+        days, state = nav.merged_days(days, nav.day_sets(points(spark, d))), nav.merged(state, nav.all_time_high(points(spark, d)))
+    assert rows(nav.counted(state, days)) == rows(nav.all_time_high(points(spark, data)))
+
+
+def test_merge_takes_late_corrections(spark):
+    """An equal high on an earlier day, and a higher price of the last day, count whichever side they come from."""
+    a, b = [(1, "2024-01-05", 9.0), (1, "2024-01-09", 2.0)], [(1, "2024-01-03", 9.0), (1, "2024-01-09", 3.0)]
+    whole = nav.all_time_high(points(spark, a + b))
+    for x, y in ((a, b), (b, a)):
+        assert rows(nav.merged(nav.all_time_high(points(spark, x)), nav.all_time_high(points(spark, y)))) == rows(whole)
+
+
 def test_stream_keeps_the_same_state(spark, tmp_path):
-    for k, part in enumerate((POINTS[:2], POINTS[2:4] + POINTS[1:2], POINTS[4:])):
+    """Batches of which one repeats points of another, one comes long after, and one is merged twice; old versions go."""
+    late = POINTS[:3]
+    for k, part in enumerate((POINTS[:2], POINTS[2:4] + POINTS[1:2], POINTS[4:], late)):
         points(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
         for f in (tmp_path / "in" / f"p{k}").glob("part-*"):
             f.rename(tmp_path / f"in{k}.parquet")
-    folder = tmp_path / "landed"
+    folder, state = tmp_path / "landed", tmp_path / "state"
     folder.mkdir()
-    state = tmp_path / "state"
-    for k in range(3):
+    for k in range(4):
         (tmp_path / f"in{k}.parquet").rename(folder / f"in{k}.parquet")
-        query = stream.keep_state(stream.points_stream(spark, str(folder)), str(state), str(tmp_path / "checkpoint"))
+        query = stream.keep_state(stream.points_stream(spark, str(folder)), str(state), str(tmp_path / "checkpoint"), buckets=4)
         query.awaitTermination(120)
-    newest = max(int(p.name) for p in state.iterdir() if p.name.isdigit())
-    assert rows(tables.state_or_empty(spark, f"{state}/{newest}", nav.STATE)) == rows(nav.all_time_high(points(spark)))
-    assert tables.state_or_empty(spark, f"{state}/none", nav.STATE).count() == 0
+    highs = Versions(spark, f"{state}/highs")
+    assert highs.committed() == [2, 3] and rows(highs.read(nav.STATE)) == rows(nav.all_time_high(points(spark)))
+    # the checkpoint is lost and all comes again as one batch of a number that isn't known
+    again = stream.keep_state(stream.points_stream(spark, str(folder)), str(state), str(tmp_path / "other"), buckets=4)
+    again.awaitTermination(120)
+    assert rows(highs.read(nav.STATE)) == rows(nav.all_time_high(points(spark)))
+
+
+def test_versions_survive_a_crash(spark, tmp_path, monkeypatch):
+    """What dies between its files and its manifest leaves the last version; parts that aren't written are shared; vacuum removes what no version names."""
+    table = Versions(spark, str(tmp_path / "t"))
+    frame = lambda *x: spark.createDataFrame([(v,) for v in x], "v int")
+    assert table.committed() == [] and table.read("v int").count() == 0
+    assert table.write(1, {"a": frame(1), "b": frame(2)}) and table.write(2, {"b": frame(3)}) and not table.write(2, {"b": frame(9)})
+    assert rows(table.read("v int")) == [(1,), (3,)] and rows(table.read("v int", ["b"], before=2)) == [(2,)]
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.write(3, {"a": frame(7)})
+    assert table.committed() == [1, 2] and rows(table.read("v int")) == [(1,), (3,)]
+    table.write_buckets(4, spark.createDataFrame([(5, 0), (6, 1)], "v int, bucket int"), "bucket", [0, 1])
+    table.write_buckets(5, spark.createDataFrame([(8, 1)], "v int, bucket int"), "bucket", [1, 0])  # bucket 0 is empty now
+    assert rows(table.read("v int")) == [(1,), (3,), (8,)]
+    gone = table.vacuum(1)
+    assert table.committed() == [5] and rows(table.read("v int")) == [(1,), (3,), (8,)] and len(gone) == 3
+    with pytest.raises(Exception, match="exist"):
+        table._commit(5, {})  # another writer's version isn't replaced
+    old, new = spark.createDataFrame([(1, "x"), (2, "x")], "k int, s string"), spark.createDataFrame([(2, "y"), (3, "y")], "k int, s string")
+    assert rows(kept_on_failure(old, new, "k")) == [(1, "x"), (2, "y"), (3, "y")]
+
+
+def test_master_keeps_other_months(spark, tmp_path):
+    path = str(tmp_path / "m")
+    frame = lambda *x: spark.createDataFrame(x, "abbr string, x double, report_month string")
+    tables.write_master(frame(("a", 1.0, "2024-01"), ("b", 1.0, "2024-01")), path)
+    tables.write_master(frame(("a", 2.0, "2024-02")), path)
+    tables.write_master(frame(("a", 3.0, "2024-02")), path)
+    assert rows(spark.read.parquet(path), "abbr", "x", "report_month") == [("a", 1.0, "2024-01"), ("a", 3.0, "2024-02"), ("b", 1.0, "2024-01")]
+
+
+def test_variants(spark, tmp_path):
+    """Files that are broken or of another form, values of another type and unknown keys."""
+    folder = tmp_path / "s"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"base_dir": "b", "all_funds": [{"name": "F", "abbr": "A", "total_periods": 2, "odd": {"x": [1]}, "period_detail": {"1y": {"fund": 1.5}}}, {"abbr": "B", "total_periods": "many"}, null, 7, {"name": null}]}')
+    for name, text in (("b", '{"all_funds": ['), ("c", '{"all_funds": "none"}'), ("d", " "), ("e", "[]")):
+        (folder / f"{name}.json").write_text(text)
+    good, bad = variants.snapshot(spark, str(folder))
+    assert rows(good, "row_seq", "base_dir", "name", "abbr", "total_periods") == [(0, "b", "F", "A", 2), (4, "b", None, None, None)]
+    assert rows(good.where("row_seq = 0").select(F.map_keys("unknown"), F.variant_get(F.col("period_detail")["1y"], "$.fund", "double"))) == [(["odd"], 1.5)]
+    assert sorted((r["path"][-6:], r["row_seq"], r["reason"]) for r in bad.collect()) == [("a.json", 1, "total_periods isn't int"), ("a.json", 3, "no object"), ("b.json", None, "no JSON"), ("c.json", None, "no list at $.all_funds"), ("d.json", None, "no JSON"), ("e.json", None, "no list at $.all_funds")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.json").write_text('{"client_name": "n", "shariah": "perhaps"}')
+    (tmp_path / "p" / "y.json").write_text('{"client_name": "n", "shoe_size": 1}')
+    good, bad = variants.profiles(spark, str(tmp_path / "p"))
+    assert rows(good, "client_name", "shariah") == [("n", None)] and rows(bad, "reason") == [("shariah isn't boolean",)]
+    (tmp_path / "e.json").write_text('{"events": [{"date": "2024-01-01", "theme": "t", "claim": "c", "extra": 1}, {"date": "2024"}]}')
+    good, bad = variants.events(spark, str(tmp_path / "e.json"))
+    assert rows(good, "row_seq", "theme") == [(0, "t")] and rows(bad, "row_seq", "reason") == [(1, "theme is missing")]
 
 
 def test_exposures(spark):
@@ -342,6 +511,6 @@ def test_sources_round_trip(spark, tmp_path):
     master = spark.createDataFrame([("a", 1.0, "2024-01")], "abbr string, x double, report_month string")
     tables.write_master(master, str(tmp_path / "m"))
     tables.write_master(master, str(tmp_path / "mc"), csv=True)
-    tables.write_state(master, master.limit(0), str(tmp_path / "st"))
     assert rows(spark.read.parquet(str(tmp_path / "m")), "abbr", "report_month") == [("a", "2024-01")] and spark.read.csv(str(tmp_path / "mc"), header=True).count() == 1
-    assert spark.read.parquet(str(tmp_path / "st" / "errors")).count() == 0
+    assert tables.write_state(master, master.limit(0), str(tmp_path / "st"), 1, "abbr") and Versions(spark, str(tmp_path / "st")).read("abbr string", ["errors"]).count() == 0
+    assert tables.state_or_empty(spark, str(tmp_path / "none"), nav.STATE).count() == 0
