@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -62,9 +64,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     A lost executor then costs at most a new read. The schema is given, so that
     an empty table reads as well.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_work.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,21 +80,32 @@ def _delete(session: SparkSession, file: str) -> None:
     path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_written: list[str] = []
+#: Where cut() writes in this context (a thread, a task of asyncio): the work folder of what runs there, if it has one.
+_work: ContextVar[str | None] = ContextVar("work", default=None)
 
 
-def written() -> int:
-    """A mark for sweep(): how many tables cut() has written so far."""
-    return len(_written)
+@contextmanager
+def work_folder(session: SparkSession) -> Iterator[str]:
+    """What cut() writes within goes to a folder of its own, which is deleted at the end, and nothing else is. So what is to outlive it is written outside, before it ends: see finished()."""
+    path = f"{_work.get() or shared_folder(session)}/work-{uuid.uuid4().hex}"
+    token = _work.set(path)
+    try:
+        yield path
+    finally:
+        _work.reset(token)
+        _delete(session, path)
 
 
-def sweep(session: SparkSession, mark: int, *kept: DataFrame) -> None:
-    """Deletes what cut() has written since a mark but for the tables behind kept."""
-    stay = {f.rsplit("/", 1)[0].rstrip("/").rsplit("/", 1)[-1] for df in kept for f in df.inputFiles()}
-    for path in _written[mark:]:
-        if path.rsplit("/", 1)[-1] not in stay:
-            _delete(session, path)
-    _written[mark:] = [p for p in _written[mark:] if p.rsplit("/", 1)[-1] in stay]
+def finished(session: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of make() as a table, without what it has written on its way."""
+    outside = _work.get()
+    with work_folder(session):
+        df = make()
+        token = _work.set(outside)
+        try:
+            return cut(df, name)
+        finally:
+            _work.reset(token)
 
 
 def step(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
@@ -119,7 +131,7 @@ def held_out(doc_id: Column) -> Column:
 def keep_others(df: DataFrame, *own: str) -> list[str]:
     """The columns of df but for those that an operator adds under the same names."""
     taken = {name.lower() for name in own}
-    return [f"`{c}`" for c in df.columns if c.lower() not in taken]
+    return ["`{}`".format(c.replace("`", "``")) for c in df.columns if c.lower() not in taken]
 
 
 def block_pairs(rows: DataFrame, keys: list[str], most: int | Column, by: str) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from quayside.llm.common import cut, drop, held_out
 from quayside.llm.lattice import MARK, WIDEST, Remembered, Vocabulary, by_width, vocabulary
 
-#: At most so many training documents of each language, those whose hash is least, and so many languages, those with most documents.
-TRAIN_DOCS, LANGS = 1500, 200
+#: At most so many training documents of each language, those whose hash is least.
+TRAIN_DOCS = 1500
+#: Languages that are learned and scored at a time; there may be any number of such slices.
+SLICE = 200
 ROUNDS, SMOOTHING = 2, 0.05
 REMEMBERED = 200_000
 #: Probability of a character outside the vocabulary, in every language.
@@ -119,7 +121,7 @@ def usable(docs: DataFrame) -> DataFrame:
 def training_words(docs: DataFrame, max_docs: int) -> DataFrame:
     """lang, word, n: words of at most max_docs documents of each language, whole texts."""
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.select("lang", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= max_docs).select("lang", "doc_id")  # each task keeps max_docs ids of a language; they are max_docs times LANGS at most: broadcast
+    chosen = docs.select("lang", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= max_docs).select("lang", "doc_id")  # each task keeps max_docs ids of a language; they are max_docs times SLICE at most: broadcast
     sample = docs.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +136,20 @@ def training_words(docs: DataFrame, max_docs: int) -> DataFrame:
     return sample.mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pieces: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors and probabilities [piece or unknown, language].
+def priors(docs: DataFrame) -> dict[str, float]:
+    """Languages, in their order, and the logs of their shares of all documents that may be learned from."""
+    sizes = {r["lang"]: r["n"] for r in usable(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language, which the model has anyway
+    total = sum(sizes.values())
+    return {name: float(np.log(sizes[name] / total)) for name in sorted(sizes)}
+
+
+def train(docs: DataFrame, langs: list[str], max_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pieces: str | None = None) -> np.ndarray:
+    """Probabilities [piece or unknown, language] of some languages, SLICE at most.
 
-    Priors are the languages' shares of all documents that may be learned from. Expectation maximisation over the words of a bounded sample of each: a round is a
-    Spark job whose result, languages times pieces, is bounded by LANGS and the vocabulary.
+    Expectation maximisation over the words of a bounded sample of each language, which is learned by itself: a round is a
+    Spark job whose result, languages times pieces, is bounded by SLICE and the vocabulary.
     """
     seen = usable(docs.select("doc_id", "text", "lang"))
-    sizes = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
-    langs = sorted(sizes)
     words = cut(training_words(seen.where(F.col("lang").isin(langs)), max_docs), "language-words")
     vocab = vocabulary(pieces)
     shown = np.zeros(vocab.unknown + 1)
@@ -171,8 +178,7 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pie
         prob = smooth / smooth.sum(axis=0)
         prob[vocab.unknown] = UNKNOWN
     drop(words)
-    total = sum(sizes.values())
-    return langs, np.log(np.array([sizes[name] / total for name in langs])) if langs else np.zeros(0), prob
+    return prob
 
 
 def language_id(docs: DataFrame, max_docs: int = TRAIN_DOCS, pieces: str | None = None) -> DataFrame:
@@ -182,24 +188,33 @@ def language_id(docs: DataFrame, max_docs: int = TRAIN_DOCS, pieces: str | None
     letters, the log of the sum over all segmentations into pieces; score is the
     share of the best language, and of equal ones the first by name is taken. A text that is null
     or has no letter is 'und' with score 0, and so is every text if nothing could be
-    learned. Each row gives one row, whatever its doc_id, and rows that repeat give theirs again; long texts and words are scored whole.
+    learned. There may be any number of languages: SLICE of them are learned and scored at a time. Each row gives one row, whatever its doc_id, and rows that repeat give theirs again; long texts and words are scored whole.
     """
-    langs, prior, prob = train(docs, max_docs, pieces=pieces)
+    prior = priors(docs)
+    langs = list(prior)
+    slices = [langs[at : at + SLICE] for at in range(0, len(langs), SLICE)] or [[]]
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("total"))
+    for some in slices:  # each goes over the texts with what is best so far; of several the texts are read once
+        out = out.mapInArrow(_predictor(some, [prior[name] for name in some], train(docs, some, max_docs, pieces=pieces), pieces), out.schema)
+    score = F.coalesce(F.exp(F.col("top") - F.col("total")), F.lit(0.0))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"))
+
+
+def _predictor(langs: list[str], prior: list[float], prob: np.ndarray, pieces: str | None):
+    """Adds some languages to what is known of each text: its best language, the log of its probability there (top) and of the sum over all languages (total)."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vocab = Remembered(REMEMBERED), vocabulary(pieces)
         for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"]
-            names: list[str] = []
-            scores: list[float] = []
-            for part in _parts(texts):
-                for name, score in _scored([t.split() for t in part], known, vocab, prob, prior, langs):
-                    names.append(name)
-                    scores.append(score)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            rows: list[tuple[str | None, float | None, float | None]] = []
+            for part in _parts(batch["text"]):
+                rows += _scored([t.split() for t in part], known, vocab, prob, np.array(prior), langs)
+            for i, (name, top, total) in enumerate(zip(batch["lang_pred"].to_pylist(), batch["top"].to_pylist(), batch["total"].to_pylist(), strict=True)):
+                if name is not None and rows[i][0] is not None:
+                    rows[i] = (rows[i][0] if rows[i][1] > top else name, max(rows[i][1], top), float(np.logaddexp(rows[i][2], total)))  # of equals the first by name
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (1, 2))], names=["doc_id", "text", "lang_pred", "top", "total"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict
 
 
 def _parts(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str]]:
@@ -217,7 +232,7 @@ def _parts(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def _scored(texts: list[list[str]], known: Remembered, vocab: Vocabulary, prob: np.ndarray, prior: np.ndarray, langs: list[str]) -> list[tuple[str, float]]:
+def _scored(texts: list[list[str]], known: Remembered, vocab: Vocabulary, prob: np.ndarray, prior: np.ndarray, langs: list[str]) -> list[tuple[str | None, float | None, float | None]]:
     known.turn()
     new = known.missing(set().union(*texts))
     runs = {chunk: letters(chunk) for chunk in new}
@@ -229,12 +244,12 @@ def _scored(texts: list[list[str]], known: Remembered, vocab: Vocabulary, prob:
     for words in texts:
         total = np.fromiter(chain.from_iterable(map(get, words)), np.float64, (1 + len(langs)) * len(words)).reshape(-1, 1 + len(langs)).sum(axis=0) if words else np.zeros(1)
         if not langs or not total[0]:
-            out.append((UNDETERMINED, 0.0))
+            out.append((None, None, None))
             continue
         score = total[1:] + prior
         best = int(score.argmax())
-        out.append((langs[best], float(1 / np.exp(score - score[best]).sum())))
+        out.append((langs[best], float(score[best]), float(score[best] + np.log(np.exp(score - score[best]).sum()))))
     return out
 
 
-__all__ = ["forward", "language_id", "letters", "train"]
+__all__ = ["forward", "language_id", "letters", "priors", "train"]

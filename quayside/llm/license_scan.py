@@ -43,9 +43,6 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
 }
-#: Words of a passage, between the least and the most that can reach the coefficient, in so many steps besides the template's own number.
-STEPS = 4
-
 
 def _words(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
@@ -74,7 +71,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     words are even cut, and what has too few or too many bigrams for a template before
     they are compared. Ties give a row for each template. A text of one line is
     a whole text and a line, so both rows come. Null and empty texts give none;
-    repeated rows give their rows again. There is no shuffle: templates are part of the plan.
+    repeated rows give their rows again. Texts of any length are taken whole; with inside a text that could hold a notice costs a few passes for each of the template's bigrams. There is no shuffle: templates are part of the plan.
     SQL has the lines and whole texts only; passages are further rows, with the notices of FULL as templates too unless others are given.
     """
     short = TEMPLATES if templates is None else templates
@@ -107,10 +104,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
 
 
 def passages(rows: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """hits of rows (doc_id, lines, w, own, hits), and notices that go over lines or are part of one: runs of words that reach the coefficient with a template.
+    """hits of rows (doc_id, lines, w, own, hits), and notices that go over lines or are part of one: runs of words, of any length, that reach the coefficient with a template.
 
-    A run starts with two words of the template and has as many words as the template or one of
-    STEPS numbers that are possible. line is that of its first word. Of runs that overlap for one template the best
+    A run starts with two words of the template; of those from one start that reach the coefficient the best counts, of equals the shortest. A bigram that comes again within a run changes nothing, so
+    a run that starts with one is never better than the run after it: from a start runs are followed only as far as its bigram's next place, and starts of one bigram together go
+    once over the text, whatever its length. line is that of the first word. Of runs that overlap for one template the best
     stays (the first of equals). Runs within a line that has a row of its own, or that begin in one which is as near to
     the same template, or are in a text that has a row as a whole, are no passages.
     """
@@ -129,21 +127,29 @@ def passages(rows: DataFrame, templates: dict[str, str], least: float) -> DataFr
     rows = step(rows, ["doc_id", "lines", "w", "hits"], names=F.when(whole, F.array().cast("array<string>")).otherwise(F.filter(F.array(*(F.when(m, F.lit(k)) for k, m in maybe.items())), lambda x: x.isNotNull())))
     rows = step(rows, ["doc_id", "w", "hits", "names"], at=F.when(F.size("names") > 0, F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i + 1, F.size(x))))))
     rows = step(rows, ["doc_id", "w", "hits", "names", "at"], g=F.when(F.size("names") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))))
+    # for each place of a bigram the one before it and the next one that is the same
+    sorted_places = F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    rows = step(rows, ["doc_id", "w", "hits", "names", "at", "g"], z=sorted_places)
+    same = lambda e, j: F.get("z", j)["x"] == e["x"]
+    linked = F.transform("z", lambda e, j: F.struct(e["i"].alias("i"), F.when(same(e, j - 1), F.get("z", j - 1)["i"]).otherwise(-1).alias("before"), F.when(same(e, j + 1), F.get("z", j + 1)["i"]).otherwise(F.size("z")).alias("after")))
+    rows = step(rows, ["doc_id", "w", "hits", "names", "at", "g"], places=F.sort_array(linked))
     kind = "array<struct<s:int,n:int,dice:double>>"
 
     def runs(k: str) -> Column:
-        gs = grams[k]
-        lo, hi = bounds(len(gs), least)
-        long = len(_words(templates[k])) - 1  # bigrams, repeated ones included
-        sizes = sorted({long, *(max(1, round(lo + (hi * long / len(gs) - lo) * i / (STEPS - 1))) for i in range(STEPS))})
-        mine = F.array(*map(F.lit, gs))
-
-        def run(s: Column, n: int) -> Column:
-            part = F.array_distinct(F.slice("g", s + 1, n))
-            return F.when(s + n <= F.size("g"), F.struct(s.cast("int").alias("s"), F.lit(n).alias("n"), (F.lit(2.0) * F.size(F.array_intersect(part, mine)) / (F.size(part) + len(gs))).alias("dice")))
-
-        starts = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(mine, x), i)), lambda i: i.isNotNull())
-        good = F.flatten(F.transform(starts, lambda s: F.filter(F.array(*(run(s, n) for n in sizes)), lambda r: r["dice"] >= least)))
+        size = len(grams[k])
+        mine = F.array(*map(F.lit, grams[k]))
+        flagged = F.transform("places", lambda e: F.struct(e["i"].alias("i"), e["before"].alias("before"), e["after"].alias("after"), F.array_contains(mine, F.get("g", e["i"])).alias("hit")))
+
+        def longer(acc: Column, e: Column, s: Column) -> Column:
+            new = e["before"] < s
+            distinct, hits = acc["distinct"] + new.cast("int"), acc["hits"] + (new & e["hit"]).cast("int")
+            dice = F.lit(2.0) * hits / (distinct + size)
+            better = dice > acc["dice"]
+            return F.struct(distinct.alias("distinct"), hits.alias("hits"), (acc["n"] + 1).alias("n"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, acc["n"] + 1).otherwise(acc["best"]).alias("best"))
+
+        zero = F.struct(F.lit(0).alias("distinct"), F.lit(0).alias("hits"), F.lit(0).alias("n"), F.lit(0.0).alias("dice"), F.lit(0).alias("best"))
+        run = lambda all, e: F.aggregate(F.slice(all, e["i"] + 1, e["after"] - e["i"]), zero, lambda acc, x: longer(acc, x, e["i"]), lambda acc: F.struct(e["i"].alias("s"), acc["best"].alias("n"), acc["dice"].alias("dice")))
+        good = F.flatten(F.transform(F.array(flagged), lambda all: F.filter(F.transform(F.filter(all, lambda e: e["hit"]), lambda e: run(all, e)), lambda r: r["dice"] >= least)))
         return F.when(F.array_contains("names", k), good)
 
     made = {k: runs(k) for k, gs in grams.items() if gs}

@@ -24,6 +24,8 @@ from quayside.llm.common import cut, drop
 
 #: Routers at least and at most, one for so many vectors between; vectors of a page; pages of a slab; slabs of a query's first round; queries that a task has at a time.
 ROUTERS, MOST_ROUTERS, PER_ROUTER, PAGE, SLAB, FIRST, BLOCK = 96, 1024, 4096, 256, 16, 2, 4096
+#: Queries that are compared with all routers at a time.
+QUERIES = 1024
 TOP = 5
 SCALE = 256.0
 
@@ -183,7 +185,7 @@ def _searcher(most: float, width: int, want: int):
     return search
 
 
-def search_rounds(vectors: DataFrame, every: int = 50, top: int = TOP, routers: int | None = None) -> dict[str, DataFrame] | None:
+def search_rounds(vectors: DataFrame, every: int = 50, top: int = TOP, routers: int | None = None, block_size: int = BLOCK) -> dict[str, DataFrame] | None:
     """What top_products() is made of: rows (id, v), leaves, aims (query, slab, bound of all pairs in reach of the routers), first and second (pairs that were searched) and found; None if no vector is usable."""
     rows = cut(quantised(vectors), "vectors")
     size = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)).alias("most"), F.max(F.size("v")).alias("width")).first()
@@ -208,10 +210,13 @@ def search_rounds(vectors: DataFrame, every: int = 50, top: int = TOP, routers:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each query what its top can't be below, from the routers themselves, and the routers that can hold as much."""
-        for batch in batches:
+        own = {row.tobytes(): r for r, row in enumerate(centres)}
+        for batch in (whole.slice(at, QUERIES) for whole in batches for at in range(0, whole.num_rows, QUERIES)):
             q = _matrix(batch["v"].to_pandas(), width)
             products = _products(q, centres).astype(np.float64)
-            products[(q[:, None, :] == centres[None]).all(axis=2)] = -np.inf  # its own vector
+            for i, row in enumerate(q):
+                if (r := own.get(row.tobytes())) is not None:
+                    products[i, r] = -np.inf  # its own vector
             need = np.maximum(np.sort(products, axis=1)[:, -top] if len(centres) >= top else np.full(len(q), -np.inf), -(2.0**63))
             need -= np.abs(need) * 1e-15  # long to double may have rounded up
             i, r = np.nonzero(_bounds(q, pivots, radii, plain, most) >= need[:, None])
@@ -234,12 +239,12 @@ def search_rounds(vectors: DataFrame, every: int = 50, top: int = TOP, routers:
     n_asked = asked.count()
 
     def searched(pairs: DataFrame, name: str) -> DataFrame:
-        """A task has one slab and a block of the queries that reach it; the slab comes once for each block."""
-        blocks = max(1, -(-n_asked // BLOCK))
+        """A task has one slab and a block of the queries that reach it; the slab goes to the blocks that reach it, and a slab that none does goes nowhere."""
+        blocks = max(1, -(-n_asked // block_size))
         block = F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")
-        several = leaves.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        there = pairs.join(asked, "q").select("q", "v", "need", "router", "slab", block)
         keys = ["router", "slab", "block"]
+        several = leaves.join(pairs.select("router", "slab", block).distinct(), ["router", "slab"])
+        there = pairs.join(asked, "q").select("q", "v", "need", "router", "slab", block)
         return cut(several.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(_searcher(most, width, top + 1), FOUND), name)
 
     nth = F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound"), "router", "slab"))
@@ -254,7 +259,7 @@ def search_rounds(vectors: DataFrame, every: int = 50, top: int = TOP, routers:
     return {"rows": rows, "leaves": leaves, "nodes": nodes, "asked": asked, "aims": aims, "first": first, "second": second, "found": near.unionByName(searched(second, "far")), "name": name}
 
 
-def top_products(vectors: DataFrame, every: int = 50, top: int = TOP, routers: int | None = None) -> DataFrame:
+def top_products(vectors: DataFrame, every: int = 50, top: int = TOP, routers: int | None = None, block_size: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the top largest integer inner products of each query with all other vectors (vec_id, embedding).
 
     Queries are the rows whose vec_id is divisible by every. Ties go to the smaller vec_id. Vectors of
@@ -266,7 +271,7 @@ def top_products(vectors: DataFrame, every: int = 50, top: int = TOP, routers: i
     The routers are a bounded sample and, with a node for each, all that reaches the driver; every vector is indexed. The search is exact: what is passed
     over can't reach the score that as many others have.
     """
-    made = search_rounds(vectors, every, top, routers)
+    made = search_rounds(vectors, every, top, routers, block_size)
     if made is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows, found = made["rows"], made["found"]

@@ -19,10 +19,8 @@ RULES = {
 }
 #: Strata: texts of fewer words than each of these, and the rest. A ratio of a short text is rougher than one of a long text.
 BANDS = (100, 300, 1000)
-#: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with the confidence 1 - DELTA: half of DELTA is for all texts together, half for the strata.
+#: At most this share of the good texts of a stratum may be rejected by a rule, all cutoffs together with the confidence 1 - DELTA.
 ALPHA, DELTA = 0.02, 0.05
-#: Number of the stratum that holds all texts, where strata share evidence.
-POOL = -1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OWN = (*COUNTS, "n_capitals", "n_lines")
 
@@ -75,18 +73,29 @@ def stratum() -> Column:
     return out
 
 
-def level(pooled: bool, delta: float = DELTA) -> float:
-    """The error probability of one rule's sequence of tests: of all texts together, or of a stratum."""
-    return delta / 2 / len(RULES) / (1 if pooled else len(BANDS) + 1)
+def level(delta: float = DELTA) -> float:
+    """The error probability of one rule's sequence of tests in a stratum."""
+    return delta / len(RULES) / (len(BANDS) + 1)
 
 
-def least_labels(alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> int:
+def least_labels(alpha: float = ALPHA, delta: float = DELTA) -> int:
     """Good labelled texts below which no cutoff can be certified, even if none of them is rejected."""
-    return math.ceil(math.log(level(pooled, delta)) / math.log1p(-alpha))
+    return math.ceil(math.log(level(delta)) / math.log1p(-alpha))
+
+
+def merged_strata(sizes: list[Column], least: int) -> list[Column]:
+    """For the strata, by their numbers of good labels, the group of each: neighbours go together, from the shortest texts on, until they have least labels, and what is left at the end joins the last group. Null: no group has as many."""
+    closed, held, groups = F.lit(0), F.lit(0).cast("long"), []
+    for n in sizes:
+        groups.append(closed)
+        held = held + n
+        enough = held >= least
+        closed, held = closed + enough.cast("int"), F.when(enough, F.lit(0).cast("long")).otherwise(held)
+    return [F.when(closed > 0, F.least(g, closed - 1)) for g in groups]
 
 
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum, if any rule has a cutoff anywhere: stratum, and for each rule its cutoff (null: none).
+    """A row for each stratum that is tested: stratum, and for each rule its cutoff (null: none).
 
     counts: doc_id and OWN; labels: doc_id and quality. The good texts (quality 1) that
     pass the base rules are the holdout. For each stratum and rule the cutoffs of GRID,
@@ -98,34 +107,32 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     and it is the one by which bad labelled texts (quality 0) outnumber good ones most among the rejected, the mildest of equals, and none
     if they never do. Documents whose label is null or disagrees among repeated rows are not in the holdout.
 
-    All texts together are tested as one more stratum, and a stratum with fewer than least_labels() good texts has their cutoffs: the bound on these
-    is on all good texts, not on those of that
-    stratum. Whether a stratum has its own depends on its number of labels, fixed before any test.
+    Neighbouring strata with too few labels are one stratum: see merged_strata(). That depends on the number of labels alone, fixed before any test, so each stratum that is tested has the guarantee for its own texts.
+    With fewer than least_labels() good texts in all nothing is certified.
     """
     sure = labels.groupBy(F.col("doc_id").alias("sure_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi AND lo IN (0, 1)").select("sure_id", (F.col("lo") == 1).alias("good"))
     holdout = counts.where(~base_failed()).join(sure, counts.doc_id == F.col("sure_id"))
     # how many cutoffs reject it: those of at most its share; so a count by this number tells all cutoffs' rejections
     passed = lambda share: F.size(F.filter(F.array(*(F.lit(g) for g in GRID)), lambda g: share >= g))
     long = holdout.select(stratum().alias("own"), "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(F.expr(f)).alias("hit")) for r, f in RULES.items()))).alias("x"))
-    long = long.select(F.explode(F.array("own", F.lit(POOL))).alias("stratum"), "good", "x")
-    tally = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.hit").alias("hit")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    tally = long.groupBy("own", F.col("x.rule").alias("rule"), F.col("x.hit").alias("hit")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    # bounded from here on: strata times rules times cutoffs; every text has each rule, so one rule tells a stratum's size
+    one = tally.where(F.col("rule") == next(iter(RULES))).agg(*(F.coalesce(F.sum(F.when(F.col("own") == k, F.col("good"))), F.lit(0)).alias(f"n{k}") for k in range(len(BANDS) + 1)))
+    groups = merged_strata([F.col(f"n{k}") for k in range(len(BANDS) + 1)], least_labels(alpha, delta))
+    strata = one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("own"), g.alias("stratum")) for k, g in enumerate(groups))))).where(F.col("stratum").isNotNull())
+    tally = tally.join(F.broadcast(strata), "own").groupBy("stratum", "rule", "hit").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     by_rule = tally.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("hit", "good", "bad")).alias("hits"))
     # cutoff number step is the step-th mildest and rejects what has hit >= len - step + 1
     steps = by_rule.select("stratum", "rule", "n", "hits", F.explode(F.sequence(F.lit(1), F.lit(len(GRID)))).alias("step"))
     rejected = lambda what: F.aggregate(F.filter("hits", lambda h: h["hit"] > len(GRID) - F.col("step")), F.lit(0).cast("long"), lambda n, h: n + h[what])
     tested = steps.select("stratum", "rule", "n", "step", rejected("good").alias("k"), rejected("bad").alias("b"))
-    tested = tested.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), alpha) <= F.when(F.col("stratum") == POOL, level(True, delta)).otherwise(level(False, delta)))
+    tested = tested.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), alpha) <= level(delta))
     every = tested.groupBy("stratum", "rule").agg(F.max("n").alias("n"), F.collect_list(F.struct("step", "ok", "k", "b")).alias("all"))
     certified = F.filter("all", lambda x: ~F.exists("all", lambda y: (y["step"] <= x["step"]) & ~y["ok"]))
     best = F.array_max(F.transform(F.filter(certified, lambda x: x["b"] > x["k"]), lambda x: F.struct((x["b"] - x["k"]).alias("gain"), (-x["step"]).alias("step"))))
     chosen = every.select("stratum", "rule", "n", F.get(F.array(*(F.lit(g) for g in GRID)), -best["step"] - 1).alias("cutoff"))
-    cuts = chosen.groupBy("stratum").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    # at most a row for each stratum and the pool
-    each = cuts.agg(F.collect_list(F.struct(*cuts.columns)).alias("all")).select("all", F.explode(F.sequence(F.lit(0), F.lit(len(BANDS)))).alias("stratum"))
-    one = lambda k: F.get(F.filter("all", lambda c: c["stratum"] == k), 0)
-    each = each.select("stratum", one(F.col("stratum")).alias("own"), one(F.lit(POOL)).alias("pool"))
-    enough = F.coalesce(F.col("own.n") >= least_labels(alpha, delta), F.lit(False))
-    return each.select("stratum", *(F.when(enough, F.col(f"own.cut_{r}")).otherwise(F.col(f"pool.cut_{r}")).alias(f"cut_{r}") for r in RULES))
+    cuts = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    return strata.join(cuts, "stratum").select(F.col("own").alias("stratum"), *(f"cut_{r}" for r in RULES))
 
 
 def binomial_at_most(k: Column, n: Column, p: float) -> Column:
@@ -177,6 +184,10 @@ def sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
     """The same in DuckDB SQL."""
     grid = ", ".join(f"({i}, {g}::DOUBLE)" for i, g in enumerate(GRID, 1))
     shares = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {f.replace(' / ', ' / (1.0::DOUBLE * ')}) AS share FROM counts" for r, f in RULES.items())
+    # step by step from the first stratum on: labels held so far, and how many groups are full
+    merging = "m0 AS (SELECT *, 0::BIGINT AS held0, 0 AS closed0 FROM sizes),\n" + "\n".join(
+        f"m{k + 1} AS (SELECT *, CASE WHEN held{k} + n{k} >= {least_labels(alpha, delta)} THEN 0 ELSE held{k} + n{k} END AS held{k + 1}, closed{k} + (held{k} + n{k} >= {least_labels(alpha, delta)})::INT AS closed{k + 1} FROM m{k})," for k in range(len(BANDS) + 1)
+    )
     band = " ".join(f"WHEN n_words < {b} THEN {i}" for i, b in enumerate(BANDS))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -192,13 +203,16 @@ counts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 shares AS ({shares}),
 sure AS (SELECT doc_id, min(quality) = 1 AS good FROM labels GROUP BY 1 HAVING min(quality) = max(quality) AND min(quality) IN (0, 1)),
-held AS (SELECT s.*, good FROM (SELECT * FROM shares UNION ALL SELECT doc_id, {POOL}, rule, share FROM shares) s JOIN sure USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed)),
+labelled AS (SELECT s.*, good FROM shares s JOIN sure USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed)),
+sizes AS (SELECT {', '.join(f"count(*) FILTER (WHERE good AND stratum = {k} AND rule = '{next(iter(RULES))}') AS n{k}" for k in range(len(BANDS) + 1))} FROM labelled),
+{merging}
+groups AS (SELECT s AS own, least(g, closed - 1) AS stratum FROM (SELECT closed{len(BANDS) + 1} AS closed, unnest([{', '.join(f'closed{k}' for k in range(len(BANDS) + 1))}]) AS g, unnest(range(0, {len(BANDS) + 1})) AS s FROM m{len(BANDS) + 1}) WHERE closed > 0),
+held AS (SELECT g.stratum, l.rule, l.share, l.good FROM labelled l JOIN groups g ON l.stratum = g.own),
 grid(step, g) AS (VALUES {grid}),
 tested AS (SELECT stratum, rule, step, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND share >= g) AS k, count(*) FILTER (WHERE NOT good AND share >= g) AS b FROM held, grid GROUP BY 1, 2, 3),
-told AS (SELECT *, k <= n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) <= CASE WHEN stratum = {POOL} THEN {level(True, delta)!r} ELSE {level(False, delta)!r} END AS ok FROM tested),
+told AS (SELECT *, k <= n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) <= {level(delta)!r} AS ok FROM tested),
 bad AS (SELECT stratum, rule, coalesce(min(step) FILTER (WHERE NOT ok), {len(GRID) + 1}) AS bad FROM told GROUP BY 1, 2),
 picked AS (SELECT stratum, rule, arg_max(step, (b - k, -step)) AS step FROM told JOIN bad USING (stratum, rule) WHERE step < bad AND b > k GROUP BY 1, 2),
-enough AS (SELECT DISTINCT stratum FROM tested WHERE stratum <> {POOL} AND n >= {least_labels(alpha, delta)}),
-cuts AS (SELECT stratum, rule, g FROM picked JOIN grid USING (step) WHERE stratum IN (SELECT stratum FROM enough) UNION ALL SELECT s, rule, g FROM picked JOIN grid USING (step), range(0, {len(BANDS) + 1}) r(s) WHERE stratum = {POOL} AND s NOT IN (SELECT stratum FROM enough)),
+cuts AS (SELECT own AS stratum, rule, g FROM picked JOIN grid USING (step) JOIN groups USING (stratum)),
 out AS (SELECT DISTINCT doc_id FROM shares JOIN cuts USING (stratum, rule) WHERE share >= g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM base"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import language_id, license_scan, line_dedup, max_sketch, mtree, packing, pii, pivot_index, quality_classifier, quality_rules, sentencepiece, simhash, spelling
-from quayside.llm.common import ship, table
+from quayside.llm.common import finished, ship, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mtree.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return finished(spark, "op2", lambda: mtree.top_products(vectors))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,17 +62,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return finished(spark, "op11", lambda: pivot_index.near_vectors(vectors))
 
 
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return max_sketch.lexical_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return finished(spark, "op12", lambda: max_sketch.lexical_search(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return finished(spark, "op13", lambda: spelling.spelling_variants(docs))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_pii, op8_simhash, op9_line_dedup, op10_quality_classifier, op11_embedding_near_dedup, op12_ranked_search, op13_spelling_variants)}

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from quayside.llm import mtree, packing
-from quayside.llm.common import cut
+from quayside.llm.common import cut, finished, work_folder
 
 
 def brute(rows, every=50, top=5):
@@ -41,6 +41,35 @@ def test_top_products(spark, case):
     assert got == brute(rows)
 
 
+def test_top_products_of_long_vectors_in_blocks(spark, monkeypatch):
+    """768 dimensions, many queries in several blocks, and batches smaller than these; a slab goes only to blocks that reach it."""
+    monkeypatch.setattr(mtree, "QUERIES", 7)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=768)]) for i in range(120)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_products(df, every=4, routers=6, block_size=5).collect())
+    assert got == brute(rows, every=4)
+
+
+def test_work_folders_go_alone(spark):
+    """What is written within goes at the end; what stands beside it, or was written by another thread meanwhile, stays."""
+    import threading
+
+    outside, other = cut(spark.range(3)), []
+    with work_folder(spark):
+        inside = cut(spark.range(4))
+        t = threading.Thread(target=lambda: other.append(cut(spark.range(5))))
+        t.start()
+        t.join()
+        result = finished(spark, "r", lambda: cut(spark.range(6)).where("id > 0"))
+        assert result.count() == 5 and inside.count() == 4
+    assert outside.count() == 3 and other[0].count() == 5
+    kept = finished(spark, "r", lambda: cut(spark.range(6)).where("id > 0"))
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|NotFound"):
+        inside.count()
+
+
 def test_top_products_of_nothing(spark):
     assert mtree.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert mtree.top_products(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")).count() == 0
