@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import line_dedup, packing, pii, quality_rules, simhash
-from quayside.llm.common import cut, ship, sweep, table, written
+from quayside.llm.common import drop, finished, ship, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written and read again; what a stage has written on its way, and its predecessor's table, go once the stage is written."""
-    docs, mark = table(spark, sf_dir, "documents"), written()
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        sweep(spark, mark, docs)
+    """The stages in turn, each written and read again. A stage's work folder goes once its result is written, and so does its predecessor's result; nothing that others have written is touched."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        before = docs
+        docs = finished(spark, name.replace(" ", "-"), lambda stage=stage, before=before: stage(spark, before, sf_dir))
+        if k:
+            drop(before)
     return docs
