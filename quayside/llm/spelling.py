@@ -28,6 +28,8 @@ LETTERS = r"[A-Za-zÀ-ÿ]"
 SHORTEST, LEAST, EVERY, TIMES = 7, 2, 31, 10
 #: Words of a part, letters of a part, and distinct words that a task counts before it passes them on.
 PART, PART_LETTERS, HELD = 4096, 1 << 22, 1 << 17
+#: Lengths up to this have a count of their own when words are dealt to parts.
+LONGEST = 64
 
 
 def counted_runs(docs: DataFrame, every: int = EVERY) -> DataFrame:
@@ -136,10 +138,12 @@ def near_words(words: DataFrame) -> DataFrame:
     posts = sized.select("word", "n", "size", F.inline(both)).where(F.col("length") >= SHORTEST)
     first = (F.col("length") / 2).cast("int")
     half = F.when(F.col("side") == 0, F.substring("word", F.lit(1), first)).otherwise(F.substring("word", F.col("size") - (F.col("length") - first) + 1, F.col("length") - first))
-    # what a part can hold, by letters; parts for a length, by its words
+    # what a part can hold, by letters; parts for a length, by the words that are posted there. Lengths from LONGEST on share one count, so the counts are few and part of the plan
     most = F.greatest(F.lit(16), F.least(F.lit(PART), (F.lit(PART_LETTERS) / F.col("length")).cast("int")))
-    parts = posts.where("side = 0").groupBy("length").agg(F.greatest(F.lit(1), F.ceil(2 * F.count(F.lit(1)) / most)).cast("int").alias("parts"))
-    dealt = posts.join(parts, "length").select("word", "n", "size", "length", "side", F.pmod(F.xxhash64(half), F.col("parts")).cast("int").alias("part"))
+    counts = {r["size"]: r["count"] for r in sized.groupBy(F.least("size", F.lit(LONGEST)).alias("size")).count().collect()}
+    posted = F.lit([counts.get(c, 0) + counts.get(min(c + 1, LONGEST), 0) for c in range(LONGEST + 1)])
+    parts = F.greatest(F.lit(1), F.ceil(2 * F.get(posted, F.least("length", F.lit(LONGEST))) / most).cast("int"))
+    dealt = posts.select("word", "n", "size", "length", "side", F.pmod(F.xxhash64(half), parts).cast("int").alias("part"))
     blocks = block_pairs(dealt, ["length", "side", "part"], most, "word")
     found = by_group(blocks, ["length", "side", "part", "i", "j"], _grouped, {"word": pa.string(), "near": pa.int64(), "less": pa.int64(), "other": pa.string()})
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct("less", "other")).alias("best"))
