@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Parts that the range of a group's values is cut into.
-PARTS = 64
+PARTS, STRIDE = 64, 8
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -32,8 +32,11 @@ def value_ranks(rows: DataFrame, by: list[str], value: str, middle: bool = False
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = [i / parts for i in range(1, parts)]
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.percentile_approx(value, cuts, 1000).alias("_cuts"))
-    part = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{dict(rows.dtypes)[value]}>")), lambda c: c < F.col(value))))
-    marked = matched(counts, sizes, by).withColumn("_part", part).drop("_cuts")
+    # how many cuts are below a value: first of every STRIDE-th one, then of those between
+    sizes = sizes.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % STRIDE == STRIDE - 1))
+    lesser = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    marked = matched(counts, sizes, by).withColumn("_c", lesser("_coarse") * STRIDE)
+    marked = marked.withColumn("_part", F.when(F.col(value).isNull(), -1).otherwise(F.col("_c") + lesser(F.slice("_cuts", F.col("_c") + 1, STRIDE)))).drop("_cuts", "_coarse", "_c")
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each part of a group
     offsets = marked.groupBy(*by, "_part").agg(F.sum("n").alias("_n"), F.first("total").alias("_total")).withColumn("_before", before)
     if middle:
