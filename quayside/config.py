@@ -22,6 +22,7 @@ TEMPLATES = {
     "Moderately Aggressive": (67.5, 9.0, 11.0),
     "Aggressive": (73.0, 10.0, 10.0),
 }
+RENDER_TOLERANCE = 0.05
 STRUCTURAL_ROLES = ("structural:gold", "structural:money_market")
 MEASURES = ("alpha", "returnfit", "efficiency", "momentum")
 PERIODS = ("ytd", "1y", "3y", "5y", "10y")
@@ -46,10 +47,3 @@ SECTOR_BUCKETS = {
     "Diversified": "Other Sector",
 }
 NAMED_PLACES = ("USA", "Taiwan", "Korea", "Japan", "France", "Germany", "China", "Singapore", "Netherlands", "Indonesia", "Australia")
-# The labels that a fund may have.
-LABELS = {
-    "asset_class": ("Equity - Malaysia", "Equity - Foreign", "Bond / Fixed Income", "Bond / Sukuk", "Mixed Asset", "Balanced", "Money Market"),
-    "geography": ("Malaysia", "Greater China", "ASEAN", "Asia Pacific", "Asia", "Global", "United States", "India", "Indonesia", "Japan", "Australia", "Vietnam", "Singapore"),
-    "objective_class": ("Capital Growth", "Income", "Capital Growth + Income"),
-    "fund_type": ("Equity", "Fixed Income", "Mixed Asset / Balanced", "Money Market", "Fund of Funds"),
-}

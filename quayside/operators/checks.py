@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.config import STRUCTURAL_ROLES
+from quayside.config import RENDER_TOLERANCE, STRUCTURAL_ROLES
 from quayside.functions.scalars import half_up, number
 from quayside.operators.master import retail
 
@@ -149,6 +149,49 @@ def reconciled(state: DataFrame, rendered: DataFrame, key: str, columns: dict[st
     return all_of(*out)
 
 
+def unescaped(text: Column) -> Column:
+    """The characters that HTML writes as entities in numbers' labels; an ampersand last, so that nothing is unescaped twice."""
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(mark))
+    return text
+
+
+def card_facts(cards: DataFrame, patterns: Mapping[str, str], key: str = "doc_id") -> DataFrame:
+    """key, kind, name (the card's code) and shown: what the first group of each kind's pattern finds in a card; a kind that a card lacks gives no row."""
+    found = F.array(*(F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_extract("chunk", p, 1)).alias("shown")) for kind, p in patterns.items()))
+    return cards.select(key, F.col("code").alias("name"), F.inline(found)).where("shown <> ''").select(key, "kind", "name", "shown")
+
+
+def labelled_facts(docs: DataFrame, kind: str, pair: str, within: str | None = None, key: str = "doc_id", html: str = "html") -> DataFrame:
+    """key, kind, name and shown of every match of a pattern with two groups, a label and what it says; within is a pattern whose first group is the part of the document that counts."""
+    text = F.col(html) if within is None else F.regexp_extract(html, within, 1)
+    pairs = F.arrays_zip(*(F.regexp_extract_all("_text", F.lit(pair), F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "shown"))))
+    rows = docs.select(key, text.alias("_text")).select(key, F.explode(pairs).alias("p"))
+    return rows.select(key, F.lit(kind).alias("kind"), F.trim(unescaped(F.col("p.name"))).alias("name"), F.trim(F.col("p.shown")).alias("shown"))
+
+
+def fidelity_violations(facts: DataFrame, state: DataFrame, labels: Sequence[str] = (), tolerance: float = RENDER_TOLERANCE, tolerances: Mapping[str, float] | None = None, key: str = "doc_id") -> DataFrame:
+    """Facts (key, kind, name, shown) that differ from state (key, kind, name, value), each once: subject is key/name and code the kind.
+
+    Kinds in labels are compared as texts, all others as numbers that may differ by their kind's tolerance; what isn't a number where one is expected, and a fact that state doesn't
+    have, is passed over. Matching is by label, so two values that have changed places are caught though their sum is right.
+    """
+    met = facts.join(state, [key, "kind", "name"])
+    allowed = F.lit(tolerance)
+    for kind, t in (tolerances or {}).items():
+        allowed = F.when(F.col("kind") == kind, t).otherwise(allowed)
+    bare = lambda c: number(F.regexp_replace(F.col(c).cast("string"), "[%+,]", ""))
+    off = F.when(F.col("kind").isin(*labels), F.col("shown") != F.col("value")).otherwise(F.abs(bare("shown") - bare("value")) > allowed + 1e-9)
+    bad = met.where(F.coalesce(off, F.lit(False))).select(F.concat_ws("/", F.col(key).cast("string"), "name").alias("subject"), F.col("kind").alias("code"), F.concat_ws(" ", "shown", F.lit("is not"), "value").alias("message"))
+    return bad.distinct()
+
+
+def uncovered(state: DataFrame, cards: DataFrame, key: str = "doc_id", name: str = "name") -> DataFrame:
+    """Holdings of state (key, name) without a card (key, code): else a card that was dropped would pass all checks of what is found in cards."""
+    gone = state.select(key, name).join(cards.select(key, F.col("code").alias(name)), [key, name], "left_anti")
+    return violation(gone.select(F.concat_ws("/", F.col(key).cast("string"), name).alias("subject")), "subject", "coverage", F.lit("no card"))
+
+
 def both_or_neither(rows: DataFrame, key: str, a: Column, b: Column, code: str) -> DataFrame:
     """Rows where just one of two facts holds, as a warning and its reason."""
     return violation(rows.where(F.coalesce(a, F.lit(False)) != F.coalesce(b, F.lit(False))), key, code, F.lit(code))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayside.functions import scalars as S
 from quayside.operators import checks, extraction, nav
 from quayside.plans import standins as V
-from quayside.plans.catalog import AS_OF, QUERIES, SQL, query
+from quayside.plans.catalog import AS_OF, NORMAL, QUERIES, SQL, normalise_residual, query
 from quayside.plans.standins import scratch, table
 from quayside.sources import tables, variants
 from quayside.sources.versions import Versions
@@ -180,3 +180,43 @@ def newest_version(spark, sf_dir):
     first = F.col("o_orderkey") % 4 == 1
     rows = table(spark, sf_dir, "orders").where("o_orderkey % 4 < 3").select(F.when(first, 0).otherwise(1).alias("dir_prio"), F.concat(F.when(first, "/b").otherwise("/c"), F.when(F.col("o_orderkey") % 4 == 2, "/other").otherwise(name)).alias("path"))
     return tables.newest_version(rows)
+
+
+#: What a card and a proposal say, by patterns of their layout.
+CARD_FACTS = {"composite": r'class="score">([\d.]+)<', "allocation": r'class="alloc">([\d.]+)%<', "series": r"<b>Series:</b>\s*([A-Za-z]+)", "risk": r"<b>RL:</b>\s*([^<]+)<", "volatility": r"<b>VF:</b>\s*([^<]+)<"}
+
+
+@query(NORMAL + """, h AS (SELECT portfolio_id AS d, fund_id AS f, pct, risk_level, screened FROM normal JOIN fund_v USING (fund_id)), cards_v AS (SELECT * FROM h WHERE f % 31 <> 0),
+mix AS (SELECT d, round(100.0 * count(*) FILTER (WHERE screened) / count(*), 1) AS a FROM h GROUP BY 1)
+SELECT d || '/' || f AS subject, 'coverage' AS code FROM h WHERE f % 31 = 0 UNION ALL SELECT d || '/' || f, 'composite' FROM cards_v WHERE f % 11 = 0 UNION ALL SELECT d || '/' || f, 'allocation' FROM cards_v WHERE f % 13 = 0
+UNION ALL SELECT d || '/' || f, 'series' FROM cards_v WHERE f % 17 = 0 UNION ALL SELECT d || '/' || f, 'risk' FROM cards_v WHERE f % 19 = 0 UNION ALL SELECT d || '/' || f, 'volatility' FROM cards_v WHERE f % 3 <> 0 AND f % 23 = 0
+UNION ALL SELECT d || '/' || name, 'exposure' FROM mix, (VALUES ('Screened & Co'), ('Other')) l(name) WHERE d % 5 = 0 AND abs(a - (100 - a)) > 0.05 UNION ALL SELECT d || '/weighted_risk_level', 'aggregate' FROM mix WHERE d % 7 = 0""")
+def render_fidelity(spark, sf_dir):
+    """Orders as proposals with a card for each holding, an exposure legend and a weighted figure, some of them other than what they were made of: a card that is gone, numbers and labels that differ, two shares that have changed places."""
+    funds = V.funds(spark, sf_dir).select("fund_id", "risk_level", "screened", F.col("fund_id").cast("string").alias("name"))
+    held = normalise_residual(spark, sf_dir).join(funds, "fund_id").select(F.col("portfolio_id").alias("doc_id"), "fund_id", "name", "pct", "risk_level", "screened")
+    held = V.settled(held)
+    k = F.col("fund_id")
+    one = lambda c: F.format_string("%.1f", c.cast("double"))
+    series = lambda c: F.when(c, "Screened").otherwise("Conventional")
+    dash = F.when(k % 3 == 0, "—").otherwise(F.format_string("%.2f", F.col("risk_level") * 2.0 + F.when(k % 23 == 0, 0.06).otherwise(0.04)))
+    card = F.concat(
+        F.lit('<div class="card">Core · '), "name", F.lit(" — a fund\n"), F.lit('<span class="score">'), one(k % 90 + F.when(k % 11 == 0, 1).otherwise(0)), F.lit('</span><span class="alloc">'), one(F.col("pct") + F.when(k % 13 == 0, 0.1).otherwise(0.0)), F.lit("%</span>"),
+        F.lit("<b>Series:</b> "), series(F.col("screened") != (k % 17 == 0)), F.lit("<i></i><b>RL:</b> "), (F.col("risk_level") + F.when(k % 19 == 0, 1).otherwise(0)).cast("string"), F.lit("<i></i><b>VF:</b> "), dash, F.lit("<i></i>"),
+    )
+    mixed = S.half_up(100.0 * F.count_if("screened") / F.count(F.lit(1)), 1)
+    docs = held.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(k % 31 != 0, card))), "").alias("cards"), mixed.alias("a"), S.half_up(F.avg("risk_level"), 2).alias("risk"))  # an order's few lines
+    swap = F.col("doc_id") % 5 == 0
+    label = lambda name, pct: F.concat(F.lit(f'<span class="legend">{name}</span> <span class="pct">'), one(pct), F.lit("%</span>"))
+    first, second = F.when(swap, 100 - F.col("a")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(100 - F.col("a"))
+    legend = F.concat(F.lit('<div>Exposure</div>'), label("Screened &amp; Co", first), label("Other", second), F.lit("<section>"), label("Other", F.lit(1.0)))
+    slot = F.concat(F.lit('<b data-slot="weighted_risk_level">'), F.format_string("%.2f", F.col("risk") + F.when(F.col("doc_id") % 7 == 0, 0.1).otherwise(0.0)), F.lit("</b>"))
+    html = docs.select("doc_id", F.concat(slot, legend, "cards").alias("html"), "a", "risk")
+    html = V.settled(html)  # each kind of fact reads it
+    cards = checks.cards(html, '<div class="card">')
+    facts = reduce(DataFrame.unionByName, [checks.card_facts(cards, CARD_FACTS), checks.labelled_facts(html, "exposure", r'legend">([^<]*)</span>\s*<span class="pct">([^<]*)<', "(?s)Exposure</div>(.*?)<section>"), checks.labelled_facts(html, "aggregate", r'data-slot="([^"]*)"[^>]*>([^<]*)<')])
+    told = lambda rows, *facts: rows.select("doc_id", F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("string").alias("value")) for kind, name, value in facts))))
+    name = F.col("name")
+    state = told(held, ("composite", name, k % 90), ("allocation", name, F.col("pct")), ("series", name, series(F.col("screened"))), ("risk", name, F.col("risk_level")), ("volatility", name, F.col("risk_level") * 2.0))
+    state = state.unionByName(told(html, ("exposure", F.lit("Screened & Co"), F.col("a")), ("exposure", F.lit("Other"), 100 - F.col("a")), ("aggregate", F.lit("weighted_risk_level"), F.col("risk"))))
+    return checks.all_of(checks.fidelity_violations(facts, state, labels=("series",)), checks.uncovered(held, cards)).select("subject", "code")

@@ -447,6 +447,24 @@ def test_variants(spark, tmp_path):
     assert rows(good, "row_seq", "theme") == [(0, "t")] and rows(bad, "row_seq", "reason") == [(1, "theme is missing")]
 
 
+def test_render_fidelity(spark):
+    """Each kind of fact with a wrong value, values that can't be read, facts that state lacks, labels with entities that have changed places."""
+    page = (
+        '<b data-slot="cfs">70.20</b><b data-slot="cfs">70.9</b><b data-slot="other">1</b><div>Exposure</div><i>Cash &amp; Gold</i><u>40.0%</u><i>Rest</i><u>60.0%</u><i>New</i><u>5%</u><hr><i>Rest</i><u>9%</u>'
+        '<div class="card">Core · A — x\n<s>80.05</s><a>20.0%</a><em>Plain</em><q>—</q><div class="card">Core · B — x\n<s>80.06</s><a>+1,020.0%</a><em>Screened</em><q>3.5</q>'
+    )
+    docs = spark.createDataFrame([(1, page), (2, "nothing"), (3, None)], "doc_id int, html string")
+    cards = checks.cards(docs, '<div class="card">')
+    facts = checks.card_facts(cards, {"score": "<s>([^<]*)<", "share": "<a>([^<]*)<", "label": "<em>(\\w+)", "vol": "<q>([^<]*)<"})
+    facts = facts.unionByName(checks.labelled_facts(docs, "exposure", "<i>([^<]*)</i><u>([^<]*)<", "(?s)Exposure(.*?)<hr>")).unionByName(checks.labelled_facts(docs, "slot", 'data-slot="([^"]*)">([^<]*)<'))
+    state = [("score", "A", "80.0"), ("score", "B", "80.0"), ("share", "A", "20"), ("share", "B", "1020"), ("label", "A", "Plain"), ("label", "B", "Plain"), ("vol", "A", "2.0"), ("vol", "B", "3.4"), ("exposure", "Cash & Gold", "60"), ("exposure", "Rest", "40"), ("slot", "cfs", "70.2")]
+    state = spark.createDataFrame([(1, *x) for x in state], "doc_id int, kind string, name string, value string")
+    assert rows(checks.fidelity_violations(facts, state, labels=("label",)), "subject", "code") == [("1/B", "label"), ("1/B", "score"), ("1/B", "vol"), ("1/Cash & Gold", "exposure"), ("1/Rest", "exposure"), ("1/cfs", "slot")]
+    assert rows(checks.fidelity_violations(facts, state, labels=("label",), tolerances={"exposure": 30.0, "vol": 0.2}), "subject", "code") == [("1/B", "label"), ("1/B", "score"), ("1/cfs", "slot")]
+    held = spark.createDataFrame([(1, "A"), (1, "C"), (2, "A")], "doc_id int, name string")
+    assert rows(checks.uncovered(held, cards), "subject", "code") == [("1/C", "coverage"), ("2/A", "coverage")]
+
+
 def test_exposures(spark):
     held = spark.createDataFrame([(1, "A", "core", 60.0), (1, "B", "core", 40.0), (2, "A", "core", 90.0), (2, "B", "gold", 10.0), (3, "C", "core", 100.0)], "portfolio_id long, fund_id string, role string, weight double")
     funds = spark.createDataFrame([("A", 80.0, 10.0, 10.0), ("B", 50.0, 20.0, 30.0)], "fund_id string, dom double, fgn double, mm double")
