@@ -1,6 +1,7 @@
 """The operators that work within and across texts, against plain versions and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -647,3 +648,10 @@ def test_quality_classifier(spark, docs, empty):
     machine, x = quality_classifier.Machine(), quality_classifier.features("one two three two", Remembered(100)).astype(float)
     pairs = sum((machine.factors[i] @ machine.factors[j]) * x[i] * x[j] for i in np.flatnonzero(x) for j in np.flatnonzero(x) if i < j)
     assert machine.margin(x[None])[0] == pytest.approx(machine.bias + x @ machine.weights + pairs, abs=1e-6)
+    # the query's own scores against all pairs, one by one
+    machine, score = quality_classifier.train(df, labels), {r["doc_id"]: r["score"] for r in out}
+    for i in random.Random(3).sample(range(len(texts)), 25):
+        x = quality_classifier.features(texts[i], Remembered(100)).astype(float)
+        at = np.flatnonzero(x)
+        margin = machine.bias + sum(x[j] * machine.weights[j] for j in at) + sum((machine.factors[j].astype(float) @ machine.factors[k]) * x[j] * x[k] for n, j in enumerate(at) for k in at[n + 1 :])
+        assert score[i] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-4)
