@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quayside.config import NAMED_PLACES, PERIODS, SECTOR_BUCKETS
-from quayside.functions.scalars import clean_name, distribution, fund_type_or, half_up, number, split_list, truthy
+from quayside.functions.scalars import band_up_to, clean_name, distribution, fund_type_or, half_up, number, split_list, truthy
 from quayside.operators.measures import efficiency
 from quayside.operators.screening import bucket_pivot, rationale
 
@@ -64,12 +64,23 @@ def country_buckets(entries: DataFrame, key: str = "fund_id", place: str = "plac
     return wide.select(key, *(half_up(f"`{n}`", 1).alias(n) for n in named), half_up(F.when(F.col("_rest") > 0, F.col("_rest")), 1).alias(rest))
 
 
+def top_texts(entries: DataFrame, key: str, name: str, weight: str, label: str, top: int = 5) -> DataFrame:
+    """key, label: the names of a key's heaviest entries with their percents, 'Bank (12.5%) | Energy (3.0%)'; equal weights by name. A key's entries are what a report lists, so they are few."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(name).alias("n")))), 1, top)
+    return entries.groupBy(key).agg(F.array_join(F.transform(first, lambda e: F.concat(e["n"], F.lit(" ("), F.format_string("%.1f", half_up(-e["w"], 1)), F.lit("%)"))), " | ").alias(label))
+
+
+#: Columns of a fund that the master table shows as they are, after its figures.
+DETAILS = ("top_holdings", "top_sectors", "volatility", "volatility_class", "peer_group", "benchmark", "source_file")
+
+
 def wide_rows(funds: DataFrame, screened: DataFrame, alphas: DataFrame, assets: DataFrame | None = None, places: DataFrame | None = None, sectors: DataFrame | None = None, highs: DataFrame | None = None, key: str = "fund_id") -> DataFrame:
     """The master table, one row for each fund: details, screening, five periods of fund, benchmark and alpha, efficiency, shares by asset, place and sector, and highs.
 
-    funds: key, name, code, screened, category, asset_class, geography, objective, risk_level, policy, volatility; screened as screen() gives it; alphas as
-    period_alpha() does; the others hold one row for each key (bucket_pivot(), sector_buckets(), country_buckets(), with_highs()). Periods are columns
-    by name, so no job looks for them. All tables meet on the key: one partitioning serves every join.
+    funds: key, name, code, screened, category, asset_class, geography, objective, risk_level, policy, volatility, and as far as it has them the other DETAILS: lists of top holdings and sectors are
+    joined by bars, the class of volatility follows from the figure where it isn't given, what is missing is null; screened as screen() gives it; alphas as period_alpha() does; the others hold one row
+    for each key (bucket_pivot(), sector_buckets(), country_buckets(), with_highs()). Periods are columns by name, so no job looks for them. All tables meet on the key: one partitioning serves every join, and
+    tables that are stored in buckets of it (stored.co_partitioned()) need none.
     """
     of = lambda p, c: F.max(F.when(F.col("period") == p, F.col(c)))
     wide = alphas.groupBy(key).agg(*(of(p, c).alias(f"{p}_{name}") for p in PERIODS for c, name in (("fund_ret", "fund"), ("bench_ret", "bench"), ("alpha", "alpha"))))
@@ -80,7 +91,13 @@ def wide_rows(funds: DataFrame, screened: DataFrame, alphas: DataFrame, assets:
         "status": status, "periods": F.concat(F.coalesce("out_periods", F.lit(0)).cast("string"), F.lit("/"), F.coalesce("total_periods", F.lit(0)).cast("string")), "rationale": rationale(status, F.col("weighted_alpha"), {p: F.col(f"{p}_alpha") for p in PERIODS}),
         **{f"efficiency_{p}": half_up(efficiency(F.col(f"{p}_alpha"), F.col("volatility")), 2) for p in PERIODS},
     }
-    columns = [key, "name", "code", "series", "fund_type", "geography", "objective", "risk_level", "distribution", "status", "rate", "periods", "rationale", "weighted_alpha", *(f"{p}_{x}" for p in PERIODS for x in ("fund", "bench", "alpha")), *(f"efficiency_{p}" for p in PERIODS), "volatility"]
+    columns = [key, "name", "code", "series", "fund_type", "geography", "objective", "risk_level", "distribution", "status", "rate", "periods", "rationale", "weighted_alpha", *(f"{p}_{x}" for p in PERIODS for x in ("fund", "bench", "alpha")), *(f"efficiency_{p}" for p in PERIODS), *DETAILS]
+    types = {f.name: f.dataType.typeName() for f in funds.schema}
+    for c in DETAILS:
+        if types.get(c) == "array":
+            made[c] = F.array_join(F.coalesce(c, F.array().cast("array<string>")), " | ")
+        elif c not in types:
+            made[c] = band_up_to(F.col("volatility")) if c == "volatility_class" else F.lit(None).cast("string")
     out = out.select(*(made[c].alias(c) if c in made else F.col(c) for c in columns))
     for prefix, more in (("Asset", assets), ("Geo", places), ("Sector", sectors)):
         if more is not None:

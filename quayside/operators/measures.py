@@ -22,19 +22,34 @@ def period_alpha(returns: DataFrame) -> DataFrame:
     return returns.withColumn("alpha", alpha).withColumn("beat", F.col("fund_ret") > F.col("bench_ret"))
 
 
+def outperformed() -> list[Column]:
+    """Aggregates out_periods and known: periods beaten and periods known."""
+    return [F.count_if(F.col("beat")).alias("out_periods"), F.count("alpha").alias("known")]
+
+
+def beaten_rate(known: str = "total_periods") -> Column:
+    return F.when(F.col(known) > 0, half_up(F.col("out_periods") / F.col(known) * 100, 1)).otherwise(0.0)
+
+
 def outperformance(alphas: DataFrame, key: str = "fund_id") -> DataFrame:
     """For each fund: periods beaten, periods known, and their rate in percent (0 if none is known)."""
-    known = F.col("alpha").isNotNull()
-    out = alphas.groupBy(key).agg(F.count_if(F.col("beat")).alias("out_periods"), F.count_if(known).alias("total_periods"))
-    return out.withColumn("rate", F.when(F.col("total_periods") > 0, half_up(F.col("out_periods") / F.col("total_periods") * 100, 1)).otherwise(0.0))
+    out = alphas.groupBy(key).agg(*outperformed()).withColumnRenamed("known", "total_periods")
+    return out.withColumn("rate", beaten_rate())
+
+
+def alpha_sums(weights: Mapping[str, float] = SCREEN_WEIGHTS) -> list[Column]:
+    """Aggregates dot, weight and total_periods over the periods that are known and have a weight."""
+    w = F.when(F.col("alpha").isNotNull(), weight_of(F.col("period"), weights))
+    return [F.sum((w * F.col("alpha")).cast("decimal(28,6)")).alias("dot"), F.sum(w.cast("decimal(18,4)")).alias("weight"), F.count(w).alias("total_periods")]
+
+
+def weighted_score(least: int) -> Column:
+    return F.when(F.col("total_periods") >= least, half_up(F.col("dot").cast("double") / F.col("weight").cast("double"), 4))
 
 
 def weighted_alpha(alphas: DataFrame, weights: Mapping[str, float] = SCREEN_WEIGHTS, least: int = 2, key: str = "fund_id") -> DataFrame:
     """fund, weighted_alpha (4 digits, weights renormalised over known periods; null if fewer than least) and total_periods."""
-    w = F.when(F.col("alpha").isNotNull(), weight_of(F.col("period"), weights))
-    sums = alphas.groupBy(key).agg(F.sum((w * F.col("alpha")).cast("decimal(28,6)")).alias("dot"), F.sum(w.cast("decimal(18,4)")).alias("weight"), F.count(w).alias("total_periods"))
-    score = half_up(F.col("dot").cast("double") / F.col("weight").cast("double"), 4)
-    return sums.select(key, F.when(F.col("total_periods") >= least, score).alias("weighted_alpha"), "total_periods")
+    return alphas.groupBy(key).agg(*alpha_sums(weights)).select(key, weighted_score(least).alias("weighted_alpha"), "total_periods")
 
 
 def blend(periods: Mapping[str, Column], weights: Mapping[str, float] = SCORE_WEIGHTS) -> Column:

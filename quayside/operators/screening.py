@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from quayside.config import SCREEN_WEIGHTS
 from quayside.functions.scalars import half_up
-from quayside.operators.measures import outperformance, weighted_alpha
+from quayside.operators.measures import alpha_sums, beaten_rate, outperformed, weighted_score
 
 
 def qualified(score: Column, periods: Column, least: int = 2) -> Column:
@@ -24,11 +24,11 @@ def rationale(status: Column, score: Column, alphas: Mapping[str, Column]) -> Co
     return F.concat(status, F.lit(": "), shown, F.lit(" ("), F.when(F.size(marks) > 0, F.array_join(marks, ", ")).otherwise("N/A"), F.lit(")"))
 
 
-def screen(alphas: DataFrame, weights: Mapping[str, float] = SCREEN_WEIGHTS) -> DataFrame:
-    """fund_id, weighted_alpha, out_periods, total_periods, rate, qualified: one shuffle by fund, which both aggregates share."""
-    rated = outperformance(alphas).drop("total_periods")
-    out = weighted_alpha(alphas, weights).join(rated, "fund_id")
-    return out.withColumn("qualified", qualified(F.col("weighted_alpha"), F.col("total_periods")))
+def screen(alphas: DataFrame, weights: Mapping[str, float] = SCREEN_WEIGHTS, key: str = "fund_id") -> DataFrame:
+    """fund_id, weighted_alpha, total_periods, out_periods, rate, qualified: all of a fund's figures come from one aggregation."""
+    sums = alphas.groupBy(key).agg(*alpha_sums(weights), *outperformed())
+    score = weighted_score(2)
+    return sums.select(key, score.alias("weighted_alpha"), "total_periods", "out_periods", beaten_rate("known").alias("rate"), qualified(score, F.col("total_periods")).alias("qualified"))
 
 
 def bucket_pivot(entries: DataFrame, key: str, label: str, amount: str, buckets: Mapping[str, str], names: Sequence[str], rest: str = "Other") -> DataFrame:

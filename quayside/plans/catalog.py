@@ -14,7 +14,7 @@ from quayside.functions.ranks import matched
 from quayside.operators import checks, exposure, extraction, master, measures, nav, portfolio, scoring, screening, summaries
 from quayside.plans import standins as V
 from quayside.plans.standins import VIEWS, exact, table
-from quayside.sources import tables
+from quayside.sources import stored, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -554,10 +554,18 @@ sector_v AS (SELECT fund_id, round(sum(share::DECIMAL(18,4)) FILTER (WHERE bucke
 country_v AS (SELECT fund_id, round(max(share) FILTER (WHERE place = 'CHINA'), 1) AS china, round(max(share) FILTER (WHERE place = 'JAPAN'), 1) AS japan, round(nullif(sum(share::DECIMAL(18,4)) FILTER (WHERE place NOT IN ('CHINA', 'FRANCE', 'GERMANY', 'INDONESIA', 'JAPAN')), 0)::DOUBLE, 1) AS geo_other FROM geo_v GROUP BY 1),
 high_v AS (SELECT fund_id, max(nav) AS top, arg_max(nav, nav_date) AS last FROM nav_v GROUP BY 1)
 SELECT f.fund_id, CASE WHEN s.qualified THEN 'Qualified' ELSE 'Disqualified' END AS status, coalesce(out_periods, 0) || '/' || coalesce(s.total_periods, 0) AS periods, s.weighted_alpha, CASE WHEN f.screened THEN 'Shariah' ELSE 'Conventional' END AS series, alpha_3y, ret_5y, round(alpha_1y / (f.risk_level * 2.0::DOUBLE), 2) AS efficiency_1y,
-coalesce(energy, 0)::DOUBLE AS energy, coalesce(communications, 0)::DOUBLE AS communications, coalesce(other_sector, 0)::DOUBLE AS other_sector, china, japan, geo_other, CASE WHEN top > 0 THEN round((last - top) / top * 100, 2) END AS drawdown_pct
-FROM fund_v f LEFT JOIN screened_v s USING (fund_id) LEFT JOIN wide_v w USING (fund_id) LEFT JOIN sector_v USING (fund_id) LEFT JOIN country_v USING (fund_id) LEFT JOIN high_v USING (fund_id)""")
+coalesce(energy, 0)::DOUBLE AS energy, coalesce(communications, 0)::DOUBLE AS communications, coalesce(other_sector, 0)::DOUBLE AS other_sector, china, japan, geo_other, CASE WHEN top > 0 THEN round((last - top) / top * 100, 2) END AS drawdown_pct,
+p_type || ' | ' || p_brand AS top_holdings, top_sectors, f.risk_level * 2.0::DOUBLE AS volatility, CASE WHEN f.risk_level * 2 <= 4.245 THEN 'Very Low' WHEN f.risk_level * 2 <= 7.795 THEN 'Low' WHEN f.risk_level * 2 <= 10.235 THEN 'Moderate' ELSE 'High' END AS volatility_class, p_type AS peer_group, p_brand AS benchmark, '[MFR JAN24] ' || f.name || '.txt' AS source_file
+FROM fund_v f JOIN part ON p_partkey = f.fund_id LEFT JOIN (SELECT fund_id, string_agg(place || ' (' || printf('%.1f', round(share, 1)) || '%)', ' | ' ORDER BY share DESC, place) AS top_sectors FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY share DESC, place) AS n FROM geo_v) WHERE n <= 5 GROUP BY 1) t USING (fund_id)
+LEFT JOIN screened_v s USING (fund_id) LEFT JOIN wide_v w USING (fund_id) LEFT JOIN sector_v USING (fund_id) LEFT JOIN country_v USING (fund_id) LEFT JOIN high_v USING (fund_id)""")
 def wide_master(spark, sf_dir):
     """The master table of all funds; sales by nation stand for shares by place and, with the nations' numbers, by sector."""
+    return _wide_shown(master.wide_rows(**_wide_parts(spark, sf_dir)))
+
+
+def _wide_parts(spark, sf_dir):
+    """What wide_rows() puts together."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fund_id"), F.col("p_type").alias("peer_group"), F.col("p_brand").alias("benchmark"))
     funds = V.funds(spark, sf_dir).select("fund_id", "name", F.col("fund_id").cast("string").alias("code"), "screened", F.lit("").alias("category"), F.col("class").alias("asset_class"), F.lit("Global").alias("geography"), F.lit("Income").alias("objective"), "risk_level", F.lit("Annual").alias("policy"), (F.col("risk_level") * F.lit(2.0)).alias("volatility"))
     places = V.places(spark, sf_dir)
     keys = table(spark, sf_dir, "nation").select(F.col("n_name").alias("place"), F.col("n_nationkey").alias("p"))
@@ -565,9 +573,21 @@ def wide_master(spark, sf_dir):
     sectors = master.sector_buckets(places.join(keys, "place").select("fund_id", sector.alias("sector"), F.concat(F.col("share").cast("decimal(18,4)").cast("string"), F.lit("%")).alias("weight")))
     countries = master.country_buckets(places.withColumn("place", F.initcap("place")))
     highs = nav.drawdown(nav.all_time_high(V.prices(spark, sf_dir)), F.lit(AS_OF).cast("date"))
-    rows = master.wide_rows(funds, V.screened(spark, sf_dir), V.alphas(spark, sf_dir), places=countries, sectors=sectors, highs=highs)
+    source = F.concat(F.lit("[MFR JAN24] "), "name", F.lit(".txt")).alias("source_file")
+    funds = funds.join(part, "fund_id").join(master.top_texts(places, "fund_id", "place", "share", "top_sectors"), "fund_id", "left").select("*", F.array("peer_group", "benchmark").alias("top_holdings"), source)
+    return {"funds": funds, "screened": V.screened(spark, sf_dir), "alphas": V.alphas(spark, sf_dir), "places": countries, "sectors": sectors, "highs": highs}
+
+
+def _wide_shown(rows):
     zero = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0))
-    return rows.select("fund_id", "status", "periods", "weighted_alpha", "series", F.col("3y_alpha").alias("alpha_3y"), F.col("5y_fund").alias("ret_5y"), "efficiency_1y", zero("Sector: Energy").alias("energy"), zero("Sector: Communications").alias("communications"), zero("Sector: Other Sector").alias("other_sector"), F.col("`Geo: China`").alias("china"), F.col("`Geo: Japan`").alias("japan"), F.col("`Geo: Geo Other`").alias("geo_other"), "drawdown_pct")
+    figures = ["fund_id", "status", "periods", "weighted_alpha", "series", F.col("3y_alpha").alias("alpha_3y"), F.col("5y_fund").alias("ret_5y"), "efficiency_1y", zero("Sector: Energy").alias("energy"), zero("Sector: Communications").alias("communications"), zero("Sector: Other Sector").alias("other_sector"), F.col("`Geo: China`").alias("china"), F.col("`Geo: Japan`").alias("japan"), F.col("`Geo: Geo Other`").alias("geo_other"), "drawdown_pct"]
+    return rows.select(*figures, *master.DETAILS)
+
+
+@query(SQL["wide_master"])
+def wide_master_stored(spark, sf_dir):
+    """The master table from tables that are stored in buckets by fund: no join of it shuffles."""
+    return _wide_shown(master.wide_rows(**stored.co_partitioned(_wide_parts(spark, sf_dir), "fund_id", V.scratch(spark))))
 
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, coalesce(nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '')) AS heading, \"left\"(nullif(trim(regexp_extract(html, '<p[^>]*>([^<]*)</p>', 1)), ''), 300) AS objective FROM pages")

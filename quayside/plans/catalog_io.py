@@ -12,7 +12,7 @@ from quayside.operators import checks, extraction, nav
 from quayside.plans import standins as V
 from quayside.plans.catalog import AS_OF, NORMAL, QUERIES, SQL, normalise_residual, query
 from quayside.plans.standins import scratch, table
-from quayside.sources import tables, variants
+from quayside.sources import stored, tables, variants
 from quayside.sources.versions import Versions
 
 __all__ = ["QUERIES", "SQL"]
@@ -182,6 +182,21 @@ def newest_version(spark, sf_dir):
     return tables.newest_version(rows)
 
 
+@query(""" , r AS (SELECT 'M' || (o_custkey % 8) AS series, (year(o_orderdate) % 100 * 100 + quarter(o_orderdate) * 3 - 2)::INTEGER AS key, o_orderkey FROM orders)
+SELECT 'asked' AS kind, series, key, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM r WHERE series IN ('M3', 'M7') AND key BETWEEN 9504 AND 9601 GROUP BY ALL
+UNION ALL SELECT 'latest', series, key, count(*), sum(o_orderkey)::BIGINT FROM r WHERE (series, key) IN (SELECT (series, max(key)) FROM r GROUP BY series) GROUP BY ALL""".replace(" , r AS", ", r AS", 1))
+def report_files(spark, sf_dir):
+    """Orders as lines of quarterly reports of their customers' groups, a file for each: what two series say of a year, and what the newest report of each says."""
+    root = scratch(spark)
+    name = F.concat(F.lit("MFR "), F.date_format(F.date_trunc("quarter", "o_orderdate"), "MMMyy"), F.lit(" M"), F.col("o_custkey") % 8)
+    orders = table(spark, sf_dir, "orders").select(name.alias("report"), F.col("o_orderkey").cast("string").alias("value"))
+    orders.repartition("report").write.partitionBy("report").text(root)
+    names = r"/report=MFR ([A-Za-z]{3})(\d{2}) ([^/]+)/[^/]+\.txt$"
+    asked = stored.reports(spark, root, ["M3", "M7"], since=9504, until=9601, pattern=names)
+    total = lambda kind, rows: rows.groupBy(F.lit(kind).alias("kind"), "series", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("line").cast("long")).alias("total"))
+    return total("asked", asked).unionByName(total("latest", stored.latest_reports(spark, root, pattern=names)))
+
+
 #: What a card and a proposal say, by patterns of their layout.
 CARD_FACTS = {"composite": r'class="score">([\d.]+)<', "allocation": r'class="alloc">([\d.]+)%<', "series": r"<b>Series:</b>\s*([A-Za-z]+)", "risk": r"<b>RL:</b>\s*([^<]+)<", "volatility": r"<b>VF:</b>\s*([^<]+)<"}
 

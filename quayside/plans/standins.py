@@ -40,7 +40,7 @@ def settled(rows: DataFrame) -> DataFrame:
 
 def mean(c: Column, digits: int = 6) -> Column:
     """A mean that doesn't depend on the order of rows: summed as decimals."""
-    return half_up(F.sum(c.cast("decimal(28,6)")).cast("double") / F.count(c), digits)
+    return half_up(F.sum(c.cast("decimal(28,6)")).cast("double") / F.nullif(F.count(c), F.lit(0)), digits)
 
 
 def funds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,29 +48,42 @@ def funds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("fund_id"), F.col("p_name").alias("name"), F.col("p_type").alias("class"), (F.col("p_size") % 5 + 1).alias("risk_level"), (F.expr("CAST(substring(p_brand, 7) AS INT)") % 2 == 0).alias("screened"))
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each fund with sales in those years: ret_<period>, null where there are none. Sales are shuffled once, as sums of tasks by fund."""
     year = F.year("l_shipdate")
-    period = F.lit(None).cast("string")
-    for y, p in YEARS.items():
-        period = F.when(year == y, p).otherwise(period)
-    rows = table(spark, sf_dir, "lineitem").where(year.between(1997, 2001)).select(F.col("l_partkey").alias("fund_id"), period.alias("period"), "l_discount")
-    return rows.groupBy("fund_id", "period").agg((mean(F.col("l_discount")) * 100).alias("fund_ret"))
+    line = table(spark, sf_dir, "lineitem").where(year.between(min(YEARS), max(YEARS))).select(F.col("l_partkey").alias("fund_id"), year.alias("y"), "l_discount")
+    return line.groupBy("fund_id").agg(*((mean(F.when(F.col("y") == y, F.col("l_discount"))) * 100).alias(f"ret_{p}") for y, p in YEARS.items()))
 
 
-def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns against the mean of their class: fund_id, class, period, fund_ret, bench_ret, alpha, beat.
+def _long(rows: DataFrame, keep: list[str], values: dict[str, str]) -> DataFrame:
+    """A row for each period of a wide row that has a return; partitioning by fund stays as it was."""
+    periods = F.array(*(F.struct(F.lit(p).alias("period"), *(F.col(f"{prefix}_{p}").alias(c) for c, prefix in values.items())) for p in YEARS.values()))
+    return rows.select(*keep, F.inline(F.filter(periods, lambda e: e[next(iter(values))].isNotNull())))
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_yearly(spark, sf_dir), ["fund_id"], {"fund_ret": "ret"})
 
-    The means are a few rows, summed where the returns lie and joined back; no class is gathered in one task.
+
+def _with_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fund_id, class, ret_<period> and bench_<period>, the mean of the fund's class.
+
+    The means are a few rows, summed where the returns lie and joined back; no class is gathered in one task. Both sides read the same sums by fund, so their shuffle is used twice.
     """
-    rows = returns(spark, sf_dir).join(funds(spark, sf_dir).select("fund_id", "class"), "fund_id")
-    bench = rows.groupBy("class", "period").agg(half_up(F.sum(F.col("fund_ret").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 6).alias("bench_ret"))
-    return period_alpha(rows.join(bench, ["class", "period"]).select(*rows.columns, "bench_ret"))
+    rows = _yearly(spark, sf_dir).join(funds(spark, sf_dir).select("fund_id", "class"), "fund_id")
+    of = lambda p: half_up(F.sum(F.col(f"ret_{p}").cast("decimal(18,6)")).cast("double") / F.nullif(F.count(f"ret_{p}"), F.lit(0)), 6)
+    return rows.join(rows.groupBy("class").agg(*(of(p).alias(f"bench_{p}") for p in YEARS.values())), "class")
+
+
+def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns against the mean of their class: fund_id, class, period, fund_ret, bench_ret, alpha, beat."""
+    return period_alpha(_long(_with_bench(spark, sf_dir), ["fund_id", "class"], {"fund_ret": "ret", "bench_ret": "bench"}))
 
 
 def wide_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fund_id, class, ret_<period> and alpha_<period>."""
-    rows = alphas(spark, sf_dir)
-    return rows.groupBy("fund_id", "class").agg(*(F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{n}_{p}") for p in PERIODS for c, n in (("fund_ret", "ret"), ("alpha", "alpha"))))
+    rows = _with_bench(spark, sf_dir)
+    return rows.select("fund_id", "class", *(F.col(f"ret_{p}") for p in PERIODS), *(half_up(F.col(f"ret_{p}") - F.col(f"bench_{p}"), 2).alias(f"alpha_{p}") for p in PERIODS))
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
