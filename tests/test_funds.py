@@ -143,6 +143,22 @@ def test_value_ranks_and_medians(spark):
         assert {(r["a"], r["b"]): r["median"] for r in ranks.medians(df, ["a", "b"], "v", upper=upper).collect()} == exact
 
 
+def test_value_ranks_dont_depend_on_order(spark):
+    """A plan reads the counts more than once, on a cluster in another order each time; here rows come in a new order whenever they are read."""
+
+    def mixed(parts):
+        for part in parts:
+            yield part.sample(frac=1)
+
+    rows = spark.range(160000).select(F.col("id").cast("double").alias("v"), F.lit("x").alias("g"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ranks.value_ranks(rows.mapInPandas(mixed, rows.schema), ["g"], "v").where("n = 1 AND total = 160000 AND below = v").count()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == 160000
+
+
 def test_class_percentiles_spread_a_large_class(spark):
     """A class with nine tenths of all rows is dealt over tasks: no window is over a class, and its values are ranked in parts."""
     rng = random.Random(7)
