@@ -20,8 +20,11 @@ def boxes_to_lines(boxes: DataFrame, width: float, from_share: float = 0.52, gri
 
 
 def section(lines: DataFrame, key: str, start: str, stop: Sequence[str], pos: str = "pos", text: str = "line") -> DataFrame:
-    """The lines after the first that matches start, up to the next one that matches a stop; without a stop, to the end."""
-    w = W.partitionBy(key)
+    """The lines after the first that matches start, up to the next one that matches a stop; without a stop, to the end.
+
+    Windows are in the order of pos, as first_lines() has it, so both read one sort.
+    """
+    w = W.partitionBy(key).orderBy(pos).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     opened = lines.withColumn("_s", F.min(F.when(F.col(text).rlike(start), F.col(pos))).over(w))
     closed = opened.withColumn("_e", F.min(F.when((F.col(pos) > F.col("_s")) & F.col(text).rlike("|".join(stop)), F.col(pos))).over(w))
     return closed.where((F.col(pos) > F.col("_s")) & (F.col("_e").isNull() | (F.col(pos) < F.col("_e")))).drop("_s", "_e")
