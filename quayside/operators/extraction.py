@@ -112,13 +112,14 @@ def allocation(lines: DataFrame, key: str, pos: str = "pos", text: str = "line",
     return named.groupBy(key, "label").agg(F.max_by("pct", "_row").alias("pct"))
 
 
-def allocation_from_boxes(boxes: DataFrame, right: float = 310.0, reach: float = 120.0, grid: float = 4.0) -> DataFrame:
+def allocation_from_boxes(boxes: DataFrame, right: float = 310.0, reach: float = 120.0, grid: float = 4.0, tasks: int | None = None) -> DataFrame:
     """doc, page, label and pct of the table between its heading and its total on each page of word boxes (doc, page, x0, top, text).
 
     The heading is the first 'Asset' that has 'Allocation' beside it, the end the first 'Total' below with '100.0%' beside it, else reach below
     the heading; words left of right stand on lines of a grid (half to even), which allocation() reads. Words beside each other differ by less than 5 in top. Pages
-    meet their anchors by windows over the page; a page without a heading gives nothing.
+    meet their anchors by windows over the page; a page without a heading gives nothing. Boxes move to their page once: to so many tasks, where shuffle partitions are too few for them.
     """
+    boxes = boxes.repartition(tasks, "doc", "page") if tasks else boxes
     page = W.partitionBy("doc", "page")
     beside = page.orderBy("top").rangeBetween(-5, 5)
     near = lambda test: F.max(F.when(test, F.col("top")).otherwise(None)).over(beside).isNotNull()
