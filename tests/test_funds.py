@@ -463,6 +463,22 @@ def test_variants(spark, tmp_path):
     assert rows(good, "row_seq", "theme") == [(0, "t")] and rows(bad, "row_seq", "reason") == [(1, "theme is missing")]
 
 
+def test_profiles_of_a_list(spark, tmp_path):
+    """A file may hold many clients, good and bad ones; what is neither a profile nor a list of them is a reject."""
+    for name, text in (("x", '[{"client_name": "a"}, null, {"client_name": "b", "shariah": "perhaps"}, {"client_name": "c", "shariah": true}, 7]'), ("y", '{"client_name": "d"}'), ("z", "[]"), ("n", "null")):
+        (tmp_path / f"{name}.json").write_text(text)
+    good, bad = variants.profiles(spark, str(tmp_path))
+    assert rows(good, "client_name", "shariah") == [("a", None), ("c", True), ("d", None)]
+    assert sorted((r["path"][-6:], r["reason"]) for r in bad.collect()) == [("n.json", "no object"), ("x.json", "no object"), ("x.json", "shariah isn't boolean"), ("z.json", "no object")]
+
+
+def test_a_month_of_the_master_is_one_file(spark, tmp_path):
+    """Not one of every task that has rows of it."""
+    months = spark.range(0, 400, 1, 8).select("id", F.format_string("2024-%02d", F.col("id") % 12 + 1).alias("report_month"))
+    tables.write_master(months, str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").rglob("*.parquet"))) == 12 and spark.read.parquet(str(tmp_path / "m")).count() == 400
+
+
 def test_render_fidelity(spark):
     """Each kind of fact with a wrong value, values that can't be read, facts that state lacks, labels with entities that have changed places."""
     page = (
