@@ -104,6 +104,24 @@ def test_percentiles_and_scores(spark):
     assert {r["fund_id"]: r["position"] for r in scoring.ranked(near).collect()} == {1: 1, 2: 2, 3: 3}
 
 
+def test_compared_ranking_is_pythons_sort(spark):
+    """Near composites whose order isn't transitive, in batches that end within a client, rows in any order; against sorted() of whole rows."""
+    import functools
+
+    rng = random.Random(3)
+    funds = [(c, f, round(rng.uniform(40, 60), 2), rng.randrange(8) / 1.0, rng.randrange(3) / 1.0) for c in (1, 2, 3) for f in range(700 * c)]
+
+    def compare(a, b):
+        return b[2] - a[2] if abs(a[2] - b[2]) > 2 else b[3] - a[3] or b[4] - a[4]
+
+    want = [(*r, i) for c in (1, 2, 3) for i, r in enumerate(sorted((r for r in funds if r[0] == c), key=functools.cmp_to_key(compare)), 1)]
+    rng.shuffle(funds)
+    df = spark.createDataFrame(funds, "client_id long, fund_id long, composite double, alpha_n double, efficiency_n double").repartition(3)
+    assert rows(scoring.ranked_banded(df, batch=512)) == sorted(want, key=str)
+    empty = scoring.ranked_banded(df.where("client_id = 2 AND fund_id < 1").unionByName(df.limit(0)))
+    assert empty.select("fund_id", "position").collect() == [(0, 1)]
+
+
 def test_overlaps(spark):
     baskets = spark.createDataFrame([("A", x) for x in "12345"] + [("B", x) for x in "34567"] + [("B", "3")] + [("C", x) for x in "89"], "fund_id string, item string")
     pairs = portfolio.overlaps(baskets)
