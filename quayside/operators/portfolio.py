@@ -24,7 +24,7 @@ def subsets(items: Column, k: int) -> Column:
     return F.transform(chosen, lambda c: F.transform(c, lambda i: F.get(items, i)))
 
 
-def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", within: list[str] | None = None, least: int = 3, largest: int | None = None) -> DataFrame:
+def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", within: list[str] | None = None, least: int = 3, largest: int | None = None, counted: bool = False) -> DataFrame:
     """Pairs (a < b) of one group that share least distinct items or more, and how many; never all pairs. Null items are no items.
 
     Where baskets are known to be small (largest: a fund's top holdings), they meet on subsets of least items: a joined row is a result but for pairs that meet in several subsets,
@@ -32,8 +32,12 @@ def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", withi
 
     Baskets of any size (largest is None) meet on single items of a prefix. Items of a group are numbered from the rarest on; two baskets that share least items
     share their first common one within all but the last least - 1 of each, and are kept there alone. The places of that item in both say how many more they can share at most, which is asked before anything is compared.
+
+    Where no item is held by very many (counted), pairs are counted instead: see counted_overlaps(). The pairs are the same.
     """
     by = within or []
+    if counted:
+        return counted_overlaps(baskets.where(F.col(item).isNotNull()), key, item, by, least)
     packed = baskets.where(F.col(item).isNotNull()).groupBy(*by, key).agg(F.sort_array(F.collect_set(item)).alias("items")).where(F.size("items") >= least)
     if largest is not None:
         fits = F.when(F.size("items") <= largest, F.col("items")).otherwise(F.raise_error(F.lit(f"a basket has over {largest} items")))
@@ -55,6 +59,23 @@ def overlaps(baskets: DataFrame, key: str = "fund_id", item: str = "item", withi
     return met.where((F.size("both") >= least) & (F.get("both", 0) == F.col("some"))).select(*by, "a", "b", F.size("both").cast("long").alias("shared"))
 
 
+def counted_overlaps(baskets: DataFrame, key: str, item: str, by: list[str], least: int) -> DataFrame:
+    """overlaps() by counting: each holder of an item is sent the list of the later ones, so a pair is one number for each item it shares, and no basket is sent along or compared.
+
+    A holder's lists in one order have those it shares least items with in runs of that length. An item of n holders costs n * n / 2 numbers: not for items that very many hold.
+    """
+    holders = baskets.groupBy(*by, item).agg(F.sort_array(F.collect_set(key)).alias("h")).where(F.size("h") > 1)
+    later = holders.select(*by, "h", F.posexplode("h").alias("at", "a")).where(F.col("at") + 1 < F.size("h"))
+    lists = later.select(*by, "a", F.slice("h", F.col("at") + 2, F.size("h")).alias("b")).groupBy(*by, "a").agg(F.flatten(F.collect_list("b")).alias("b")).where(F.size("b") >= least)
+    met = computed(lists, b=F.sort_array("b"))
+    other = lambda i: F.get("b", i)
+    start = F.transform("b", lambda x, i: F.when((other(i + (least - 1)) == x) & ~other(i - 1).eqNullSafe(x), i))
+    end = F.transform("b", lambda x, i: F.when((other(i - (least - 1)) == x) & ~other(i + 1).eqNullSafe(x), i))
+    runs = F.arrays_zip(F.array_compact(start).alias("start"), F.array_compact(end).alias("end"))
+    found = met.select(*by, "a", "b", F.inline(runs))
+    return found.select(*by, "a", other(F.col("start")).alias("b"), (F.col("end") - F.col("start") + 1).cast("long").alias("shared"))
+
+
 def without_overlaps(picks: DataFrame, pairs: DataFrame, key: str = "fund_id", within: list[str] | None = None) -> DataFrame:
     """picks (key, alpha_n, pos) without those that overlap a better one: higher alpha_n, or the same and an earlier pos. One that goes still knocks out others, so one anti join does it."""
     by = within or []

@@ -142,6 +142,17 @@ def test_overlaps_of_large_baskets(spark):
         assert rows(portfolio.overlaps(df, within=["g"], least=least)) == want
 
 
+def test_overlaps_counted(spark):
+    """Counting gives the pairs that comparing gives: groups, repeated and null items, null holders, texts as keys."""
+    rng = random.Random(6)
+    held = {(g, f"k{k}"): {rng.randrange(60) for _ in range(rng.choice((1, 3, 12, 30)))} for g in "xy" for k in range(40)}
+    df = spark.createDataFrame([(g, k, i) for (g, k), items in held.items() for i in items for _ in range(1 + i % 2)] + [("x", "k0", None), ("x", None, 3)], "g string, fund_id string, item int").repartition(3)
+    for least in (1, 2, 4):
+        want = sorted(((g, a, b, len(held[g, a] & held[g, b])) for g in "xy" for a in (f"k{k}" for k in range(40)) for b in (f"k{k}" for k in range(40)) if a < b and len(held[g, a] & held[g, b]) >= least), key=str)
+        assert rows(portfolio.overlaps(df, within=["g"], least=least, counted=True)) == rows(portfolio.overlaps(df, within=["g"], least=least)) == want
+    assert rows(portfolio.overlaps(df.limit(0), within=["g"], counted=True)) == []
+
+
 def plain_ranks(values):
     key = lambda v: (v is not None, v)
     return {v: (values.count(v), sum(key(x) < key(v) for x in values), len(values)) for v in set(values)}
