@@ -122,6 +122,63 @@ def test_compared_ranking_is_pythons_sort(spark):
     assert empty.select("fund_id", "position").collect() == [(0, 1)]
 
 
+def test_compared_ranking_holds_one_client():
+    """What a worker holds for a client's funds while it sorts them, and that nothing of them stays for the next client, even if the garbage collector doesn't come by."""
+    import gc
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    class Grouped:
+        select = groupBy = lambda self, *columns: self
+        applyInPandas = lambda self, function, schema: function
+
+    n, step, rng = 60_000, 2_000, np.random.default_rng(4)
+    order, funds = scoring.ranked_banded(Grouped(), batch=step), rng.permutation(n)
+
+    def parts(client):
+        for i in range(0, n, step):
+            tenths = rng.integers(0, 1001, (2, step)) / 10
+            yield pd.DataFrame({"client_id": client, "fund_id": funds[i : i + step], "composite": rng.integers(2000, 9000, step) / 100, "alpha_n": tenths[0], "efficiency_n": tenths[1]})
+
+    assert sum(map(len, order(parts(0)))) == n  # imports are done
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for client in range(1, 5):
+            assert sum(map(len, order(parts(client)))) == n
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert kept < 8 * n and most < 100 * n
+
+
+def test_compared_ranking_without_numbers(spark):
+    """Null and infinite numbers compare as they are; what comes out are the numbers that came in."""
+    import functools
+
+    inf, rng = float("inf"), random.Random(8)
+    funds = [(1, f, rng.choice((50.0, 51.5, 53.0, None)), rng.choice((1.5, 2.5, inf, -inf)), rng.choice((0.1, 0.3, None))) for f in range(200)]
+    number = lambda v: float("nan") if v is None else v
+
+    def compare(a, b):
+        gap = number(b[2]) - number(a[2])
+        return gap if abs(gap) > 2 else number(b[3]) - number(a[3]) or number(b[4]) - number(a[4])
+
+    class Row(tuple):
+        def __lt__(self, other):
+            return compare(self, other) < 0
+
+    want = [(r[1], i) for i, r in enumerate(sorted(map(Row, funds)), 1)]
+    df = spark.createDataFrame(rng.sample(funds, len(funds)), "client_id long, fund_id long, composite double, alpha_n double, efficiency_n double")
+    out = scoring.ranked_banded(df, batch=64)
+    assert rows(out, "fund_id", "position") == sorted(want, key=str)
+    assert rows(out, "fund_id", "alpha_n") == sorted(((r[1], r[3]) for r in funds), key=str)
+
+
 def test_overlaps(spark):
     baskets = spark.createDataFrame([("A", x) for x in "12345"] + [("B", x) for x in "34567"] + [("B", "3")] + [("C", x) for x in "89"], "fund_id string, item string")
     pairs = portfolio.overlaps(baskets)
